@@ -24,8 +24,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, scratch: Scratch,
     for k in range(1, max_rounds + 1):
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("near_node")).agg(F.min("label").alias("near_label"))
         stepped = labels.join(near, labels.node == near.near_node, "left").select("node", F.col("label").alias("was"), F.least("label", "near_label").alias("step"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("to_label"))
-        moved = stepped.join(jump, stepped.step == jump.to, "left").select("node", "was", F.least("step", "to_label").alias("label"))
+        jump = labels.select(F.col("node").alias("jump_node"), F.col("label").alias("to_label"))
+        moved = stepped.join(jump, stepped.step == jump.jump_node, "left").select("node", "was", F.least("step", "to_label").alias("label"))
         labels = scratch.write(moved.select("node", "label", (F.col("label") < F.col("was")).alias("changed")), f"{name}_{k}")
         changed = labels.where("changed").count()
         scratch.drop(f"{name}_{k - 1}")
