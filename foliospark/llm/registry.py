@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import near_duplicates, packing
+from foliospark.llm import language, near_duplicates, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_compression_language_id": language.op1_compression_language_id,
         "op8_nnls_packing": packing.op8_nnls_packing,
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
     }
