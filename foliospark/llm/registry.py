@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import language, near_duplicates, packing, substrings
+from foliospark.llm import decontamination, language, near_duplicates, packing, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_language_id": language.op1_compression_language_id,
+        "op2_template_decontamination": decontamination.op2_template_decontamination,
         "op3_sentence_span_dedup": substrings.op3_sentence_span_dedup,
         "op8_nnls_packing": packing.op8_nnls_packing,
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
