@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontamination, language, near_duplicates, packing, substrings
+from foliospark.llm import decontamination, language, near_duplicates, packing, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentence_span_dedup": substrings.op3_sentence_span_dedup,
         "op8_nnls_packing": packing.op8_nnls_packing,
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
+        "op10_url_ngram_filter": urls.op10_url_ngram_filter,
     }
 
 
