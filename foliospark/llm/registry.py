@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontamination, language, mpeg_audio, near_duplicates, packing, substrings, urls
+from foliospark.llm import decontamination, language, mpeg_audio, near_duplicates, packing, quality, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_compression_language_id": language.op1_compression_language_id,
         "op2_template_decontamination": decontamination.op2_template_decontamination,
         "op3_sentence_span_dedup": substrings.op3_sentence_span_dedup,
+        "op4_fourier_quality": quality.op4_fourier_quality,
         "op5_mpeg_audio": mpeg_audio.op5_mpeg_audio,
         "op8_nnls_packing": packing.op8_nnls_packing,
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
