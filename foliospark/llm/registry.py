@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontamination, language, mpeg_audio, near_duplicates, packing, quality, substrings, urls
+from foliospark.llm import decontamination, language, lm_scoring, mpeg_audio, near_duplicates, packing, quality, substrings, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentence_span_dedup": substrings.op3_sentence_span_dedup,
         "op4_fourier_quality": quality.op4_fourier_quality,
         "op5_mpeg_audio": mpeg_audio.op5_mpeg_audio,
+        "op6_masked_pseudo_likelihood": lm_scoring.op6_masked_pseudo_likelihood,
+        "op7_separator_token_counts": token_files.op7_separator_token_counts,
         "op8_nnls_packing": packing.op8_nnls_packing,
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
         "op10_url_ngram_filter": urls.op10_url_ngram_filter,

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import unicodedata
 
 import numpy as np
 
@@ -89,11 +88,12 @@ class _Table:
 class WordEncoder:
     """Ids of texts whose words are encoded one by one."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
         self.model = self.whole.model
         self.table = _Table()
         self.letters = _byte_letters()
@@ -141,10 +141,11 @@ class WordEncoder:
 class TextEncoder:
     """Ids of texts encoded whole, for tokenizers that look across white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = buf.tobytes()
@@ -155,12 +156,12 @@ class TextEncoder:
         return np.fromiter((i for x in ids for i in x), np.uint32, int(bounds[-1])), bounds
 
 
-_encoders: dict[str, WordEncoder | TextEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder | TextEncoder:
-    """The encoder of a tokenizer file, one in each Python worker."""
-    if path not in _encoders:
+def encoder(path: str, plain: bool = False) -> WordEncoder | TextEncoder:
+    """The encoder of a tokenizer file, one in each Python worker; ``plain``: special tokens' strings are ordinary text."""
+    if (path, plain) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
@@ -168,10 +169,5 @@ def encoder(path: str) -> WordEncoder | TextEncoder:
         splits = [x.get("pattern", {}).get("Regex") for x in (kind.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         vocabulary = len(kind["model"].get("vocab", ()))
         by_word = steps == _WORD_NORMALIZERS and splits[:1] == [_WORD_SPLIT] and vocabulary <= 1 << 16
-        _encoders[path] = (WordEncoder if by_word else TextEncoder)(path)
-    return _encoders[path]
-
-
-def normal(text: str) -> str:
-    """What a word tokenizer sees of a text; for tests."""
-    return unicodedata.normalize("NFC", text).lower()
+        _encoders[path, plain] = (WordEncoder if by_word else TextEncoder)(path, plain)
+    return _encoders[path, plain]
