@@ -9,9 +9,13 @@ similarity, as concentrated as independent ones (fast similarity sketching).
 Banding: BANDS runs of ROWS coordinates; at similarity 0.75 a pair shares no band with probability
 (1 - 0.75 ** 4) ** 32 < 6e-6. Bands only nominate: every link is confirmed on full shingle sets.
 
-No bucket is expanded into all its pairs. Documents with equal sets are one class, in a bucket each
-class is compared with the bucket's smallest id, and only classes that are still in different
-components of one bucket are compared further, all of them, so no link between components is lost.
+No bucket is expanded into all its pairs. Documents with equal sets are one class. A bucket's centre
+c is the class that shares most buckets; every class is compared with its best centre, and in buckets
+whose members are still in several components with all their centres. What that can leave out is a
+link between x and y, not linked with x's centre c. If x and y have shingles in common that c has not,
+they are found by joining those shingles, of which a prefix in one fixed order is enough (the overlap
+that the threshold demands says how long a prefix). If they have none, their intersection is at most
+min(|x and c|, |y and c|), and the few pairs for which that can be enough follow from these counts.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ BANDS, ROWS = 32, 4
 T = BANDS * ROWS
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Bits of the filter that spares the texts of documents without any shared bucket.
+BITMAP = 1 << 26
 
 _U = np.uint64
 
@@ -91,45 +97,85 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets, _ = ta.column(batch.column(1))
-        for a, b in ta.row_slices(offsets):
-            h, bounds = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["id", "shingles"])
+def _filtered(bits: bytes):
+    """Sets of the rows whose slot is set in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            slot = np.asarray(batch.column(2)).astype(np.int64)
+            picked = np.flatnonzero((wanted[slot >> 3] >> (slot & 7)) & 1)
+            buf, offsets, _ = ta.column(batch.column(1).take(pa.array(picked)))
+            ids = batch.column(0).take(pa.array(picked))
+            for a, b in ta.row_slices(offsets):
+                h, bounds = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw = h.tobytes()
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _wanted_bits(ids: DataFrame, column: str) -> bytes:
+    """A bitmap of BITMAP bits, the same size for any corpus, with the slots of ids set."""
+    slot = _slot(column)
+    rows = ids.groupBy(F.shiftright(slot, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = bytearray(BITMAP // 8)
+    for k, bits in rows:
+        out[4096 * k : 4096 * k + len(bits)] = bits
+    return bytes(out)
+
 
+def _slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP))
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) > len(y):
-        x, y = y, x
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y; both are ascending."""
+    if not len(y):
+        return np.zeros(len(x), bool)
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
-    return int((y[at] == x).sum())
+    return y[at] == x
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, xs, ys = (batch.column(k) for k in range(4))
-        keep = []
-        for k in range(batch.num_rows):
-            x, y = np.frombuffer(xs[k].as_buffer(), _U), np.frombuffer(ys[k].as_buffer(), _U)
-            both = _common(x, y)
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        kept = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, docs.doc_id == ids.wanted, "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.write(texts.mapInArrow(_sets, "id long, shingles binary"), f"{name}_sets")
-    left, right = sets.select(F.col("id").alias("ia"), F.col("shingles").alias("xa")), sets.select(F.col("id").alias("ib"), F.col("shingles").alias("xb"))
-    both = pairs.join(left, pairs.a == left.ia).join(right, F.col("b") == right.ib).select("a", "b", "xa", "xb")
-    links = scratch.write(both.mapInArrow(_confirm, "a long, b long"), f"{name}_links")
-    scratch.drop(f"{name}_sets")
-    return links
+def _compare(with_novel: bool):
+    """(c, m, linked), and with_novel also the sizes, the intersection and the prefix of m's shingles that c has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, m, cs, ms = (batch.column(k) for k in range(4))
+            linked, sizes, inters, novel = [], [], [], []
+            for k in range(batch.num_rows):
+                x, y = np.frombuffer(cs[k].as_buffer(), _U), np.frombuffer(ms[k].as_buffer(), _U)
+                here = _common(y, x)
+                both = int(here.sum())
+                linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                if with_novel:
+                    sizes.append(len(y))
+                    inters.append(both)
+                    own = y[~here]
+                    least = max(1, -(-PERCENT * len(y) // 100) - both)
+                    novel.append(own[: max(0, len(own) - least + 1)])
+            out = [c, m, pa.array(linked, pa.bool_())]
+            if with_novel:
+                ends = np.concatenate([[0], np.cumsum([len(v) for v in novel])])
+                out += [pa.array(sizes, pa.int64()), pa.array(inters, pa.int64()), ta.lists(np.concatenate([*novel, np.zeros(0, _U)]), ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, ["c", "m", "linked", *(["n", "inter", "novel"] if with_novel else [])])
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, with_novel: bool = False) -> DataFrame:
+    """Pairs (c, m) compared on their full shingle sets."""
+    left, right = sets.select(F.col("id").alias("ic"), F.col("shingles").alias("xc")), sets.select(F.col("id").alias("im"), F.col("shingles").alias("xm"))
+    both = pairs.join(right, F.col("m") == F.col("im")).join(left, F.col("c") == F.col("ic")).select("c", "m", "xc", "xm")
+    return both.mapInArrow(_compare(with_novel), "c long, m long, linked boolean" + ", n long, inter long, novel array<long>" * with_novel)
+
+
+def _labelled(df: DataFrame, node: str, labels: DataFrame, name: str) -> DataFrame:
+    """df with a node's component; a node without links is its own."""
+    known = labels.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_found"))
+    return df.join(known, F.col(node) == known[f"{name}_node"], "left").withColumn(name, F.coalesce(f"{name}_found", node)).drop(f"{name}_node", f"{name}_found")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -140,8 +186,9 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     A text that is null, empty or without words has no shingles and is linked with nothing. A row
     without doc_id takes its class's component, or none if no copy has an id, and is kept only then.
-    Rows repeated with one doc_id and text are all kept or all dropped together. Ties go to the
-    smaller id. Extra columns are not read; an empty table gives an empty result.
+    Rows repeated with one doc_id and text are all kept or all dropped together; rows of one doc_id
+    with different texts are one node. Ties go to the smaller id. Extra columns are not read; an
+    empty table gives an empty result.
     """
     scratch = Scratch(spark, "near-duplicates")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -149,36 +196,49 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     key = ["set_a", "set_b", "n_shingles"]
     reps = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
 
-    entries = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = scratch.write(entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n_shingles")).alias("first")).where("members > 1"), "shared")
-    named = shared.select(F.col("bucket").alias("bucket_"), F.col("first.rep").alias("centre"), F.col("first.n_shingles").alias("centre_n"))
-    members = scratch.write(entries.join(named, entries.bucket == named.bucket_).select("bucket", "rep", "n_shingles", "centre", "centre_n"), "members")
-    near_size = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-    stars = scratch.write(members.where((F.col("rep") != F.col("centre")) & near_size(F.col("n_shingles"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    docs_ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    links = _verified(stars, docs_ids, scratch, "star")
-    first = connected_components(links, "a", "b", scratch, "first")
-
-    labels = first.select(F.col("node").alias("node_"), F.col("component").alias("comp_"))
-    placed = scratch.write(members.join(labels, members.rep == labels.node_, "left").select("bucket", "rep", "n_shingles", F.coalesce("comp_", "rep").alias("comp")), "placed")
-    per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    open_ = scratch.write(per.groupBy(F.col("bucket").alias("bucket_")).agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("bucket_", F.col("top.comp").alias("top")), "open")
-    inside = scratch.write(placed.join(open_, placed.bucket == open_.bucket_).select("bucket", "rep", "n_shingles", "comp", (F.col("comp") == F.col("top")).alias("major")), "inside")
-    x = inside.where("not major").select("bucket", F.col("rep").alias("x"), F.col("n_shingles").alias("xn"), F.col("comp").alias("xc"))
-    y = inside.select(F.col("bucket").alias("bucket_y"), F.col("rep").alias("y"), F.col("n_shingles").alias("yn"), F.col("comp").alias("yc"), "major")
-    apart = (x.bucket == y.bucket_y) & (x.xc != y.yc) & (y.major | (x.x < y.y)) & near_size(x.xn, y.yn)
-    across = x.join(y, apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = scratch.write(across.join(stars, ["a", "b"], "left_anti"), "across")
-    if across.isEmpty():
-        components = first
-    else:
-        more = _verified(across, docs_ids, scratch, "across")
-        components = first if more.isEmpty() else connected_components(links.union(more), "a", "b", scratch, "second")
-    scratch.drop("members", "placed", "inside", "shared", "open")
-
-    named = components.select(F.col("node").alias("node_"), F.col("component").alias("comp_"))
-    classes = scratch.write(reps.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep").join(named, F.col("rep") == named.node_, "left").select("a_", "b_", "n_", F.coalesce("comp_", "rep").alias("comp")), "classes")
-    found = signed.drop("bands").join(classes, (F.col("set_a") == classes.a_) & (F.col("set_b") == classes.b_) & (F.col("n_shingles") == classes.n_), "left")
+    entries = reps.select(F.col("rep").alias("m"), F.explode("bands").alias("bucket"))
+    shared = scratch.write(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("bucket", "bucket_"), "shared")
+    members = scratch.write(entries.join(shared, F.col("bucket") == F.col("bucket_")).select("bucket", "m", "size"), "members")
+    weight = scratch.write(members.groupBy(F.col("m").alias("m_")).agg(F.sum("size").alias("weight")), "weight")
+    weighed = members.join(weight, F.col("m") == F.col("m_")).select("bucket", F.struct("weight", (-F.col("m")).alias("c")).alias("w"))
+    centres = scratch.write(weighed.groupBy(F.col("bucket").alias("bucket_")).agg(F.max("w").alias("w")), "centres")
+    placed = members.join(centres, F.col("bucket") == F.col("bucket_")).select("bucket", "m", (-F.col("w.c")).alias("c"), F.col("w.weight").alias("weight"))
+    placed = scratch.write(placed, "placed")
+    bits = _wanted_bits(weight, "m_")
+    sets = scratch.write(docs.where("doc_id is not null").withColumn("slot", _slot("doc_id")).mapInArrow(_filtered(bits), "id long, shingles binary"), "sets")
+
+    best = placed.where("c <> m").groupBy("m").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("w")).select((-F.col("w.c")).alias("c"), "m")
+    links = scratch.write(_compared(best, sets).where("linked").select("c", "m"), "links")
+    labels = connected_components(links, "c", "m", scratch, "first")
+
+    known = scratch.write(_labelled(placed, "m", labels, "comp"), "known")
+    several = known.groupBy(F.col("bucket").alias("bucket_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket_")
+    several = scratch.write(several, "several")
+    rest = known.join(several, F.col("bucket") == F.col("bucket_")).where("c <> m").select("c", "m").distinct()
+    profile = scratch.write(_compared(rest, sets, True), "profile")
+    links = scratch.write(links.union(profile.where("linked").select("c", "m")).distinct(), "links2")
+    labels = connected_components(links, "c", "m", scratch, "second")
+
+    near = scratch.write(_labelled(_labelled(profile.drop("linked"), "m", labels, "comp"), "c", labels, "centre_comp").withColumn("minor", F.col("comp") != F.col("centre_comp")), "near")
+    x = near.where("minor").select("c", F.col("m").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("inter").alias("x_inter"), F.col("novel").alias("x_novel"))
+    y = near.select(F.col("c").alias("c_"), F.col("m").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("inter").alias("y_inter"), F.col("novel").alias("y_novel"), "minor")
+    apart = (F.col("x_comp") != F.col("y_comp")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n"))
+    ends = [F.least("x", "y").alias("c"), F.greatest("x", "y").alias("m")]
+    xs, ys = x.withColumn("own", F.explode("x_novel")).drop("x_novel", "x_inter"), y.withColumn("own_", F.explode("y_novel")).drop("y_novel", "y_inter")
+    by_own = xs.join(ys, (F.col("c") == F.col("c_")) & (F.col("own") == F.col("own_")) & apart).select(*ends)
+    both = F.least("x_inter", "y_inter")
+    enough = 100 * both >= PERCENT * (F.col("x_n") + F.col("y_n") - both)
+    xs, ys = x.drop("x_novel").where(f"100 * x_inter >= {PERCENT} * x_n"), y.drop("y_novel").where(f"100 * y_inter >= {PERCENT} * y_n")
+    by_count = xs.join(ys, (F.col("c") == F.col("c_")) & apart & enough).select(*ends)
+    across = scratch.write(by_own.union(by_count).distinct(), "across")
+    more = scratch.write(_compared(across, sets).where("linked").select("c", "m"), "more")
+    if not more.isEmpty():
+        labels = connected_components(links.union(more), "c", "m", scratch, "third")
+    scratch.drop("shared", "members", "weight", "centres", "placed", "sets", "known", "several", "profile", "near", "across")
+
+    classes = reps.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep")
+    classes = scratch.write(_labelled(classes, "rep", labels, "comp"), "classes")
+    found = signed.drop("bands").join(classes, (F.col("set_a") == F.col("a_")) & (F.col("set_b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_")), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
