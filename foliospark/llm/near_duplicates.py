@@ -14,7 +14,8 @@ c is the class that shares most buckets; every class is compared with its best c
 whose members are still in several components with all their centres. What that can leave out is a
 link between x and y, not linked with x's centre c. If x and y have shingles in common that c has not,
 they are found by joining those shingles, of which a prefix in one fixed order is enough (the overlap
-that the threshold demands says how long a prefix). If they have none, their intersection is at most
+that the threshold demands says how long a prefix, and where a shingle stands in both prefixes bounds
+what can follow). If they have none, their intersection is at most
 min(|x and c|, |y and c|), and the few pairs for which that can be enough follow from these counts.
 """
 
@@ -224,12 +225,13 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     y = near.select(F.col("c").alias("c_"), F.col("m").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("inter").alias("y_inter"), F.col("novel").alias("y_novel"), "minor")
     apart = (F.col("x_comp") != F.col("y_comp")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n"))
     ends = [F.least("x", "y").alias("c"), F.greatest("x", "y").alias("m")]
-    xs, ys = x.withColumn("own", F.explode("x_novel")).drop("x_novel", "x_inter"), y.withColumn("own_", F.explode("y_novel")).drop("y_novel", "y_inter")
-    by_own = xs.join(ys, (F.col("c") == F.col("c_")) & (F.col("own") == F.col("own_")) & apart).select(*ends)
     both = F.least("x_inter", "y_inter")
-    enough = 100 * both >= PERCENT * (F.col("x_n") + F.col("y_n") - both)
+    enough = lambda most: 100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most)
+    xs, ys = x.select("*", F.posexplode("x_novel").alias("x_at", "own")).drop("x_novel"), y.select("*", F.posexplode("y_novel").alias("y_at", "own_")).drop("y_novel")
+    left = F.least(F.col("x_n") - F.col("x_inter") - F.col("x_at"), F.col("y_n") - F.col("y_inter") - F.col("y_at"))
+    by_own = xs.join(ys, (F.col("c") == F.col("c_")) & (F.col("own") == F.col("own_")) & apart & enough(both + F.least("x_at", "y_at") + left)).select(*ends)
     xs, ys = x.drop("x_novel").where(f"100 * x_inter >= {PERCENT} * x_n"), y.drop("y_novel").where(f"100 * y_inter >= {PERCENT} * y_n")
-    by_count = xs.join(ys, (F.col("c") == F.col("c_")) & apart & enough).select(*ends)
+    by_count = xs.join(ys, (F.col("c") == F.col("c_")) & apart & enough(both)).select(*ends)
     across = scratch.write(by_own.union(by_count).distinct(), "across")
     more = scratch.write(_compared(across, sets).where("linked").select("c", "m"), "more")
     if not more.isEmpty():
