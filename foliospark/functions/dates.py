@@ -11,7 +11,7 @@ MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout
 
 def _groups(c: Column, pattern: str, year: int, month: int, day: int) -> Column:
     found = [F.regexp_extract_all(c, F.lit(pattern), k) for k in (year, month, day)]
-    return F.zip_with(F.arrays_zip(found[0].alias("a"), found[1].alias("b")), found[2], lambda ab, d: F.struct(ab["0"].alias("y"), ab["1"].alias("m"), d.alias("d")))
+    return F.zip_with(F.arrays_zip(found[0].alias("a"), found[1].alias("b")), found[2], lambda ab, d: F.struct(ab["a"].alias("y"), ab["b"].alias("m"), d.alias("d")))
 
 
 def _month_number(m: Column) -> Column:

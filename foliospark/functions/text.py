@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,16 +14,27 @@ _ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇ
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
 
 
-@F.pandas_udf("string")
-def fold_ascii(s: pd.Series) -> pd.Series:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: inside a lambda Spark would compute it again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fold_ascii(c: Column) -> Column:
     """NFKD, without what is not ASCII, in small letters."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
 
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
+
+    return F.pandas_udf(fold, "string")(c)
 
-@F.pandas_udf("string")
-def fold_marks(s: pd.Series) -> pd.Series:
+
+def fold_marks(c: Column) -> Column:
     """NFD without combining marks, in small letters: ß and œ stay."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower())
+
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else "".join(k for k in unicodedata.normalize("NFD", x) if not unicodedata.combining(k)).lower())
+
+    return F.pandas_udf(fold, "string")(c)
 
 
 def fold_latin(c: Column) -> Column:
@@ -41,10 +53,12 @@ def words(c: Column) -> Column:
 
 def shingles(c: Column, n: int = 5) -> Column:
     """Distinct n-grams of the words of a canonical text; a shorter text is one shingle, an empty one none."""
-    w = words(c)
-    size = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
+
+    def of(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
+
+    return let(words(c), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -57,10 +71,13 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0)
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of two texts; null if either is null."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def slug(c: Column, most: int = 50) -> Column:
