@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates.
 
 Texts become sequences of template tokens: words with a digit are <number>, measures after a number
-are <unit>, runs of capitalised words inside a sentence are <name>, all others stand for themselves
-in small letters without punctuation. Windows of template tokens of the benchmark are hashed, the
+are <unit>, runs of capitalised words inside a sentence are <name>, all others (words in capitals too)
+stand for themselves in small letters without punctuation. Windows of template tokens of the benchmark are hashed, the
 windows of every document are looked up among them, and for each document and item that share enough
 windows the slots are compared along the best alignment: an item's value must always stand for the
 same value of the document. So copies are found, and questions asked again with other numbers or names.
@@ -26,7 +26,7 @@ WINDOW = 8
 #: Shorter items are one window of their own length; below this an item says nothing.
 SHORTEST = 4
 #: Share of an item's windows that must stand in a document; share of slots that must be consistent.
-COVERAGE, CONSISTENCY = 0.5, 0.8
+COVERAGE, CONSISTENCY = 0.5, 0.85
 #: Share of a window's tokens that must be words: placeholders alone identify nothing.
 LITERAL = 0.5
 BLOCK_CHARS = 32_000_000
@@ -89,7 +89,10 @@ class Templates:
         opens = np.ones(len(row), bool)
         opens[1:] = _ENDS[buf[words.ends[:-1] - 1]] | (breaks[words.starts[1:]] > breaks[words.ends[:-1]]) | (row[1:] != row[:-1])
         number = digits[words.ends] > digits[words.starts]
-        name = upper[np.minimum(first, len(buf) - 1)] & ~opens & ~number
+        head = np.minimum(first, len(buf) - 1)
+        second = head + 1 + (buf[head] >= 0xC0)
+        shout = (second < words.ends) & upper[np.minimum(second, len(buf) - 1)]
+        name = upper[head] & ~shout & ~opens & ~number
         kept = np.flatnonzero(some)
         h, row, number, name, opens = words.hashes[kept], row[kept], number[kept], name[kept], opens[kept]
         if not len(kept):

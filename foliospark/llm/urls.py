@@ -101,7 +101,7 @@ class Model:
     def score(self, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
         row, slot = features(hosts, paths)
         n = len(hosts)
-        total = np.bincount(row, self.weights[slot], n) * self.SCALE / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+        total = np.bincount(row, self.weights[slot], n).astype(float) * self.SCALE / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
         return 1 / (1 + np.exp(-(total + self.intercept)))
 
 
