@@ -56,16 +56,22 @@ def confirm(a: str, b: str) -> Column:
 def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id", head: int = 500) -> DataFrame:
     """Pairs of one block that may be copies, with their verdict.
 
-    Candidates share a block and the opening of their canonical text or one of the rarest-looking
-    shingles (the five smallest by hash), so a block is not expanded into all pairs.
+    Documents of equal text, dates and periods are one class: each is paired with the class's smallest
+    key. Classes are compared if they share the opening of their canonical text or one of five
+    shingles (the smallest by hash), so neither a block nor a group of copies is expanded into all pairs.
     """
+    rows = profiles.withColumn("class", F.xxhash64("norm", "name_dates", "name_periods"))
+    first = rows.groupBy(*block, "class").agg(F.min(key).alias("rep"))
+    rows = rows.join(first, [*block, "class"])
+    ok = F.col("chars") >= TEXT_MIN
+    same = rows.where(F.col(key) != F.col("rep")).select(*block, F.col("rep").alias("a"), F.col(key).alias("b"), ok.alias("copy"), ok.cast("double").alias("score"), F.when(ok, "TEXTE_IDENTIQUE").otherwise("TEXTE_TROP_COURT").alias("reason"))
+
     keys = F.array_distinct(F.concat(F.array(F.xxhash64(F.substring("norm", 1, head))), F.slice(F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))), 1, 5)))
-    rows = profiles.withColumn("mark", F.explode(keys))
+    marked = rows.where(F.col(key) == F.col("rep")).withColumn("mark", F.explode(keys))
     side = lambda name: F.struct("norm", "shingles", "text_dates", "name_dates", "name_periods", "chars", F.col(key).alias("key")).alias(name)
-    a, b = rows.select(*block, "mark", side("a")), rows.select(*block, "mark", side("b"))
-    pairs = a.join(b, [*block, "mark"]).where("a.key < b.key")
+    pairs = marked.select(*block, "mark", side("a")).join(marked.select(*block, "mark", side("b")), [*block, "mark"]).where("a.key < b.key")
     judged = pairs.select(*block, F.col("a.key").alias("a"), F.col("b.key").alias("b"), confirm("a", "b").alias("v"))
-    return judged.groupBy(*block, "a", "b").agg(F.first("v").alias("v")).select(*block, "a", "b", "v.*")
+    return judged.groupBy(*block, "a", "b").agg(F.first("v").alias("v")).select(*block, "a", "b", "v.*").unionByName(same)
 
 
 def stem(name: Column, copy: str = "\\b(copie|copy)( de)?\\b|\\(\\d+\\)", version: str = "\\b(v ?\\d+|version ?\\d*|vf|vdef|final|definitif|projet)\\b", variant: str = "_?(rgpd|anonymise)\\b") -> Column:
