@@ -634,3 +634,132 @@ def _(v):
 def _(v):
     again = Window.partitionBy("code", F.md5(F.col("text").cast("binary"))).orderBy("source_file", "chunk_index")
     return v.chunks.select("chunk_id", "code", (F.row_number().over(again) - 1).alias("k"))
+
+
+# --- more of the inventory -------------------------------------------------------------------
+
+
+@query("p1_polymorphic_in", with_views("documents") + "SELECT doc_id FROM v_documents WHERE subtype IN ('S0', 'S2') AND code = 'src3'")
+def _(v):
+    return v.documents.where(analytics.is_in("subtype", ["S0", "null", "", "S2"]) & analytics.is_in("code", "src3") & analytics.is_in("status", None)).select("doc_id")
+
+
+@query("p4_effective_type", with_views("documents") + "SELECT coalesce(doc_type_fixed, doc_type) AS doc_type, count(*) AS n FROM v_documents GROUP BY 1")
+def _(v):
+    return v.documents.groupBy(analytics.effective_type().alias("doc_type")).agg(F.count("*").alias("n"))
+
+
+@query("j15_single_scope", with_views("cases") + "SELECT party, count(DISTINCT code) = 1 AS single, min(code) AS code FROM v_cases GROUP BY 1")
+def _(v):
+    return v.cases.groupBy("party").agg((F.countDistinct("code") == 1).alias("single"), F.min("code").alias("code"))
+
+
+@query("t16_keyword_search", with_views("cases") + "SELECT case_id FROM v_cases WHERE (contains(lower(party), '00012') AND status = 'EN_COURS') OR contains(case_id, '999') ORDER BY opened DESC NULLS LAST, case_id LIMIT 5")
+def _(v):
+    hit = (F.lower("party").contains("00012") & (F.col("status") == "EN_COURS")) | F.col("case_id").contains("999")
+    return v.cases.where(hit).orderBy(F.desc_nulls_last("opened"), "case_id").limit(5).select("case_id")
+
+
+@query("t18_virtual_rows", _SCORED + "SELECT chunk_id, 1 AS priority FROM (SELECT chunk_id FROM f ORDER BY rrf DESC, chunk_id LIMIT 5) UNION ALL SELECT 'case-1', 0")
+def _(v):
+    rows = search.best(fused(v), 5).select("chunk_id", "rrf", "vec")
+    return lookup.with_virtual(rows, v.spark.createDataFrame([("case-1",)], "chunk_id string")).select("chunk_id", "priority")
+
+
+@query("t19_context", _SCORED + ", top AS (SELECT chunk_id FROM f ORDER BY rrf DESC, chunk_id LIMIT 5), c AS (SELECT chunk_id, row_number() OVER (ORDER BY round(vec, 9) DESC, chunk_id) AS r FROM f WHERE vec >= 0.25 AND chunk_id NOT IN (SELECT chunk_id FROM top)) SELECT chunk_id FROM top UNION ALL SELECT chunk_id FROM c WHERE r <= 2")
+def _(v):
+    rows = fused(v)
+    return lookup.with_context(search.best(rows, 5).select("query_id", "chunk_id", "vec"), rows.select("query_id", "chunk_id", "vec")).select("chunk_id")
+
+
+@query("s1_union", with_views("documents") + "SELECT doc_id, 'old' AS part FROM v_documents WHERE year < 2017 UNION ALL SELECT doc_id, 'new' FROM v_documents WHERE year > 2022")
+def _(v):
+    part = lambda c, name: v.documents.where(c).select("doc_id", F.lit(name).alias("part"))
+    return part("year < 2017", "old").unionByName(part("year > 2022", "new"))
+
+
+@query("s5_containment", with_views("parties") + "SELECT a.order_id, round(len(list_intersect(a.parties, b.parties)) / least(len(a.parties), len(b.parties))::double, 6) AS score FROM v_parties a JOIN v_parties b ON a.order_id + 1 = b.order_id")
+def _(v):
+    b = v.parties.select((F.col("order_id") - 1).alias("k"), F.col("parties").alias("others"))
+    return v.parties.join(b, F.col("order_id") == F.col("k")).select("order_id", F.round(tx.containment(F.col("parties"), F.col("others")), 6).alias("score"))
+
+
+@query("f5_jaccard", with_views("parties") + "SELECT a.order_id, round(len(list_intersect(a.parties, b.parties)) / len(list_distinct(list_concat(a.parties, b.parties)))::double, 6) AS score FROM v_parties a JOIN v_parties b ON a.order_id + 1 = b.order_id")
+def _(v):
+    b = v.parties.select((F.col("order_id") - 1).alias("k"), F.col("parties").alias("others"))
+    return v.parties.join(b, F.col("order_id") == F.col("k")).select("order_id", F.round(tx.jaccard(F.col("parties"), F.col("others")), 6).alias("score"))
+
+
+@query("f8_subtype", "SELECT p_partkey, regexp_replace(upper(trim(split_part(p_type, ',', 1))), '[ -]+', '_', 'g') AS subtype FROM part")
+def _(v):
+    return v.table("part").select("p_partkey", tx.subtype(F.col("p_type")).alias("subtype"))
+
+
+@query("f9_name_tokens", "SELECT c_custkey, 'customer lancre zoe' AS names FROM customer")
+def _(v):
+    return v.table("customer").select("c_custkey", F.array_join(tx.name_tokens(F.concat("c_name", F.lit(" Mme Zoé de Lancre"))), " ").alias("names"))
+
+
+@query("f12_property_code", "SELECT id, c AS code FROM (VALUES (1, 'AA0000001'), (2, '12345'), (3, '4321'), (4, NULL)) t(id, c)")
+def _(v):
+    rows = [(1, "raw/AA0000001/x.pdf"), (2, "raw/12345 - Rue/x.pdf"), (3, "note 4321.pdf"), (4, "none")]
+    return v.spark.createDataFrame(rows, "id int, p string").select("id", tx.property_code(F.col("p")).alias("code"))
+
+
+@query("f16_haystack", with_views("cases") + f"SELECT case_id, lower({_accents('concat_ws(chr(32), party, status)')}) AS hay FROM v_cases")
+def _(v):
+    return v.cases.select("case_id", tx.haystack("party", "status").alias("hay"))
+
+
+@query("f17_query_tokens", "SELECT c_custkey, array_to_string(regexp_extract_all(lower(c_mktsegment || ' ' || c_name), '([a-z0-9]{3,})', 1), ' ') AS tokens FROM customer")
+def _(v):
+    return v.table("customer").select("c_custkey", F.array_join(tx.query_tokens(F.concat_ws(" ", "c_mktsegment", "c_name")), " ").alias("tokens"))
+
+
+@query("f18_passage", with_views("chunks", "documents") + "SELECT c.chunk_id, c.source_file, '[' || c.doc_type || '] ' || 'doc ' || d.doc_id || chr(10) || left(c.text, 1900) AS passage FROM v_chunks c JOIN v_documents d ON c.source_file = d.source_file")
+def _(v):
+    rows = v.chunks.drop("doc_id").join(v.documents.select("source_file", "file_name"), "source_file")
+    return rows.select("chunk_id", "source_file", tx.passage(F.col("doc_type"), F.col("file_name"), F.col("text")).alias("passage"))
+
+
+@query("f23_quality_metrics", "SELECT doc_id, length(text)::int AS length, len(regexp_extract_all(text, '\\p{L}{3,}'))::int AS long_words FROM documents")
+def _(v):
+    m = tx.quality_metrics(F.col("text"))
+    return v.table("documents").select("doc_id", m["length"].alias("length"), m["long_words"].alias("long_words"))
+
+
+@query("dt5_year_and_gap", with_views("cases") + "SELECT case_id, year(opened)::int AS y, abs(datediff('day', opened, DATE '1996-01-01'))::int AS gap FROM v_cases")
+def _(v):
+    return v.cases.select("case_id", F.year("opened").alias("y"), F.abs(F.datediff("opened", F.lit("1996-01-01").cast("date"))).alias("gap"))
+
+
+@query("x3_filtered_chunks")
+def _(v):
+    return chunking.filtered(v.chunks.drop("embedding"))[0].select("chunk_id", "source_file")
+
+
+@query("x5_type_of_path", with_views("files") + "SELECT path, CASE WHEN path LIKE '%/b/%' THEN 'PV_AG' WHEN path LIKE '%7.txt' THEN 'FACTURE' ELSE 'AUTRE' END AS doc_type FROM v_files")
+def _(v):
+    return v.files.select("path", chunking.type_of_path(F.col("path"), {"b": "PV_AG"}, {"7\\.txt$": "FACTURE"}).alias("doc_type"))
+
+
+@query("e7_flagged_chunks", with_views("chunks") + "SELECT chunk_id, source_file, excluded OR doc_id % 6 = 0 AS excluded FROM v_chunks")
+def _(v):
+    flags = v.documents.where("doc_id % 6 = 0").select("source_file", F.lit("x").alias("ref_source_file"), F.lit("VARIANTE").alias("reason"))
+    return dedup.flagged(v.chunks, flags).select("chunk_id", "source_file", "excluded")
+
+
+@query("e13_trusted_type", with_views("documents") + "SELECT doc_id, CASE WHEN doc_type = 'RCP' THEN 'RCP' ELSE coalesce(doc_type_fixed, doc_type) END AS doc_type FROM v_documents")
+def _(v):
+    return v.documents.select("doc_id", F.when(F.col("doc_type") == "RCP", "RCP").otherwise(analytics.effective_type()).alias("doc_type"))
+
+
+@query("i2_purge", with_views("chunks") + "SELECT chunk_id, source_file FROM v_chunks WHERE doc_id % 9 <> 0")
+def _(v):
+    return incremental.purge(v.chunks, v.documents.where("doc_id % 9 = 0").select("source_file"), "source_file").select("chunk_id", "source_file")
+
+
+@query("i3_cache_misses", with_views("chunks") + "SELECT chunk_id FROM v_chunks WHERE doc_id % 2 = 1")
+def _(v):
+    cache = v.chunks.where("doc_id % 2 = 0").select("chunk_id", F.lit("FOND").alias("kind"))
+    return incremental.cached(v.chunks.select("chunk_id"), cache.distinct(), "chunk_id", "kind")[1]
