@@ -10,9 +10,10 @@ Banding: BANDS runs of ROWS coordinates; at similarity 0.75 a pair shares no ban
 (1 - 0.75 ** 4) ** 32 < 6e-6. Bands only nominate: every link is confirmed on full shingle sets.
 
 No bucket is expanded into all its pairs. Documents with equal sets are one class. A bucket's centre
-c is the class that shares most buckets; every class is compared with its best centre, and in buckets
-whose members are still in several components with all their centres. What that can leave out is a
-link between x and y, not linked with x's centre c. If x and y have shingles in common that c has not,
+c is the class that shares most buckets; every class is compared with its best centre. Buckets whose
+members are still in several components take their centre's own best centre as reference (twice, so
+that a group of copies meets at its original), and all members are compared with it. What that can leave out is a
+link between x and y of one reference c. If x and y have shingles in common that c has not,
 they are found by joining those shingles, of which a prefix in one fixed order is enough (the overlap
 that the threshold demands says how long a prefix, and where a shingle stands in both prefixes bounds
 what can follow). If they have none, their intersection is at most
@@ -209,13 +210,18 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     sets = scratch.write(docs.where("doc_id is not null").withColumn("slot", _slot("doc_id")).mapInArrow(_filtered(bits), "id long, shingles binary"), "sets")
 
     best = placed.where("c <> m").groupBy("m").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("w")).select((-F.col("w.c")).alias("c"), "m")
+    best = scratch.write(best, "best")
     links = scratch.write(_compared(best, sets).where("linked").select("c", "m"), "links")
     labels = connected_components(links, "c", "m", scratch, "first")
 
     known = scratch.write(_labelled(placed, "m", labels, "comp"), "known")
     several = known.groupBy(F.col("bucket").alias("bucket_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket_")
     several = scratch.write(several, "several")
-    rest = known.join(several, F.col("bucket") == F.col("bucket_")).where("c <> m").select("c", "m").distinct()
+    rest = known.join(several, F.col("bucket") == F.col("bucket_")).select("c", "m").distinct()
+    hop = best.select(F.col("m").alias("from_"), F.col("c").alias("hop"))
+    for _ in range(2):
+        rest = rest.join(hop, F.col("c") == F.col("from_"), "left").select(F.coalesce("hop", "c").alias("c"), "m")
+    rest = rest.where("c <> m").distinct()
     profile = scratch.write(_compared(rest, sets, True), "profile")
     links = scratch.write(links.union(profile.where("linked").select("c", "m")).distinct(), "links2")
     labels = connected_components(links, "c", "m", scratch, "second")
@@ -236,7 +242,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     more = scratch.write(_compared(across, sets).where("linked").select("c", "m"), "more")
     if not more.isEmpty():
         labels = connected_components(links.union(more), "c", "m", scratch, "third")
-    scratch.drop("shared", "members", "weight", "centres", "placed", "sets", "known", "several", "profile", "near", "across")
+    scratch.drop("shared", "members", "weight", "centres", "placed", "best", "sets", "known", "several", "profile", "near", "across")
 
     classes = reps.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep")
     classes = scratch.write(_labelled(classes, "rep", labels, "comp"), "classes")
