@@ -12,7 +12,8 @@ Banding: BANDS runs of ROWS coordinates; at similarity 0.75 a pair shares no ban
 No bucket is expanded into all its pairs. Documents with equal sets are one class. A bucket's centre
 c is the class that shares most buckets; every class is compared with its best centre. Buckets whose
 members are still in several components take their centre's own best centre as reference (twice, so
-that a group of copies meets at its original), and all members are compared with it. What that can leave out is a
+that a group of copies meets at its original), and all members are compared with it; shingles that many of them have and it lacks are then taken into it,
+for a reference need be no document. What that can leave out is a
 link between x and y of one reference c. If x and y have shingles in common that c has not,
 they are found by joining those shingles, of which a prefix in one fixed order is enough (the overlap
 that the threshold demands says how long a prefix, and where a shingle stands in both prefixes bounds
@@ -38,6 +39,8 @@ BANDS, ROWS = 32, 4
 T = BANDS * ROWS
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: A shingle that a reference lacks is taken into it if so many members have it, or one in so many of all members.
+COMMON, COMMON_SHARE = 16, 64
 #: Bits of the filter that spares the texts of documents without any shared bucket.
 BITMAP = 1 << 26
 
@@ -146,9 +149,12 @@ def _compare(with_novel: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, m, cs, ms = (batch.column(k) for k in range(4))
+            more = batch.column(4) if batch.num_columns > 4 else None
             linked, sizes, inters, novel = [], [], [], []
             for k in range(batch.num_rows):
                 x, y = np.frombuffer(cs[k].as_buffer(), _U), np.frombuffer(ms[k].as_buffer(), _U)
+                if more is not None:
+                    x = np.union1d(x, np.asarray(more[k].values).view(_U))
                 here = _common(y, x)
                 both = int(here.sum())
                 linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
@@ -168,9 +174,10 @@ def _compare(with_novel: bool):
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, with_novel: bool = False) -> DataFrame:
-    """Pairs (c, m) compared on their full shingle sets."""
+    """Pairs (c, m) compared on their full shingle sets; if pairs has a column more, c's set is taken with it."""
+    extra = ["more"] if "more" in pairs.columns else []
     left, right = sets.select(F.col("id").alias("ic"), F.col("shingles").alias("xc")), sets.select(F.col("id").alias("im"), F.col("shingles").alias("xm"))
-    both = pairs.join(right, F.col("m") == F.col("im")).join(left, F.col("c") == F.col("ic")).select("c", "m", "xc", "xm")
+    both = pairs.join(right, F.col("m") == F.col("im")).join(left, F.col("c") == F.col("ic")).select("c", "m", "xc", "xm", *extra)
     return both.mapInArrow(_compare(with_novel), "c long, m long, linked boolean" + ", n long, inter long, novel array<long>" * with_novel)
 
 
@@ -226,6 +233,14 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     links = scratch.write(links.union(profile.where("linked").select("c", "m")).distinct(), "links2")
     labels = connected_components(links, "c", "m", scratch, "second")
 
+    lacking = profile.select("c", F.explode("novel").alias("own")).groupBy(F.col("c").alias("c_"), "own").agg(F.count("*").alias("holders"))
+    members = profile.groupBy("c").agg(F.count("*").alias("members"))
+    common = lacking.where(F.col("holders") >= COMMON).join(members, F.col("c_") == F.col("c")).where(F.col("holders") * COMMON_SHARE >= F.col("members"))
+    common = scratch.write(common.groupBy("c_").agg(F.collect_list("own").alias("more")), "common")
+    again = profile.select("c", "m").join(common, F.col("c") == F.col("c_")).select("c", "m", "more")
+    kept = profile.join(common.select("c_"), F.col("c") == F.col("c_"), "left_anti")
+    profile = scratch.write(kept.unionByName(_compared(again, sets, True)), "profile2")
+
     near = scratch.write(_labelled(_labelled(profile.drop("linked"), "m", labels, "comp"), "c", labels, "centre_comp").withColumn("minor", F.col("comp") != F.col("centre_comp")), "near")
     x = near.where("minor").select("c", F.col("m").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("inter").alias("x_inter"), F.col("novel").alias("x_novel"))
     y = near.select(F.col("c").alias("c_"), F.col("m").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("inter").alias("y_inter"), F.col("novel").alias("y_novel"), "minor")
@@ -242,7 +257,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     more = scratch.write(_compared(across, sets).where("linked").select("c", "m"), "more")
     if not more.isEmpty():
         labels = connected_components(links.union(more), "c", "m", scratch, "third")
-    scratch.drop("shared", "members", "weight", "centres", "placed", "best", "sets", "known", "several", "profile", "near", "across")
+    scratch.drop("shared", "members", "weight", "centres", "placed", "best", "sets", "known", "several", "profile", "profile2", "common", "near", "across")
 
     classes = reps.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep")
     classes = scratch.write(_labelled(classes, "rep", labels, "comp"), "classes")
