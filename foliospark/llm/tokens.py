@@ -19,8 +19,9 @@ _U = np.uint64
 #: What the JSON of a tokenizer says if words between white space can be encoded one by one.
 _WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Slots of the table of words; it is emptied when half full, so a worker's memory stays bounded.
+#: Slots of the table of words; it is emptied when half full or when it holds STORED ids, so a worker's memory stays bounded.
 _BITS = 22
+STORED = 1 << 25
 
 
 def default_path() -> str:
@@ -46,11 +47,11 @@ class _Table:
 
     def clear(self) -> None:
         size = 1 << self.bits
-        self.keys, self.first, self.count = np.zeros(size, _U), np.zeros(size, np.int32), np.zeros(size, np.uint16)
+        self.keys, self.first, self.count = np.zeros(size, _U), np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.store, self.stored, self.used = np.zeros(1 << 16, np.uint16), 0, 0
 
     def full(self) -> bool:
-        return 2 * self.used > len(self.keys)
+        return 2 * self.used > len(self.keys) or self.stored > STORED
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, -1 if it is not there."""

@@ -10,6 +10,7 @@ import pytest
 
 from foliospark.llm import decontamination, language, lm_scoring, mpeg_audio, near_duplicates, packing, quality, substrings, token_files, tokens, urls
 from foliospark.llm import text_arrays as ta
+from foliospark.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -261,6 +262,26 @@ def test_word_encoder_equals_the_library():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_op7_and_op8_take_long_texts_without_white_space(spark):
+    texts = ["ab" * 150_000, "日本語の文" * 20_000, "short one"]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    e = tokens.encoder(tokens.default_path())
+    want = [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert min(map(len, want[:2])) > 1 << 16
+    for _ in range(2):  # from the library, then from the table
+        ids, at = e.encode(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(spark, docs).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in rows} == {(k, len(x) + 1) for k, x in enumerate(want)}
+    assert sum(r.length for r in rows) == sum(len(x) + 1 for x in want)
+    scratch = Scratch(spark, "test")
+    folder = token_files._uri(spark, scratch.path("flat"))
+    order = scratch.write(token_files.write_token_files(docs, folder), "order")
+    assert sorted(r.n_tokens for r in token_files.count_tokens(order, folder).collect()) == sorted(map(len, want))
+
+
 def test_words_cut_at_block_edges(monkeypatch):
     text = ("ab cde  f\n" * 500).encode()
     whole = ta.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
