@@ -6,6 +6,11 @@ neighbours on both sides: embeddings of left and right are added, squashed, and
 inputs are so few that the whole corpus is summed up, without loss, by how often each (left, token,
 right) stands in it; the network is trained in numpy on these counts of all documents, all at once,
 and a table of its log-probabilities scores every place of every document.
+
+A class says little about the word in it, so a word that stands in a class is scored by the class and
+then by its share of the class's places in the whole corpus: p(word | class) from the counts of all
+words, however many. The HEAD most frequent of them are handed to each task; the others, which are
+too many for that and none of which is frequent, are joined.
 """
 
 from __future__ import annotations
@@ -18,14 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import text_arrays as ta
+from foliospark.storage import Scratch
 
 WORDS, CLASSES = 63, 32
 VOCABULARY = 1 + WORDS + CLASSES
 HIDDEN, STEPS, RATE, SEED = 32, 150, 0.05, 5
+#: Words of classes whose shares each task holds.
+HEAD = 1 << 16
 #: Words counted before a task hands its counts on.
 FLUSH = 4_000_000
 
 _U = np.uint64
+_KINDS = ta.numbers(606, CLASSES)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, ta.Words]]:
@@ -65,6 +74,54 @@ def frequent_words(documents: DataFrame, count: int = WORDS) -> np.ndarray:
     return np.array([r[0] for r in rows.collect()], np.int64).view(_U)
 
 
+def kinds(words: ta.Words, part: np.ndarray) -> np.ndarray:
+    """The class of each word, by ending and length."""
+    last = part[words.ends - 1].astype(np.int64)
+    before = part[np.maximum(words.ends - 2, words.starts)].astype(np.int64)
+    return (last * 31 + before * 7 + np.minimum(3, (words.ends - words.starts) // 3)) % CLASSES
+
+
+def member(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """A hash of each word in its class; a word with and without a comma can stand in two."""
+    return ta.mix(hashes ^ _KINDS[kind])
+
+
+def word_counts(documents: DataFrame) -> DataFrame:
+    """member, word, kind, n of every word of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            h, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            key, first, n = np.unique(member(h, kind), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([ta.signed(key), ta.signed(h[first]), pa.array(kind[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["member", "word", "kind", "n"])
+
+        for _, part, words in _blocks(batches):
+            if len(words.hashes):
+                held.append((words.hashes, kinds(words, part)))
+                size += len(words.hashes)
+            if size > FLUSH:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    return _docs(documents).mapInArrow(run, "member long, word long, kind int, n long").groupBy("member", "word", "kind").agg(F.sum("n").alias("n"))
+
+
+def word_shares(counted: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """member, log_share of every word that is not frequent: log p(word | class)."""
+    rest = counted.where(~F.col("word").isin(frequent.view(np.int64).tolist())) if len(frequent) else counted
+    total = {r[0]: r[1] for r in rest.groupBy("kind").agg(F.sum("n")).collect()}  # CLASSES rows at most
+    if not total:
+        return rest.select("member", F.lit(0.0).alias("log_share"))
+    of = F.create_map(*[F.lit(x) for kind, n in sorted(total.items()) for x in (kind, float(n))])
+    return rest.select("member", F.log(F.col("n") / F.element_at(of, F.col("kind"))).alias("log_share"))
+
+
 def token_ids(words: ta.Words, part: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(left, token, right, row) of every place; edges of a text are token 0."""
     h, row = words.hashes, words.rows()
@@ -73,10 +130,7 @@ def token_ids(words: ta.Words, part: np.ndarray, frequent: np.ndarray) -> tuple[
         return none, none, none, none
     order = np.argsort(frequent)
     known = frequent[order]
-    last = part[words.ends - 1].astype(np.int64)
-    before = part[np.maximum(words.ends - 2, words.starts)].astype(np.int64)
-    kind = (last * 31 + before * 7 + np.minimum(3, (words.ends - words.starts) // 3)) % CLASSES
-    ids = 1 + WORDS + kind
+    ids = 1 + WORDS + kinds(words, part)
     if len(known):
         at = np.searchsorted(known, h)
         at[at == len(known)] = 0
@@ -154,9 +208,9 @@ class Network:
         return self.log_probabilities(self.hidden()).transpose(0, 2, 1).astype(np.float32)
 
 
-def learn(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent words and the table of log-probabilities of a network trained on all documents."""
-    frequent = frequent_words(documents)
+def learn(documents: DataFrame, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent words (counted unless given) and the table of log-probabilities of a network trained on all documents."""
+    frequent = frequent_words(documents) if frequent is None else frequent
     network = Network()
     counts = context_counts(documents, frequent)
     if counts.sum():
@@ -165,7 +219,7 @@ def learn(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(documents: DataFrame, frequent: np.ndarray, table: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob (summed over all places), mean_log_prob.
+    """doc_id, n_tokens, log_prob (summed over all places), mean_log_prob, for tokens: frequent words and classes.
 
     Null texts and texts without words have no places: 0 tokens, log_prob 0, mean null. Rows repeated
     give equal rows; extra columns are not read; an empty table gives an empty result.
@@ -183,7 +237,46 @@ def score(documents: DataFrame, frequent: np.ndarray, table: np.ndarray) -> Data
     return _docs(documents).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
+def score_words(documents: DataFrame) -> DataFrame:
+    """The columns of ``score``, with a network trained on all documents, and log p(word | class) added for
+    every word that stands in a class, so that each place is scored for the very word in it.
+    """
+    scratch = Scratch(documents.sparkSession, "lm-scoring")
+    counted = scratch.write(word_counts(documents), "words")
+    by_word = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
+    frequent = np.array([r[0] for r in by_word.collect()], np.int64).view(_U)
+    frequent, table = learn(documents, frequent)
+    flat = table.reshape(-1)
+    shares = scratch.write(word_shares(counted, frequent), "shares")
+    # log_share has the class's size in it, so the most frequent words are taken by their counts
+    head = counted.where(~F.col("word").isin(frequent.view(np.int64).tolist())) if len(frequent) else counted
+    head = head.orderBy(F.desc("n"), "member").limit(HEAD).select("member")
+    top = head.join(shares, "member").orderBy("member").toArrow()  # HEAD rows at most
+    known, share = (np.asarray(top.column(k).combine_chunks()) for k in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, part, words in _blocks(batches):
+            left, token, right, row = token_ids(words, part, frequent)
+            logs = flat[(left * VOCABULARY + token) * VOCABULARY + right].astype(float)
+            classed = np.flatnonzero(token > WORDS)
+            key = member(words.hashes[classed], token[classed] - 1 - WORDS).view(np.int64)
+            at = np.searchsorted(known, key)
+            at[at == len(known)] = 0
+            here = known[at] == key if len(known) else np.zeros(len(key), bool)
+            logs[classed[here]] += share[at[here]]
+            total = np.bincount(row, logs, len(ids)).astype(float)
+            bounds = np.searchsorted(row[classed[~here]], np.arange(len(ids) + 1))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts.astype(np.int64)), pa.array(total), ta.lists(key[~here], bounds, pa.int64())], ["doc_id", "n_tokens", "log_prob", "rest"])
+
+    scored = _docs(documents).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, rest array<long>")
+    scored = scratch.write(scored.withColumn("at", F.monotonically_increasing_id()), "scored")
+    added = scored.select("at", F.explode("rest").alias("member")).join(shares, "member").groupBy(F.col("at").alias("at_")).agg(F.sum("log_share").alias("added"))
+    whole = scored.drop("rest").join(added, F.col("at") == F.col("at_"), "left")
+    total = F.col("log_prob") + F.coalesce("added", F.lit(0.0))
+    return whole.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+
+
 def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under a network trained on all documents."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(documents, *learn(documents))
+    return score_words(documents)

@@ -198,6 +198,34 @@ def test_op6_matches_the_network(spark, data, docs):
     assert total == pytest.approx(float((counts * table).sum()), rel=1e-5)
 
 
+def test_op6_scores_the_word_in_a_class(spark, data, docs, monkeypatch, tmp_path):
+    """Equal to a count by hand with all words in the head and with next to none; a rare word is not as good as a frequent one of its class."""
+    texts = ["common walking home"] * 40 + ["common talking home", "common walking home"]
+    filler = [f"f{k}" for k in range(lm_scoring.WORDS) for _ in range(100)]
+    rows = [*enumerate(texts), (99, " ".join(filler)), (100, None), (100, ""), (None, "common walking home")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    for path, held in ((str(tmp_path), dict(enumerate(texts)) | {99: " ".join(filler)}), (data, docs)):
+        documents = spark.read.parquet(f"{path}/documents.parquet")
+        frequent, table = lm_scoring.learn(documents)
+        coarse = {r.doc_id: r.log_prob for r in lm_scoring.score(documents, frequent, table).collect()}
+        placed, count, total = {}, collections.Counter(), collections.Counter()
+        for k, t in [*held.items(), *([(None, texts[0])] if path != data else [])]:
+            raw = np.frombuffer((t or "").encode(), np.uint8)
+            words = ta.Words(raw, np.array([0, len(raw)]), bare=True)
+            _, ids, _, _ = lm_scoring.token_ids(words, raw, frequent)
+            placed[k] = [(int(h), int(c)) for h, c in zip(words.hashes, ids, strict=True) if c > lm_scoring.WORDS]
+            count.update(placed[k])
+            total.update(c for _, c in placed[k])
+        for head in (lm_scoring.HEAD, 3):
+            monkeypatch.setattr(lm_scoring, "HEAD", head)
+            got = {r.doc_id: r.log_prob for r in lm_scoring.op6_masked_pseudo_likelihood(spark, path).collect()}
+            for k, p in placed.items():
+                assert got[k] == pytest.approx(coarse[k] + sum(np.log(count[x] / total[x[1]]) for x in p), rel=1e-6, abs=1e-6)
+            if path != data:
+                assert coarse[40] == pytest.approx(coarse[41]) and got[40] < got[41] - 1
+
+
 def test_op7_counts_across_blocks(spark, data, docs, tmp_path):
     path = tokens.default_path()
     encode = tokens.encoder(path, plain=True).whole.encode
