@@ -2,7 +2,8 @@
 
 A text is cut into sentences: runs of words that end with ``. ! ? ; : ,`` or before a line break.
 From every sentence starts one span: the fewest consecutive sentences, MIN_SENTENCES at least, that
-have MIN_WORDS words. Spans are hashed over their words (letters only, a-z), joined over all
+have MIN_WORDS words; at every sentence ends one, chosen likewise backwards. Together they cover each
+longer run of sentences exactly, its last ones too. Spans are hashed over their words (letters only, a-z), joined over all
 documents, and every sentence that a span covers is removed unless the span is its hash's first, in
 order of doc_id and place. So a passage stays where it stands first and goes everywhere else.
 """
@@ -26,10 +27,11 @@ _STOPS[list(b".!?;:,")] = True
 
 
 class Sentences:
-    """Sentences of a block of texts and the spans that start at them.
+    """Sentences of a block of texts and the spans that start or end at them.
 
     first: the word each sentence starts with; row: its text; bounds: sentences of row i are
-    bounds[i]:bounds[i + 1]; at, upto, hashes: the span from sentence at[k] to before upto[k].
+    bounds[i]:bounds[i + 1]; at, upto, hashes: the span from sentence at[k] to before upto[k], ascending;
+    spans of row i are spans[i]:spans[i + 1].
     """
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
@@ -38,7 +40,8 @@ class Sentences:
         self.words = words
         if not n:
             self.first = self.row = self.at = self.upto = np.zeros(0, np.int64)
-            self.bounds, self.hashes = np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+            self.bounds = self.spans = np.zeros(len(offsets), np.int64)
+            self.hashes = np.zeros(0, np.uint64)
             return
         breaks = np.zeros(len(buf) + 1, np.int64)
         np.cumsum(buf == 10, out=breaks[1:])
@@ -49,9 +52,15 @@ class Sentences:
         self.row = row[self.first]
         self.bounds = np.searchsorted(self.row, np.arange(len(offsets)))
         ends = np.append(self.first[1:], n)
-        upto = np.maximum(np.searchsorted(ends, self.first + MIN_WORDS), np.arange(len(ends)) + MIN_SENTENCES - 1) + 1
-        self.at = np.flatnonzero(upto <= self.bounds[self.row + 1])
-        self.upto = upto[self.at]
+        k = np.arange(len(ends))
+        upto = np.maximum(np.searchsorted(ends, self.first + MIN_WORDS), k + MIN_SENTENCES - 1) + 1
+        forward = np.flatnonzero(upto <= self.bounds[self.row + 1])
+        # the shortest span that ends with each sentence: the last start that leaves enough words and sentences
+        since = np.minimum(np.searchsorted(self.first, ends - MIN_WORDS, "right") - 1, k - MIN_SENTENCES + 1)
+        backward = np.flatnonzero(since >= self.bounds[self.row])
+        both = np.unique(np.concatenate([forward * (len(k) + 1) + upto[forward], since[backward] * (len(k) + 1) + backward + 1]))
+        self.at, self.upto = both // (len(k) + 1), both % (len(k) + 1)
+        self.spans = np.searchsorted(self.row[self.at], np.arange(len(offsets)))
         self.hashes = ta.Ranges(words.hashes).hash(self.first[self.at], ends[self.upto - 1])
 
 
@@ -62,7 +71,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in ta.row_slices(offsets):
             s = Sentences(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             row = s.row[s.at]
-            place = (check[a:b][row] << 32) | (s.at - s.bounds[row])
+            place = (check[a:b][row] << 32) | (np.arange(len(row)) - s.spans[row])
             yield pa.RecordBatch.from_arrays([ta.signed(s.hashes), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(place)], ["hash", "doc_id", "place"])
 
 
@@ -86,10 +95,9 @@ def _cut(text: int, names: tuple[str, ...]):
                         removed.append([])
                         continue
                     lo, hi = s.bounds[k - a], s.bounds[k - a + 1]
-                    starts = np.array(gone[k].as_py(), np.int64) + lo
-                    at = np.searchsorted(s.at, starts)
+                    at = np.array(gone[k].as_py(), np.int64) + s.spans[k - a]
                     change = np.zeros(hi - lo + 1, np.int64)
-                    np.add.at(change, starts - lo, 1)
+                    np.add.at(change, s.at[at] - lo, 1)
                     np.add.at(change, s.upto[at] - lo, -1)
                     drop = np.cumsum(change[:-1]) > 0
                     edges = np.append(s.words.starts[s.first[lo:hi]], offsets[k + 1] - offsets[a]) - (offsets[k] - offsets[a])
@@ -115,7 +123,7 @@ def _cut(text: int, names: tuple[str, ...]):
 
 
 def _marked(documents: DataFrame) -> DataFrame:
-    """documents and, in a last column, the sentences at which non-first repeated spans start (else null)."""
+    """documents and, in a last column, the numbers of its non-first repeated spans (else null)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "substrings")
     check = F.crc32(F.col("text").cast("string").cast("binary"))
@@ -125,10 +133,10 @@ def _marked(documents: DataFrame) -> DataFrame:
     repeated = scratch.write(repeated.select(F.col("hash").alias("hash_"), F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place")), "repeated")
     later = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place")))
     hits = spans.where("doc_id is not null").join(repeated, spans.hash == repeated.hash_).where(later)
-    starts = hits.groupBy(F.col("doc_id").alias("__id"), F.shiftright("place", 32).alias("__check")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))).alias("__starts"))
-    starts = scratch.write(starts, "starts")
+    gone = hits.groupBy(F.col("doc_id").alias("__id"), F.shiftright("place", 32).alias("__check")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))).alias("__spans"))
+    gone = scratch.write(gone, "gone")
     own = F.shiftright(F.coalesce(F.crc32(documents["text"].cast("string").cast("binary")), F.lit(0)), 1)
-    return documents.join(starts, (documents["doc_id"].cast("long") == starts["__id"]) & (own == starts["__check"]), "left").drop("__id", "__check")
+    return documents.join(gone, (documents["doc_id"].cast("long") == gone["__id"]) & (own == gone["__check"]), "left").drop("__id", "__check")
 
 
 def remove_repeated_spans(documents: DataFrame, report: tuple[str, str] | tuple[()] = ("n_removed", "removed")) -> DataFrame:

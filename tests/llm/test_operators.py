@@ -125,6 +125,14 @@ def test_op3_equals_brute_force(spark, data, docs):
     assert any(n for n, _ in want.values())
 
 
+def test_op3_cuts_the_end_of_a_passage(spark):
+    passage = "one two three four five six seven eight. nine ten a b c d e f. g h i j k l m n. so ended.\n"
+    rows = [(1, f"Here it begins.\n{passage}Then others follow."), (2, f"Quite another start.\n{passage}And something else that is long.")]
+    got = {r.doc_id: r for r in substrings.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].text) == (0, rows[0][1])
+    assert (got[2].n_removed, got[2].text) == (4, "Quite another start.\nAnd something else that is long.")
+
+
 def test_op2_finds_copies_and_new_parameters(spark):
     item = "today Alice has 12 apples and gives Bob Stone 5 kg of pears while Alice keeps walking for 12 minutes toward the old market"
     same = item.replace("Alice", "Carol").replace("12", "7").replace("Bob Stone", "Dan").replace("5 kg", "9 miles")
