@@ -1,6 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: runs of words that end with ``. ! ? ; : ,`` or before a line break.
+A text is cut into sentences: runs of words that end with ``. ! ? ; : ,`` or before a line break. More
+than QUIET words after the last of these, a run also ends after each word whose hash says so: the same
+words are cut at the same places wherever they stand, be the passage cut in mid-sentence or unpunctuated.
 From every sentence starts one span: the fewest consecutive sentences, MIN_SENTENCES at least, that
 have MIN_WORDS words; at every sentence ends one, chosen likewise backwards. Together they cover each
 longer run of sentences exactly, its last ones too. Spans are hashed over their words (letters only, a-z), joined over all
@@ -21,6 +23,8 @@ from foliospark.llm import text_arrays as ta
 from foliospark.storage import Scratch
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
+#: Words without an end of sentence after which words end one by their hash, one word in ONE_IN.
+QUIET, ONE_IN = 8, 4
 
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?;:,")] = True
@@ -48,6 +52,8 @@ class Sentences:
         row = words.rows()
         starts = np.ones(n, bool)
         starts[1:] = _STOPS[buf[words.ends[:-1] - 1]] | (breaks[words.starts[1:]] > breaks[words.ends[:-1]]) | (row[1:] != row[:-1])
+        since_stop = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        starts[1:] |= (since_stop[:-1] >= QUIET) & (ta.mix(words.hashes[:-1]) % np.uint64(ONE_IN) == 0)
         self.first = np.flatnonzero(starts)
         self.row = row[self.first]
         self.bounds = np.searchsorted(self.row, np.arange(len(offsets)))

@@ -133,6 +133,18 @@ def test_op3_cuts_the_end_of_a_passage(spark):
     assert (got[2].n_removed, got[2].text) == (4, "Quite another start.\nAnd something else that is long.")
 
 
+@pytest.mark.parametrize("mark", ["", "。"])
+def test_op3_finds_passages_without_whole_sentences(spark, mark):
+    rng = np.random.default_rng(4)
+    word = [f"w{x}{mark if k % 9 == 8 else ''}" for k, x in enumerate(rng.integers(0, 5000, 400).tolist())]
+    passage = word[:60]
+    rows = [(1, " ".join(word[100:130] + passage + word[130:160])), (2, " ".join(word[200:230] + passage + word[230:260]))]
+    got = {r.doc_id: r for r in substrings.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].text) == (0, rows[0][1])
+    left = got[2].text.split()
+    assert left[:30] == word[200:230] and left[-30:] == word[230:260] and len(left) <= 60 + 30
+
+
 def test_op2_finds_copies_and_new_parameters(spark):
     item = "today Alice has 12 apples and gives Bob Stone 5 kg of pears while Alice keeps walking for 12 minutes toward the old market"
     same = item.replace("Alice", "Carol").replace("12", "7").replace("Bob Stone", "Dan").replace("5 kg", "9 miles")
