@@ -4,8 +4,8 @@ Texts become sequences of template tokens: words with a digit are <number>, meas
 are <unit>, runs of capitalised words inside a sentence are <name>, all others (words in capitals too)
 stand for themselves in small letters without punctuation. Windows of template tokens of the benchmark are hashed, the
 windows of every document are looked up among them, and for each document and item that share enough
-windows the slots are compared along the best alignment: an item's value must always stand for the
-same value of the document. So copies are found, and questions asked again with other numbers or names.
+windows, or RUN of them side by side, the slots are compared along the best alignment: an item's value
+must always stand for the same value of the document. So copies are found, and questions asked again with other numbers or names.
 
 The benchmark's windows are looked up as a hash table that each task holds. Its size is checked: a
 benchmark of more than BLOCK_CHARS characters is taken in blocks, one pass over the documents each.
@@ -27,6 +27,8 @@ WINDOW = 8
 SHORTEST = 4
 #: Share of an item's windows that must stand in a document; share of slots that must be consistent.
 COVERAGE, CONSISTENCY = 0.5, 0.85
+#: Windows side by side that suffice whatever their share of the item is: 20 tokens in a row, with consistent slots.
+RUN = 13
 #: Share of a window's tokens that must be words: placeholders alone identify nothing.
 LITERAL = 0.5
 BLOCK_CHARS = 32_000_000
@@ -181,23 +183,48 @@ def _judge(index: Index, t: Templates) -> list[tuple[int, int, float, int, float
         place = index.place[entry[a:b]]
         i = int(item[a])
         coverage = len(np.unique(place)) / index.total[i]
-        if coverage < COVERAGE:
-            continue
         shift = at[a:b] - place
-        best, count = np.unique(shift, return_counts=True)
-        shift_ = best[count.argmax()]
-        tokens = np.unique(np.add.outer(place[shift == shift_], np.arange(index.width[i])))
-        slots = tokens[index.templates.kinds[tokens] > 0]
-        asked, said = index.templates.values[slots], t.values[slots + shift_]
-        agree = 0
-        for v in np.unique(asked):
-            agree += int(np.unique(said[asked == v], return_counts=True)[1].max())
-        consistency = agree / len(slots) if len(slots) else 1.0
-        if consistency >= CONSISTENCY:
-            out.append((int(row[a]), i, float(coverage), len(slots), consistency, bool((asked == said).all())))
+        if coverage >= COVERAGE:
+            best, count = np.unique(shift, return_counts=True)
+            tries = [(int(best[count.argmax()]), place[shift == best[count.argmax()]], False)]
+        else:
+            tries = []
+        tries += _runs(place, shift)
+        for shift_, held, exact in tries:
+            agreed = _agreement(index, t, i, held, shift_)
+            if agreed[2] if exact else agreed[1] >= CONSISTENCY:
+                out.append((int(row[a]), i, float(coverage), *agreed))
+                break
     return out
 
 
+def _runs(place: np.ndarray, shift: np.ndarray) -> list[tuple[int, np.ndarray, bool]]:
+    """(shift, places, exact) of all runs of RUN or more windows found side by side, the longest first.
+
+    The parts of RUN windows follow, which count only if they are verbatim (exact): a part of a run
+    whose slots differ has too few slots to tell new parameters from another text.
+    """
+    if len(place) < RUN:
+        return []
+    order = np.lexsort((place, shift))
+    p, s = place[order], shift[order]
+    edges = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] > p[:-1] + 1), [True]]))
+    found = [(int(s[x]), p[x:y], False) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if y - x >= RUN]
+    parts = [(k, held[o : o + RUN], True) for k, held, _ in found for o in range(len(held) - RUN + 1)]
+    return sorted(found, key=lambda x: -len(x[1])) + parts
+
+
+def _agreement(index: Index, t: Templates, i: int, held: np.ndarray, shift: int) -> tuple[int, float, bool]:
+    """(slots, consistency, verbatim) of the windows held of an item."""
+    tokens = np.unique(np.add.outer(held, np.arange(index.width[i])))
+    slots = tokens[index.templates.kinds[tokens] > 0]
+    asked, said = index.templates.values[slots], t.values[slots + shift]
+    agree = 0
+    for v in np.unique(asked):
+        agree += int(np.unique(said[asked == v], return_counts=True)[1].max())
+    return len(slots), agree / len(slots) if len(slots) else 1.0, bool((asked == said).all())
+
+
 def _indexes(benchmark: DataFrame) -> Iterator[Index]:
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

@@ -162,6 +162,15 @@ def test_op2_finds_every_planted_item(spark, data, docs):
     assert want and want <= got and len(got) <= len(want) + 3
 
 
+def test_op2_finds_excerpts_of_long_items(spark):
+    word = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    short, long = word[:59], word[100:350]
+    rows = [(1, " ".join(["before", *short[10:40], "after"])), (2, " ".join(["before", *long[50:150], "after"])), (3, " ".join(["before", *long[50:60], "after"]))]
+    items = [(1, " ".join(short)), (2, " ".join(long))]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(1, 1, "verbatim"), (2, 2, "verbatim")}
+
+
 def test_op2_takes_a_large_benchmark_in_blocks(spark, monkeypatch, data):
     whole = decontamination.op2_template_decontamination(spark, data).collect()
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 5000)
