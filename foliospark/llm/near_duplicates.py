@@ -9,16 +9,20 @@ similarity, as concentrated as independent ones (fast similarity sketching).
 Banding: BANDS runs of ROWS coordinates; at similarity 0.75 a pair shares no band with probability
 (1 - 0.75 ** 4) ** 32 < 6e-6. Bands only nominate: every link is confirmed on full shingle sets.
 
-No bucket is expanded into all its pairs. Documents with equal sets are one class. A bucket's centre
-c is the class that shares most buckets; every class is compared with its best centre. Buckets whose
-members are still in several components take their centre's own best centre as reference (twice, so
-that a group of copies meets at its original), and all members are compared with it; shingles that many of them have and it lacks are then taken into it,
-for a reference need be no document. What that can leave out is a
-link between x and y of one reference c. If x and y have shingles in common that c has not,
-they are found by joining those shingles, of which a prefix in one fixed order is enough (the overlap
-that the threshold demands says how long a prefix, and where a shingle stands in both prefixes bounds
-what can follow). If they have none, their intersection is at most
-min(|x and c|, |y and c|), and the few pairs for which that can be enough follow from these counts.
+Documents with equal sets are one class. A bucket's centre is the class that shares most buckets, and
+every class is compared with its best centre; buckets whose members are then still in several
+components take their centre's own best centre as reference (twice, so that a group of copies meets
+at its original), and all members are compared with it. So groups of copies close with comparisons in
+proportion to their size.
+
+What is left are buckets that hold several components for good: documents made of the same passages,
+say, of which any two may share a band by chance. Their members are sketched again, with SHARP_BANDS
+runs of SHARP_ROWS coordinates, which pairs of little similarity share hardly ever (0.5: 0.1, 0.33:
+0.0007); a linked pair shares none with probability (1 - 0.75 ** 12) ** 400 < 3e-6. Of the pairs of two
+components that share a sharp band, those are compared that can be linked: x and y of one reference c
+have at most min(|x and c|, |y and c|) shingles in common there, and outside c at most as many as the
+bits that both set in a mask of MASK longs, and those that fell on one bit. No bucket is expanded into
+all its pairs; what is compared at last follows the number of pairs that are almost linked.
 """
 
 from __future__ import annotations
@@ -39,8 +43,12 @@ BANDS, ROWS = 32, 4
 T = BANDS * ROWS
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A shingle that a reference lacks is taken into it if so many members have it, or one in so many of all members.
-COMMON, COMMON_SHARE = 16, 64
+#: Bands of the second sketch, which only documents take whose buckets hold several components.
+SHARP_BANDS, SHARP_ROWS = 400, 12
+#: Longs of the mask of a document's shingles that its reference has not.
+MASK = 16
+#: Bytes of shingle sets that are sketched so at once: a set of few shingles has 38 kB of coordinates.
+SHARP_BYTES = 1 << 17
 #: Bits of the filter that spares the texts of documents without any shared bucket.
 BITMAP = 1 << 26
 
@@ -55,16 +63,17 @@ def sketch(hashes: np.ndarray, bounds: np.ndarray, t: int = T) -> np.ndarray:
     row = np.repeat(np.arange(n), np.diff(bounds))
     x = hashes
     seeds = ta.numbers(101, 2 * t)
-    shift = _U(64 - (t.bit_length() - 1))
+    unfilled = np.full(n, t)
     for i in range(2 * t):
         if not len(x):
             break
         v = ta.mix(x ^ seeds[i])
-        place = row * t + ((v >> shift).astype(np.int64) if i < t else i - t)
+        place = row * t + (((v >> _U(32)) * _U(t) >> _U(32)).astype(np.int64) if i < t else i - t)
         free = out[place] == empty
-        np.minimum.at(out, place[free], ta.mix(v[free]))
-        left = (out.reshape(n, t) == empty).any(1)
-        keep = left[row]
+        place = place[free]
+        np.minimum.at(out, place, ta.mix(v[free]))
+        unfilled -= np.bincount(np.unique(place) // t, minlength=n)
+        keep = unfilled[row] > 0
         x, row = x[keep], row[keep]
     return out.reshape(n, t)
 
@@ -120,9 +129,9 @@ def _filtered(bits: bytes):
     return run
 
 
-def _wanted_bits(ids: DataFrame, column: str) -> bytes:
+def wanted_bits(ids: DataFrame, column: str) -> bytes:
     """A bitmap of BITMAP bits, the same size for any corpus, with the slots of ids set."""
-    slot = _slot(column)
+    slot = slot_of(column)
     rows = ids.groupBy(F.shiftright(slot, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
     out = bytearray(BITMAP // 8)
     for k, bits in rows:
@@ -130,7 +139,7 @@ def _wanted_bits(ids: DataFrame, column: str) -> bytes:
     return bytes(out)
 
 
-def _slot(column: str):
+def slot_of(column: str):
     return F.pmod(F.xxhash64(column), F.lit(BITMAP))
 
 
@@ -143,42 +152,84 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[at] == x
 
 
-def _compare(with_novel: bool):
-    """(c, m, linked), and with_novel also the sizes, the intersection and the prefix of m's shingles that c has not."""
+def _mask(own: np.ndarray) -> np.ndarray:
+    """MASK longs with a bit set for each hash."""
+    place = ta.mix(own ^ ta.numbers(606, 1)) % _U(64 * MASK)
+    out = np.zeros(MASK, _U)
+    np.bitwise_or.at(out, (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, m, cs, ms = (batch.column(k) for k in range(4))
-            more = batch.column(4) if batch.num_columns > 4 else None
-            linked, sizes, inters, novel = [], [], [], []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(cs[k].as_buffer(), _U), np.frombuffer(ms[k].as_buffer(), _U)
-                if more is not None:
-                    x = np.union1d(x, np.asarray(more[k].values).view(_U))
-                here = _common(y, x)
-                both = int(here.sum())
-                linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-                if with_novel:
-                    sizes.append(len(y))
-                    inters.append(both)
-                    own = y[~here]
-                    least = max(1, -(-PERCENT * len(y) // 100) - both)
-                    novel.append(own[: max(0, len(own) - least + 1)])
-            out = [c, m, pa.array(linked, pa.bool_())]
-            if with_novel:
-                ends = np.concatenate([[0], np.cumsum([len(v) for v in novel])])
-                out += [pa.array(sizes, pa.int64()), pa.array(inters, pa.int64()), ta.lists(np.concatenate([*novel, np.zeros(0, _U)]), ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, ["c", "m", "linked", *(["n", "inter", "novel"] if with_novel else [])])
 
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, m, linked, n, inter, mask) of pairs with both sets: m's size, what it shares with c, and the mask of the rest."""
+    for batch in batches:
+        c, m, cs, ms = (batch.column(k) for k in range(4))
+        sizes, inters, linked, masks = [], [], [], []
+        for k in range(batch.num_rows):
+            x, y = np.frombuffer(cs[k].as_buffer(), _U), np.frombuffer(ms[k].as_buffer(), _U)
+            here = _common(y, x)
+            both = int(here.sum())
+            sizes.append(len(y))
+            inters.append(both)
+            linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            masks.append(_mask(y[~here]))
+        flat = np.concatenate([*masks, np.zeros(0, _U)])
+        yield pa.RecordBatch.from_arrays([c, m, pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(inters, pa.int64()), ta.lists(flat, np.arange(batch.num_rows + 1) * MASK, pa.int64())], ["c", "m", "linked", "n", "inter", "mask"])
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (c, m) compared on their full shingle sets."""
+    left, right = sets.select(F.col("id").alias("ic"), F.col("shingles").alias("xc")), sets.select(F.col("id").alias("im"), F.col("shingles").alias("xm"))
+    both = pairs.join(right, F.col("m") == F.col("im")).join(left, F.col("c") == F.col("ic")).select("c", "m", "xc", "xm")
+    return both.mapInArrow(_compare, "c long, m long, linked boolean, n long, inter long, mask array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, with_novel: bool = False) -> DataFrame:
-    """Pairs (c, m) compared on their full shingle sets; if pairs has a column more, c's set is taken with it."""
-    extra = ["more"] if "more" in pairs.columns else []
-    left, right = sets.select(F.col("id").alias("ic"), F.col("shingles").alias("xc")), sets.select(F.col("id").alias("im"), F.col("shingles").alias("xm"))
-    both = pairs.join(right, F.col("m") == F.col("im")).join(left, F.col("c") == F.col("ic")).select("c", "m", "xc", "xm", *extra)
-    return both.mapInArrow(_compare(with_novel), "c long, m long, linked boolean" + ", n long, inter long, novel array<long>" * with_novel)
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("c", "m")
+
+
+def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, keys): the sharp bands of sets (id, shingles)."""
+    for batch in batches:
+        buf, offsets, _ = ta.column(batch.column(1))
+        for a, b in ta.row_slices(offsets, SHARP_BYTES):
+            h, bounds = np.frombuffer(buf[offsets[a] : offsets[b]].tobytes(), _U), (offsets[a : b + 1] - offsets[a]) // 8
+            named = bands(sketch(h, bounds, SHARP_BANDS * SHARP_ROWS), SHARP_BANDS, SHARP_ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), ta.lists(named.ravel(), np.arange(b - a + 1) * SHARP_BANDS, pa.int64())], ["id", "n", "keys"])
+
+
+def across(known: DataFrame, sets: DataFrame, profile: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (c, m) that can be linked, of two components and with a sharp band in common.
+
+    known: bucket, m, comp of all buckets that may hold several components; profile: comparisons with
+    references. A document's reference is the one that most documents have, itself if it has none.
+    """
+    open_ = known.join(_several(known, "bucket"), F.col("bucket") == F.col("bucket_")).select("m", "comp").distinct()
+    usual = profile.groupBy(F.col("c").alias("usual_c")).agg(F.count("*").alias("members"))
+    best = profile.join(usual, F.col("c") == F.col("usual_c")).groupBy(F.col("m").alias("m_")).agg(F.max_by(F.struct("c", "inter", "mask"), F.struct("members", -F.col("c"))).alias("ref"))
+    sharp = sets.join(open_, F.col("id") == F.col("m"), "left_semi").select("id", "shingles").mapInArrow(_sharp, "id long, n long, keys array<long>")
+    sharp = sharp.join(open_, F.col("id") == F.col("m")).join(best, F.col("id") == F.col("m_"), "left")
+    own = F.struct(F.col("id").alias("c"), F.col("n").alias("inter"), F.array_repeat(F.lit(0).cast("long"), MASK).alias("mask"))
+    sharp = scratch.write(sharp.withColumn("ref", F.coalesce("ref", own)).select("id", "n", "comp", "ref.*", "keys"), "sharp")
+    keys = sharp.select("id", "comp", F.explode("keys").alias("key"))
+    counts = keys.groupBy(F.col("key").alias("key_"), "comp").agg(F.count("*").alias("k"))
+    shared = counts.groupBy("key_").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key_", "main")
+    keys = keys.join(scratch.write(shared, "sharp_several"), F.col("key") == F.col("key_")).select("key", "id", "main")
+    held = sharp.select(F.col("id").alias("id_"), "n", "comp", "c", "inter", "mask", (F.col("n") - F.col("inter") - sum(F.bit_count(F.get("mask", F.lit(k))) for k in range(MASK))).alias("spare"))
+    keyed = scratch.write(keys.join(held, F.col("id") == F.col("id_")).drop("id_"), "sharp_shared")
+    # x is never of the component that holds most of the key, so that a large group is not joined with itself
+    x, y = (rows.select(*[F.col(name).alias(f"{side}_{name}") for name in keyed.columns]) for side, rows in (("x", keyed.where("comp <> main")), ("y", keyed)))
+    sizes = F.col("x_n") + F.col("y_n")
+    outside = sum(F.bit_count(F.get("x_mask", F.lit(k)).bitwiseAND(F.get("y_mask", F.lit(k)))) for k in range(MASK)) + F.least("x_spare", "y_spare")
+    most = F.when(F.col("x_c") == F.col("y_c"), F.least(F.least("x_inter", "y_inter") + outside, "x_n", "y_n")).otherwise(F.least("x_n", "y_n"))
+    once = (F.col("y_comp") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
+    near = (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & once & ((100 + PERCENT) * most >= PERCENT * sizes)
+    return scratch.write(x.join(y, near).select(F.least("x_id", "y_id").alias("c"), F.greatest("x_id", "y_id").alias("m")).distinct(), "across")
+
+
+def _several(known: DataFrame, key: str) -> DataFrame:
+    """The keys whose members are in more than one component."""
+    return known.groupBy(F.col(key).alias(f"{key}_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(f"{key}_")
 
 
 def _labelled(df: DataFrame, node: str, labels: DataFrame, name: str) -> DataFrame:
@@ -213,51 +264,30 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     centres = scratch.write(weighed.groupBy(F.col("bucket").alias("bucket_")).agg(F.max("w").alias("w")), "centres")
     placed = members.join(centres, F.col("bucket") == F.col("bucket_")).select("bucket", "m", (-F.col("w.c")).alias("c"), F.col("w.weight").alias("weight"))
     placed = scratch.write(placed, "placed")
-    bits = _wanted_bits(weight, "m_")
-    sets = scratch.write(docs.where("doc_id is not null").withColumn("slot", _slot("doc_id")).mapInArrow(_filtered(bits), "id long, shingles binary"), "sets")
+    bits = wanted_bits(weight, "m_")
+    sets = scratch.write(docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id")).mapInArrow(_filtered(bits), "id long, shingles binary"), "sets")
 
     best = placed.where("c <> m").groupBy("m").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("w")).select((-F.col("w.c")).alias("c"), "m")
     best = scratch.write(best, "best")
-    links = scratch.write(_compared(best, sets).where("linked").select("c", "m"), "links")
+    links = scratch.write(_linked(_compared(best, sets)), "links")
     labels = connected_components(links, "c", "m", scratch, "first")
 
     known = scratch.write(_labelled(placed, "m", labels, "comp"), "known")
-    several = known.groupBy(F.col("bucket").alias("bucket_")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket_")
-    several = scratch.write(several, "several")
+    several = scratch.write(_several(known, "bucket"), "several")
     rest = known.join(several, F.col("bucket") == F.col("bucket_")).select("c", "m").distinct()
     hop = best.select(F.col("m").alias("from_"), F.col("c").alias("hop"))
     for _ in range(2):
         rest = rest.join(hop, F.col("c") == F.col("from_"), "left").select(F.coalesce("hop", "c").alias("c"), "m")
     rest = rest.where("c <> m").distinct()
-    profile = scratch.write(_compared(rest, sets, True), "profile")
-    links = scratch.write(links.union(profile.where("linked").select("c", "m")).distinct(), "links2")
+    profile = scratch.write(_compared(rest, sets), "profile")
+    links = scratch.write(links.union(_linked(profile)).distinct(), "links2")
     labels = connected_components(links, "c", "m", scratch, "second")
 
-    lacking = profile.select("c", F.explode("novel").alias("own")).groupBy(F.col("c").alias("c_"), "own").agg(F.count("*").alias("holders"))
-    members = profile.groupBy("c").agg(F.count("*").alias("members"))
-    common = lacking.where(F.col("holders") >= COMMON).join(members, F.col("c_") == F.col("c")).where(F.col("holders") * COMMON_SHARE >= F.col("members"))
-    common = scratch.write(common.groupBy("c_").agg(F.collect_list("own").alias("more")), "common")
-    again = profile.select("c", "m").join(common, F.col("c") == F.col("c_")).select("c", "m", "more")
-    kept = profile.join(common.select("c_"), F.col("c") == F.col("c_"), "left_anti")
-    profile = scratch.write(kept.unionByName(_compared(again, sets, True)), "profile2")
-
-    near = scratch.write(_labelled(_labelled(profile.drop("linked"), "m", labels, "comp"), "c", labels, "centre_comp").withColumn("minor", F.col("comp") != F.col("centre_comp")), "near")
-    x = near.where("minor").select("c", F.col("m").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("inter").alias("x_inter"), F.col("novel").alias("x_novel"))
-    y = near.select(F.col("c").alias("c_"), F.col("m").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("inter").alias("y_inter"), F.col("novel").alias("y_novel"), "minor")
-    apart = (F.col("x_comp") != F.col("y_comp")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n"))
-    ends = [F.least("x", "y").alias("c"), F.greatest("x", "y").alias("m")]
-    both = F.least("x_inter", "y_inter")
-    enough = lambda most: 100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most)
-    xs, ys = x.select("*", F.posexplode("x_novel").alias("x_at", "own")).drop("x_novel"), y.select("*", F.posexplode("y_novel").alias("y_at", "own_")).drop("y_novel")
-    left = F.least(F.col("x_n") - F.col("x_inter") - F.col("x_at"), F.col("y_n") - F.col("y_inter") - F.col("y_at"))
-    by_own = xs.join(ys, (F.col("c") == F.col("c_")) & (F.col("own") == F.col("own_")) & apart & enough(both + F.least("x_at", "y_at") + left)).select(*ends)
-    xs, ys = x.drop("x_novel").where(f"100 * x_inter >= {PERCENT} * x_n"), y.drop("y_novel").where(f"100 * y_inter >= {PERCENT} * y_n")
-    by_count = xs.join(ys, (F.col("c") == F.col("c_")) & apart & enough(both)).select(*ends)
-    across = scratch.write(by_own.union(by_count).distinct(), "across")
-    more = scratch.write(_compared(across, sets).where("linked").select("c", "m"), "more")
+    known = scratch.write(_labelled(placed.select("bucket", "m").join(several, F.col("bucket") == F.col("bucket_"), "left_semi"), "m", labels, "comp"), "known2")
+    more = scratch.write(_linked(_compared(across(known, sets, profile, scratch), sets)), "more")
     if not more.isEmpty():
         labels = connected_components(links.union(more), "c", "m", scratch, "third")
-    scratch.drop("shared", "members", "weight", "centres", "placed", "best", "sets", "known", "several", "profile", "profile2", "common", "near", "across")
+    scratch.drop("shared", "members", "weight", "centres", "placed", "best", "sets", "known", "several", "known2", "profile", "sharp", "sharp_several", "sharp_shared", "across")
 
     classes = reps.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep")
     classes = scratch.write(_labelled(classes, "rep", labels, "comp"), "classes")
