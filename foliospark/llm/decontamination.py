@@ -7,8 +7,12 @@ windows of every document are looked up among them, and for each document and it
 windows, or RUN of them side by side, the slots are compared along the best alignment: an item's value
 must always stand for the same value of the document. So copies are found, and questions asked again with other numbers or names.
 
-The benchmark's windows are looked up as a hash table that each task holds. Its size is checked: a
-benchmark of more than BLOCK_CHARS characters is taken in blocks, one pass over the documents each.
+Items without a window (of fewer than SHORTEST tokens, or of placeholders nearly all) are looked for
+word by word instead, as they are.
+
+A benchmark of up to BLOCK_CHARS characters is a hash table that each task holds. A larger one is a
+table of windows that is joined by hash with those of the documents; only the documents and items that
+meet there often enough are judged, pair by pair, by the same rules.
 """
 
 from __future__ import annotations
@@ -21,16 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import text_arrays as ta
+from foliospark.llm.near_duplicates import slot_of, wanted_bits
+from foliospark.storage import Scratch
 
 WINDOW = 8
-#: Shorter items are one window of their own length; below this an item says nothing.
+#: Shorter items are one window of their own length; below this their words are looked for as they are.
 SHORTEST = 4
+#: Fewer words than this say nothing.
+FEWEST = 2
+#: Words of an item without windows that are looked up; the others are compared where these stand.
+HEAD = 8
 #: Share of an item's windows that must stand in a document; share of slots that must be consistent.
 COVERAGE, CONSISTENCY = 0.5, 0.85
 #: Windows side by side that suffice whatever their share of the item is: 20 tokens in a row, with consistent slots.
 RUN = 13
 #: Share of a window's tokens that must be words: placeholders alone identify nothing.
 LITERAL = 0.5
+#: Characters of a benchmark that each task may hold.
 BLOCK_CHARS = 32_000_000
 
 UNITS = ("mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -66,7 +77,8 @@ def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Template tokens of a block of texts: token and value hashes, kind (0: a word), row bounds."""
+    """Template tokens of a block of texts: token and value hashes, kind (0: a word), row bounds; words and
+    word_bounds are the plain words behind them."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         low = buf
@@ -81,6 +93,7 @@ class Templates:
         if not len(row):
             self.tokens = self.values = np.zeros(0, _U)
             self.kinds, self.bounds = np.zeros(0, np.int8), np.zeros(len(offsets), np.int64)
+            self.words, self.word_bounds = self.tokens, self.bounds
             return
         solid = np.flatnonzero(_SOLID[buf])
         first = np.append(solid, len(buf))[np.searchsorted(solid, words.starts)]
@@ -100,7 +113,9 @@ class Templates:
         if not len(kept):
             self.tokens = self.values = np.zeros(0, _U)
             self.kinds, self.bounds = np.zeros(0, np.int8), np.zeros(len(offsets), np.int64)
+            self.words, self.word_bounds = self.tokens, self.bounds
             return
+        self.words, self.word_bounds = h, np.searchsorted(row, np.arange(len(offsets)))
         after = np.zeros(len(h), bool)
         after[1:] = number[:-1] & (row[1:] == row[:-1])
         kinds = np.where(number, NUMBER, np.where(after & _among(_UNITS, h), UNIT, np.where(name, NAME, 0))).astype(np.int8)
@@ -153,6 +168,34 @@ class Index:
         self.width = np.minimum(sizes, WINDOW)
         self.marks = np.zeros(1 << 20, bool)
         self.marks[self.hashes >> _U(44)] = True
+        plain = np.diff(t.word_bounds)
+        self.exact = np.flatnonzero((self.total == 0) & (plain >= FEWEST))
+        ranges = ta.Ranges(t.words)
+        start = t.word_bounds[self.exact]
+        self.exact_size = plain[self.exact]
+        self.exact_hash = ranges.hash(start, start + self.exact_size)
+        heads = ta.mix(ranges.hash(start, start + np.minimum(self.exact_size, HEAD)) ^ np.minimum(self.exact_size, HEAD).astype(_U))
+        order = np.argsort(heads, kind="stable")
+        self.heads, self.exact, self.exact_size, self.exact_hash = heads[order], self.exact[order], self.exact_size[order], self.exact_hash[order]
+
+    def stands(self, t: Templates) -> list[tuple[int, int]]:
+        """(row, item) of the items without windows that stand in the rows of t word by word."""
+        n = len(t.words)
+        if not len(self.exact) or not n:
+            return []
+        ranges, stop, out = ta.Ranges(t.words), np.repeat(t.word_bounds[1:], np.diff(t.word_bounds)), set()
+        for size in np.unique(np.minimum(self.exact_size, HEAD)).tolist():
+            at = np.flatnonzero(np.arange(n) + size <= stop)
+            h = ta.mix(ranges.hash(at, at + size) ^ _U(size))
+            lo, hi = np.searchsorted(self.heads, h, "left"), np.searchsorted(self.heads, h, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                entry = np.arange(lo[k], hi[k])
+                end = at[k] + self.exact_size[entry]
+                entry, end = entry[end <= stop[at[k]]], end[end <= stop[at[k]]]
+                same = ranges.hash(np.full(len(end), at[k]), end) == self.exact_hash[entry]
+                row = int(np.searchsorted(t.word_bounds, at[k], "right")) - 1
+                out |= {(row, int(i)) for i in self.exact[entry[same]]}
+        return sorted(out)
 
     def matches(self, t: Templates) -> tuple[np.ndarray, np.ndarray]:
         """(document position, index entry) of all windows found."""
@@ -171,14 +214,14 @@ class Index:
 def _judge(index: Index, t: Templates) -> list[tuple[int, int, float, int, float, bool]]:
     """(row, item, coverage, slots, consistency, verbatim) of what is found in the rows of t."""
     at, entry = index.matches(t)
+    out = [(row, i, 1.0, 0, 1.0, True) for row, i in index.stands(t)]
     if not len(at):
-        return []
+        return out
     row = np.searchsorted(t.bounds, at, "right") - 1
     item = index.item[entry]
     order = np.lexsort((index.place[entry], item, row))
     at, entry, row, item = at[order], entry[order], row[order], item[order]
     edges = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
-    out = []
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
         place = index.place[entry[a:b]]
         i = int(item[a])
@@ -225,13 +268,16 @@ def _agreement(index: Index, t: Templates, i: int, held: np.ndarray, shift: int)
     return len(slots), agree / len(slots) if len(slots) else 1.0, bool((asked == said).all())
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def _index(items: DataFrame) -> Index | None:
+    """The table that each task holds; None if the benchmark is too large for that."""
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index(sorted(((r[0], r[1]) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    if chars > BLOCK_CHARS:
+        return None
+    return Index(sorted(((r[0], r[1]) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))  # BLOCK_CHARS characters at most
 
 
 def _batches(batch: pa.RecordBatch, text: int, index: Index) -> Iterator[tuple[int, list[tuple[int, int, float, int, float, bool]]]]:
@@ -240,33 +286,122 @@ def _batches(batch: pa.RecordBatch, text: int, index: Index) -> Iterator[tuple[i
         yield a, _judge(index, Templates(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
 
 
+def _found(ids: pa.Array, items: pa.Array, found: list[tuple[float, int, float, bool]]) -> pa.RecordBatch:
+    coverage, slots, consistency, verbatim = zip(*found, strict=True) if found else ((), (), (), ())
+    return pa.RecordBatch.from_arrays(
+        [ids, items, pa.array(coverage, pa.float64()), pa.array(slots, pa.int32()), pa.array(consistency, pa.float64()), pa.array(["verbatim" if v else "reparameterised" for v in verbatim], pa.string())],
+        ["doc_id", "item_id", "coverage", "n_slots", "consistency", "kind"],
+    )
+
+
+_SCHEMA = "doc_id long, item_id long, coverage double, n_slots int, consistency double, kind string"
+
+
+def _keys(kinds: str):
+    """Hashes of the windows of each row (kinds: ``item``, with the number that suffices, or ``doc``), and of the heads of items without windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets, _ = ta.column(batch.column(1))
+            for a, b in ta.row_slices(offsets):
+                t = Templates(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                size, rows, hashes, exact = np.diff(t.bounds), [], [], []
+                for n in range(SHORTEST, WINDOW + 1):
+                    at, h = t.windows(n)
+                    row = np.searchsorted(t.bounds, at, "right") - 1
+                    fits = (np.minimum(size[row], WINDOW) == n) if kinds == "item" else np.ones(len(at), bool)
+                    rows.append(row[fits])
+                    hashes.append(h[fits])
+                    exact.append(np.zeros(int(fits.sum()), bool))
+                ranges, plain = ta.Ranges(t.words), np.diff(t.word_bounds)
+                total = np.bincount(np.concatenate(rows), minlength=b - a)
+                for n in range(FEWEST, HEAD + 1):
+                    if kinds == "item":
+                        row = np.flatnonzero((total == 0) & (np.minimum(plain, HEAD) == n))
+                        at = t.word_bounds[row]
+                    else:
+                        stop = np.repeat(t.word_bounds[1:], plain)
+                        at = np.flatnonzero(np.arange(len(stop)) + n <= stop)
+                        row = np.searchsorted(t.word_bounds, at, "right") - 1
+                    rows.append(row)
+                    hashes.append(ta.mix(ta.mix(ranges.hash(at, at + n) ^ _U(n)) ^ _U(1)) if len(at) else np.zeros(0, _U))
+                    exact.append(np.ones(len(at), bool))
+                row, h, exact_ = np.concatenate(rows), np.concatenate(hashes), np.concatenate(exact)
+                enough = np.where(exact_, 1, np.minimum(np.ceil(COVERAGE * total[row]), RUN)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row + a).cast(pa.int64()), ta.signed(h), pa.array(enough)], ["row", "hash", "enough"])
+
+    return run
+
+
+def _numbered(keys, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The keys of a batch with the columns that name its rows instead of their numbers."""
+    for found in keys(iter([rows])):
+        at = found.column(0)
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(2).take(at), found.column(1), found.column(2)], ["id", "sum", "hash", "enough"])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``contaminated`` for a benchmark of any size: windows of both sides meet by hash, pairs are judged.
+
+    Rows are named by id and a hash of their text. Only hashes, names and counts are shuffled until it
+    is known which pairs share as many windows as a finding needs.
+    """
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    named = lambda df, name: df.select(F.col(name).alias("id"), "text", F.xxhash64("text").alias("sum"))
+    keyed = lambda df, kind: df.mapInArrow(lambda batches: (out for b in batches for out in _numbered(_keys(kind), b)), "id long, sum long, hash long, enough long")
+    ours = scratch.write(keyed(named(items, "item_id").distinct(), "item").groupBy(F.col("id").alias("item_id"), F.col("sum").alias("item_sum"), "hash").agg(F.count("*").alias("places"), F.min("enough").alias("enough")), "items")
+    bits = wanted_bits(ours, "hash")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            slot = np.asarray(batch.column(3)).astype(np.int64)
+            keep = (held[slot >> 3] >> (slot & 7)) & 1
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    theirs = keyed(named(docs, "doc_id").where("text is not null"), "doc").select("id", "sum", "hash", slot_of("hash").alias("slot")).mapInArrow(wanted, "id long, sum long, hash long, slot long")
+    theirs = scratch.write(theirs.select(F.col("id").alias("doc_id"), F.col("sum").alias("doc_sum"), F.col("hash").alias("hash_")).distinct(), "documents")
+    met = theirs.join(ours, F.col("hash_") == F.col("hash")).groupBy("doc_id", "doc_sum", "item_id", "item_sum").agg(F.sum("places").alias("n"), F.min("enough").alias("enough"))
+    met = scratch.write(met.where("n >= enough").drop("n", "enough"), "met")
+    texts = lambda df, name, text: named(df, name).distinct().select(F.col("id").alias(f"{text}_id"), F.col("sum").alias(f"{text}_key"), F.col("text").alias(text))
+    pairs = met.join(texts(items, "item_id", "asked"), F.col("item_id").eqNullSafe(F.col("asked_id")) & (F.col("item_sum") == F.col("asked_key")))
+    rows = docs.select(F.col("doc_id").alias("said_id"), F.col("text").alias("said"), F.xxhash64("text").alias("said_key"))
+    pairs = pairs.join(rows, F.col("doc_id").eqNullSafe(F.col("said_id")) & (F.col("doc_sum") == F.col("said_key"))).select("doc_id", "item_id", "asked", "said")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets, _ = ta.column(batch.column(3))
+            keep, found = [], []
+            for k, asked in enumerate(batch.column(2).to_pylist()):
+                hit = _judge(Index([(0, asked)]), Templates(buf[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]])))
+                keep += [k] * len(hit)
+                found += [h[2:] for h in hit]
+            at = pa.array(keep, pa.int64())
+            yield _found(batch.column(0).take(at), batch.column(1).take(at), found)
+
+    return pairs.mapInArrow(run, _SCHEMA)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, coverage, n_slots,
     consistency, kind (``verbatim``: all slots hold the item's own values, else ``reparameterised``).
 
-    Null texts hold nothing and null items are held by nothing; items of fewer than SHORTEST tokens
-    are not looked for. Rows repeated give rows repeated; extra columns are not read; an empty table
-    on either side gives an empty result.
+    Null texts hold nothing and null items are held by nothing; items of one word are not looked for.
+    Rows repeated give rows repeated; extra columns are not read; an empty table on either side gives
+    an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, coverage double, n_slots int, consistency double, kind string"
+    docs, items = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _items(benchmark)
+    index = _index(items)
+    if index is None:
+        return _joined(docs, items)
 
-    def search(index: Index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(a + r, *rest) for a, found in _batches(batch, 1, index) for r, *rest in found]
-                ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.float64()), pa.array(["verbatim" if r[5] else "reparameterised" for r in rows], pa.string())],
-                    ["doc_id", "item_id", "coverage", "n_slots", "consistency", "kind"],
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(a + r, *rest) for a, found in _batches(batch, 1, index) for r, *rest in found]
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield _found(ids, pa.array([index.ids[r[1]] for r in rows], pa.int64()), [r[2:] for r in rows])
 
-        return docs.mapInArrow(run, schema)
-
-    found = None
-    for index in _indexes(benchmark):
-        found = search(index) if found is None else found.union(search(index))
-    return found
+    return docs.mapInArrow(run, _SCHEMA)
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,18 +411,20 @@ def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the documents that hold a benchmark item; columns stay as they are."""
+    items = _items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    index = _index(items)
+    if index is None:
+        # named by their text, so that rows without doc_id go too
+        texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+        gone = Scratch(spark, "contaminated").write(_joined(texts, items).select(F.col("doc_id").alias("gone_sum")).distinct(), "gone")
+        return docs.join(gone, F.xxhash64(docs["text"].cast("string")) == gone["gone_sum"], "left_anti")
     text, schema = docs.columns.index("text"), docs.schema
 
-    def without(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for a, found in _batches(batch, text, index):
-                    keep[[a + r[0] for r in found]] = False
-                yield batch.filter(pa.array(keep))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for a, found in _batches(batch, text, index):
+                keep[[a + r[0] for r in found]] = False
+            yield batch.filter(pa.array(keep))
 
-    for index in _indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        docs = docs.mapInArrow(without(index), schema)
-    return docs
+    return docs.mapInArrow(run, schema)
