@@ -5,8 +5,8 @@ than QUIET words after the last of these, a run also ends after each word whose
 words are cut at the same places wherever they stand, be the passage cut in mid-sentence or unpunctuated.
 From every sentence starts one span: the fewest consecutive sentences, MIN_SENTENCES at least, that
 have MIN_WORDS words; at every sentence ends one, chosen likewise backwards. Together they cover each
-longer run of sentences exactly, its last ones too. Spans are hashed over their words (letters only, a-z), joined over all
-documents, and every sentence that a span covers is removed unless the span is its hash's first, in
+longer run of sentences exactly, its last ones too. Spans are hashed over their words (in small letters A-Z,
+without ASCII punctuation), joined over all documents, and every sentence that a span covers is removed unless the span is its hash's first, in
 order of doc_id and place. So a passage stays where it stands first and goes everywhere else.
 """
 
@@ -67,7 +67,9 @@ class Sentences:
         both = np.unique(np.concatenate([forward * (len(k) + 1) + upto[forward], since[backward] * (len(k) + 1) + backward + 1]))
         self.at, self.upto = both // (len(k) + 1), both % (len(k) + 1)
         self.spans = np.searchsorted(self.row[self.at], np.arange(len(offsets)))
-        self.hashes = ta.Ranges(words.hashes).hash(self.first[self.at], ends[self.upto - 1])
+        # a word of punctuation alone is a word too: spans with and without it differ
+        solid = np.where(words.hashes == 0, ta.numbers(707, 1)[0], words.hashes)
+        self.hashes = ta.Ranges(solid).hash(self.first[self.at], ends[self.upto - 1])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
