@@ -19,8 +19,6 @@ from foliospark.llm import text_arrays as ta
 
 #: The bounded sample that dictionaries are made of: documents of a language, characters of each.
 SAMPLE_DOCS, FRAGMENT = 320, 1024
-#: More languages than this are not learned, the rarest go first.
-MAX_LANGUAGES = 64
 #: Bytes compressed at once, so that a long text cannot crowd the dictionary out of the window.
 BLOCK = 1 << 14
 #: Up to so many bytes the parser that looks for the smallest form is worth its time. Ties go to the more frequent language.
@@ -40,7 +38,7 @@ def crc_bucket(doc_id: str, of: int) -> Column:
 
 
 def letters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in small letters with single spaces for all that is ASCII and no letter."""
+    """Texts in small letters with single spaces for all that is ASCII and no letter, each by itself."""
     out = _FOLD[buf]
     if len(buf) > 1:
         upper = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
@@ -48,6 +46,7 @@ def letters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep = np.ones(len(out), bool)
     if len(out):
         keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+        keep[offsets[offsets < len(out)]] = True
     kept = np.zeros(len(out) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
     return out[keep], kept[offsets]
@@ -56,11 +55,11 @@ def letters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def learn(documents: DataFrame) -> dict[str, bytes]:
     """lang to the raw content of its dictionary, from rows with text and lang; the most frequent first.
 
-    What reaches the driver is bounded: a count for each language and SAMPLE_DOCS fragments of each.
-    Rows are chosen by a hash of their id and text, so copies count once.
+    Every value of lang is learned. What reaches the driver are two counts for each language and
+    SAMPLE_DOCS fragments of each. Rows are chosen by a hash of their text, so copies count once.
     """
     rows = documents.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[2] for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_DOCS / n))])
