@@ -124,7 +124,7 @@ def judge(pages: DataFrame, model: Model, rules: Sequence[tuple[str, str, str]]
     host, path = host_and_path(F.col("url").cast("string"))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for act, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for act, rule_host, rule_path in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last that fits stays
         fits = ((F.col("host") == rule_host) | F.col("host").endswith(f".{rule_host}")) & F.col("path").startswith(rule_path)
         rule, action = F.when(fits, rule_host + rule_path).otherwise(rule), F.when(fits, act).otherwise(action)
 
