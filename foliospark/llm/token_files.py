@@ -76,6 +76,7 @@ def count_tokens(files: DataFrame, folder: str, separator: int = SEPARATOR, widt
     last separator are one document that is not terminated; an empty file has no document; a null
     name is left out and a repeated name counts once. A byte too many for the width is not read.
     """
+    scratch = Scratch(files.sparkSession, "separators")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -96,10 +97,11 @@ def count_tokens(files: DataFrame, folder: str, separator: int = SEPARATOR, widt
 
     named = files.where("file is not null").select("file").distinct().mapInArrow(sizes, "file string, tokens long").where("tokens > 0")
     blocks = named.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / (block // width)).cast("long"))).alias("block"))
-    scanned = blocks.repartition(F.col("file"), F.col("block")).mapInArrow(scan, "file string, block long, n long, last long, ends array<long>")
+    scanned = scratch.write(blocks.repartition(F.col("file"), F.col("block")).mapInArrow(scan, "file string, block long, n long, last long, ends array<long>"), "scanned")
+    # the prefix scan moves three numbers a block; the separators' places stay where they were read
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = scanned.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("prior", F.coalesce(F.max("last").over(earlier), F.lit(-1)))
-    each = stitched.select("file", "before", "prior", "ends", F.posexplode("ends").alias("k", "end"))
+    sums = scanned.select(F.col("file").alias("file_"), F.col("block").alias("block_"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("prior"))
+    each = scanned.join(sums, (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_"))).select("file", "before", "prior", "ends", F.posexplode("ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("prior")).otherwise(F.get("ends", F.col("k") - 1)) + 1
     whole = each.select("file", (F.col("before") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("terminated"))
     totals = scanned.groupBy("file").agg(F.sum("n").alias("ordinal"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"))
