@@ -1,11 +1,12 @@
 """Packing by non-negative least squares.
 
 Documents become token ids and a final id; a document longer than a window is cut into whole windows
-and a rest. Rest lengths are rounded up to classes of GRAIN tokens. All combinations of at most
-DEPTH classes that fill a window exactly are the columns of a least-squares problem whose right side
-is the histogram of classes; its non-negative solution says how often each combination is used.
-Counts are rounded, cut to what the histogram holds, and what remains is packed greedily, largest
-class first. Only the histogram and the plan (bounded by the window, not by the corpus) reach the
+and a rest. Rests of FINE tokens or more are rounded up to classes of GRAIN tokens, shorter ones are
+classes of their own length. All combinations of at most DEPTH classes of whole grains that fill a
+window exactly are the columns of a least-squares problem whose right side is the histogram of
+classes; its non-negative solution says how often each combination is used. Counts are rounded, cut
+to what the histogram holds, and what remains, short pieces too, is packed greedily, largest class
+first. Only the histogram and the plan (bounded by the window, not by the corpus) reach the
 driver; the pieces find their place from their rank in their class, which is counted in parts.
 """
 
@@ -24,6 +25,8 @@ from foliospark.llm import tokens
 from foliospark.storage import Scratch
 
 WINDOW, GRAIN, DEPTH, END_ID = 2048, 16, 3, 1
+#: Pieces of fewer tokens take their own length, so that short texts fill a window to its last token.
+FINE = 64
 #: Pieces ranked by one group of tasks' rows; the number of groups grows with the corpus.
 PART = 20_000
 
@@ -76,15 +79,16 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     return x
 
 
-def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
-    """(combination of classes, repeats) that uses up a histogram; class c has histogram[c] pieces, c >= 1."""
+def plan(histogram: np.ndarray, depth: int = DEPTH, grain: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """(combination of classes, repeats) that uses up a histogram: histogram[c] pieces take c of a window's
+    len(histogram) - 1 places, c >= 1. Least squares takes the classes that are multiples of grain."""
     left = histogram.astype(np.int64).copy()
     units = len(left) - 1
     out: list[tuple[tuple[int, ...], int]] = []
     if left[units]:
         out.append(((units,), int(left[units])))
         left[units] = 0
-    choices = [c for c in combinations(units, depth) if len(c) > 1 and all(left[u] for u in c)]
+    choices = [tuple(u * grain for u in c) for c in combinations(units // grain, depth) if len(c) > 1 and all(left[u * grain] for u in c)]
     if choices:
         a = np.zeros((units + 1, len(choices)))
         for k, c in enumerate(choices):
@@ -102,9 +106,10 @@ def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...
         rest, spare = left.copy(), units
         while spare > 0 and (fits := np.flatnonzero(rest[: spare + 1])).size:
             u = int(fits[-1])
-            combo.append(u)
-            rest[u] -= 1
-            spare -= u
+            taken = min(int(rest[u]), spare // u)
+            combo += [u] * taken
+            rest[u] -= taken
+            spare -= u * taken
         used, times = np.unique(combo, return_counts=True)
         repeats = int((left[used] // times).min())
         out.append((tuple(combo), repeats))
@@ -177,11 +182,11 @@ def pack(spark: SparkSession, documents: DataFrame, path: str | None = None, wit
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = scratch.write(docs.mapInArrow(_pieces(path or tokens.default_path(), with_ids), schema), "pieces")
-    kind = F.ceil(F.col("length") / GRAIN).cast("int")
-    histogram = np.zeros(WINDOW // GRAIN + 1, np.int64)
+    kind = F.when(F.col("length") < FINE, F.col("length")).otherwise(F.ceil(F.col("length") / GRAIN) * GRAIN).cast("int")
+    histogram = np.zeros(WINDOW + 1, np.int64)
     for row in pieces.groupBy(kind.alias("kind")).count().collect():  # a row for each class at most
         histogram[row[0]] = row[1]
-    places = _Places(plan(histogram), WINDOW // GRAIN)
+    places = _Places(plan(histogram, grain=GRAIN), WINDOW)
 
     parts = int(min(100_000, max(16, histogram.sum() // PART)))
     keyed = pieces.withColumn("kind", kind).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
