@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import decontamination, language, lm_scoring, mpeg_audio, near_duplicates, packing, quality, substrings, token_files, tokens, urls
 from foliospark.llm import text_arrays as ta
@@ -74,6 +75,36 @@ def test_op9_finds_links_past_a_centre(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_op9_does_not_pair_all_documents_of_a_passage_family(spark, monkeypatch):
+    """Documents of 10 of 20 fixed passages, of which nearly all share a bucket, and strays just below the threshold."""
+    import random
+
+    rng, made = random.Random(3), {}
+    passages = [" ".join(f"p{i}w{rng.randrange(10**6)}" for _ in range(30)) for i in range(20)]
+    true_across = near_duplicates.across
+
+    def counted(*args):
+        pairs = true_across(*args)
+        made["pairs"] = pairs.count()
+        return pairs
+
+    monkeypatch.setattr(near_duplicates, "across", counted)
+    for n in (150, 300, 600):
+        rows = [(k, " ".join(passages[i] for i in sorted(rng.sample(range(20), 10)))) for k in range(n)]
+        sets = {k: shingle_set(t) for k, t in rows}
+        label, moved = {k: k for k in sets}, True
+        edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        while moved:
+            moved = False
+            for a, b in edges:
+                low = min(label[a], label[b])
+                moved |= label[a] != low or label[b] != low
+                label[a] = label[b] = low
+        got = near_duplicates.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.doc_id: r.component_id for r in got.collect()} == label
+        assert made["pairs"] <= 2 * n + len(edges)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     x = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
@@ -85,35 +116,52 @@ def test_sketch_fills_and_estimates():
 
 
 def test_op3_equals_brute_force(spark, data, docs):
+    """Against every run of sentences, not only the spans that the operator hashes."""
     bare = re.compile(r"[!-/:-@\[-`{-~]")
 
+    def word_hash(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(ta.Words(raw, np.array([0, len(raw)]), bare=True).hashes[0])
+
+    known = {}
+
+    def ends_by_hash(w):
+        if w not in known:
+            known[w] = int(ta.mix(np.array([word_hash(w)], np.uint64))[0]) % substrings.ONE_IN == 0
+        return known[w]
+
     def cut(t):
         found = [(m.start(), m.end(), m.group()) for m in WORD.finditer(t)]
-        out, now = [], []
+        out, now, since = [], [], 0
         for k, w in enumerate(found):
             now.append(w)
-            if w[2][-1] in ".!?;:," or k + 1 == len(found) or "\n" in t[w[1] : found[k + 1][0]]:
-                out.append(now)
+            stop = w[2][-1] in ".!?;:," or k + 1 == len(found) or "\n" in t[w[1] : found[k + 1][0]]
+            if stop or (since >= substrings.QUIET and ends_by_hash(w[2])):
+                out.append([(x, y, bare.sub("", z).translate(LOWER)) for x, y, z in now])
                 now = []
+            since = 0 if stop else since + 1
         return out
 
-    def spans(s):
+    def runs(s, most):
+        """Every run of at least MIN_SENTENCES sentences and MIN_WORDS words, with up to ``most`` sentences (of a word or more) than that takes."""
         for i in range(len(s)):
-            j, n = i, 0
-            while j < len(s) and (j - i < substrings.MIN_SENTENCES or n < substrings.MIN_WORDS):
+            n, fits = 0, 0
+            for j in range(i, len(s)):
                 n += len(s[j])
-                j += 1
-            if j - i >= substrings.MIN_SENTENCES and n >= substrings.MIN_WORDS:
-                yield i, j, tuple(bare.sub("", w[2]).translate(LOWER) for x in s[i:j] for w in x)
+                if j - i + 1 >= substrings.MIN_SENTENCES and n >= substrings.MIN_WORDS:
+                    yield i, j + 1, tuple(w[2] for x in s[i : j + 1] for w in x)
+                    fits += 1
+                    if fits > most:
+                        break
 
     parts, first = {k: cut(t or "") for k, t in docs.items()}, {}
     for k in sorted(parts):
-        for i, _, h in spans(parts[k]):
+        for i, _, h in runs(parts[k], 22):
             first.setdefault(h, (k, i))
     want = {}
     for k, s in parts.items():
         drop = [False] * len(s)
-        for i, j, h in spans(s):
+        for i, j, h in runs(s, 22):
             if first[h] != (k, i):
                 drop[i:j] = [True] * (j - i)
         t = docs[k]
@@ -171,12 +219,49 @@ def test_op2_finds_excerpts_of_long_items(spark):
     assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(1, 1, "verbatim"), (2, 2, "verbatim")}
 
 
-def test_op2_takes_a_large_benchmark_in_blocks(spark, monkeypatch, data):
+def test_op2_finds_short_and_wordless_items(spark, monkeypatch):
+    items = [(1, "What is 12 + 45 * 3?"), (2, "Name three."), (3, "7 8 9 10 11 12 13 14 15 16 17"), (4, "yes"), (5, None)]
+    rows = [(1, "he asked: what is 12 + 45 * 3? and left"), (2, "please name three. thanks"), (3, "1 2 7 8 9 10 11 12 13 14 15 16 17 18"), (4, "what is 12 + 45 * 4? yes"), (5, "7 8 9 10 11 12 13 14 15 16 18"), (None, "name three")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for chars in (decontamination.BLOCK_CHARS, 1):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+        got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.contaminated(docs, bench).collect()}
+        assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (3, 3, "verbatim"), (None, 2, "verbatim")}
+
+
+def test_op2_joins_a_large_benchmark(spark, monkeypatch, data, tmp_path):
+    """The same rows as with a table that each task holds, repeated rows and rows without id too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id % 3 = 0").selectExpr("cast(null as long)", "text"))
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole, kept = decontamination.contaminated(docs, bench).collect(), decontamination.stage_decontaminate(spark, docs, str(tmp_path)).collect()
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 5000)
+    assert whole and sorted(map(repr, decontamination.contaminated(docs, bench).collect())) == sorted(map(repr, whole))
+    assert sorted(map(repr, decontamination.stage_decontaminate(spark, docs, str(tmp_path)).collect())) == sorted(map(repr, kept))
+
+
+def test_op2_takes_a_large_benchmark(spark, monkeypatch, data):
     whole = decontamination.op2_template_decontamination(spark, data).collect()
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 5000)
     assert sorted(map(tuple, decontamination.op2_template_decontamination(spark, data).collect())) == sorted(map(tuple, whole))
 
 
+def test_op1_judges_each_text_by_itself(spark, data):
+    """Equal texts, equal rows, whatever stands before them; every value of lang is learned."""
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    contents = language.learn(documents)
+    texts = ["12 the cat sat.", "the cat sat", "The end.", " 7 and so on ", "ÉTÉ. été", "..."]
+    rows = [(k * 10 + j, t) for k in range(6) for j, t in enumerate(texts[k:] + texts[:k])]
+    found = {}
+    for parts in (1, 3):
+        for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), contents).collect():
+            text = dict(rows)[r.doc_id]
+            assert found.setdefault(text, r[1:]) == r[1:]
+    many = documents.withColumn("lang", F.concat(F.col("lang"), (F.col("doc_id") % 30).cast("string")))
+    assert set(language.learn(many)) == {r[0] for r in many.select("lang").distinct().collect()}
+
+
 def test_op1_and_op4_held_out(spark, data):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = language.op1_compression_language_id(spark, data).collect()
@@ -184,8 +269,13 @@ def test_op1_and_op4_held_out(spark, data):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got) and np.mean(held) > 0.95
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     scores = quality.op4_fourier_quality(spark, data).collect()
-    known = [(r.predicted, truth[r.doc_id]) for r in scores if r.doc_id in truth]
-    assert np.mean([p == y for p, y in known]) > 0.9 and all(r.predicted == (r.score >= 0.3) for r in scores)
+    known = [(r.predicted, truth[r.doc_id]) for r in scores if r.doc_id in truth and r.held_out]
+    assert len(known) > 10 and np.mean([p == y for p, y in known]) > 0.85
+    ranked = sorted((r.score, truth[r.doc_id]) for r in scores if r.doc_id in truth and r.held_out)
+    good, bad = [s for s, y in ranked if y == 1], [s for s, y in ranked if y == 0]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scores)
+    assert all(r.predicted == (r.score >= 0.3) for r in scores)
 
 
 def test_isotonic_rises():
@@ -351,5 +441,102 @@ def test_op10_separates_its_table(spark, data):
     model = urls.train(spark)
     rows = urls.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls.LABELLED)], "page_id long, url string"), model).collect()
     assert all((r.score >= 0.5) == bool(urls.LABELLED[r.page_id][1]) for r in rows)
-    got = urls.op10_url_ngram_filter(spark, data).collect()
-    assert all(r.verdict in ("allow", "block") for r in got) and hashlib.md5(b"").hexdigest()
+
+
+def test_op10_held_out(spark):
+    """Every seventh URL is judged by a model that has not seen it."""
+    hits = []
+    for fold in range(7):
+        model = urls.train(spark, [x for k, x in enumerate(urls.LABELLED) if k % 7 != fold])
+        asked = [(k, u) for k, (u, _) in enumerate(urls.LABELLED) if k % 7 == fold]
+        hits += [(r.score >= 0.5) == bool(urls.LABELLED[r.page_id][1]) for r in urls.judge(spark.createDataFrame(asked, "page_id long, url string"), model).collect()]
+    assert len(hits) == len(urls.LABELLED) and np.mean(hits) >= 0.75
+
+
+def test_op10_equals_brute_force(spark, data):
+    """Host, path, rule, verdict and score of every page, one by one."""
+    model = urls.train(spark)
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        return host.translate(LOWER), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+    def score(host, path):
+        total, n = 0.0, 0
+        for field, text in enumerate((host, path)):
+            raw = b"\x02" + text.encode() + b"\x03"
+            for size in urls.GRAMS:
+                for k in range(len(raw) - size + 1):
+                    values = ta.numbers(41, 256)[np.frombuffer(raw[k : k + size], np.uint8)]
+                    h = ta.Ranges(values).hash(np.array([0]), np.array([size]))
+                    total += model.weights[int(ta.mix(h ^ np.uint64(16 * field + size))[0] >> np.uint64(64 - urls.BITS))]
+                    n += 1
+        return 1 / (1 + np.exp(-(total * model.SCALE / np.sqrt(max(n, 1)) + model.intercept)))
+
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = {r.page_id: r for r in urls.op10_url_ngram_filter(spark, data).collect()}
+    assert got.keys() == pages.keys()
+    for k, url in pages.items():
+        host, path = parts(url)
+        fits = [(len(h + p), h + p, act) for act, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fits) if fits else (0, None, "block" if score(host, path) >= 0.5 else "allow")
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict)
+    for k in sorted(pages)[:20]:
+        assert got[k].score == pytest.approx(score(*parts(pages[k])), rel=1e-9)
+
+
+def test_op10_takes_the_first_of_equal_rules(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/abc")], "page_id long, url string")
+    rules = [("block", "net", "/ab"), ("allow", "x.net", "/")]
+    model = urls.train(spark)
+    assert [urls.judge(pages, model, r).first().verdict for r in (rules, rules[::-1])] == ["block", "allow"]
+
+
+def test_op5_digests_equal_the_texts(spark, data, docs):
+    """Payload columns from the text alone; media columns from the form as stored; equal texts, equal rows."""
+    got = {r.doc_id: r for r in mpeg_audio.op5_mpeg_audio(spark, data).collect()}
+    assert got.keys() == docs.keys()
+    seen = {}
+    for k, t in docs.items():
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = mpeg_audio.store(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert seen.setdefault(t, r.feature) == r.feature
+
+
+def test_op8_fills_windows_with_short_texts(spark):
+    """A hot source of empty and one-word texts leaves little padding."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'word' when id % 3 = 1 then '' else 'two words here' end as text")
+    rows = packing.pack(spark, docs).collect()
+    assert len(rows) == 30_000
+    assert sum(r.length for r in rows) / (packing.WINDOW * len({r.sequence_id for r in rows})) > 0.97
+
+
+def test_pipeline_keeps_and_removes_what_its_stages_say(spark, data, docs, tmp_path):
+    """Each stage against the operator it calls, on what the one before kept."""
+    import corpus_pipeline
+
+    now = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = {r.doc_id: r for r in now.collect()}
+        stage(spark, now, data).write.parquet(str(tmp_path / name))
+        after = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / name)).collect()}
+        gone = before.keys() - after.keys()
+        if name == "language":
+            assert gone == {r.doc_id for r in language.identify(now, language._learned(now)).collect() if r.rejected}
+        elif name == "near_duplicates":
+            assert gone == {r.doc_id for r in near_duplicates.near_duplicates(spark, now).collect() if not r.kept}
+        elif name == "sentence_spans":
+            cut = {r.doc_id: r.text for r in substrings.remove_repeated_spans(now.select("doc_id", "text")).collect()}
+            assert all(after[k].text == cut[k] for k in after) and all(not cut[k].strip() for k in gone) and any(cut[k] != before[k].text for k in cut)
+            assert all(after[k].n_chars == len(after[k].text) for k in after if after[k].text != before[k].text)
+        else:
+            assert gone == {r.doc_id for r in decontamination.contaminated(now, spark.read.parquet(f"{data}/benchmark.parquet")).collect()} and gone
+        now = spark.read.parquet(str(tmp_path / name))
+    assert {r.doc_id for r in packing.pack(spark, now).collect()} == {r.doc_id for r in now.collect()}
