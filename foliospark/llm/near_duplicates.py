@@ -17,8 +17,8 @@ proportion to their size.
 
 What is left are buckets that hold several components for good: documents made of the same passages,
 say, of which any two may share a band by chance. Their members are sketched again, with SHARP_BANDS
-runs of SHARP_ROWS coordinates, which pairs of little similarity share hardly ever (0.5: 0.1, 0.33:
-0.0007); a linked pair shares none with probability (1 - 0.75 ** 12) ** 400 < 3e-6. Of the pairs of two
+runs of SHARP_ROWS coordinates, which pairs of little similarity seldom share (at 0.33: 0.04 instead of
+0.3); a linked pair shares none with probability (1 - 0.75 ** 7) ** 96 < 2e-6. Of the pairs of two
 components that share a sharp band, those are compared that can be linked: x and y of one reference c
 have at most min(|x and c|, |y and c|) shingles in common there, and outside c at most as many as the
 bits that both set in a mask of MASK longs, and those that fell on one bit. No bucket is expanded into
@@ -44,11 +44,11 @@ T = BANDS * ROWS
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bands of the second sketch, which only documents take whose buckets hold several components.
-SHARP_BANDS, SHARP_ROWS = 400, 12
+SHARP_BANDS, SHARP_ROWS = 96, 7
 #: Longs of the mask of a document's shingles that its reference has not.
 MASK = 16
-#: Bytes of shingle sets that are sketched so at once: a set of few shingles has 38 kB of coordinates.
-SHARP_BYTES = 1 << 17
+#: Bytes of shingle sets that are sketched so at once: a set of few shingles has 5 kB of coordinates.
+SHARP_BYTES = 1 << 19
 #: Bits of the filter that spares the texts of documents without any shared bucket.
 BITMAP = 1 << 26
 
