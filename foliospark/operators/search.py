@@ -6,11 +6,17 @@ query_id, and every ranking ends with chunk_id, so that ties are settled the sam
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions import text as tx
+from foliospark.storage import Scratch
+
 RRF_K = 60
 #: chunks per document group and least similarity, by mode.
 MODES = {"targeted": (2, 0.20), "balanced": (3, 0.15), "inventory": (6, 0.10)}
@@ -59,19 +65,38 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def exact_rank(scores: DataFrame, score: str, name: str, scratch: Scratch) -> DataFrame:
+    """scores (query_id, chunk_id, score) with the rank by score, then chunk_id, in every query.
+
+    No task sees a whole query: rows are dealt by ranges of query, score and chunk_id, so that equal scores
+    are parted too, and written; the numbers of rows in the parts before, one for each part and query, are
+    added to the rank within a part.
+    """
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scores.repartitionByRange(parts, F.col("query_id"), F.desc_nulls_last(score), F.col("chunk_id")).withColumn("part", F.spark_partition_id())
+    dealt = scratch.write(dealt, f"by_{score}")
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("part")) - F.col("n")
+    counts = dealt.groupBy("query_id", "part").agg(F.count("*").alias("n")).select(F.col("query_id").alias("q_"), F.col("part").alias("part_"), before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc_nulls_last(score), "chunk_id"))
+    found = dealt.withColumn("within", within).join(counts, F.col("query_id").eqNullSafe(F.col("q_")) & (F.col("part") == F.col("part_")))
+    return found.select(*scores.columns, (F.col("before") + F.col("within")).cast("int").alias(name))
+
+
 def ranked(df: DataFrame, pool: int | None = None) -> DataFrame:
-    """vec_rank and lex_rank of each query's candidates (query_id, vec, lex, chunk_id).
+    """df (query_id, vec, lex, chunk_id and more) with each candidate's vec_rank and lex_rank in its query.
 
-    With ``pool`` only candidates among the best of either score stay: each rank is then a top-k per
-    query, which is limited before the shuffle.
+    Scores are computed once and ranked without the other columns, which join by chunk_id at the end; it
+    must name one row of a query. With ``pool`` only candidates among the best of either score stay, with
+    their ranks in both.
     """
-    by_vec = Window.partitionBy("query_id").orderBy(F.desc("vec"), "chunk_id")
-    by_lex = Window.partitionBy("query_id").orderBy(F.desc("lex"), "chunk_id")
-    if pool is None:
-        return df.withColumn("vec_rank", F.row_number().over(by_vec)).withColumn("lex_rank", F.row_number().over(by_lex))
-    best_vec = df.withColumn("vec_rank", F.row_number().over(by_vec)).where(F.col("vec_rank") <= pool)
-    best_lex = df.withColumn("lex_rank", F.row_number().over(by_lex)).where(F.col("lex_rank") <= pool).select(F.col("query_id").alias("q_"), F.col("chunk_id").alias("c_"), "lex_rank")
-    return best_vec.join(best_lex, (F.col("query_id") == F.col("q_")) & (F.col("chunk_id") == F.col("c_")), "left").drop("q_", "c_").fillna({"lex_rank": 1_000_000})
+    scratch = Scratch(df.sparkSession, "ranks")
+    scores = scratch.write(df.select("query_id", "chunk_id", "vec", "lex"), "scores")
+    ranks = exact_rank(exact_rank(scores, "vec", "vec_rank", scratch), "lex", "lex_rank", scratch)
+    if pool is not None:
+        ranks = ranks.where((F.col("vec_rank") <= pool) | (F.col("lex_rank") <= pool))
+    rest = df.drop("vec", "lex").withColumnRenamed("query_id", "q_").withColumnRenamed("chunk_id", "c_")
+    found = ranks.join(rest, F.col("query_id").eqNullSafe(F.col("q_")) & (F.col("chunk_id") == F.col("c_")))
+    return found.select(*df.columns, "vec_rank", "lex_rank")
 
 
 def fused(df: DataFrame, boost: Column | float = 0.0, k: int = RRF_K) -> DataFrame:
@@ -148,17 +173,23 @@ def rank_normalised(df: DataFrame, alpha: float = 0.4) -> DataFrame:
 
 def yearly(df: DataFrame, first: int, last: int, n: int) -> DataFrame:
     """A span of three years or more as one query a year: each year's best fill a quota, the rest by rrf."""
+    inside = df.where(F.col("year").between(first, last))
     if last - first < 2:
-        return best(df.where(F.col("year").between(first, last)), n)
+        return best(inside, n)
     years = last - first + 1
     quota = max(5, n // (2 * years))
-    inside = df.where(F.col("year").between(first, last))
     per_year = Window.partitionBy("query_id", "year").orderBy(F.desc("rrf"), "chunk_id")
     late = F.when(F.row_number().over(per_year) <= quota, 0).otherwise(1)
     order = Window.partitionBy("query_id").orderBy("late", F.desc("rrf"), "chunk_id")
     return inside.withColumn("late", late).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def ranked_by_year(df: DataFrame, first: int, last: int) -> DataFrame:
+    """``ranked`` with one sub-query for each year of a span: ranks, and what follows from them, are a year's own."""
+    by_year = df.where(F.col("year").between(first, last)).withColumn("asked", F.col("query_id")).withColumn("query_id", F.concat_ws("/", F.col("asked").cast("string"), F.col("year").cast("string")))
+    return ranked(by_year).drop("query_id").withColumnRenamed("asked", "query_id")
+
+
 def discover(chunks: DataFrame, query: Sequence[float], n: int = POOL) -> DataFrame:
     """Properties that a query vector meets: the n nearest chunks, then count, best snippet and similarity by code."""
     vector = F.array(*map(F.lit, query))
@@ -166,3 +197,61 @@ def discover(chunks: DataFrame, query: Sequence[float], n: int = POOL) -> DataFr
     near = near.orderBy(F.desc("vec"), "chunk_id").limit(n)
     best_first = F.struct("vec", F.expr("reverse(chunk_id)"))
     return near.groupBy("code").agg(F.count("*").alias("n_chunks"), F.countDistinct("source_file").alias("n_documents"), F.sort_array(F.collect_set("doc_type")).alias("doc_types"), F.round(F.max("vec"), 4).alias("similarity"), F.max_by(F.substring("text", 1, 220), best_first).alias("snippet"))
+
+
+# Questions about elections.
+ELECTIONS = ("[ée]lu|[ée]lection|membre.*conseil.*syndical", "qui.*(?:siège|compose|élu)", "conseil\\s+syndical.*(?:compos|membre|élu)", "titulaire|suppléant", "pr[ée]sident.*(?:séance|AG|assemblée)")
+PROCEDURAL = ("PROCEDURE_AG", "ELECTION_CS")
+
+
+def without_procedure(df: DataFrame, question: str, mode: str) -> DataFrame:
+    """In an inventory, procedural chunks go unless the question is about elections; chunks without category stay."""
+    if mode != "inventory" or any(re.search(p, question, re.I) for p in ELECTIONS):
+        return df
+    return df.where(F.col("category").isNull() | ~F.col("category").isin(list(PROCEDURAL)))
+
+
+# Endings of French words that a light stemmer takes off, the longest first.
+ENDINGS = ("issements", "issement", "atrices", "ateurs", "ations", "atrice", "ateur", "ation", "ements", "ement", "euses", "ences", "ances", "iques", "ismes", "ables", "istes", "euse", "ence", "ance", "ique", "isme", "able", "iste", "ives", "ités", "ites", "ifs", "ive", "ité", "ite", "eux", "aux", "if", "ées", "ée", "és", "er", "es", "é", "e", "s", "x")
+
+
+def stems(text: Column) -> Column:
+    """Folded words of three letters or more, without their longest ending that leaves three letters."""
+    ending = "(?<=[a-z]{3})(" + "|".join(sorted({tx.plain(e) for e in ENDINGS}, key=lambda e: (-len(e), e))) + ")$"
+    return F.transform(F.regexp_extract_all(tx.fold_latin(text), F.lit("([a-z0-9]{2,})"), 1), lambda w: F.regexp_replace(w, ending, ""))
+
+
+def lexical_rank(text: Column, title: Column, query: str) -> Column:
+    """Rank of a document for the words of a query by stems: a hit in the title weighs 1.0, in the text 0.1, both
+    with falling weight for each further hit (1 / k ** 2), saturated as r / (r + 1); 0 unless every word occurs."""
+    wanted = F.array_distinct(stems(F.lit(query)))
+
+    def score(body: Column, head: Column) -> Column:
+        def one(w: Column) -> Column:
+            count = lambda where: F.size(F.filter(where, lambda x: x == w))
+            series = lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, k: s + 1.0 / (k * k))).otherwise(0.0)
+            return series(count(head)) + 0.1 * series(count(body))
+
+        hits = F.transform(wanted, one)
+        total = F.aggregate(hits, F.lit(0.0), lambda s, x: s + x)
+        return F.when((F.size(wanted) > 0) & F.forall(hits, lambda x: x > 0), total / (total + 1)).otherwise(0.0)
+
+    return tx.let(F.struct(stems(text).alias("body"), stems(F.coalesce(title, F.lit(""))).alias("head")), lambda x: score(x["body"], x["head"]))
+
+
+def cells(vectors: DataFrame, planes: int = 8, size: int | None = None, seed: int = 11) -> DataFrame:
+    """vectors (vec_id, embedding) with ``cell``: the signs of the products with ``planes`` fixed random directions."""
+    n = size or len(vectors.select("embedding").where("embedding is not null").first()[0])
+    rng = np.random.default_rng(seed)
+    bits = [F.when(F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, d)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, d in enumerate(rng.normal(size=(planes, n)).tolist())]
+    return vectors.withColumn("cell", sum(bits, F.lit(0)))
+
+
+def near_cells(indexed: DataFrame, queries: DataFrame, k: int, probes: int = 2, planes: int = 8) -> DataFrame:
+    """query_id, vec_id, similarity of the ``k`` nearest vectors in the cells whose signs differ from the query's in
+    at most ``probes`` planes; both sides have a cell. Exact search is ``top_k``."""
+    masks = [sum(1 << b for b in c) for r in range(probes + 1) for c in itertools.combinations(range(planes), r)]
+    asked = queries.withColumn("probe", F.explode(F.array(*map(F.lit, masks)))).withColumn("cell", F.col("cell").bitwiseXOR(F.col("probe")))
+    pairs = asked.select("query_id", F.col("embedding").alias("query"), "cell").join(indexed.select("vec_id", "embedding", "cell"), "cell")
+    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
