@@ -35,10 +35,32 @@ def dates(c: Column, folded: Column) -> Column:
 
 
 def padded(c: Column) -> Column:
-    """A date of YYYY, YYYY-MM or YYYY-MM-DD; missing parts are 01, what is no date is null."""
+    """A date of YYYY, YYYY-MM or YYYY-MM-DD; missing parts are 01, what is no date of the calendar is null."""
     s = F.trim(c)
-    whole = F.when(s.rlike("^\\d{4}$"), F.concat(s, F.lit("-01-01"))).when(s.rlike("^\\d{4}-\\d{2}$"), F.concat(s, F.lit("-01"))).when(s.rlike("^\\d{4}-\\d{2}-\\d{2}"), F.substring(s, 1, 10))
-    return F.try_to_date(whole, "yyyy-MM-dd")
+    whole = F.when(s.rlike("^\\d{4}$"), F.concat(s, F.lit("-01-01"))).when(s.rlike("^\\d{4}-\\d{2}$"), F.concat(s, F.lit("-01"))).when(s.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}$"), s)
+    return F.try_to_date(whole, "yyyy-M-d")
+
+
+def padded_text(c: Column) -> Column:
+    """The looser form for case files: YYYY, YYYY-M or YYYY-M-D as YYYY-MM-DD, whether or not there is such a day; else null."""
+    s = F.trim(c)
+    part = lambda k: F.lpad(F.coalesce(F.nullif(F.regexp_extract(s, "^(\\d{4})(?:-(\\d{1,2}))?(?:-(\\d{1,2}))?$", k), F.lit("")), F.lit("1")), 2, "0")
+    return F.when(s.rlike("^\\d{4}(-\\d{1,2})?(-\\d{1,2})?$"), F.concat_ws("-", F.substring(s, 1, 4), part(2), part(3)))
+
+
+def periods(folded: Column) -> Column:
+    """Distinct (kind, year, n) of a folded file name: months in either order (YM), quarters (T), years (Y, 0)."""
+    number = lambda x: x.cast("int")
+
+    def of(kind: str, pattern: str, year: int, n: int) -> Column:
+        found = [F.regexp_extract_all(folded, F.lit(pattern), k) for k in (year, n)]
+        return F.zip_with(*found, lambda y, k: F.struct(F.lit(kind).alias("kind"), number(y).alias("y"), number(k).alias("n")))
+
+    # How months, quarters and years stand in names.
+    months = [of("YM", "(?<!\\d)(19\\d{2}|20\\d{2})[/.\\-_ ](0?[1-9]|1[0-2])(?!\\d)", 1, 2), of("YM", "(?<!\\d)(0?[1-9]|1[0-2])[/.\\-_ ](19\\d{2}|20\\d{2})(?!\\d)", 2, 1)]
+    quarters = [of("T", "(?<!\\w)([1-4])\\s?t[- ]?(19\\d{2}|20\\d{2})(?!\\d)", 2, 1), of("T", "(?<!\\w)t\\s?([1-4])[- ]?(19\\d{2}|20\\d{2})(?!\\d)", 2, 1)]
+    alone = F.transform(F.regexp_extract_all(folded, F.lit("(?<!\\d)(19\\d{2}|20\\d{2})(?!\\d)"), 1), lambda y: F.struct(F.lit("Y").alias("kind"), number(y).alias("y"), F.lit(0).alias("n")))
+    return F.sort_array(F.array_distinct(F.concat(*months, *quarters, alone)))
 
 
 def years(first: Column, last: Column) -> Column:

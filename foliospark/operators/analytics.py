@@ -68,6 +68,50 @@ def is_in(column: str | Column, value: Any) -> Column:
     return c == value
 
 
+def years(column: str, first: int | None = None, last: int | None = None, unknown: bool = False) -> Column:
+    """Years of a span that may be open on either side; with ``unknown`` rows without year stay."""
+    c = F.col(column)
+    inside = (c >= first if first is not None else F.lit(True)) & (c <= last if last is not None else F.lit(True))
+    return c.isNull() | inside if unknown else inside
+
+
+def overlaps(column: str, values: Sequence[str]) -> Column:
+    return F.arrays_overlap(column, F.array(*map(F.lit, values)))
+
+
+def holds(column: str, text: str, anywhere: bool = True) -> Column:
+    """The column holds a text (or ends with it), case aside; % and _ stand for themselves."""
+    low = F.lower(F.col(column))
+    return low.contains(text.lower()) if anywhere else low.endswith(text.lower())
+
+
+def extracted(df: DataFrame, column: str, where: str, what: str, name: str) -> DataFrame:
+    """Rows whose column matches ``where``, with the first group of ``what`` in it."""
+    return df.where(F.col(column).rlike(where)).withColumn(name, F.regexp_extract(column, what, 1))
+
+
+def trusted_type(protected: Sequence[str] = ("RCP",)) -> Column:
+    """The effective type, but a type that is given for sure is not overridden."""
+    return F.when(F.col("doc_type").isin(list(protected)), F.col("doc_type")).otherwise(effective_type())
+
+
+def closed_type(column: Column, allowed: Sequence[str], default: str = "AUTRE") -> Column:
+    """A type of a closed list, else the default; the text "null" is no type."""
+    s = F.trim(column)
+    return F.when(s.isin(list(allowed)), s).otherwise(default)
+
+
+def single_scope(df: DataFrame, key: str) -> DataFrame:
+    """key, whether all its rows are of one property, and the (smallest) property."""
+    return df.groupBy(key).agg((F.countDistinct("code") == 1).alias("single"), F.min("code").alias("code"))
+
+
+def recent(df: DataFrame, time: str, hours: int = 24) -> DataFrame:
+    """Rows of the last hours before the newest."""
+    now = df.agg(F.max(time).alias("now_"))
+    return df.crossJoin(F.broadcast(now)).where(F.col(time) > F.col("now_") - F.expr(f"interval {hours} hours")).drop("now_")  # one row
+
+
 def _filtered(df: DataFrame, spec: Spec) -> DataFrame:
     year = F.col("year") if spec.source == "documents" else F.year("opened")
     for name, value in spec.filters.items():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates as dt
 from foliospark.functions import text as tx
+from foliospark.storage import Scratch
 
 # Fixed values of the confirmation rule.
 JACCARD_MIN, LENGTH_RATIO_MIN, TEXT_MIN, CONTAINMENT_MIN = 0.90, 0.90, 100, 0.95
@@ -30,9 +33,8 @@ def profile(docs: DataFrame, name: str = "file_name", text: str = "text") -> Dat
     """docs with what confirmation compares: norm, shingles, dates of text and name, periods of the name, length."""
     norm = tx.canonical(F.col(text))
     folded = tx.fold_latin(F.col(name))
-    periods = F.sort_array(F.array_distinct(F.regexp_extract_all(folded, F.lit("(?<!\\d)((?:19|20)\\d{2}(?:[/._ -](?:0?[1-9]|1[0-2]))?)(?!\\d)"), 1)))
     spaced = F.regexp_replace(F.col(name), "_", " ")
-    return docs.withColumn("norm", norm).withColumn("shingles", tx.shingles(F.col("norm"))).withColumn("text_dates", dt.dates(F.col(text), tx.fold_latin(F.col(text)))).withColumn("name_dates", dt.dates(spaced, tx.fold_latin(spaced))).withColumn("name_periods", periods).withColumn("chars", F.length(text))
+    return docs.withColumn("norm", norm).withColumn("shingles", tx.hashed_shingles(F.col("norm"))).withColumn("text_dates", dt.dates(F.col(text), tx.fold_latin(F.col(text)))).withColumn("name_dates", dt.dates(spaced, tx.fold_latin(spaced))).withColumn("name_periods", dt.periods(folded)).withColumn("chars", F.length(text))
 
 
 def confirm(a: str, b: str) -> Column:
@@ -53,25 +55,88 @@ def confirm(a: str, b: str) -> Column:
     )
 
 
-def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id", head: int = 500) -> DataFrame:
+def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id") -> DataFrame:
     """Pairs of one block that may be copies, with their verdict.
 
     Documents of equal text, dates and periods are one class: each is paired with the class's smallest
-    key. Classes are compared if they share the opening of their canonical text or one of five
-    shingles (the smallest by hash), so neither a block nor a group of copies is expanded into all pairs.
+    key. Of two classes that are copies one shares a shingle with the other among the first tenth of
+    its shingles, in the order of their hashes, and among as many of the other's; so only keys and sizes
+    are joined by these marks, and profiles follow for the distinct pairs. No copy is missed.
     """
-    rows = profiles.withColumn("class", F.xxhash64("norm", "name_dates", "name_periods"))
-    first = rows.groupBy(*block, "class").agg(F.min(key).alias("rep"))
-    rows = rows.join(first, [*block, "class"])
+    scratch = Scratch(profiles.sparkSession, "copies")
+    held = scratch.write(profiles.select(*block, key, "norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").withColumn("class", F.xxhash64("norm", "name_dates", "name_periods")), "profiles")
+    first = held.groupBy(*block, "class").agg(F.min(key).alias("rep"))
     ok = F.col("chars") >= TEXT_MIN
-    same = rows.where(F.col(key) != F.col("rep")).select(*block, F.col("rep").alias("a"), F.col(key).alias("b"), ok.alias("copy"), ok.cast("double").alias("score"), F.when(ok, "TEXTE_IDENTIQUE").otherwise("TEXTE_TROP_COURT").alias("reason"))
-
-    keys = F.array_distinct(F.concat(F.array(F.xxhash64(F.substring("norm", 1, head))), F.slice(F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))), 1, 5)))
-    marked = rows.where(F.col(key) == F.col("rep")).withColumn("mark", F.explode(keys))
-    side = lambda name: F.struct("norm", "shingles", "text_dates", "name_dates", "name_periods", "chars", F.col(key).alias("key")).alias(name)
-    pairs = marked.select(*block, "mark", side("a")).join(marked.select(*block, "mark", side("b")), [*block, "mark"]).where("a.key < b.key")
-    judged = pairs.select(*block, F.col("a.key").alias("a"), F.col("b.key").alias("b"), confirm("a", "b").alias("v"))
-    return judged.groupBy(*block, "a", "b").agg(F.first("v").alias("v")).select(*block, "a", "b", "v.*").unionByName(same)
+    same = held.select(*block, "class", key, "chars").join(first, [*block, "class"]).where(F.col(key) != F.col("rep"))
+    same = same.select(*block, F.col("rep").alias("a"), F.col(key).alias("b"), ok.alias("copy"), ok.cast("double").alias("score"), F.when(ok, "TEXTE_IDENTIQUE").otherwise("TEXTE_TROP_COURT").alias("reason"))
+
+    n = F.size("shingles")
+    prefix = F.slice(F.sort_array("shingles"), F.lit(1), n - F.ceil(n * JACCARD_MIN).cast("int") + 1)
+    reps = held.join(first.select(*block, F.col("rep").alias(key)), [*block, key], "left_semi").where(ok & (n > 0))
+    marked = scratch.write(reps.select(*block, key, n.alias("n"), F.explode(prefix).alias("mark")), "marks")
+    a, b = (marked.select(*block, "mark", F.col(key).alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= JACCARD_MIN * F.greatest("n_a", "n_b"))
+    pairs = scratch.write(a.join(b, [*block, "mark"]).where(near).select(*block, "a", "b").distinct(), "pairs")
+    side = lambda name: held.select(*block, F.col(key).alias(name), F.struct("norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").alias(f"p_{name}"))
+    judged = pairs.join(side("a"), [*block, "a"]).join(side("b"), [*block, "b"]).select(*block, "a", "b", confirm("p_a", "p_b").alias("v"))
+    return judged.select(*block, "a", "b", "v.*").unionByName(same)
+
+
+# Words that say a file is signed, or the one that counts.
+SIGNED, AUTHORITATIVE = "sign[ée]e?\\b|signed\\b", "\\bvf\\b|\\bdef(initif|initive)?\\b|\\bfinal(e|isee?)?\\b"
+
+
+def best_copy(name: Column, chars: Column) -> Column:
+    """What the copy to keep has most of: a signature, a mark that it is the final one, text."""
+    low = F.regexp_replace(tx.fold_latin(name), "_", " ")
+    return F.struct(low.rlike(SIGNED).alias("signed"), low.rlike(AUTHORITATIVE).alias("final"), chars.alias("chars"))
+
+
+def kept_of(groups: DataFrame, group: list[str], key: str, choice: Column) -> DataFrame:
+    """groups with keep (the member of the greatest ``choice``, then the smallest key) and ref, the key that is kept."""
+    same = Window.partitionBy(*group)
+    first = Window.partitionBy(*group).orderBy(F.desc("choice_"), key)
+    ranked = groups.withColumn("choice_", choice).withColumn("keep", F.row_number().over(first) == 1)
+    return ranked.withColumn("ref", F.max(F.when(F.col("keep"), F.col(key))).over(same)).drop("choice_")
+
+
+# The rules that a client's file may replace.
+DEFAULT_RULES = {
+    "version_markers": [
+        r"\bv\s?\d+\b", r"\bversion\s*\d*\b", r"\bvf\b", r"\bdef(initif|initive)?\b", r"\bfinal(e|ise|isee)?\b", r"\bprojet\b", r"\bbrouillon\b", r"\bdraft\b",
+        r"\brelu\b", r"\bcorrig(e|ee)\b", r"\bmodifi(e|ee)\b", r"\bsigne?e?\b", r"\bsigned\b",
+    ],
+    "copy_markers": [r"\(\d+\)", r"\bcopie\b", r"\bcopy\b", r"[-_ ]+\d{1,2}$"], "authoritative_markers": [SIGNED, AUTHORITATIVE], "variant_suffixes": [], "variant_keep": "original",
+    "publipostage_min_famille": 12, "containment_min": 0.95, "stem_min_len": 8,
+}
+
+
+def rules(overrides: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The rules with a client's own; a list is replaced whole, a name that is not known is an error."""
+    given = {k: v for k, v in (overrides or {}).items() if k != "_comment"}
+    if unknown := sorted(set(given) - set(DEFAULT_RULES)):
+        raise ValueError(f"unknown rules: {unknown}")
+    return {**DEFAULT_RULES, **given}
+
+
+def document_groups(documents: DataFrame) -> DataFrame:
+    """documents with doc_group (type, year or NODATE, property) and is_reference, true as long as no model says otherwise."""
+    year = F.coalesce(F.col("year").cast("string"), F.lit("NODATE"))
+    kind = F.coalesce("doc_type_fixed", "doc_type", F.lit("AUTRE"))
+    return documents.withColumn("doc_group", F.concat_ws("_", kind, year, F.coalesce("code", F.lit("")))).withColumn("is_reference", F.lit(True))
+
+
+def with_references(grouped: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """grouped with a model's verdicts (doc_group, reference, copies): copies are no reference and join its group's."""
+    told = verdicts.select(F.col("doc_group").alias("g_"), F.explode("copies").alias("copy_")).distinct()
+    both = grouped.join(told, (F.col("doc_group") == F.col("g_")) & (F.col("file_name") == F.col("copy_")), "left")
+    return both.withColumn("is_reference", F.col("copy_").isNull()).drop("g_", "copy_")
+
+
+def consolidated(documents: DataFrame, mapping: DataFrame, column: str = "subtype") -> DataFrame:
+    """documents with a sub-type's canonical form where the mapping (raw, canonical) has one; both sides are normalised alike."""
+    known = mapping.select(tx.subtype(F.col("raw")).alias("raw_"), tx.subtype(F.col("canonical")).alias("to_")).groupBy("raw_").agg(F.min("to_").alias("to_"))
+    return documents.join(known, tx.subtype(F.col(column)) == F.col("raw_"), "left").withColumn(column, F.coalesce("to_", tx.subtype(F.col(column)))).drop("raw_", "to_")
 
 
 def stem(name: Column, copy: str = "\\b(copie|copy)( de)?\\b|\\(\\d+\\)", version: str = "\\b(v ?\\d+|version ?\\d*|vf|vdef|final|definitif|projet)\\b", variant: str = "_?(rgpd|anonymise)\\b") -> Column:

@@ -46,17 +46,23 @@ def same_event(a: str, b: str, days: int = 30) -> Column:
 def event_links(cases: DataFrame, days: int = 30) -> DataFrame:
     """Pairs (a, b) of cases of one property and type about the same event.
 
-    The join is on property, type, one shared name word and one of two neighbouring windows of ``days``
-    days: only cases that can be near in time meet.
+    The join is on property, type, the rarest name word of the smaller name set, and neighbouring windows of
+    ``days`` days: only cases that can be near in time meet.
     """
     rows = cases.select("case_id", "code", "case_type", "opened", tx.name_tokens(F.col("party")).alias("names"), tx.unit_number(F.col("party")).alias("unit"))
     window = F.floor(F.datediff("opened", F.lit("1970-01-01")) / days)
-    a = rows.withColumn("name", F.explode("names")).withColumn("window", F.explode(F.array(window, window + 1)))
-    b = rows.withColumn("name", F.explode("names")).withColumn("window", F.explode(F.array(window, window + 1)))
     key = ["code", "case_type", "name", "window"]
-    side = lambda name: F.struct("case_id", "names", "unit", "opened").alias(name)
-    pairs = a.select(*key, side("a")).join(b.select(*key, side("b")), key).where("a.case_id < b.case_id").where(same_event("a", "b", days))
-    return pairs.select(F.col("a.case_id").alias("a"), F.col("b.case_id").alias("b")).distinct()
+    keyed = rows.select("case_id", "code", "case_type", F.explode("names").alias("name"), window.alias("w"), F.size("names").alias("k"))
+    # the smaller name set lies in the larger one: its rarest word is enough to meet at, so frequent ones are not joined
+    usual = keyed.groupBy("code", "case_type", "name").agg(F.count("*").alias("often"))
+    rarest = keyed.join(usual, ["code", "case_type", "name"]).groupBy("case_id", "code", "case_type", "w", "k").agg(F.min_by("name", F.struct("often", "name")).alias("name"))
+    a = rarest.select("case_id", "code", "case_type", "name", F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("window"), "k")
+    b = keyed.select(F.col("case_id").alias("other"), "code", "case_type", "name", F.col("w").alias("window"), F.col("k").alias("other_k"))
+    met = a.join(b, key).where((F.col("case_id") != F.col("other")) & (F.col("k") <= F.col("other_k")))
+    pairs = met.select(F.least("case_id", "other").alias("x"), F.greatest("case_id", "other").alias("y")).distinct()
+    side = lambda name, at: rows.select(F.col("case_id").alias(at), F.struct("names", "unit", "opened").alias(name))
+    judged = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y").where(same_event("a", "b", days))
+    return judged.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def clusters(cases: DataFrame, links: DataFrame) -> DataFrame:
@@ -73,16 +79,24 @@ def merged(rows: DataFrame, richness: Column | None = None) -> DataFrame:
 
 
 def matched(erp: DataFrame, found: DataFrame, days: int = 30) -> DataFrame:
-    """Best match of each ERP case among found cases of its property: all name words of one in the other,
-    dates near or unknown; the nearest date, then the smaller id, and each side at most once."""
+    """Best match of each ERP case among found cases of its property: all name words of one in the other, dates
+    near or unknown. A match by the injured party's name goes before one by the case's name (``name``, where found
+    has it), a party that the case's name repeats before one that it does not, then the nearest date, then the
+    smaller id; each side at most once, by rank.
+    """
+    named = F.col("name") if "name" in found.columns else F.lit(None).cast("string")
     a = erp.select(F.col("case_id").alias("erp_id"), "code", F.col("opened").alias("erp_date"), tx.name_tokens(F.col("party")).alias("erp_names"))
-    b = found.select("case_id", "code", "opened", tx.name_tokens(F.col("party")).alias("names"))
-    x, y = a.withColumn("name", F.explode("erp_names")), b.withColumn("name", F.explode("names"))
+    b = found.select("case_id", "code", "opened", tx.name_tokens(F.col("party")).alias("party_names"), F.coalesce(tx.name_tokens(named), F.array().cast("array<string>")).alias("case_names"))
+    b = b.withColumn("names", F.when(F.size("party_names") > 0, F.col("party_names")).otherwise(F.col("case_names")))
+    x, y = a.select("erp_id", "code", F.explode("erp_names").alias("word")), b.select("case_id", "code", F.explode("names").alias("word"))
+    met = x.join(y, ["code", "word"]).select("erp_id", "case_id").distinct()
     inside = (F.size(F.array_except("erp_names", "names")) == 0) | (F.size(F.array_except("names", "erp_names")) == 0)
     gap = F.coalesce(F.abs(F.datediff("erp_date", "opened")), F.lit(days))
-    pairs = x.join(y, ["code", "name"]).where(inside & (gap <= days)).select("erp_id", "case_id", gap.alias("gap")).distinct()
-    one = pairs.withColumn("r", F.row_number().over(Window.partitionBy("erp_id").orderBy("gap", "case_id"))).where("r = 1")
-    return one.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("gap", "erp_id"))).where("r = 1").drop("r")
+    direct, also = F.arrays_overlap("erp_names", "party_names").cast("int"), F.arrays_overlap("erp_names", "case_names").cast("int")
+    pairs = met.join(a.drop("code"), "erp_id").join(b.drop("code"), "case_id").where(inside & (gap <= days)).select("erp_id", "case_id", gap.alias("gap"), direct.alias("direct"), also.alias("also"))
+    rank = lambda by, tie: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("direct"), F.desc("also"), "gap", tie))
+    one = pairs.withColumn("r", rank("erp_id", "case_id")).where("r = 1")
+    return one.withColumn("r", rank("case_id", "erp_id")).where("r = 1").select("erp_id", "case_id", "gap")
 
 
 def only_candidate(erp: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions import text as tx
+
 MAX_IDS, MAX_CHARS = 20, 50_000
 
 
 def by_ids(chunks: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Chunks of a list of ids in its order; an id that is not found gives a row with found = false."""
-    asked = chunks.sparkSession.createDataFrame([(k, v) for k, v in enumerate(dict.fromkeys(ids[:MAX_IDS]))], "position int, wanted string")
-    return asked.join(chunks, F.col("wanted") == F.col("chunk_id"), "left").withColumn("found", F.col("chunk_id").isNotNull()).orderBy("position")
+    """Chunks of a list of ids in its order; an id that is not found, or stands behind the first MAX_IDS, gives a
+    row with found = false and the reason (``unknown`` or ``limit``)."""
+    listed = [(k, v, k < MAX_IDS) for k, v in enumerate(dict.fromkeys(ids))]
+    asked = chunks.sparkSession.createDataFrame(listed, "position int, wanted string, inside boolean")
+    both = asked.join(chunks, F.col("inside") & (F.col("wanted") == F.col("chunk_id")), "left").withColumn("found", F.col("chunk_id").isNotNull())
+    return both.withColumn("why", F.when(~F.col("found"), F.when(F.col("inside"), "unknown").otherwise("limit"))).drop("inside").orderBy("position")
 
 
 def document_text(chunks: DataFrame, first: int = 0, last: int | None = None, budget: int = MAX_CHARS) -> DataFrame:
@@ -37,11 +42,11 @@ def clamp(value: object, default: int, most: int) -> int:
 
 def directory_score(fields: Sequence[str], query: str) -> Column:
     """10 for an equal field, 5 if one holds the other, 1 for a shared word; summed over fields."""
-    q = query.lower().strip()
+    q = tx.plain(query).lower().strip()
     words = F.array(*map(F.lit, q.split()))
 
     def one(name: str) -> Column:
-        c = F.lower(F.coalesce(F.col(name), F.lit("")))
+        c = tx.fold_latin(F.coalesce(F.col(name), F.lit("")))
         return F.when(c == "", 0).when(c == q, 10).when(c.contains(q) | F.lit(q).contains(c), 5).when(F.arrays_overlap(F.split(c, " +"), words), 1).otherwise(0)
 
     return sum((one(f) for f in fields), F.lit(0))
@@ -50,10 +55,20 @@ def directory_score(fields: Sequence[str], query: str) -> Column:
 def directory(rows: DataFrame, fields: Sequence[str], query: str, order: str) -> DataFrame:
     """Rows by score; all rows if none scores."""
     scored = rows.withColumn("score", directory_score(fields, query))
-    best = scored.withColumn("best", F.max("score").over(Window.partitionBy(F.lit(0))))
+    best = scored.crossJoin(F.broadcast(scored.agg(F.max("score").alias("best"))))  # one row
     return best.where((F.col("score") > 0) | (F.col("best") == 0)).drop("best").orderBy(F.desc("score"), order)
 
 
+def canonical_of(rows: DataFrame, key: str, alias: DataFrame, name: str, unknown: str = "UNKNOWN") -> DataFrame:
+    """rows with the canonical name of their key in alias (key_, name_), else ``unknown``."""
+    return rows.join(alias, F.col(key) == F.col("key_"), "left").withColumn(name, F.coalesce("name_", F.lit(unknown))).drop("key_", "name_")
+
+
+def keyword_search(rows: DataFrame, hit: Column, n: int, date: str = "opened", tie: str = "case_id") -> DataFrame:
+    """The n latest rows that match, unknown dates last."""
+    return rows.where(hit).orderBy(F.desc_nulls_last(date), tie).limit(n)
+
+
 def relevance(references: Sequence[str], names: Sequence[str], tokens: Sequence[str], haystack: Column) -> Column:
     """3 for each reference, 2 for each name, 1 for each token that the haystack holds."""
     hits = [F.when(haystack.contains(t.lower()), w).otherwise(0) for w, group in ((3, references), (2, names), (1, tokens)) for t in group]
@@ -67,9 +82,9 @@ def by_status(df: DataFrame, statuses: Sequence[str] = ("EN_COURS", "EN_ATTENTE"
 
 
 def all_tokens(columns: Sequence[str], tokens: Sequence[str]) -> Column:
-    """Every token stands in the text of the columns."""
-    hay = F.lower(F.concat_ws(" ", *columns))
-    return F.forall(F.array(*map(F.lit, tokens)), lambda t: hay.contains(F.lower(t))) if tokens else F.lit(True)
+    """Every token stands in the text of the columns, case and accents aside."""
+    hay = tx.fold_latin(F.concat_ws(" ", *columns))
+    return F.forall(F.array(*[F.lit(tx.plain(t).lower()) for t in tokens]), lambda t: hay.contains(t)) if tokens else F.lit(True)
 
 
 def allowed(labels: str, tenant: Sequence[str]) -> Column:

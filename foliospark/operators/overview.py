@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,9 @@ def facts(documents: DataFrame, meetings: str = "PV_AG", top: int = 5) -> DataFr
     """What a summary of each property states: counts by type and status, the latest meetings."""
     kinds = documents.groupBy("code", "doc_type").agg(F.count("*").alias("n")).groupBy("code").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc_type", "n")))).alias("types"))
     states = documents.where("status is not null").groupBy("code", "status").agg(F.count("*").alias("n")).groupBy("code").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("statuses"))
-    met = documents.where(F.col("doc_type") == meetings).groupBy("code").agg(F.max("date").alias("last_meeting"), F.slice(F.sort_array(F.collect_list(F.struct("date", "source_file")), asc=False), 1, top).alias("meetings"))
+    latest = Window.partitionBy("code").orderBy(F.desc("date"), F.desc("source_file"))
+    met = documents.where(F.col("doc_type") == meetings).withColumn("turn", F.row_number().over(latest)).where(F.col("turn") <= top)
+    met = met.groupBy("code").agg(F.max("date").alias("last_meeting"), F.sort_array(F.collect_list(F.struct("date", "source_file")), asc=False).alias("meetings"))  # top rows each
     whole = documents.groupBy("code").agg(F.countDistinct("source_file").alias("n_documents"), F.min("year").alias("year_min"), F.max("year").alias("year_max"))
     return whole.join(kinds, "code", "left").join(states, "code", "left").join(met, "code", "left")
 

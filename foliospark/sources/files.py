@@ -114,10 +114,16 @@ def _sheets(z: zipfile.ZipFile) -> str:
     return "\n".join(out)
 
 
-def extract(name: str, raw: bytes) -> str:
-    """The text of a file by its extension; a broken office file is read as plain text."""
+#: Files whose text needs a reader that is not here; ``text`` is null for them, never their bytes.
+NO_READER = (".pdf", ".msg", ".doc", ".xls", ".ppt")
+
+
+def extract(name: str, raw: bytes) -> str | None:
+    """The text of a file by its extension; a broken office file is read as plain text, a format without reader is null."""
     ext = re.search(r"\.[^.]+$", name.lower())
     kind = ext.group() if ext else ""
+    if kind in NO_READER:
+        return None
     try:
         if kind in (".docx", ".xlsx", ".pptx"):
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -137,38 +143,46 @@ def extract(name: str, raw: bytes) -> str:
     return _text(raw)
 
 
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """path, text of the files below root, by the reader of their format."""
+def read_texts(spark: SparkSession, root: str, pages: DataFrame | None = None) -> DataFrame:
+    """path, text, reason of the files below root, by the reader of their format (``pages``: texts of PDF and
+    mail files that another program has read, path and text, stand in for what is missing here).
+
+    reason is ``NO_READER`` where text is null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"path": pdf["path"], "text": [extract(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]})
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return raw.select("path", "content").mapInPandas(run, "path string, text string")
+    read = raw.select("path", "content").mapInPandas(run, "path string, text string")
+    if pages is not None:
+        other = pages.select(F.col("path").alias("path_"), F.col("text").alias("text_"))
+        read = read.join(other, F.col("path") == F.col("path_"), "left").select("path", F.coalesce("text", "text_").alias("text"))
+    return read.withColumn("reason", F.when(F.col("text").isNull(), "NO_READER"))
 
 
 def lines(boxes: DataFrame) -> DataFrame:
-    """Text of scanned pages from word boxes (doc, page, left, top, height, word): a new line where a word
-    stands lower than 0.4 of the running height, a blank line where the gap is above 1.2 of it.
+    """Text of scanned pages from word boxes (doc, page, left, top, height, word): a word stands on a new line
+    if its top is more than 0.4 of the running height away from that of the word before; a blank line comes
+    where a line begins more than 1.2 of its height below the one before.
 
-    The running height depends on every word before, so a page is one group.
+    The running height (0.8 of itself, 0.2 of each word's) depends on every word before, so a page is one group.
     """
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["top", "left"], kind="stable")
-        out, row, height, top = [], [], None, None
-        for left, t, h, w in zip(pdf["left"], pdf["top"], pdf["height"], pdf["word"], strict=True):
-            if top is not None and abs(t - top) > 0.4 * height:
-                out.append(" ".join(x for _, x in sorted(row, key=lambda p: p[0])))
-                if t - top > 1.2 * height + h:
-                    out.append("")
-                row = []
-            height = h if height is None else 0.8 * height + 0.2 * h
-            if not row:
-                top = t
-            row.append((left, w))
-        out.append(" ".join(x for _, x in sorted(row, key=lambda p: p[0])))
+        running, heights = pdf["height"].iloc[0] or 0.01, []
+        for h in pdf["height"].iloc[1:]:
+            heights.append(running)
+            running = 0.8 * running + 0.2 * h if h > 0 else running
+        line = (pdf["top"].diff().abs().iloc[1:].to_numpy() > 0.4 * pd.Series(heights, dtype=float).to_numpy()).cumsum()
+        out, bottom = [], 0.0
+        for _, row in pdf.groupby([0, *line.tolist()], sort=True):
+            tall, row = row["height"].max(), row.sort_values("left", kind="stable")
+            top = row["top"].iloc[0]
+            out += [""] * bool(bottom > 0 and top - bottom > 1.2 * tall) + [" ".join(row["word"])]
+            bottom = top + tall
         return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "page": [pdf["page"].iloc[0]], "text": ["\n".join(out)]})
 
     return boxes.groupBy("doc", "page").applyInPandas(page, "doc string, page int, text string")
@@ -232,3 +246,22 @@ def read_pages(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replaces only the partitions that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_listing(spark: SparkSession, root: str, schema: str, page_size: int = 100, cap: int | None = None) -> DataFrame:
+    """``read_pages`` with page and place of each record, of at most ``cap`` records in the order of the pages."""
+    raw = spark.read.schema(f"records array<struct<id: string, fields: struct<{schema}>>>, offset string").json(root, multiLine=True)
+    number = F.regexp_extract(F.input_file_name(), "(\\d+)[^/]*$", 1).cast("int")
+    rows = raw.select(number.alias("page"), F.posexplode("records").alias("k", "r")).select("page", (F.col("page") * page_size + F.col("k")).alias("place"), "r.id", "r.fields.*")
+    return rows if cap is None else rows.orderBy("place").limit(cap)
+
+
+def manifest(decisions: DataFrame, path: str) -> None:
+    """Writes what a stage decided (source_file, decision, reason, ref_source_file) beside its output, one line each."""
+    decisions.select("source_file", "decision", "reason", "ref_source_file").write.mode("overwrite").json(path)
+
+
+def checked_shards(shards: DataFrame, codes: list[str]) -> DataFrame:
+    """code, n of the shards asked for; a code without rows has n = 0, so that a missing shard is seen before all are joined."""
+    asked = shards.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(codes)], "code string")
+    return asked.join(shards.groupBy("code").agg(F.count("*").alias("n")), "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -1,8 +1,8 @@
 """Tables that cut lineage: written once into the folder that driver and executors share.
 
 An executor can be lost at any time, so nothing here is cached on executors alone. The shared
-folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a laptop) a
-folder of our own is used and announced to Spark.
+folder is ``spark.checkpoint.dir`` of the session; only where that is unset and all runs on one
+machine (tests, a laptop) a folder of our own is used and announced to Spark.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, from ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
