@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as tx
-from foliospark.operators import analytics, lookup, overview, search
+from foliospark.operators import analytics, incremental, lookup, overview, records, search
+from foliospark.plans.providers import Provider
 
 MAX_RESULTS = 50
 
@@ -20,10 +22,22 @@ def scope(codes: Sequence[str]) -> dict[str, Any]:
     return {"codes": seen, "scope": ("global", "single", "multi")[min(2, len(seen))]}
 
 
-def search_chunks(chunks: DataFrame, documents: DataFrame, vector: Sequence[float], terms: Sequence[str], codes: Sequence[str], mode: str = "balanced", limit: object = 12, types: Sequence[str] = (), condition: Column | None = None, quota: int = 0) -> DataFrame | dict[str, Any]:
-    """Scoped hybrid search: prefilter, both ranks, fusion, diversity, repeated texts, balance or quota."""
-    if not codes:
+def refuse_scope(named: dict[str, Any], valid: bool = False) -> dict[str, Any] | None:
+    """None for one property or more, else an error with the tool to ask first; with ``valid`` codes must have a code's form."""
+    if named["scope"] == "global":
         return {"error": "a property code is needed", "next": "discover"}
+    wrong = [c for c in named["codes"] if not re.fullmatch(r"[A-Z]{2}\d{7}|\d{4,6}", c)]
+    return {"error": "not the form of a property code", "value": wrong, "next": "list_properties"} if valid and wrong else None
+
+
+def search_chunks(chunks: DataFrame, documents: DataFrame, vector: Sequence[float], terms: Sequence[str], codes: Sequence[str], mode: str = "balanced", limit: object = 12, types: Sequence[str] = (), condition: Column | None = None, quota: int = 0, rerank: Provider | None = None, per_source: int | None = None, first: int | None = None, last: int | None = None, question: str = "") -> DataFrame | dict[str, Any]:
+    """Scoped hybrid search: prefilter, both ranks, fusion, diversity, repeated texts, cap by source, rerank, balance or quota.
+
+    ``rerank`` is a model of passages; without it, or where it gives no score, the fused order stays. A span
+    ``first`` to ``last`` of three years or more is asked year by year.
+    """
+    if refused := refuse_scope(scope(codes)):
+        return refused
     if mode not in search.MODES:
         return {"error": "unknown mode", "allowed": list(search.MODES)}
     n, (cap, least) = lookup.clamp(limit, 12, MAX_RESULTS), search.MODES[mode]
@@ -33,7 +47,18 @@ def search_chunks(chunks: DataFrame, documents: DataFrame, vector: Sequence[floa
         base, cap, least = base.where(F.col("source_file").isin(files)), search.dynamic_cap(n, groups), 0.05
     rows = base.join(documents.select("source_file", "doc_group", "year", "status"), "source_file", "left")
     rows = rows.withColumn("query_id", F.lit(0)).withColumn("vec", search.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))).withColumn("lex", search.lexical(F.col("text"), terms))
-    found = search.first_of_text(search.diversified(search.fused(search.ranked(rows), search.type_boost(types)), cap, least))
+    rows = search.without_procedure(rows, question, mode)
+    spanned = first is not None and last is not None and last - first >= 2
+    ranked = search.ranked_by_year(rows, first, last) if spanned else search.ranked(rows.where(F.col("year").between(first, last)) if first is not None and last is not None else rows)
+    found = search.first_of_text(search.diversified(search.fused(ranked, search.type_boost(types)), cap, least))
+    if per_source:
+        found = search.capped_by_source(found, per_source)
+    if rerank is not None:
+        names = F.regexp_extract("source_file", "[^/]*$", 0)
+        scored = found.withColumn("rerank", rerank(tx.passage(F.col("doc_type"), names, F.col("text"))))
+        found = search.reranked(scored).withColumn("rrf", F.coalesce(F.col("final") + 1, F.col("rrf"))).drop("place", "in_pool", "final")  # reranked ones first
+    if spanned:
+        return search.yearly(found, first, last, n)
     if len(codes) > 1:
         return search.balanced(found, len(codes), n)
     return search.with_quota(found, n, F.col("doc_type") == "RCP", quota) if quota else search.best(found, n)
@@ -78,8 +103,19 @@ def find_links(registry: DataFrame, name: str) -> DataFrame:
     return registry.where(tx.fold_latin(F.col("key")).contains(tx.fold_latin(F.lit(name))))
 
 
-def property_overview(documents: DataFrame, code: str) -> DataFrame:
-    return overview.facts(documents.where(F.col("code") == code))
+def property_overview(documents: DataFrame, code: str, stored: DataFrame | None = None) -> DataFrame:
+    """Facts of a property and, where a stored summary is given (code, n_documents, last_meeting), why it is out of date."""
+    facts = overview.facts(documents.where(F.col("code") == code))
+    if stored is None:
+        return facts
+    why = incremental.stale(stored.where(F.col("code") == code), facts, "code", ["n_documents", "last_meeting"])
+    return facts.join(why, "code", "left").withColumn("fresh", F.col("reasons").isNull())
+
+
+def erp_records(rows: DataFrame, fields: dict[str, str], tenant: Sequence[str], labels: str = "labels", tokens: Sequence[str] = (), searched: Sequence[str] = (), first: Sequence[str] = (), counted: dict[str, str] | None = None) -> DataFrame:
+    """Records of an ERP that the tenant may see and that hold all tokens, under the names callers know."""
+    seen = rows.where(lookup.allowed(labels, tenant))
+    return records.projected(seen.where(lookup.all_tokens(searched, tokens)) if tokens and searched else seen, fields, first, counted)
 
 
 def log_feedback(spark, path: str, rating: int, comment: str, question: str) -> None:

@@ -30,12 +30,34 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def values(rows: list[tuple]) -> str:
+    """A table of constants in SQL."""
+    value = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows) + ")"
+
+
 def _accents(c: str) -> str:
     return f"translate({c}, '{tx._ACCENTS}', '{tx._PLAIN}')"
 
 
 def _canonical(c: str) -> str:
-    return f"trim(regexp_replace(lower({_accents(c)}), '[^a-z0-9_]+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower(regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_]+', ' ', 'g'))"
+
+
+def _readable(c: str, strict: bool = False) -> str:
+    """The reason by the seven tests of readability."""
+    text = f"{c}"
+    alpha = f"(length({text}) - length(regexp_replace({text}, '[\\p{{L}} ]', '', 'g'))) / length({text})::double"
+    control = f"(length({text}) - length(regexp_replace({text}, '[^\\P{{C}}\\n\\r\\t]', '', 'g'))) / length({text})::double"
+    words = lambda x: f"regexp_extract_all({x}, '[a-zA-ZÀ-ÿ]{{3,}}')"
+    various = lambda x: f"len(list_distinct({words(f'lower({x})')})) / greatest(1, len({words(f'lower({x})')}))::double"
+    traces = " OR ".join(f"regexp_matches(left({text}, 2000), '{p}')" for p in (*chunking.BINARY[:3], "[\\x{10000}-\\x{10FFFF}]{3,}"))
+    lines = f"list_filter(list_transform(string_split({text}, chr(10))[1:50], lambda y: trim(y)), lambda y: y <> '')"
+    codes = f"list_filter({lines}, lambda y: length(y) > 20 AND len({words('y')}) < 2)"
+    return f"""CASE WHEN {text} IS NULL OR length(trim({text})) < 30 THEN 'short' WHEN {control} > 0.15 THEN 'control' WHEN {alpha} < {0.45 if strict else 0.35} THEN 'alpha'
+        WHEN ({traces}) AND NOT ({alpha} > 0.55 AND len({words(text)}) > 20) THEN 'binary' WHEN ({traces}) AND {various(f'left({text}, 3000)')} < 0.30 THEN 'binary_repetitive'
+        WHEN regexp_matches(left({text}, 2000), '{chunking.WORD_MARKUP}') AND ({alpha} < 0.60 OR {various(text)} < 0.40) THEN 'markup' WHEN regexp_matches(left({text}, 500), '{chunking.IMAGE_HEADERS}') AND {alpha} < 0.40 THEN 'image'
+        WHEN len({words(text)}) < {10 if strict else 5} THEN 'words' WHEN len({lines}) > 5 AND len({codes}) / len({lines})::double > 0.70 THEN 'garbage' ELSE 'ok' END"""
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -222,23 +244,22 @@ def _(v):
 
 @query("p7_years_or_unknown", with_views("documents") + "SELECT doc_id FROM v_documents WHERE nullif(year, 2016) IS NULL OR year BETWEEN 2019 AND 2020")
 def _(v):
-    year = F.nullif("year", F.lit(2016))
-    return v.documents.where(year.isNull() | year.between(2019, 2020)).select("doc_id")
+    return v.documents.withColumn("year", F.nullif("year", F.lit(2016))).where(analytics.years("year", 2019, 2020, unknown=True)).select("doc_id")
 
 
 @query("p8_array_overlap", with_views("parties") + "SELECT order_id FROM v_parties WHERE list_has_any(parties, ['Supplier#000000001', 'Supplier#000000002'])")
 def _(v):
-    return v.parties.where(F.arrays_overlap("parties", F.array(F.lit("Supplier#000000001"), F.lit("Supplier#000000002")))).select("order_id")
+    return v.parties.where(analytics.overlaps("parties", ["Supplier#000000001", "Supplier#000000002"])).select("order_id")
 
 
 @query("p9_contains", with_views("cases") + "SELECT case_id FROM v_cases WHERE lower(party) LIKE '%customer#000000%' AND lower(party) LIKE '%7'")
 def _(v):
-    return v.cases.where(F.lower("party").contains("customer#000000") & F.lower("party").endswith("7")).select("case_id")
+    return v.cases.where(analytics.holds("party", "Customer#000000") & analytics.holds("party", "7", anywhere=False)).select("case_id")
 
 
 @query("p10_regex_extract", with_views("cases") + "SELECT case_id, regexp_extract(party, '([0-9]+)$', 1) AS number FROM v_cases WHERE regexp_matches(party, '#0*[1-9][0-9]$')")
 def _(v):
-    return v.cases.where(F.col("party").rlike("#0*[1-9][0-9]$")).select("case_id", F.regexp_extract("party", "([0-9]+)$", 1).alias("number"))
+    return analytics.extracted(v.cases, "party", "#0*[1-9][0-9]$", "([0-9]+)$", "number").select("case_id", "number")
 
 
 _CODES = "(VALUES (1, 'aa0 000-001'), (2, '12345'), (3, 'x'), (4, ''), (5, NULL), (6, 'BB1234567')) t(id, code)"
@@ -253,8 +274,8 @@ def _(v):
 
 @query("p15_alias", "SELECT c_custkey, coalesce(n_name, 'UNKNOWN') AS canonical FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
 def _(v):
-    alias = v.table("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), "n_name")
-    return v.table("customer").join(alias, F.col("c_nationkey") == F.col("k"), "left").select("c_custkey", F.coalesce("n_name", F.lit("UNKNOWN")).alias("canonical"))
+    alias = v.table("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("key_"), F.col("n_name").alias("name_"))
+    return lookup.canonical_of(v.table("customer"), "c_nationkey", alias, "canonical").select("c_custkey", "canonical")
 
 
 @query("p16_tenant", with_views("parties") + "SELECT order_id FROM v_parties WHERE len(list_filter(parties, lambda x: contains(x, '00003') OR contains(x, '00007'))) > 0")
@@ -331,14 +352,19 @@ def _(v):
     return overview.property_list(v.documents, v.chunks, v.cases).select("code", "n_documents", "n_chunks", "has_cases")
 
 
-_SAME = """list_has_all(a.names, b.names) OR list_has_all(b.names, a.names)"""
+def _parties(v: Views) -> DataFrame:
+    """Cases whose party is a word for each customer, every other one with a second word: one set of words may hold another."""
+    word = F.translate(F.substring("party", 10, 20), "0123456789", "abcdefghij")
+    return v.cases.withColumn("party", F.concat_ws(" ", word, F.when(F.col("case_id").cast("long") % 2 == 0, F.lower("status"))))
+
+
+_EVENTS = """, e AS (SELECT case_id, code, case_type, opened, amount, translate(substr(party, 10, 20), '0123456789', 'abcdefghij') AS w, list_sort(list_distinct(regexp_extract_all(translate(substr(party, 10, 20), '0123456789', 'abcdefghij') || CASE WHEN case_id::bigint % 2 = 0 THEN ' ' || lower(status) ELSE '' END, '[a-z]{3,}'))) AS names FROM v_cases),
+    link AS (SELECT a.case_id AS a, b.case_id AS b FROM e a JOIN e b ON a.code = b.code AND a.case_type = b.case_type AND a.w = b.w AND a.case_id < b.case_id AND abs(datediff('day', a.opened, b.opened)) <= 30 AND (list_has_all(a.names, b.names) OR list_has_all(b.names, a.names))) """
 
 
-@query("j10_event_links", with_views("cases") + """, e AS (SELECT case_id, code, case_type, opened, list_sort(list_distinct(regexp_extract_all(lower(party), '([a-z]{3,})', 1))) AS names, substr(party, 10) AS p FROM v_cases WHERE case_type = 'TRAVAUX')
-    SELECT a.case_id AS a, b.case_id AS b FROM e a JOIN e b ON a.code = b.code AND a.p = b.p AND a.case_id < b.case_id AND abs(datediff('day', a.opened, b.opened)) <= 30""")
+@query("j10_event_links", with_views("cases") + _EVENTS + "SELECT * FROM link")
 def _(v):
-    c = v.cases.where("case_type = 'TRAVAUX'").withColumn("party", F.translate(F.substring("party", 10, 20), "0123456789", "abcdefghij"))
-    return entities.event_links(c)
+    return entities.event_links(_parties(v))
 
 
 @query("j12_only_candidate", with_views("cases") + """, e AS (SELECT * FROM v_cases WHERE case_id::bigint % 2 = 0), f AS (SELECT * FROM v_cases WHERE case_id::bigint % 2 = 1), p AS (SELECT e.case_id AS erp_id, f.case_id, count(*) OVER (PARTITION BY e.case_id) AS n FROM e JOIN f ON e.code = f.code AND e.opened = f.opened AND e.case_type = f.case_type) SELECT erp_id, case_id FROM p WHERE n = 1""")
@@ -523,10 +549,13 @@ def _(v):
     return v.spark.createDataFrame(rows, "id int, s string").select("id", F.coalesce(F.array_join(F.reverse(F.sort_array(found)), ","), F.lit("")).alias("dates"))
 
 
-@query("dt3_padded_dates", "SELECT id, d::date AS d FROM (VALUES (1, '2020-01-01'), (2, '2020-05-01'), (3, '2020-05-06'), (4, NULL), (5, NULL), (6, NULL)) t(id, d)")
+_DATES = [(1, "2020"), (2, "2020-05"), (3, "2020-05-06T10"), (4, "2020-13"), (5, "soon"), (6, None), (7, " 2021-02-03 "), (8, "2021-2-3"), (9, "2021-02-30"), (10, "")]
+
+
+@query("dt3_padded_dates", f"""SELECT id, try_cast(CASE WHEN regexp_full_match(d, '\\d{{4}}') THEN d || '-01-01' WHEN regexp_full_match(d, '\\d{{4}}-\\d{{2}}') THEN d || '-01' WHEN regexp_full_match(d, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN d END AS date) AS d,
+    CASE WHEN regexp_full_match(d, '\\d{{4}}(-\\d{{1,2}})?(-\\d{{1,2}})?') THEN left(d, 4) || '-' || lpad(coalesce(nullif(split_part(d, '-', 2), ''), '1'), 2, '0') || '-' || lpad(coalesce(nullif(split_part(d, '-', 3), ''), '1'), 2, '0') END AS loose FROM (SELECT id, trim(d) AS d FROM {values(_DATES)} t(id, d))""")
 def _(v):
-    rows = [(1, "2020"), (2, "2020-05"), (3, "2020-05-06T10"), (4, "2020-13"), (5, "soon"), (6, None)]
-    return v.spark.createDataFrame(rows, "id int, s string").select("id", dt.padded(F.col("s")).alias("d"))
+    return v.spark.createDataFrame(_DATES, "id int, s string").select("id", dt.padded(F.col("s")).alias("d"), dt.padded_text(F.col("s")).alias("loose"))
 
 
 @query("dt6_years", with_views("documents") + "SELECT doc_id, unnest(range(year, year + 3))::int AS y FROM v_documents")
@@ -534,13 +563,19 @@ def _(v):
     return v.documents.select("doc_id", F.explode(dt.years(F.col("year"), F.col("year") + 2)).alias("y"))
 
 
-@query("x14_category", """SELECT id, c AS category FROM (VALUES (1, 'PROCEDURE_AG'), (2, 'PROCEDURE_AG'), (3, 'ELECTION_CS'), (4, 'GOUVERNANCE'), (5, 'FOND'), (6, NULL)) t(id, c)""")
+_MINUTES = [
+    (1, "PV_AG", 0, "x"), (2, "PV_AG", 1, "Approbation des comptes"), (3, "PV_AG", 2, "Renouvellement des membres du conseil syndical"), (4, "PV_AG", 3, "Rapport d'activité du conseil syndical"), (5, "PV_AG", 4, "Travaux de toiture"), (6, "RCP", 1, "quitus"),
+    (7, "PV_AG", 5, "Désignation du Secrétaire de séance"), (8, "PV_AG", 6, "donner quitus"), (9, "PV_AG", 7, "Candidature de Madame Zoé"), (10, "PV_AG", 8, "Dispense de mise en concurrence"), (11, "PV_AG", 9, "x" * 600 + " quitus au syndic"), (12, "PV_AG", 2, None),
+]
+_BY_PATTERN = " ".join(f"WHEN regexp_matches(left(s, 500), '(?i){p}') THEN '{name}'" for name, patterns in chunking.CATEGORIES.items() for p in patterns)
+
+
+@query("x14_category", f"SELECT id, CASE WHEN kind <> 'PV_AG' THEN NULL WHEN k = 0 THEN 'PROCEDURE_AG' {_BY_PATTERN} ELSE 'FOND' END AS category FROM {values(_MINUTES)} t(id, kind, k, s)")
 def _(v):
-    rows = [(1, "PV_AG", 0, "x"), (2, "PV_AG", 1, "Approbation des comptes"), (3, "PV_AG", 2, "Membres du conseil syndical"), (4, "PV_AG", 3, "Rapport d'activité"), (5, "PV_AG", 4, "Travaux de toiture"), (6, "RCP", 1, "quitus")]
-    return v.spark.createDataFrame(rows, "id int, kind string, k int, s string").select("id", chunking.category(F.col("s"), F.col("kind"), F.col("k"), chunking.CATEGORIES).alias("category"))
+    return v.spark.createDataFrame(_MINUTES, "id int, kind string, k int, s string").select("id", chunking.category(F.col("s"), F.col("kind"), F.col("k"), chunking.CATEGORIES).alias("category"))
 
 
-@query("x1_readable", "SELECT doc_id, CASE WHEN length(trim(text)) < 30 THEN 'short' WHEN length(regexp_replace(text, '[\\p{L}\\s]', '', 'g')) / length(text) > 0.65 THEN 'alpha' WHEN len(regexp_extract_all(text, '\\p{L}{3,}')) < 5 THEN 'words' ELSE 'ok' END AS reason FROM documents")
+@query("x1_readable", f"SELECT doc_id, {_readable('text')} AS reason FROM documents")
 def _(v):
     return v.table("documents").select("doc_id", chunking.readable(F.col("text"))["reason"].alias("reason"))
 
@@ -556,7 +591,9 @@ def _(v):
     return chunking.chunked(docs)
 
 
-@query("x2_file_verdict")
+@query("x2_file_verdict", f"""WITH b AS (SELECT doc_id, text, ceil(length(text) / 1000.0)::int AS blocks FROM documents), n AS (SELECT *, greatest(1, least(100, blocks)) AS n FROM b), t AS (SELECT *, greatest(1, blocks // n)::int AS step FROM n),
+    g AS (SELECT *, len(list_filter(list_transform(range(n), lambda k: substr(text, (k * step * 1000 + 1)::int, 1000)), lambda x: ({_readable('x')}) = 'ok')) AS good FROM t)
+    SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 30 THEN 'SKIP' WHEN good / n::double >= 0.10 THEN 'OK' ELSE 'PLACEHOLDER' END AS verdict FROM g""")
 def _(v):
     return v.table("documents").select("doc_id", chunking.file_verdict(F.col("text")).alias("verdict"))
 
@@ -578,7 +615,7 @@ def _(v):
 @query("e2_confirmed_copies")
 def _(v):
     docs = v.table("documents").select("doc_id", "source", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file_name"))
-    return dedup.confirmed_pairs(dedup.profile(docs), ["source"])
+    return dedup.confirmed_pairs(dedup.profile(docs), ["source"]).where("copy")
 
 
 @query("e10_case_groups", with_views("documents") + "SELECT code || '_' || doc_type || '_' || upper(subtype) || '_' || year AS case_id, min(code) AS code, arg_min(status, doc_id) FILTER (status IS NOT NULL) AS party, min(date) AS opened, count(*) AS n FROM v_documents GROUP BY code, doc_type, subtype, year")
@@ -587,22 +624,24 @@ def _(v):
     return entities.case_groups(docs).select("case_id", "code", "party", "opened", F.size("documents").cast("long").alias("n"))
 
 
-@query("e11_clusters")
+@query("e11_clusters", with_views("cases").replace("WITH ", "WITH RECURSIVE ") + _EVENTS + """, two_way AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach AS (SELECT case_id AS a, case_id AS b FROM e UNION SELECT r.a, x.b FROM reach r JOIN two_way x ON r.b = x.a), c AS (SELECT a AS case_id, min(b) AS cluster FROM reach GROUP BY 1)
+    SELECT cluster, min(case_id) AS case_id, min(opened) AS opened, max(opened) AS closed, count(*) AS members, array_to_string(list_sort(list(case_id)), ',') AS documents FROM c JOIN e USING (case_id) GROUP BY 1""")
 def _(v):
-    c = v.cases.where("case_type = 'TRAVAUX'").withColumn("party", F.translate(F.substring("party", 10, 20), "0123456789", "abcdefghij"))
+    c = _parties(v)
     rows = entities.clusters(c, entities.event_links(c)).withColumn("documents", F.array("case_id")).withColumn("closed", F.col("opened"))
-    return entities.merged(rows)
+    return entities.merged(rows).select("cluster", F.array_min("documents").alias("case_id"), "opened", "closed", "members", F.array_join("documents", ",").alias("documents"))
 
 
-@query("e12_erp_match")
+@query("e12_erp_match", with_views("cases") + _EVENTS + """, p AS (SELECT a.case_id AS erp_id, b.case_id, abs(datediff('day', a.opened, b.opened)) AS gap FROM e a JOIN e b ON a.code = b.code AND a.w = b.w AND a.case_id::bigint % 3 = 0 AND b.case_id::bigint % 3 <> 0 AND abs(datediff('day', a.opened, b.opened)) <= 30 AND (list_has_all(a.names, b.names) OR list_has_all(b.names, a.names))),
+    one AS (SELECT *, row_number() OVER (PARTITION BY erp_id ORDER BY gap, case_id) AS r FROM p), two AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gap, erp_id) AS q FROM one WHERE r = 1) SELECT erp_id, case_id, gap::int AS gap FROM two WHERE q = 1""")
 def _(v):
-    c = v.cases.withColumn("party", F.translate(F.substring("party", 10, 20), "0123456789", "abcdefghij"))
-    return entities.matched(c.where("cast(case_id as bigint) % 2 = 0"), c.where("cast(case_id as bigint) % 2 = 1"))
+    c = _parties(v)
+    return entities.matched(c.where("cast(case_id as bigint) % 3 = 0"), c.where("cast(case_id as bigint) % 3 <> 0"))
 
 
 @query("e14_closed_types", with_views("documents") + "SELECT doc_id, CASE WHEN doc_type IN ('PV_AG', 'CONTRAT', 'RCP') THEN doc_type ELSE 'AUTRE' END AS doc_type FROM v_documents")
 def _(v):
-    return v.documents.select("doc_id", F.when(F.col("doc_type").isin("PV_AG", "CONTRAT", "RCP"), F.col("doc_type")).otherwise("AUTRE").alias("doc_type"))
+    return v.documents.select("doc_id", analytics.closed_type(F.col("doc_type"), ["PV_AG", "CONTRAT", "RCP"]).alias("doc_type"))
 
 
 @query("i1_snapshot_types", _DIFF + f"SELECT DISTINCT {'([' + ','.join(repr(t) for t in DOC_TYPES) + '])[(doc_id % 5)::int + 1]'} AS doc_type FROM a WHERE path NOT IN (SELECT path FROM b)")
@@ -625,9 +664,7 @@ def _(v):
 
 @query("i8_recent", "SELECT user_id, max(event_id) AS last FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY 1")
 def _(v):
-    e = v.table("events")
-    last = e.agg(F.max("ts").alias("now"))
-    return e.crossJoin(F.broadcast(last)).where("ts > now - interval 24 hours").groupBy("user_id").agg(F.max("event_id").alias("last"))  # one row
+    return analytics.recent(v.table("events"), "ts").groupBy("user_id").agg(F.max("event_id").alias("last"))
 
 
 @query("w8_occurrence", with_views("chunks") + "SELECT chunk_id, code, (row_number() OVER (PARTITION BY code, text ORDER BY source_file, chunk_index) - 1)::int AS k FROM v_chunks")
@@ -651,13 +688,13 @@ def _(v):
 
 @query("j15_single_scope", with_views("cases") + "SELECT party, count(DISTINCT code) = 1 AS single, min(code) AS code FROM v_cases GROUP BY 1")
 def _(v):
-    return v.cases.groupBy("party").agg((F.countDistinct("code") == 1).alias("single"), F.min("code").alias("code"))
+    return analytics.single_scope(v.cases, "party")
 
 
 @query("t16_keyword_search", with_views("cases") + "SELECT case_id FROM v_cases WHERE (contains(lower(party), '00012') AND status = 'EN_COURS') OR contains(case_id, '999') ORDER BY opened DESC NULLS LAST, case_id LIMIT 5")
 def _(v):
     hit = (F.lower("party").contains("00012") & (F.col("status") == "EN_COURS")) | F.col("case_id").contains("999")
-    return v.cases.where(hit).orderBy(F.desc_nulls_last("opened"), "case_id").limit(5).select("case_id")
+    return lookup.keyword_search(v.cases, hit, 5).select("case_id")
 
 
 @query("t18_virtual_rows", _SCORED + "SELECT chunk_id, 1 AS priority FROM (SELECT chunk_id FROM f ORDER BY rrf DESC, chunk_id LIMIT 5) UNION ALL SELECT 'case-1', 0")
@@ -695,15 +732,20 @@ def _(v):
     return v.table("part").select("p_partkey", tx.subtype(F.col("p_type")).alias("subtype"))
 
 
-@query("f9_name_tokens", "SELECT c_custkey, 'customer lancre zoe' AS names FROM customer")
+@query("f9_name_tokens", """SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(c_name || ' Mme Zoe de Lancre ' || c_mktsegment), '[a-z]{3,}'), lambda w: w NOT IN ('monsieur', 'madame', 'mademoiselle', 'mme', 'mlle')))), ' ') AS names,
+    array_to_string(list_sort(regexp_extract_all(regexp_replace(upper('M. ' || c_mktsegment || ' DDE Al'), '\\b(MR|MME|MADAME|MONSIEUR|SINISTRE_DDE|DDE|M)\\b', '', 'g'), '[A-Z]{2,}')), ' ') AS sorted FROM customer""")
 def _(v):
-    return v.table("customer").select("c_custkey", F.array_join(tx.name_tokens(F.concat("c_name", F.lit(" Mme Zoé de Lancre"))), " ").alias("names"))
+    names, person = F.concat("c_name", F.lit(" Mme Zoé de Lancre "), "c_mktsegment"), F.concat(F.lit("M. "), "c_mktsegment", F.lit(" DDE Al"))
+    return v.table("customer").select("c_custkey", F.array_join(tx.name_tokens(names), " ").alias("names"), tx.person_key(person).alias("sorted"))
+
+
+_PATHS = [(1, "raw/AA0000001/x.pdf"), (2, "raw/12345 - Rue/x.pdf"), (3, "note 4321.pdf"), (4, "none"), (5, "5390 - 2-6 BIS/x"), (6, "TIVOLI(5390)"), (7, "a\\\\2025 - b"), (8, "DDE 777 - 13476 - CV"), (9, None)]
 
 
-@query("f12_property_code", "SELECT id, c AS code FROM (VALUES (1, 'AA0000001'), (2, '12345'), (3, '4321'), (4, NULL)) t(id, c)")
+@query("f12_property_code", f"""SELECT id, coalesce(nullif(regexp_extract(p, '^\\s*(\\d{{4,6}})\\s*-\\s*', 1), ''), nullif(regexp_extract(p, '\\((\\d{{4,6}})\\)', 1), ''), nullif(regexp_extract(p, '[\\\\/](\\d{{4,6}})\\s*-\\s*', 1), ''),
+    nullif(regexp_extract(p, '(?:^|[^0-9])(\\d{{4,6}})\\s+-\\s+', 1), ''), nullif(regexp_extract(p, '([A-Z]{{2}}\\d{{7}})', 1), '')) AS code FROM {values(_PATHS)} t(id, p)""")
 def _(v):
-    rows = [(1, "raw/AA0000001/x.pdf"), (2, "raw/12345 - Rue/x.pdf"), (3, "note 4321.pdf"), (4, "none")]
-    return v.spark.createDataFrame(rows, "id int, p string").select("id", tx.property_code(F.col("p")).alias("code"))
+    return v.spark.createDataFrame(_PATHS, "id int, p string").select("id", tx.property_code(F.col("p")).alias("code"))
 
 
 @query("f16_haystack", with_views("cases") + f"SELECT case_id, lower({_accents('concat_ws(chr(32), party, status)')}) AS hay FROM v_cases")
@@ -733,7 +775,7 @@ def _(v):
     return v.cases.select("case_id", F.year("opened").alias("y"), F.abs(F.datediff("opened", F.lit("1996-01-01").cast("date"))).alias("gap"))
 
 
-@query("x3_filtered_chunks")
+@query("x3_filtered_chunks", with_views("chunks") + f"SELECT chunk_id, source_file FROM v_chunks WHERE ({_readable('text', True)}) = 'ok'")
 def _(v):
     return chunking.filtered(v.chunks.drop("embedding"))[0].select("chunk_id", "source_file")
 
@@ -751,7 +793,7 @@ def _(v):
 
 @query("e13_trusted_type", with_views("documents") + "SELECT doc_id, CASE WHEN doc_type = 'RCP' THEN 'RCP' ELSE coalesce(doc_type_fixed, doc_type) END AS doc_type FROM v_documents")
 def _(v):
-    return v.documents.select("doc_id", F.when(F.col("doc_type") == "RCP", "RCP").otherwise(analytics.effective_type()).alias("doc_type"))
+    return v.documents.select("doc_id", analytics.trusted_type().alias("doc_type"))
 
 
 @query("i2_purge", with_views("chunks") + "SELECT chunk_id, source_file FROM v_chunks WHERE doc_id % 9 <> 0")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from foliospark.plans import record_queries  # noqa: F401
 from foliospark.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

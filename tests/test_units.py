@@ -133,3 +133,109 @@ def test_scanned_lines(spark):
     rows = [("d", 1, 10, 0, 10, "b"), ("d", 1, 0, 1, 10, "a"), ("d", 1, 0, 15, 10, "c")]
     df = spark.createDataFrame(rows, "doc string, page int, left int, top int, height int, word string")
     assert files.lines(df).first().text == "a b\nc"
+
+
+def test_exact_ranks_equal_one_window(spark, data):
+    """Ranks dealt over tasks are those of one ordered window, with ties and nulls; a pool keeps the best of both scores."""
+    rows = [(q, f"c{k:04d}", None if k % 97 == 0 else (k * 37 % 50) / 50, float(k % 3)) for q in (0, 1) for k in range(900)]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, vec double, lex double").withColumn("text", F.lit("x"))
+    want = {}
+    for q in (0, 1):
+        for name, at in (("vec", 2), ("lex", 3)):
+            order = sorted((r for r in rows if r[0] == q), key=lambda r: (r[at] is None, -(r[at] or 0), r[1]))
+            for k, r in enumerate(order):
+                want.setdefault((q, r[1]), {})[name] = k + 1
+    got = search.ranked(df).collect()
+    assert {(r.query_id, r.chunk_id): {"vec": r.vec_rank, "lex": r.lex_rank} for r in got} == want and set(df.columns) <= set(got[0].asDict())
+    pool = {(r.query_id, r.chunk_id): (r.vec_rank, r.lex_rank) for r in search.ranked(df, pool=1).collect()}
+    assert pool == {k: (w["vec"], w["lex"]) for k, w in want.items() if 1 in w.values()} and len(pool) == 4
+
+
+def test_copies_equal_all_pairs(spark, data):
+    """Every pair of a source by the same rule, those of equal texts through their class."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text", F.concat(F.lit("doc_"), (F.col("doc_id") % 5).cast("string")).alias("file_name"))
+    p = dedup.profile(docs)
+    side = lambda n: F.struct("doc_id", "norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").alias(n)
+    pairs = p.select("source", side("a")).join(p.select("source", side("b")), "source").where("a.doc_id < b.doc_id")
+    copies = {(r.x, r.y): r.v.score for r in pairs.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), dedup.confirm("a", "b").alias("v")).where("v.copy").collect()}
+    found = {(r.a, r.b): r.score for r in dedup.confirmed_pairs(p, ["source"]).where("copy").collect()}
+    assert found and set(found) <= set(copies) and all(copies[k] == pytest.approx(s) for k, s in found.items())
+    joined = lambda edges: {frozenset(x) for x in _groups(edges)}
+    assert joined(found) == joined(copies)
+
+
+def _groups(edges):
+    of = {}
+    for a, b in edges:
+        whole = of.get(a, {a}) | of.get(b, {b})
+        for x in whole:
+            of[x] = whole
+    return of.values()
+
+
+def test_periods_keep_copies_of_other_months_apart(spark):
+    body = " ".join(f"mot{k}" for k in range(60))
+    names = ["rapport 08-2023.pdf", "rapport 09-2023.pdf", "honoraires-t1-2025.pdf", "honoraires-t3-2025.pdf", "r_2023-08.pdf", "r_2023_08.pdf"]
+    docs = spark.createDataFrame([(k, "s", n, body) for k, n in enumerate(names)], "doc_id int, source string, file_name string, text string")
+    got = {(r.a, r.b) for r in dedup.confirmed_pairs(dedup.profile(docs), ["source"]).where("copy").collect()}
+    assert got == {(0, 4), (0, 5)}
+
+
+def test_folds_as_nfkd(spark):
+    texts = ["Éœß ﬁn", "n° ½ ª", "plain", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(tx.canonical(F.col("s"))).collect()]
+    assert got == ["e fin", "n 12 a", "plain", None]
+
+
+def test_resolutions_and_articles():
+    point = "\n".join(f"{k}- Résolution sur le point numéro {k} " + "avec des mots " * 12 for k in range(1, 6))
+    assert len(chunking.RESOLUTIONS(point)) == 5
+    long = point + "\n6- Travaux de toiture du bâtiment.\n" + "Une phrase assez longue. " * 400 + "En vertu de quoi, cette résolution est adoptée à la majorité."
+    last = chunking.RESOLUTIONS(long)
+    assert all(len(x) <= chunking.HARD_MAX for x in last) and any(x.startswith("[Suite résolution 6- Travaux de toiture") for x in last) and last[-1].endswith("majorité.")
+    articles = "\n".join(f"Artic1e {k} Les lots et leurs parties communes sont décrits ici." for k in range(1, 5))
+    assert len(chunking.ARTICLES(articles)) == 4
+    plain = "Une phrase. " * 300
+    assert chunking.RESOLUTIONS(plain) == chunking.by_size(plain)
+    assert len(chunking.by_headings((r"\s*zzz",), ask=lambda t: r"(?=(?:^|\n)Artic1e)")(articles)) == 4
+
+
+def test_rules_and_unknown_names():
+    assert dedup.rules({"copy_markers": ["x"]})["copy_markers"] == ["x"] and dedup.rules()["stem_min_len"] == 8
+    with pytest.raises(ValueError):
+        dedup.rules({"nothing": 1})
+
+
+def test_near_cells_recall(spark, data):
+    v = spark.read.parquet(f"{data}/embeddings.parquet")
+    asked = search.cells(v.where("vec_id % 100 = 0")).withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in search.near_cells(search.cells(v), asked, 10, probes=8).collect()}
+    found = {(r.query_id, r.vec_id) for r in search.near_cells(search.cells(v), asked, 10, probes=4).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from foliospark.storage import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
+
+
+def test_files_without_reader_have_no_text(tmp_path, spark):
+    assert files.extract("a.pdf", b"%PDF-1.4 x") is None and files.extract("b.MSG", b"x") is None
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "b.txt").write_text("oui")
+    assert {(r.text, r.reason) for r in files.read_texts(spark, str(tmp_path)).collect()} == {(None, "NO_READER"), ("oui", None)}
+    path = [r.path for r in files.read_texts(spark, str(tmp_path)).collect() if r.text is None][0]
+    other = spark.createDataFrame([(path, "lu ailleurs")], "path string, text string")
+    assert {r.text for r in files.read_texts(spark, str(tmp_path), other).collect()} == {"lu ailleurs", "oui"}
+
+
+def test_shrinking_embedding(spark):
+    from foliospark.plans import providers
+
+    picky = lambda t: F.when(F.length(t) < 3000, F.length(t))
+    assert spark.range(1).select(providers.shrinking(picky)(F.repeat(F.lit("x"), 9000)).alias("n")).first().n == 2450
