@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. A longer text is cut after white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

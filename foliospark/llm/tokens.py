@@ -47,7 +47,7 @@ class _Table:
 
     def clear(self) -> None:
         size = 1 << self.bits
-        self.keys, self.first, self.count = np.zeros(size, _U), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.keys, self.first, self.count = np.zeros(size, _U), np.zeros(size, np.int32), np.zeros(size, np.int32)
         self.store, self.stored, self.used = np.zeros(1 << 16, np.uint16), 0, 0
 
     def full(self) -> bool:
