@@ -10,8 +10,9 @@ MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout
 
 
 def _groups(c: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    found = [F.regexp_extract_all(c, F.lit(pattern), k) for k in (year, month, day)]
-    return F.zip_with(F.arrays_zip(found[0].alias("a"), found[1].alias("b")), found[2], lambda ab, d: F.struct(ab["a"].alias("y"), ab["b"].alias("m"), d.alias("d")))
+    """(y, m, d) of all matches: one pass over the text, the groups are taken from the matches."""
+    part = lambda x, k: F.regexp_extract(x, pattern, k)
+    return F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), lambda x: F.struct(part(x, year).alias("y"), part(x, month).alias("m"), part(x, day).alias("d")))
 
 
 def _month_number(m: Column) -> Column:

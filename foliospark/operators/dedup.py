@@ -64,7 +64,7 @@ def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id")
     are joined by these marks, and profiles follow for the distinct pairs. No copy is missed.
     """
     scratch = Scratch(profiles.sparkSession, "copies")
-    held = scratch.write(profiles.select(*block, key, "norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").withColumn("class", F.xxhash64("norm", "name_dates", "name_periods")), "profiles")
+    held = scratch.write(profiles.select(*block, key, "norm", "shingles", "name_dates", "name_periods", "chars").withColumn("class", F.xxhash64("norm", "name_dates", "name_periods")), "profiles")
     first = held.groupBy(*block, "class").agg(F.min(key).alias("rep"))
     ok = F.col("chars") >= TEXT_MIN
     same = held.select(*block, "class", key, "chars").join(first, [*block, "class"]).where(F.col(key) != F.col("rep"))
@@ -77,7 +77,11 @@ def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id")
     a, b = (marked.select(*block, "mark", F.col(key).alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
     near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= JACCARD_MIN * F.greatest("n_a", "n_b"))
     pairs = scratch.write(a.join(b, [*block, "mark"]).where(near).select(*block, "a", "b").distinct(), "pairs")
-    side = lambda name: held.select(*block, F.col(key).alias(name), F.struct("norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").alias(f"p_{name}"))
+    # dates of texts, four expressions over each whole text, are looked for in these documents only
+    met = pairs.select(*block, F.explode(F.array("a", "b")).alias(key)).distinct()
+    dated = scratch.write(profiles.join(met, [*block, key], "left_semi").select(*block, key, "text_dates"), "dates")
+    whole = held.join(dated, [*block, key])
+    side = lambda name: whole.select(*block, F.col(key).alias(name), F.struct("norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").alias(f"p_{name}"))
     judged = pairs.join(side("a"), [*block, "a"]).join(side("b"), [*block, "b"]).select(*block, "a", "b", confirm("p_a", "p_b").alias("v"))
     return judged.select(*block, "a", "b", "v.*").unionByName(same)
 
