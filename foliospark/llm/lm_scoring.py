@@ -1,11 +1,16 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Words become VOCABULARY token ids: the edge of a text, the corpus's most frequent words, and classes
-of all other words by ending and length. The network predicts the token in a masked place from its
-neighbours on both sides: embeddings of left and right are added, squashed, and give a softmax. Its
-inputs are so few that the whole corpus is summed up, without loss, by how often each (left, token,
-right) stands in it; the network is trained in numpy on these counts of all documents, all at once,
-and a table of its log-probabilities scores every place of every document.
+Words become token ids: the edge of a text, the corpus's most frequent words, and classes of all
+other words by ending and length. The network predicts the token in a masked place from REACH places
+on each side: embeddings of all of them are added, squashed, and give a softmax. The two nearest
+places are seen as the very words there (the INNER most frequent of the words in classes have
+embeddings of their own), those farther off as tokens.
+
+Training is from coarse to fine. How often each (left, token, right) stands in the corpus sums up
+all documents without loss for a network of one neighbour a side, which is trained on these counts
+at once. It is where the whole network starts: each word with its class's embedding, the farther
+places with none. Then every task takes steps over all its documents, and what the tasks learned is
+averaged, each embedding by how often a task met it.
 
 A class says little about the word in it, so a word that stands in a class is scored by the class and
 then by its share of the class's places in the whole corpus: p(word | class) from the counts of all
@@ -30,8 +35,16 @@ VOCABULARY = 1 + WORDS + CLASSES
 HIDDEN, STEPS, RATE, SEED = 32, 150, 0.05, 5
 #: Words of classes whose shares each task holds.
 HEAD = 1 << 16
+#: Words of classes that have embeddings of their own beside a masked place.
+INNER = 1 << 14
+#: Places the network sees on each side.
+REACH = 3
+#: Places a step, its length, and how often a step may count an embedding met many times.
+BATCH, STEP, OFTEN = 1024, 0.05, 16
 #: Words counted before a task hands its counts on.
 FLUSH = 4_000_000
+#: Parameter rows handed on together.
+ROWS = 64
 
 _U = np.uint64
 _KINDS = ta.numbers(606, CLASSES)
@@ -49,31 +62,6 @@ def _docs(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def frequent_words(documents: DataFrame, count: int = WORDS) -> np.ndarray:
-    """Hashes of the most frequent words over all documents; equal counts by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([ta.signed(h), pa.array(n.astype(np.int64))], ["word", "n"])
-
-        for _, _, words in _blocks(batches):
-            held.append(words.hashes)
-            size += len(words.hashes)
-            if size > FLUSH:
-                yield out()
-                size = 0
-        if held:
-            yield out()
-
-    rows = _docs(documents).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count)
-    return np.array([r[0] for r in rows.collect()], np.int64).view(_U)
-
-
 def kinds(words: ta.Words, part: np.ndarray) -> np.ndarray:
     """The class of each word, by ending and length."""
     last = part[words.ends - 1].astype(np.int64)
@@ -112,6 +100,12 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return _docs(documents).mapInArrow(run, "member long, word long, kind int, n long").groupBy("member", "word", "kind").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counted: DataFrame) -> np.ndarray:
+    """Hashes of the WORDS most frequent words of ``word_counts``; equal counts by hash."""
+    rows = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
+    return np.array([r[0] for r in rows.collect()], np.int64).view(_U)
+
+
 def word_shares(counted: DataFrame, frequent: np.ndarray) -> DataFrame:
     """member, log_share of every word that is not frequent: log p(word | class)."""
     rest = counted.where(~F.col("word").isin(frequent.view(np.int64).tolist())) if len(frequent) else counted
@@ -208,56 +202,202 @@ class Network:
         return self.log_probabilities(self.hidden()).transpose(0, 2, 1).astype(np.float32)
 
 
-def learn(documents: DataFrame, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent words (counted unless given) and the table of log-probabilities of a network trained on all documents."""
-    frequent = frequent_words(documents) if frequent is None else frequent
+def shifted(values: np.ndarray, row: np.ndarray, by: int) -> np.ndarray:
+    """The value ``by`` places further right (left if negative) in the same text, else 0 for its edge."""
+    out = np.zeros(len(values), values.dtype)
+    d = abs(by)
+    if d < len(values):
+        same = row[d:] == row[:-d]
+        if by > 0:
+            out[:-d] = np.where(same, values[d:], 0)
+        else:
+            out[d:] = np.where(same, values[:-d], 0)
+    return out
+
+
+def places(words: ta.Words, part: np.ndarray, frequent: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, near, far): near[k] are the embeddings of the next place left and right, far[k] the tokens
+    at distances 2 to REACH, left and right in turn. ``inner``: members of the words with embeddings, ascending."""
+    _, token, _, row = token_ids(words, part, frequent)
+    own = token.copy()
+    classed = np.flatnonzero(token > WORDS)
+    if len(inner) and len(classed):
+        key = member(words.hashes[classed], token[classed] - 1 - WORDS).view(np.int64)
+        at = np.searchsorted(inner, key)
+        at[at == len(inner)] = 0
+        own[classed] = np.where(inner[at] == key, VOCABULARY + at, token[classed])
+    near = np.stack([shifted(own, row, -1), shifted(own, row, 1)])
+    far = np.stack([shifted(token, row, by) for d in range(2, REACH + 1) for by in (-d, d)])
+    return token, near, far
+
+
+class Window:
+    """p(token | window) = softmax(tanh(L[left] + R[right] + sum of O[k][far k] + b) W + c).
+
+    All parameters are rows of one matrix: L, R, O, the columns of W, b, and c in rows of HIDDEN.
+    """
+
+    def __init__(self, base: Network, kind: np.ndarray):
+        """``kind``: the classes of the words with embeddings."""
+        self.n = VOCABULARY + len(kind)
+        start = 1 + WORDS + kind.astype(np.int64)
+        c = np.zeros(-(-VOCABULARY // HIDDEN) * HIDDEN, np.float32)
+        c[:VOCABULARY] = base.p["c"]
+        far = np.zeros((2 * (REACH - 1) * VOCABULARY, HIDDEN), np.float32)
+        side = [np.concatenate([base.p[k], base.p[k][start]]) for k in "LR"]
+        self.set(np.concatenate([*side, far, base.p["W"].T, base.p["b"][None], c.reshape(-1, HIDDEN)]).astype(np.float32))
+
+    def __getstate__(self) -> tuple[int, np.ndarray]:
+        return self.n, self.matrix
+
+    def __setstate__(self, state: tuple[int, np.ndarray]) -> None:
+        self.n = state[0]
+        self.set(state[1])
+
+    def set(self, matrix: np.ndarray) -> None:
+        """Takes the matrix and keeps views of its parts."""
+        self.matrix = matrix
+        v, far, at = VOCABULARY, 2 * (REACH - 1), 2 * self.n
+        self.near = matrix[:at].reshape(2, self.n, HIDDEN)
+        self.far = matrix[at : at + far * v].reshape(far, v, HIDDEN)
+        self.dense = at + far * v
+        self.out, self.b, self.c = matrix[self.dense : self.dense + v], matrix[self.dense + v], matrix[self.dense + v + 1 :].reshape(-1)[:v]
+
+    def hidden(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        x = self.near[0].take(near[0], 0)
+        x += self.near[1].take(near[1], 0)
+        for table, ids in zip(self.far, far, strict=True):
+            x += table.take(ids, 0)
+        x += self.b
+        return np.tanh(x, out=x)
+
+    def probabilities(self, hidden: np.ndarray) -> np.ndarray:
+        z = hidden @ self.out.T
+        z += self.c
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
+
+    def log_p(self, token: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """log p(token | window) of every place."""
+        out = np.empty(len(token))
+        for a in range(0, len(token), BATCH):
+            at = slice(a, a + BATCH)
+            p = self.probabilities(self.hidden(near[:, at], far[:, at]))
+            out[at] = np.log(np.maximum(p[np.arange(len(p)), token[at]], 1e-30))
+        return out
+
+    def step(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, met: np.ndarray) -> None:
+        """One step on the places given; ``met`` counts the places each row of the matrix has learned from."""
+        n = len(token)
+        hidden = self.hidden(near, far)
+        d = self.probabilities(hidden)
+        d[np.arange(n), token] -= 1
+        back = d @ self.out
+        back *= 1 - hidden * hidden
+        whole = STEP * OFTEN / n
+        self.out -= whole * (d.T @ hidden)
+        self.c -= whole * d.sum(0)
+        self.b -= whole * back.sum(0)
+        met[self.dense :] += n
+        first = 0
+        for table, ids in [*zip(self.near, near, strict=True), *zip(self.far, far, strict=True)]:
+            order = np.argsort(ids.astype(np.uint16) if len(table) <= 1 << 16 else ids, kind="stable")
+            of = ids[order]
+            at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            count = np.diff(np.append(at, n))
+            rate = (STEP / (1 + count / OFTEN)).astype(np.float32)
+            table[of[at]] -= np.add.reduceat(back.take(order, 0), at, 0) * rate[:, None]
+            met[first + of[at]] += count
+            first += len(table)
+
+
+def refine(documents: DataFrame, frequent: np.ndarray, inner: np.ndarray, window: Window) -> None:
+    """Steps over every place of all documents in every task; the tasks' changes are averaged into the window."""
+    start = window.matrix
+    size = len(start)
+    schema = "block int, change binary, met binary"
+
+    def pack(block: np.ndarray, change: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+        blobs = [[x[k * ROWS : (k + 1) * ROWS].tobytes() for k in block.tolist()] for x in (change.astype(np.float32), met)]
+        return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["block", "change", "met"])
+
+    def total(met: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(met, np.arange(0, size, ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window.set(start.copy())
+        met = np.zeros(size)
+        for _, part, words in _blocks(batches):
+            token, near, far = places(words, part, frequent, inner)
+            for a in range(0, len(token), BATCH):
+                at = slice(a, a + BATCH)
+                window.step(token[at], near[:, at], far[:, at], met)
+        yield pack(np.flatnonzero(total(met)), (window.matrix - start) * met[:, None], met)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change, met = np.zeros((size, HIDDEN)), np.zeros(size)
+        for batch in batches:
+            for k, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                change[k * ROWS : (k + 1) * ROWS] += np.frombuffer(x, np.float32).reshape(-1, HIDDEN)
+                met[k * ROWS : (k + 1) * ROWS] += np.frombuffer(n)
+        yield pack(np.flatnonzero(total(met)), change, met)
+
+    parts = _docs(documents).mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
+    change, met = np.zeros((size, HIDDEN)), np.zeros(size)
+    rows = parts.toArrow()  # each block of the matrix once
+    for k, x, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        change[k * ROWS : (k + 1) * ROWS] += np.frombuffer(x, np.float32).reshape(-1, HIDDEN)
+        met[k * ROWS : (k + 1) * ROWS] += np.frombuffer(n)
+    window.set((start + change / np.maximum(met, 1)[:, None]).astype(np.float32))
+
+
+def learn(documents: DataFrame, frequent: np.ndarray) -> Network:
+    """The network of one neighbour a side, trained on the counts of all documents."""
     network = Network()
     counts = context_counts(documents, frequent)
     if counts.sum():
         network.train(counts)
-    return frequent, np.ascontiguousarray(network.table())
+    return network
 
 
-def score(documents: DataFrame, frequent: np.ndarray, table: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob (summed over all places), mean_log_prob, for tokens: frequent words and classes.
+class Model:
+    """What scoring needs: frequent words, the window network, and shares of the words of classes.
 
-    Null texts and texts without words have no places: 0 tokens, log_prob 0, mean null. Rows repeated
-    give equal rows; extra columns are not read; an empty table gives an empty result.
+    ``known`` and ``share``: members of the HEAD most frequent words of classes, ascending, and log p(word | class);
+    ``shares``: the table of all of them.
     """
-    flat = table.reshape(-1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, part, words in _blocks(batches):
-            left, token, right, row = token_ids(words, part, frequent)
-            total = np.bincount(row, flat[(left * VOCABULARY + token) * VOCABULARY + right].astype(float), len(ids)).astype(float)
-            n = words.counts
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    return _docs(documents).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    def __init__(self, documents: DataFrame, scratch: Scratch):
+        counted = scratch.write(word_counts(documents), "words")
+        self.frequent = frequent_words(counted)
+        self.shares = scratch.write(word_shares(counted, self.frequent), "shares")
+        # log_share has the class's size in it, so the most frequent words are taken by their counts
+        head = counted.where(~F.col("word").isin(self.frequent.view(np.int64).tolist())) if len(self.frequent) else counted
+        head = head.orderBy(F.desc("n"), "member").limit(HEAD).select("member", "kind", "n")
+        top = head.join(self.shares, "member").orderBy("member").toArrow()  # HEAD rows at most
+        self.known, kind, n, self.share = (np.asarray(top.column(k).combine_chunks()) for k in ("member", "kind", "n", "log_share"))
+        most = np.sort(np.lexsort((self.known, -n))[:INNER])
+        self.inner = self.known[most]
+        self.window = Window(learn(documents, self.frequent), kind[most])
+        refine(documents, self.frequent, self.inner, self.window)
 
 
 def score_words(documents: DataFrame) -> DataFrame:
-    """The columns of ``score``, with a network trained on all documents, and log p(word | class) added for
-    every word that stands in a class, so that each place is scored for the very word in it.
+    """doc_id, n_tokens, log_prob (summed over all places), mean_log_prob, under a network trained on all documents.
+
+    Null texts and texts without words have no places: 0 tokens, log_prob 0, mean null. Rows repeated
+    give equal rows; extra columns are not read; an empty table gives an empty result.
     """
     scratch = Scratch(documents.sparkSession, "lm-scoring")
-    counted = scratch.write(word_counts(documents), "words")
-    by_word = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
-    frequent = np.array([r[0] for r in by_word.collect()], np.int64).view(_U)
-    frequent, table = learn(documents, frequent)
-    flat = table.reshape(-1)
-    shares = scratch.write(word_shares(counted, frequent), "shares")
-    # log_share has the class's size in it, so the most frequent words are taken by their counts
-    head = counted.where(~F.col("word").isin(frequent.view(np.int64).tolist())) if len(frequent) else counted
-    head = head.orderBy(F.desc("n"), "member").limit(HEAD).select("member")
-    top = head.join(shares, "member").orderBy("member").toArrow()  # HEAD rows at most
-    known, share = (np.asarray(top.column(k).combine_chunks()) for k in (0, 1))
+    model = Model(documents, scratch)
+    frequent, inner, known, share, window = model.frequent, model.inner, model.known, model.share, model.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part, words in _blocks(batches):
-            left, token, right, row = token_ids(words, part, frequent)
-            logs = flat[(left * VOCABULARY + token) * VOCABULARY + right].astype(float)
+            token, near, far = places(words, part, frequent, inner)
+            logs, row = window.log_p(token, near, far), words.rows()
             classed = np.flatnonzero(token > WORDS)
             key = member(words.hashes[classed], token[classed] - 1 - WORDS).view(np.int64)
             at = np.searchsorted(known, key)
@@ -270,7 +410,7 @@ def score_words(documents: DataFrame) -> DataFrame:
 
     scored = _docs(documents).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, rest array<long>")
     scored = scratch.write(scored.withColumn("at", F.monotonically_increasing_id()), "scored")
-    added = scored.select("at", F.explode("rest").alias("member")).join(shares, "member").groupBy(F.col("at").alias("at_")).agg(F.sum("log_share").alias("added"))
+    added = scored.select("at", F.explode("rest").alias("member")).join(model.shares, "member").groupBy(F.col("at").alias("at_")).agg(F.sum("log_share").alias("added"))
     whole = scored.drop("rest").join(added, F.col("at") == F.col("at_"), "left")
     total = F.col("log_prob") + F.coalesce("added", F.lit(0.0))
     return whole.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))

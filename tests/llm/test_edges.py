@@ -36,7 +36,6 @@ def results(spark, docs):
     measured = quality.measure(docs)
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
-    frequent, table = lm_scoring.learn(docs)
     folder = token_files._uri(spark, scratch.path("flat"))
     order = scratch.write(token_files.write_token_files(docs, folder), "order")
     return {
@@ -45,7 +44,7 @@ def results(spark, docs):
         3: substrings.remove_repeated_spans(docs.select("doc_id", "text")),
         4: quality.score(measured, quality.fit(measured, labels, F.lit(True), scratch)),
         5: mpeg_audio.digests(mpeg_audio.store_texts(docs)),
-        6: lm_scoring.score(docs, frequent, table),
+        6: lm_scoring.score_words(docs),
         7: token_files.count_tokens(order, folder),
         8: packing.pack(spark, docs, with_ids=True),
         9: near_duplicates.near_duplicates(spark, docs),

@@ -303,46 +303,107 @@ def test_op5_resynchronises_and_verifies():
     assert mpeg_audio.parse(b"no audio at all").offsets == []
 
 
-def test_op6_matches_the_network(spark, data, docs):
+def test_op6_coarse_network(spark, data, docs):
     documents = spark.read.parquet(f"{data}/documents.parquet")
-    frequent = lm_scoring.frequent_words(documents)
+    frequent = lm_scoring.frequent_words(lm_scoring.word_counts(documents))
     counts = lm_scoring.context_counts(documents, frequent)
     assert counts.sum() == sum(len(WORD.findall(t or "")) for t in docs.values())
     network = lm_scoring.Network()
     losses = network.train(counts, steps=60)
     assert losses[-1] < losses[0] - 0.1
-    table = network.table()
-    assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
-    total = sum(r.log_prob for r in lm_scoring.score(documents, frequent, table).collect())
-    assert total == pytest.approx(float((counts * table).sum()), rel=1e-5)
-
-
-def test_op6_scores_the_word_in_a_class(spark, data, docs, monkeypatch, tmp_path):
-    """Equal to a count by hand with all words in the head and with next to none; a rare word is not as good as a frequent one of its class."""
+    assert np.allclose(np.exp(network.table()).sum(1), 1, atol=1e-4)
+
+
+def test_op6_step_follows_the_gradient():
+    """What a step changes is the derivative of the loss, by differences; places not met stay."""
+    rng = np.random.default_rng(3)
+    window = lm_scoring.Window(lm_scoring.Network(), rng.integers(0, lm_scoring.CLASSES, 40))
+    window.set(window.matrix.astype(np.float64) + rng.normal(size=window.matrix.shape) * 0.1)
+    n = 12
+    token = rng.integers(0, lm_scoring.VOCABULARY, n)
+    near, far = rng.integers(0, window.n, (2, n)), rng.integers(0, lm_scoring.VOCABULARY, (2 * (lm_scoring.REACH - 1), n))
+    near[0] = np.where(near[0] == 7, 8, near[0])
+    near[0, :3] = 7
+    start, met = window.matrix.copy(), np.zeros(len(window.matrix))
+    hidden = window.hidden(near, far)
+    assert np.allclose(window.probabilities(hidden).sum(1), 1)
+    window.step(token, near, far, met)
+    moved = start - window.matrix
+    assert met[7] == 3 and not moved[met == 0].any()
+
+    def loss(matrix):
+        window.set(matrix)
+        return -window.log_p(token, near, far).sum()
+
+    for row, rate in ((7, lm_scoring.STEP / (1 + 3 / lm_scoring.OFTEN)), (window.n + near[1, 5], None), (2 * window.n + far[0, 2], None), (window.dense + token[0], lm_scoring.STEP * lm_scoring.OFTEN / n)):
+        rate = rate or lm_scoring.STEP / (1 + met[row] / lm_scoring.OFTEN)
+        for col in (0, 9):
+            up, down = start.copy(), start.copy()
+            up[row, col] += 1e-5
+            down[row, col] -= 1e-5
+            assert moved[row, col] == pytest.approx(rate * (loss(up) - loss(down)) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def by_hand(model, texts):
+    """log_prob of each text, place by place, from the model's parameters and counts of words by hand."""
+    held = {}
+    count, total = collections.Counter(), collections.Counter()
+    for k, t in texts.items():
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        words = ta.Words(raw, np.array([0, len(raw)]), bare=True)
+        _, ids, _, _ = lm_scoring.token_ids(words, raw, model.frequent)
+        held[k] = [(int(h), int(c)) for h, c in zip(words.hashes, ids, strict=True)]
+        rare = [x for x in held[k] if x[1] > lm_scoring.WORDS]
+        count.update(rare)
+        total.update(c for _, c in rare)
+    w, inner, out = model.window, {int(m): lm_scoring.VOCABULARY + i for i, m in enumerate(model.inner)}, {}
+    for k, placed in held.items():
+        own = [inner.get(int(lm_scoring.member(np.array([h], np.uint64), np.array([c - 1 - lm_scoring.WORDS])).view(np.int64)[0]), c) if c > lm_scoring.WORDS else c for h, c in placed]
+        out[k] = 0.0
+        for i, (h, c) in enumerate(placed):
+            x = w.b.astype(float)
+            for side, j in ((0, i - 1), (1, i + 1)):
+                x = x + w.near[side][own[j] if 0 <= j < len(own) else 0]
+            for d in range(2, lm_scoring.REACH + 1):
+                for side, j in ((0, i - d), (1, i + d)):
+                    x = x + w.far[2 * (d - 2) + side][placed[j][1] if 0 <= j < len(placed) else 0]
+            z = w.out.astype(float) @ np.tanh(x) + w.c
+            out[k] += z[c] - np.log(np.exp(z).sum())
+            if c > lm_scoring.WORDS:
+                out[k] += np.log(count[h, c] / total[c])
+    return out
+
+
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, 3])
+def test_op6_scores_every_place(spark, data, docs, monkeypatch, tmp_path, head):
+    """Equal to the same model by hand, with all words in the head and with next to none; a rare word is not as good as a frequent one of its class."""
+    made = []
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "Model", lambda *a, model=lm_scoring.Model: made.append(model(*a)) or made[-1])
     texts = ["common walking home"] * 40 + ["common talking home", "common walking home"]
     filler = [f"f{k}" for k in range(lm_scoring.WORDS) for _ in range(100)]
-    rows = [*enumerate(texts), (99, " ".join(filler)), (100, None), (100, ""), (None, "common walking home")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    frame.write.parquet(str(tmp_path / "documents.parquet"))
-    for path, held in ((str(tmp_path), dict(enumerate(texts)) | {99: " ".join(filler)}), (data, docs)):
-        documents = spark.read.parquet(f"{path}/documents.parquet")
-        frequent, table = lm_scoring.learn(documents)
-        coarse = {r.doc_id: r.log_prob for r in lm_scoring.score(documents, frequent, table).collect()}
-        placed, count, total = {}, collections.Counter(), collections.Counter()
-        for k, t in [*held.items(), *([(None, texts[0])] if path != data else [])]:
-            raw = np.frombuffer((t or "").encode(), np.uint8)
-            words = ta.Words(raw, np.array([0, len(raw)]), bare=True)
-            _, ids, _, _ = lm_scoring.token_ids(words, raw, frequent)
-            placed[k] = [(int(h), int(c)) for h, c in zip(words.hashes, ids, strict=True) if c > lm_scoring.WORDS]
-            count.update(placed[k])
-            total.update(c for _, c in placed[k])
-        for head in (lm_scoring.HEAD, 3):
-            monkeypatch.setattr(lm_scoring, "HEAD", head)
-            got = {r.doc_id: r.log_prob for r in lm_scoring.op6_masked_pseudo_likelihood(spark, path).collect()}
-            for k, p in placed.items():
-                assert got[k] == pytest.approx(coarse[k] + sum(np.log(count[x] / total[x[1]]) for x in p), rel=1e-6, abs=1e-6)
-            if path != data:
-                assert coarse[40] == pytest.approx(coarse[41]) and got[40] < got[41] - 1
+    rows = [*enumerate(texts), (99, " ".join(filler)), (100, None), (100, ""), (1000, "common walking home"), (1001, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for path, held in ((str(tmp_path), dict(rows)), (data, docs)):
+        got = {r.doc_id: r.log_prob for r in lm_scoring.op6_masked_pseudo_likelihood(spark, path).collect()}
+        want = by_hand(made[-1], held)
+        assert all(got[k] == pytest.approx(want[k], rel=1e-4, abs=1e-4) for k in want)
+        if path != data:
+            assert got[40] < got[41] - 1 and got[0] == got[41] == got[1000]
+
+
+def test_op6_learns_from_the_word_beside(spark, tmp_path, monkeypatch):
+    """Words of one class, with and without embeddings of their own: which token follows is seen from the word only."""
+    rng = np.random.default_rng(0)
+    filler = [f"f{k}" for k in range(lm_scoring.WORDS - 2) for _ in range(9000)] + ["red", "blue"] * 2000
+    pair = ("xxbring", "yybring")
+    lines = [" ".join(x for k in rng.integers(0, 2, 40) for x in (pair[k], ("red", "blue")[k])) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(lines), (9999, " ".join(filler))], "doc_id long, text string").coalesce(2)
+    loss = {}
+    for inner in (0, lm_scoring.INNER):
+        monkeypatch.setattr(lm_scoring, "INNER", inner)
+        loss[inner] = -sum(r.log_prob for r in lm_scoring.score_words(docs).collect() if r.doc_id < 9999)
+    assert loss[lm_scoring.INNER] < 0.9 * loss[0]
 
 
 def test_op7_counts_across_blocks(spark, data, docs, tmp_path):
