@@ -35,7 +35,7 @@ VOCABULARY = 1 + WORDS + CLASSES
 HIDDEN, STEPS, RATE, SEED = 32, 150, 0.05, 5
 #: Words of classes whose shares each task holds.
 HEAD = 1 << 16
-#: Words of classes that have embeddings of their own beside a masked place.
+#: Words of classes that have embeddings of their own beside a masked place (with the tokens, ids of 16 bits).
 INNER = 1 << 14
 #: Places the network sees on each side.
 REACH = 3
@@ -116,37 +116,60 @@ def word_shares(counted: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rest.select("member", F.log(F.col("n") / F.element_at(of, F.col("kind"))).alias("log_share"))
 
 
-def token_ids(words: ta.Words, part: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, token, right, row) of every place; edges of a text are token 0."""
-    h, row = words.hashes, words.rows()
-    if not len(h):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    order = np.argsort(frequent)
-    known = frequent[order]
-    ids = 1 + WORDS + kinds(words, part)
-    if len(known):
+def token_ids(words: ta.Words, part: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The token of every word."""
+    h = words.hashes
+    ids = 1 + WORDS + kinds(words, part) if len(h) else np.zeros(0, np.int64)
+    if len(frequent) and len(h):
+        order = np.argsort(frequent)
+        known = frequent[order]
         at = np.searchsorted(known, h)
         at[at == len(known)] = 0
         ids = np.where(known[at] == h, 1 + order[at], ids)
-    left, right = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    same = row[1:] == row[:-1]
-    left[1:] = np.where(same, ids[:-1], 0)
-    right[:-1] = np.where(same, ids[1:], 0)
-    return left, ids, right, row
+    return ids
 
 
-def context_counts(documents: DataFrame, frequent: np.ndarray) -> np.ndarray:
+def encode(documents: DataFrame, frequent: np.ndarray, inner: np.ndarray) -> DataFrame:
+    """doc_id, ids, rest: each word of a text as 16 bits, its row of embeddings, and the members of the words of
+    classes that have none, in order. ``inner``: members of the words that have, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, part, words in _blocks(batches):
+            token = token_ids(words, part, frequent)
+            classed = np.flatnonzero(token > WORDS)
+            key = member(words.hashes[classed], token[classed] - 1 - WORDS).view(np.int64) if len(classed) else np.zeros(0, np.int64)
+            at = np.searchsorted(inner, key)
+            at[at == len(inner)] = 0
+            own = inner[at] == key if len(inner) else np.zeros(len(key), bool)
+            token[classed[own]] = VOCABULARY + at[own]
+            bounds = np.searchsorted(classed[~own], words.bounds)
+            data = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(2 * words.bounds.astype(np.int64)), pa.py_buffer(token.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([ids, data.cast(pa.binary()), ta.lists(key[~own], bounds, pa.int64())], ["doc_id", "ids", "rest"])
+
+    return _docs(documents).mapInArrow(run, "doc_id long, ids binary, rest array<long>")
+
+
+def encoded_blocks(batches: Iterator[pa.RecordBatch], kind: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, own, token, row) of blocks of ``encode``: embeddings and tokens of all words, and the row each is in.
+    ``kind``: the classes of the words with embeddings."""
+    token_of = np.concatenate([np.arange(VOCABULARY), 1 + WORDS + kind.astype(np.int64)])
+    for batch in batches:
+        buf, offsets, _ = ta.column(batch.column(1))
+        for a, b in ta.row_slices(offsets):
+            own = np.frombuffer(buf[offsets[a] : offsets[b]].tobytes(), "<u2").astype(np.int64)
+            yield batch.slice(a, b - a), own, token_of[own], np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]) // 2)
+
+
+def context_counts(encoded: DataFrame, kind: np.ndarray) -> np.ndarray:
     """(left, token, right) counts over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(VOCABULARY**3, np.int64)
         held: list[np.ndarray] = []
         size = 0
-        for _, part, words in _blocks(batches):
-            left, ids, right, _ = token_ids(words, part, frequent)
-            held.append((left * VOCABULARY + ids) * VOCABULARY + right)
-            size += len(ids)
+        for _, _, token, row in encoded_blocks(batches, kind):
+            held.append((shifted(token, row, -1) * VOCABULARY + token) * VOCABULARY + shifted(token, row, 1))
+            size += len(token)
             if size > FLUSH // 4:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
                 held, size = [], 0
@@ -155,14 +178,14 @@ def context_counts(documents: DataFrame, frequent: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["key", "n"])
 
-    rows = _docs(documents).mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # VOCABULARY ** 3 rows at most
+    rows = encoded.select("doc_id", "ids").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # VOCABULARY ** 3 rows at most
     out = np.zeros(VOCABULARY**3)
     out[np.asarray(rows.column("key").combine_chunks())] = np.asarray(rows.column("n").combine_chunks())
     return out.reshape(VOCABULARY, VOCABULARY, VOCABULARY)
 
 
 class Network:
-    """p(token | left, right) = softmax(tanh(L[left] + R[right] + b) W + c)."""
+    """p(token | left, right) = softmax(squash(L[left] + R[right] + b) W + c), squash(x) = x / (1 + |x|)."""
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -171,7 +194,8 @@ class Network:
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
     def hidden(self) -> np.ndarray:
-        return np.tanh(self.p["L"][:, None, :] + self.p["R"][None, :, :] + self.p["b"])
+        x = self.p["L"][:, None, :] + self.p["R"][None, :, :] + self.p["b"]
+        return x / (1 + np.abs(x))
 
     def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
         z = hidden @ self.p["W"] + self.p["c"]
@@ -190,7 +214,7 @@ class Network:
             logs = self.log_probabilities(hidden)
             losses.append(float(-(n * logs).sum()))
             d = places * np.exp(logs) - n
-            back = (d @ self.p["W"].T) * (1 - hidden**2)
+            back = (d @ self.p["W"].T) * (1 - np.abs(hidden)) ** 2
             grad = {"W": hidden.reshape(-1, HIDDEN).T @ d.reshape(-1, VOCABULARY), "c": d.sum((0, 1)), "L": back.sum(1), "R": back.sum(0), "b": back.sum((0, 1))}
             for k, g in grad.items():
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g**2
@@ -215,24 +239,16 @@ def shifted(values: np.ndarray, row: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def places(words: ta.Words, part: np.ndarray, frequent: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, near, far): near[k] are the embeddings of the next place left and right, far[k] the tokens
-    at distances 2 to REACH, left and right in turn. ``inner``: members of the words with embeddings, ascending."""
-    _, token, _, row = token_ids(words, part, frequent)
-    own = token.copy()
-    classed = np.flatnonzero(token > WORDS)
-    if len(inner) and len(classed):
-        key = member(words.hashes[classed], token[classed] - 1 - WORDS).view(np.int64)
-        at = np.searchsorted(inner, key)
-        at[at == len(inner)] = 0
-        own[classed] = np.where(inner[at] == key, VOCABULARY + at, token[classed])
+def places(own: np.ndarray, token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(near, far): near[k] are the embeddings of the next place left and right, far[k] the tokens at distances
+    2 to REACH, left and right in turn."""
     near = np.stack([shifted(own, row, -1), shifted(own, row, 1)])
     far = np.stack([shifted(token, row, by) for d in range(2, REACH + 1) for by in (-d, d)])
-    return token, near, far
+    return near, far
 
 
 class Window:
-    """p(token | window) = softmax(tanh(L[left] + R[right] + sum of O[k][far k] + b) W + c).
+    """p(token | window) = softmax(squash(L[left] + R[right] + sum of O[k][far k] + b) W + c).
 
     All parameters are rows of one matrix: L, R, O, the columns of W, b, and c in rows of HIDDEN.
     """
@@ -269,23 +285,33 @@ class Window:
         for table, ids in zip(self.far, far, strict=True):
             x += table.take(ids, 0)
         x += self.b
-        return np.tanh(x, out=x)
+        size = np.abs(x)
+        size += 1
+        x /= size
+        return x
 
-    def probabilities(self, hidden: np.ndarray) -> np.ndarray:
+    def scores(self, hidden: np.ndarray) -> np.ndarray:
+        """Logits; where they could be large, less the greatest of the place. |hidden| < 1 bounds them all at once."""
         z = hidden @ self.out.T
         z += self.c
-        z -= z.max(1, keepdims=True)
+        if np.abs(self.out).sum(1).max() + np.abs(self.c).max() > 60:
+            z -= z.max(1, keepdims=True)
+        return z
+
+    def probabilities(self, hidden: np.ndarray) -> np.ndarray:
+        z = self.scores(hidden)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z *= (1 / (z @ np.ones(VOCABULARY, z.dtype)))[:, None]
         return z
 
     def log_p(self, token: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         """log p(token | window) of every place."""
-        out = np.empty(len(token))
+        out, one = np.empty(len(token)), np.ones(VOCABULARY, self.matrix.dtype)
         for a in range(0, len(token), BATCH):
             at = slice(a, a + BATCH)
-            p = self.probabilities(self.hidden(near[:, at], far[:, at]))
-            out[at] = np.log(np.maximum(p[np.arange(len(p)), token[at]], 1e-30))
+            z = self.scores(self.hidden(near[:, at], far[:, at]))
+            out[at] = z[np.arange(len(z)), token[at]]
+            out[at] -= np.log(np.exp(z, out=z) @ one)
         return out
 
     def step(self, token: np.ndarray, near: np.ndarray, far: np.ndarray, met: np.ndarray) -> None:
@@ -295,7 +321,9 @@ class Window:
         d = self.probabilities(hidden)
         d[np.arange(n), token] -= 1
         back = d @ self.out
-        back *= 1 - hidden * hidden
+        slope = 1 - np.abs(hidden)
+        slope *= slope
+        back *= slope
         whole = STEP * OFTEN / n
         self.out -= whole * (d.T @ hidden)
         self.c -= whole * d.sum(0)
@@ -313,7 +341,7 @@ class Window:
             first += len(table)
 
 
-def refine(documents: DataFrame, frequent: np.ndarray, inner: np.ndarray, window: Window) -> None:
+def refine(encoded: DataFrame, kind: np.ndarray, window: Window) -> None:
     """Steps over every place of all documents in every task; the tasks' changes are averaged into the window."""
     start = window.matrix
     size = len(start)
@@ -329,8 +357,8 @@ def refine(documents: DataFrame, frequent: np.ndarray, inner: np.ndarray, window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window.set(start.copy())
         met = np.zeros(size)
-        for _, part, words in _blocks(batches):
-            token, near, far = places(words, part, frequent, inner)
+        for _, own, token, row in encoded_blocks(batches, kind):
+            near, far = places(own, token, row)
             for a in range(0, len(token), BATCH):
                 at = slice(a, a + BATCH)
                 window.step(token[at], near[:, at], far[:, at], met)
@@ -344,7 +372,7 @@ def refine(documents: DataFrame, frequent: np.ndarray, inner: np.ndarray, window
                 met[k * ROWS : (k + 1) * ROWS] += np.frombuffer(n)
         yield pack(np.flatnonzero(total(met)), change, met)
 
-    parts = _docs(documents).mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
+    parts = encoded.select("doc_id", "ids").mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
     change, met = np.zeros((size, HIDDEN)), np.zeros(size)
     rows = parts.toArrow()  # each block of the matrix once
     for k, x, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
@@ -353,17 +381,17 @@ def refine(documents: DataFrame, frequent: np.ndarray, inner: np.ndarray, window
     window.set((start + change / np.maximum(met, 1)[:, None]).astype(np.float32))
 
 
-def learn(documents: DataFrame, frequent: np.ndarray) -> Network:
+def learn(encoded: DataFrame, kind: np.ndarray) -> Network:
     """The network of one neighbour a side, trained on the counts of all documents."""
     network = Network()
-    counts = context_counts(documents, frequent)
+    counts = context_counts(encoded, kind)
     if counts.sum():
         network.train(counts)
     return network
 
 
 class Model:
-    """What scoring needs: frequent words, the window network, and shares of the words of classes.
+    """What scoring needs: encoded documents, the window network, and shares of the words of classes.
 
     ``known`` and ``share``: members of the HEAD most frequent words of classes, ascending, and log p(word | class);
     ``shares``: the table of all of them.
@@ -379,9 +407,10 @@ class Model:
         top = head.join(self.shares, "member").orderBy("member").toArrow()  # HEAD rows at most
         self.known, kind, n, self.share = (np.asarray(top.column(k).combine_chunks()) for k in ("member", "kind", "n", "log_share"))
         most = np.sort(np.lexsort((self.known, -n))[:INNER])
-        self.inner = self.known[most]
-        self.window = Window(learn(documents, self.frequent), kind[most])
-        refine(documents, self.frequent, self.inner, self.window)
+        self.inner, self.kind, self.inner_share = self.known[most], kind[most], self.share[most]
+        self.encoded = scratch.write(encode(documents, self.frequent, self.inner), "encoded")
+        self.window = Window(learn(self.encoded, self.kind), self.kind)
+        refine(self.encoded, self.kind, self.window)
 
 
 def score_words(documents: DataFrame) -> DataFrame:
@@ -392,23 +421,24 @@ def score_words(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "lm-scoring")
     model = Model(documents, scratch)
-    frequent, inner, known, share, window = model.frequent, model.inner, model.known, model.share, model.window
+    kind, known, share, window = model.kind, model.known, model.share, model.window
+    share_of = np.concatenate([np.zeros(VOCABULARY), model.inner_share])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, part, words in _blocks(batches):
-            token, near, far = places(words, part, frequent, inner)
-            logs, row = window.log_p(token, near, far), words.rows()
-            classed = np.flatnonzero(token > WORDS)
-            key = member(words.hashes[classed], token[classed] - 1 - WORDS).view(np.int64)
+        for rows, own, token, row in encoded_blocks(batches, kind):
+            logs = window.log_p(token, *places(own, token, row)) + share_of[own]
+            rest = rows.column(2)
+            key = np.asarray(rest.flatten())
+            row_of = np.repeat(np.arange(len(rest)), np.diff(np.asarray(rest.offsets)))
             at = np.searchsorted(known, key)
             at[at == len(known)] = 0
             here = known[at] == key if len(known) else np.zeros(len(key), bool)
-            logs[classed[here]] += share[at[here]]
-            total = np.bincount(row, logs, len(ids)).astype(float)
-            bounds = np.searchsorted(row[classed[~here]], np.arange(len(ids) + 1))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts.astype(np.int64)), pa.array(total), ta.lists(key[~here], bounds, pa.int64())], ["doc_id", "n_tokens", "log_prob", "rest"])
+            total = np.bincount(row, logs, len(rest)) + np.bincount(row_of[here], share[at[here]], len(rest))
+            bounds = np.searchsorted(row_of[~here], np.arange(len(rest) + 1))
+            n = np.bincount(row, minlength=len(rest)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(total.astype(float)), ta.lists(key[~here], bounds, pa.int64())], ["doc_id", "n_tokens", "log_prob", "rest"])
 
-    scored = _docs(documents).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, rest array<long>")
+    scored = model.encoded.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, rest array<long>")
     scored = scratch.write(scored.withColumn("at", F.monotonically_increasing_id()), "scored")
     added = scored.select("at", F.explode("rest").alias("member")).join(model.shares, "member").groupBy(F.col("at").alias("at_")).agg(F.sum("log_share").alias("added"))
     whole = scored.drop("rest").join(added, F.col("at") == F.col("at_"), "left")
