@@ -218,13 +218,18 @@ class Network:
         return self.log_probabilities(self.hidden()).transpose(0, 2, 1).astype(np.float32)
 
 
-def learn(documents: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, Network]:
-    """(left, token, right) counts of all documents, and the network trained on them."""
+def trained(counts: np.ndarray) -> Network:
+    """The network, trained on counts of all documents."""
     network = Network()
-    counts = context_counts(documents, frequent)
     if counts.sum():
         network.train(counts)
-    return counts, network
+    return network
+
+
+def learn(documents: DataFrame, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent words (counted unless given) and the table of log-probabilities of a network trained on all documents."""
+    frequent = frequent_words(documents) if frequent is None else frequent
+    return frequent, np.ascontiguousarray(trained(context_counts(documents, frequent)).table())
 
 
 class Within:
@@ -378,7 +383,8 @@ class Model:
         counted = scratch.write(word_counts(documents), "words")
         by_word = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
         self.frequent = np.array([r[0] for r in by_word.collect()], np.int64).view(_U)
-        self.counts, self.network = learn(documents, self.frequent)
+        self.counts = context_counts(documents, self.frequent)
+        self.network = trained(self.counts)
         self.table = np.ascontiguousarray(self.network.table())
         self.shares = scratch.write(word_shares(counted, self.frequent), "shares")
         # log_share has the class's size in it, so the most frequent words are taken by their counts

@@ -61,6 +61,9 @@ def test_nasty_rows(spark, nasty):
     assert all(0 <= r.score <= 1 for r in got[4])
     assert {r.payload_bytes for r in got[5] if r.doc_id in (1, 2)} == {64}
     assert {r.n_tokens for r in got[6] if r.doc_id in (1, 2, 3)} == {0}
+    words = lm_scoring.score_words(nasty).collect()
+    assert len(words) == n and all(np.isfinite(r.log_prob) and (r.mean_log_prob is None) == (r.n_tokens == 0) for r in words)
+    assert sorted(map(repr, ((r.doc_id, r.n_tokens) for r in words))) == sorted(map(repr, ((r.doc_id, r.n_tokens) for r in got[6])))
     assert len(got[7]) == n and all(r.terminated for r in got[7])
     assert len({r.sequence_id for r in got[8]}) * packing.WINDOW >= sum(r.length for r in got[8])
     near = {(r.doc_id, r.component_id, r.kept) for r in got[9]}
@@ -69,6 +72,7 @@ def test_nasty_rows(spark, nasty):
 
 
 def test_empty_table(spark, nasty):
+    assert lm_scoring.score_words(nasty.limit(0)).count() == 0
     assert {k: df.count() for k, df in results(spark, nasty.limit(0)).items()} == dict.fromkeys(range(1, 10), 0)
 
 
