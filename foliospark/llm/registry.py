@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontamination, language, lm_scoring, mpeg_audio, near_duplicates, packing, quality, substrings, token_files, urls
+from foliospark.llm import decontamination, language, lm_scoring, merkle, mpeg_audio, near_duplicates, packing, quality, substrings, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nnls_packing": packing.op8_nnls_packing,
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
         "op10_url_ngram_filter": urls.op10_url_ngram_filter,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": merkle.oracle()}
