@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontamination, language, lm_scoring, merkle, mpeg_audio, near_duplicates, packing, quality, substrings, token_files, urls
+from foliospark.llm import decontamination, html_text, language, lm_scoring, merkle, mpeg_audio, near_duplicates, packing, quality, spelling, substrings, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_duplicates": near_duplicates.op9_minhash_near_duplicates,
         "op10_url_ngram_filter": urls.op10_url_ngram_filter,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_html_block_rules": html_text.op12_html_block_rules,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_manifest": merkle.oracle()}
+    return {"op11_merkle_manifest": merkle.oracle(), "op13_spelling_variants": spelling.oracle()}
