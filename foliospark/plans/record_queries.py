@@ -11,20 +11,59 @@ from foliospark.operators import chunking, dedup, incremental, lookup, overview,
 from foliospark.plans import providers
 from foliospark.plans.queries import query, values
 from foliospark.plans.views import with_views
+from foliospark.sources import compound, pdf, written
 from foliospark.sources import files as fs
 
 # --- sources and state
 
 
-@query("sc5_readers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'NO_READER' END AS reason FROM documents WHERE doc_id % 50 = 0")
+#: Pages and lines of a text as ``written.pdf_bytes`` lays it out.
+_PDF_PAGES = f"""pages_ AS (SELECT doc_id, p + 1 AS page, array_to_string(list_transform(range((length(t) + {written.LINE - 1}) // {written.LINE}), lambda k: substr(t, k * {written.LINE} + 1, {written.LINE})), chr(10)) AS text
+    FROM (SELECT doc_id, p, substr(text, p * {written.PAGE} + 1, {written.PAGE}) AS t FROM (SELECT doc_id, text, unnest(range(greatest(1, (length(text) + {written.PAGE - 1}) // {written.PAGE}))) AS p FROM documents)))"""
+_PDF_TEXTS = f"""{_PDF_PAGES}, sized AS (SELECT *, length(trim(text)) AS chars FROM pages_), files_ AS (SELECT doc_id, max(page) AS n_pages, avg(chars) AS mean, count(*) FILTER (chars >= 100) / count(*) AS full_, sum(chars) AS chars, string_agg(text, chr(10) ORDER BY page) AS text FROM sized GROUP BY 1),
+    judged AS (SELECT *, CASE WHEN chars = 0 THEN 'VIDE' WHEN NOT (mean >= 300 AND (n_pages <= 2 OR full_ >= 0.8)) THEN 'SCAN' END AS reason FROM files_)"""
+
+
+def _as_pdf(v):
+    """Every document as a PDF file; the five ways to write one take turns."""
+    form = F.element_at(F.array(*map(F.lit, written.FORMS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return written.as_pdf(v.table("documents").withColumn("form", form), "doc_id", "text")
+
+
+def _as_mail(v):
+    day = F.lit(131_000_000_000_000_000) + F.col("doc_id") * 864_000_000_000
+    rows = v.table("documents").select("doc_id", F.concat(F.lit("Dossier "), "source").alias("subject"), F.concat(F.col("lang"), F.lit(" & Fils")).alias("sender"), F.col("text").alias("body"), day.alias("ticks"))
+    return written.as_mail(rows, "doc_id")
+
+
+_SENT = "strftime(make_timestamp(1601, 1, 1, 0, 0, 0) + to_seconds(13100000000 + doc_id * 86400), '%Y-%m-%d %H:%M:%S')"
+
+
+@query("sc5_pdf_pages", f"WITH {_PDF_PAGES} SELECT doc_id, page, text, length(trim(text)) AS chars, NULL AS reason FROM pages_")
 def _(v):
-    """Text files and files without a reader, as bytes."""
-    def read(names: pd.Series, raw: pd.Series) -> pd.Series:
-        return pd.Series([fs.extract(n, bytes(c)) for n, c in zip(names, raw, strict=True)], dtype=object)
+    """Documents written as PDF files, read back page by page."""
+    return pdf.pages(_as_pdf(v), "doc_id")
 
-    rows = v.table("documents").where("doc_id % 50 = 0").withColumn("name", F.when(F.col("doc_id") % 3 == 0, "a.pdf").otherwise("a.txt"))
-    text = F.pandas_udf(read, "string")("name", F.col("text").cast("binary"))
-    return rows.select("doc_id", text.alias("text")).withColumn("reason", F.when(F.col("text").isNull(), "NO_READER"))
+
+@query("sc5_pdf_texts", f"WITH {_PDF_TEXTS} SELECT doc_id, n_pages, CASE WHEN reason IS NULL THEN text END AS text, reason FROM judged")
+def _(v):
+    return pdf.texts(pdf.pages(_as_pdf(v), "doc_id"), "doc_id")
+
+
+@query("sc5_mails", f"SELECT doc_id, 'Dossier ' || source AS subject, lang || ' & Fils' AS sender, {_SENT} AS sent, text AS body, NULL AS reason FROM documents")
+def _(v):
+    return compound.mails(_as_mail(v), "doc_id")
+
+
+@query("sc5_readers", f"""WITH {_PDF_TEXTS} SELECT d.doc_id, CASE d.doc_id % 5 WHEN 0 THEN CASE WHEN reason IS NULL THEN j.text END WHEN 1 THEN d.text WHEN 2 THEN 'Objet: Dossier ' || source || chr(10) || 'De: ' || lang || ' & Fils' || chr(10) || 'Date: ' || {_SENT.replace("doc_id", "d.doc_id")} || chr(10) || chr(10) || d.text END AS text,
+    CASE d.doc_id % 5 WHEN 0 THEN reason WHEN 1 THEN CASE WHEN length(trim(d.text)) = 0 THEN 'VIDE' END WHEN 3 THEN 'ILLISIBLE' WHEN 4 THEN 'NO_READER' END AS reason FROM documents d JOIN judged j USING (doc_id)""")
+def _(v):
+    """Files of five kinds: PDF, text, mail, a PDF by name only, and a format without reader."""
+    plain = v.table("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    kind = F.col("doc_id") % 5
+    files = _as_pdf(v).where(kind == 0).unionByName(_as_mail(v).where(kind == 2)).unionByName(plain.where(~kind.isin(0, 2)))
+    names = F.element_at(F.array(*[F.lit(f"x/file{e}") for e in (".pdf", ".TXT", ".msg", ".PDF", ".xls")]), (kind + 1).cast("int"))
+    return pdf.texts(fs.read_files(files.withColumn("name", names), "doc_id", "name"), "doc_id").select("doc_id", "text", "reason")
 
 
 @query("sc7_lines", "SELECT doc_id::varchar AS doc, string_agg(l, chr(10) ORDER BY k) AS text FROM (SELECT doc_id, k, array_to_string(w[k * 5 + 1:k * 5 + 5], ' ') AS l FROM (SELECT doc_id, w, unnest(range(ceil(len(w) / 5.0)::int)) AS k FROM (SELECT doc_id, (string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '))[1:40] AS w FROM documents WHERE length(trim(text)) > 0 AND doc_id % 10 = 0))) GROUP BY 1")

@@ -12,17 +12,19 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as tx
+from foliospark.sources import compound, pdf
 
 CATEGORIES = {
     ".pdf": "PDF", ".doc": "Word", ".docx": "Word", ".xls": "Excel", ".xlsx": "Excel", ".ppt": "PowerPoint", ".pptx": "PowerPoint", ".msg": "Mail", ".eml": "Mail",
     ".txt": "Texte", ".csv": "Texte", ".jpg": "Image", ".jpeg": "Image", ".png": "Image", ".tif": "Image", ".tiff": "Image", ".zip": "Archive", ".dwg": "Plan",
 }
 SYSTEM_NAMES = ("thumbs.db", "desktop.ini", ".ds_store")
-READABLE = (".pdf", ".docx", ".xlsx", ".pptx", ".msg", ".eml", ".txt", ".csv", ".md", ".html")
+READABLE = (".pdf", ".doc", ".docx", ".xlsx", ".pptx", ".msg", ".eml", ".txt", ".csv", ".md", ".html")
 EXCLUDED = (".zip", ".rar", ".exe", ".mp4", ".mov", ".mp3", ".tmp", ".lnk")
 GOOGLE = (".gdoc", ".gsheet", ".gslides")
 IMAGES = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
@@ -80,7 +82,7 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
 def native_pages(pages: DataFrame) -> DataFrame:
     """path and native: enough characters on average and on most pages to be no scan."""
     full = F.count_if(F.col("chars") >= 100) / F.count("*")
-    return pages.groupBy("path").agg(F.count("*").alias("pages"), ((F.avg("chars") >= 300) & ((F.count("*") <= 2) | (full >= 0.8))).alias("native"))
+    return pages.groupBy("path").agg(F.count("*").alias("pages"), pdf.native(F.avg("chars"), full, F.count("*")).alias("native"))
 
 
 def _text(raw: bytes) -> str:
@@ -114,25 +116,27 @@ def _sheets(z: zipfile.ZipFile) -> str:
     return "\n".join(out)
 
 
-#: Files whose text needs a reader that is not here; ``text`` is null for them, never their bytes.
-NO_READER = (".pdf", ".msg", ".doc", ".xls", ".ppt")
+#: Formats without a reader; their text is null, never their bytes.
+NO_READER = (".xls", ".ppt")
 
 
 def extract(name: str, raw: bytes) -> str | None:
-    """The text of a file by its extension; a broken office file is read as plain text, a format without reader is null."""
-    ext = re.search(r"\.[^.]+$", name.lower())
-    kind = ext.group() if ext else ""
-    if kind in NO_READER:
+    """The text of a file by its extension; a broken office file is read as plain text, a format without reader is null.
+
+    PDF, .msg and .doc files have readers of their own, see ``read_files``.
+    """
+    kind = _extension(name)
+    if kind in (*NO_READER, ".pdf", ".msg", ".doc"):
         return None
     try:
         if kind in (".docx", ".xlsx", ".pptx"):
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
                 if kind == ".docx":
-                    return "\n".join(p for p in _xml_text(z.read("word/document.xml"), "t", "p") if p)
+                    return "\n".join(p for p in _xml_text(z.read("word/document.xml"), "t", "p") if p.strip())
                 if kind == ".xlsx":
                     return _sheets(z)
                 slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-                return "\n".join(p for n in slides for p in _xml_text(z.read(n), "t", "p") if p)
+                return "\n".join(line for k, n in enumerate(slides, 1) for line in [f"--- Slide {k} ---", *(p for p in _xml_text(z.read(n), "t", "p") if p.strip())])
         if kind == ".eml":
             m = email.message_from_bytes(raw, policy=email.policy.default)
             body = m.get_body(("plain", "html"))
@@ -143,23 +147,54 @@ def extract(name: str, raw: bytes) -> str | None:
     return _text(raw)
 
 
-def read_texts(spark: SparkSession, root: str, pages: DataFrame | None = None) -> DataFrame:
-    """path, text, reason of the files below root, by the reader of their format (``pages``: texts of PDF and
-    mail files that another program has read, path and text, stand in for what is missing here).
+def _extension(name: str) -> str:
+    found = re.search(r"\.[^./]+$", name.lower())
+    return found.group() if found else ""
+
 
-    reason is ``NO_READER`` where text is null.
+def read_files(files: DataFrame, key: str = "path", name: str = "path", content: str = "content") -> DataFrame:
+    """key, page, text, chars, reason: the texts of files by the reader of their format, in one pass over their bytes.
+
+    A PDF file has a row for each page (``pdf.pages``), any other file one row without a page. reason is
+    null where text is not: ``NO_READER`` for a format without reader, ``ILLISIBLE`` or ``CHIFFRE`` for a
+    file that its reader cannot open.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "text": [extract(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]})
+    def rows(name: str, raw: bytes) -> list[tuple[int | None, str | None, str | None]]:
+        kind = _extension(name)
+        if kind == ".pdf":
+            return list(pdf.page_texts(raw))
+        if kind in NO_READER:
+            return [(None, None, "NO_READER")]
+        try:
+            text = compound.mail_text(compound.mail(raw)) if kind == ".msg" else compound.word_text(raw) if kind == ".doc" else extract(name, raw)
+        except compound.UNREADABLE:
+            return [(None, None, pdf.BROKEN)]
+        return [(None, text, None)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, label, raw in zip(*batch.columns, strict=True):
+                page, text, reason = zip(*rows(label.as_py() or "", raw.as_py() or b""), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(page), batch.schema.field(0).type), pa.array(page, pa.int32()), pa.array(text, pa.string()), pa.array(reason, pa.string())], names=[key, "page", "text", "reason"])
+
+    read = files.select(F.col(key), F.col(name).alias("name_"), F.col(content)).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, page int, text string, reason string")
+    return read.select(key, "page", "text", F.coalesce(F.length(F.trim("text")), F.lit(0)).alias("chars"), "reason")
+
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    read = raw.select("path", "content").mapInPandas(run, "path string, text string")
+def read_texts(spark: SparkSession, root: str, pages: DataFrame | None = None) -> DataFrame:
+    """path, text, n_pages, reason of the files below root (``pages``: texts that another program has read, path and
+    text, say of scanned files, stand in for what has none here).
+
+    reason says why text is null: ``NO_READER``, ``ILLISIBLE``, ``CHIFFRE`` (encrypted), ``SCAN`` or ``VIDE``. Files
+    of no bytes are not listed by Spark.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    read = pdf.texts(read_files(raw))
     if pages is not None:
         other = pages.select(F.col("path").alias("path_"), F.col("text").alias("text_"))
-        read = read.join(other, F.col("path") == F.col("path_"), "left").select("path", F.coalesce("text", "text_").alias("text"))
-    return read.withColumn("reason", F.when(F.col("text").isNull(), "NO_READER"))
+        read = read.join(other, F.col("path") == F.col("path_"), "left").select("path", F.coalesce("text", "text_").alias("text"), "n_pages", F.when(F.coalesce("text", "text_").isNull(), F.col("reason")).alias("reason"))
+    return read
 
 
 def lines(boxes: DataFrame) -> DataFrame:
