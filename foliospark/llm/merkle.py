@@ -102,6 +102,7 @@ def numbered(scratch: Scratch, leaves: DataFrame) -> tuple[DataFrame, DataFrame]
     """(leaves with their place in their source, parts): ranges of rows in order, added up from counts of the parts."""
     order = ("source", "doc_id", "leaf")
     n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = scratch.write(leaves, "leaves")
     dealt = scratch.write(leaves.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "dealt")
     dealt = dealt.withColumn("part", F.shiftright("at", 33))
     source = Window.partitionBy("source")
