@@ -28,9 +28,10 @@ def fold_ascii(c: Column) -> Column:
     """NFKD, without what is not ASCII, in small letters."""
 
     def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
 
-    return F.pandas_udf(fold, "string")(c)
+    plain = c.rlike("^\\p{ASCII}*$")  # stays in the JVM
+    return F.coalesce(F.when(plain, F.lower(c)), F.pandas_udf(fold, "string")(F.when(~plain, c)))
 
 
 def fold_marks(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as dt
 from foliospark.functions import text as tx
+from foliospark.operators.components import connected_components
 from foliospark.storage import Scratch
 
 # Fixed values of the confirmation rule.
@@ -55,35 +56,96 @@ def confirm(a: str, b: str) -> Column:
     )
 
 
-def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id") -> DataFrame:
-    """Pairs of one block that may be copies, with their verdict.
+def near_units(units: DataFrame, block: list[str], scratch: Scratch, least: float = JACCARD_MIN) -> DataFrame:
+    """block, a, b, score of the units (block, unit, shingles) of one block whose Jaccard similarity is ``least`` or more.
 
-    Documents of equal text, dates and periods are one class: each is paired with the class's smallest
-    key. Of two classes that are copies one shares a shingle with the other among the first tenth of
-    its shingles, in the order of their hashes, and among as many of the other's; so only keys and sizes
-    are joined by these marks, and profiles follow for the distinct pairs. No copy is missed.
+    Shingles are put in one order, the rarest of the block first. Of two units that are so similar, one of
+    the first shingles of each is the same, among as many as may differ and one more; shingles of one unit
+    only are counted, but join with nothing. So a passage that a whole folder shares is no key, as long as a
+    text has enough of its own. The place of the shared shingle and both lengths bound the overlap
+    before any set is compared. Every pair is found.
     """
-    scratch = Scratch(profiles.sparkSession, "copies")
-    held = scratch.write(profiles.select(*block, key, "norm", "shingles", "name_dates", "name_periods", "chars").withColumn("class", F.xxhash64("norm", "name_dates", "name_periods")), "profiles")
-    first = held.groupBy(*block, "class").agg(F.min(key).alias("rep"))
-    ok = F.col("chars") >= TEXT_MIN
-    same = held.select(*block, "class", key, "chars").join(first, [*block, "class"]).where(F.col(key) != F.col("rep"))
-    same = same.select(*block, F.col("rep").alias("a"), F.col(key).alias("b"), ok.alias("copy"), ok.cast("double").alias("score"), F.when(ok, "TEXTE_IDENTIQUE").otherwise("TEXTE_TROP_COURT").alias("reason"))
-
     n = F.size("shingles")
-    prefix = F.slice(F.sort_array("shingles"), F.lit(1), n - F.ceil(n * JACCARD_MIN).cast("int") + 1)
-    reps = held.join(first.select(*block, F.col("rep").alias(key)), [*block, key], "left_semi").where(ok & (n > 0))
-    marked = scratch.write(reps.select(*block, key, n.alias("n"), F.explode(prefix).alias("mark")), "marks")
-    a, b = (marked.select(*block, "mark", F.col(key).alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
-    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= JACCARD_MIN * F.greatest("n_a", "n_b"))
-    pairs = scratch.write(a.join(b, [*block, "mark"]).where(near).select(*block, "a", "b").distinct(), "pairs")
+    tokens = units.where(n > 0).select(*block, "unit", n.alias("n"), F.explode("shingles").alias("token"))
+    shared = tokens.groupBy(*block, "token").agg(F.count("*").alias("times")).where("times > 1")
+    own = Window.partitionBy(*block, "unit")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "token"))
+    placed = tokens.join(shared, [*block, "token"]).select(*block, "unit", "n", "token", place.alias("place"))
+    marked = scratch.write(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1), "marks")
+    a, b = (marked.select(*block, "token", F.col("unit").alias(side), F.col("n").alias(f"n_{side}"), F.col("place").alias(f"at_{side}")) for side in "ab")
+    bound = F.lit(1) + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & (bound >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    pairs = scratch.write(a.join(b, [*block, "token"]).where(fits).select(*block, "a", "b").distinct(), "pairs")
+    side = lambda name: units.select(*block, F.col("unit").alias(name), F.col("shingles").alias(f"s_{name}"))
+    scored = pairs.join(side("a"), [*block, "a"]).join(side("b"), [*block, "b"]).select(*block, "a", "b", tx.jaccard(F.col("s_a"), F.col("s_b")).alias("score"))
+    return scratch.write(scored.where(F.col("score") >= least), "near")
+
+
+def _compared(profiles: DataFrame, block: list[str], key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, judged).
+
+    profiles still have their ``text``: dates are looked for in the texts of near units only.
+
+    members: block, key, unit, named, ok, group, group_size, where a group has equal words, dates and periods of
+    the name and enough text (or not); classes: block, unit, named, class, members of the units that are near
+    another, equal also in dates of the text and length; judged: pairs of classes with their verdict.
+    """
+    named = F.md5(F.to_json(F.struct("name_dates", "name_periods")).cast("binary"))
+    ok = F.col("chars") >= TEXT_MIN
+    held = scratch.write(profiles.select(*block, key, F.coalesce(F.md5(F.col("norm").cast("binary")), F.lit("")).alias("unit"), "shingles", named.alias("named"), "chars", F.coalesce(ok, F.lit(False)).alias("ok")), "profiles")
+    whole = [*block, "unit", "named", "ok"]
+    members = held.drop("shingles").join(held.groupBy(*whole).agg(F.min(key).alias("group"), F.count("*").alias("group_size")), whole)
+    units = scratch.write(held.where("ok").groupBy(*block, F.col("unit").alias("words")).agg(F.first("shingles").alias("shingles"), F.min(key).alias("unit")), "units")
+    near = near_units(units.drop("words"), block, scratch)
+    for end in "ab":  # short keys for the joins by shingles, hashes of the words after them
+        near = near.join(units.select(*block, F.col("unit").alias(end), "words"), [*block, end]).drop(end).withColumnRenamed("words", end)
     # dates of texts, four expressions over each whole text, are looked for in these documents only
-    met = pairs.select(*block, F.explode(F.array("a", "b")).alias(key)).distinct()
-    dated = scratch.write(profiles.join(met, [*block, key], "left_semi").select(*block, key, "text_dates"), "dates")
-    whole = held.join(dated, [*block, key])
-    side = lambda name: whole.select(*block, F.col(key).alias(name), F.struct("norm", "shingles", "text_dates", "name_dates", "name_periods", "chars").alias(f"p_{name}"))
-    judged = pairs.join(side("a"), [*block, "a"]).join(side("b"), [*block, "b"]).select(*block, "a", "b", confirm("p_a", "p_b").alias("v"))
-    return judged.select(*block, "a", "b", "v.*").unionByName(same)
+    met = near.select(*block, F.explode(F.array("a", "b")).alias("unit")).distinct()
+    docs = held.where("ok").drop("shingles", "ok").join(met, [*block, "unit"], "left_semi")
+    found = dt.dates(F.col(text), tx.fold_latin(F.col(text)))
+    dated = profiles.select(*block, key, text).join(docs.select(*block, key), [*block, key], "left_semi").select(*block, key, F.md5(F.to_json(F.struct(found.alias("d"))).cast("binary")).alias("dated"))
+    classed = scratch.write(docs.join(dated, [*block, key]), "dated")
+    classes = classed.groupBy(*block, "unit", "named", "dated", "chars").agg(F.min(key).alias("class"), F.count("*").alias("size"))
+    side = lambda name: classes.select(*block, "named", F.col("unit").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("dated", "chars", "class", "size")])
+    both = near.join(side("a"), [*block, "a"]).join(side("b"), [*block, "b", "named"])
+    reason = (
+        F.when(F.col("dated_a") != F.col("dated_b"), "DATES_TEXTE_DIFFERENTES")
+        .when(F.least("chars_a", "chars_b") / F.greatest("chars_a", "chars_b") < LENGTH_RATIO_MIN, "LONGUEURS_ECARTEES").otherwise("QUASI_IDENTIQUE")
+    )
+    judged = scratch.write(both.select(*block, "class_a", "class_b", "size_a", "size_b", (reason == "QUASI_IDENTIQUE").alias("copy"), "score", reason.alias("reason")), "judged")
+    keyed = classed.join(classes.drop("size"), [*block, "unit", "named", "dated", "chars"]).select(*block, key, "class")
+    return members, keyed, judged
+
+
+def confirmed_pairs(profiles: DataFrame, block: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """block, a, b, copy, score, reason: pairs of one block with equal dates and periods of the name.
+
+    Documents of equal words and name dates are copies of each other: each is paired with the smallest key
+    among them. Documents that are also equal in dates of the text and length are one class; classes of
+    different words are paired by their smallest keys, if they share nine tenths of their shingles. Between
+    texts that differ no copy is missed; pairs with other name dates, which are never copies, are left out.
+    A null text is no copy of anything.
+    """
+    members, _, judged = _compared(profiles, block, key, text, Scratch(profiles.sparkSession, "copies"))
+    same = members.where(F.col(key) != F.col("group"))
+    same = same.select(*block, F.col("group").alias("a"), F.col(key).alias("b"), F.col("ok").alias("copy"), F.col("ok").cast("double").alias("score"), F.when(F.col("ok"), "TEXTE_IDENTIQUE").otherwise("TEXTE_TROP_COURT").alias("reason"))
+    return judged.select(*block, F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "copy", "score", "reason").unionByName(same)
+
+
+def copy_groups(profiles: DataFrame, block: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """block, key, group, links of every document: the smallest key that is reached through copies, and of how many
+    documents it is a copy itself. Copies are counted by classes, never written out."""
+    scratch = Scratch(profiles.sparkSession, "copies")
+    members, keyed, judged = _compared(profiles, block, key, text, scratch)
+    copies = judged.where("copy")
+    ends = copies.select("class_a", "class_b").unionByName(members.where(F.col("ok") & (F.col(key) != F.col("group"))).select(F.col("group").alias("class_a"), F.col(key).alias("class_b")))
+    found = connected_components(ends, "class_a", "class_b", scratch)
+    one_way = [copies.select(*block, F.col(f"class_{x}").alias("class"), F.col(f"size_{y}").alias("more")) for x, y in ("ab", "ba")]
+    more = one_way[0].unionByName(one_way[1]).groupBy(*block, "class").agg(F.sum("more").alias("more"))
+    linked = keyed.join(more, [*block, "class"]).select(*block, key, "more")
+    rows = members.join(linked, [*block, key], "left").join(found.select(F.col("node").alias(key), "component"), key, "left")
+    links = F.when(F.col("ok"), F.col("group_size") - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0).cast("long"))
+    return rows.select(*block, key, F.coalesce("component", key).alias("group"), links.alias("links"))
 
 
 # Words that say a file is signed, or the one that counts.

@@ -612,10 +612,42 @@ def _(v):
     return v.files.join(sizes, "size", "left_semi").groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("e2_confirmed_copies")
+def _sql_dates(text: str) -> str:
+    """Dates of a text as a sorted list of year-month-day strings."""
+    full = lambda y: f"CASE WHEN length({y}) = 2 THEN CASE WHEN {y}::int < 50 THEN 2000 ELSE 1900 END + {y}::int ELSE {y}::int END"
+    one = lambda pattern, y, m, d, fold="": f"list_transform(regexp_extract_all({fold or text}, '{pattern}', 0), lambda x: {{'y': regexp_extract(x, '{pattern}', {y}), 'm': regexp_extract(x, '{pattern}', {m}), 'd': regexp_extract(x, '{pattern}', {d})}})"
+    plain = [one(r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\b", 3, 2, 1), one(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", 1, 2, 3), one(r"\b((?:19|20)\d{2})([01]\d)([0-3]\d)\b", 1, 2, 3)]
+    named = one(rf"\b(\d{{1,2}})(?:er)? ({'|'.join(dt.MONTHS)}) (\d{{4}})\b", 3, 2, 1, f"lower({_accents(text)})")
+    months = "[" + ", ".join(f"'{m}'" for m in dt.MONTHS) + "]"
+    number = f"list_transform(list_concat({', '.join(plain)}), lambda x: [{full('x.y')}, x.m::int, x.d::int])"
+    return f"list_sort(list_distinct(list_filter(list_concat({number}, list_transform({named}, lambda x: [x.y::int, list_position({months}, x.m)::int, x.d::int])), lambda x: x[2] BETWEEN 1 AND 12 AND x[3] BETWEEN 1 AND 31)))"
+
+
+#: Every pair of a language is compared, with the rules of confirmation in their order; names tell two months apart.
+_ALL_COPIES = f"""WITH RECURSIVE e AS (SELECT doc_id, lang, text, length(text) AS chars, doc_id % 2 AS month, {_canonical("text")} AS norm FROM documents),
+    w AS (SELECT *, string_split(norm, ' ') AS words, {_sql_dates("text")} AS dates FROM e),
+    p AS (SELECT *, CASE WHEN norm = '' THEN [] WHEN len(words) < 5 THEN [norm] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' '))) END AS sh FROM w),
+    pairs AS (SELECT a.lang, a.doc_id AS x, b.doc_id AS y, a.norm = b.norm AS same, a.dates = b.dates AS dated, len(list_intersect(a.sh, b.sh)) AS met, len(a.sh) + len(b.sh) AS total, least(a.chars, b.chars) / greatest(a.chars, b.chars)::double AS ratio FROM p a JOIN p b ON a.lang = b.lang AND a.doc_id <> b.doc_id AND a.month = b.month AND least(a.chars, b.chars) >= 100 AND (a.norm = b.norm OR least(a.chars, b.chars) >= 0.9 * greatest(a.chars, b.chars))),
+    copies AS (SELECT lang, x, y, CASE WHEN same THEN 1.0::double ELSE met / (total - met)::double END AS score FROM pairs WHERE same OR (met / (total - met)::double >= 0.9 AND dated AND ratio >= 0.9))"""
+
+
+def _copy_profiles(v):
+    name = F.concat(F.lit("rapport "), F.when(F.col("doc_id") % 2 == 0, "08-2023").otherwise("09-2023"), F.lit(".pdf"))
+    return dedup.profile(v.table("documents").select("doc_id", "lang", "text", name.alias("file_name")))
+
+
+@query("e2_copy_groups", _ALL_COPIES + """, reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, c.y FROM reach r JOIN copies c ON r.b = c.x)
+    SELECT d.lang, d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS "group", (SELECT count(*) FROM copies WHERE x = d.doc_id) AS links FROM documents d""")
+def _(v):
+    """Every document with the group of copies it is in, and the number of its copies."""
+    return dedup.copy_groups(_copy_profiles(v), ["lang"])
+
+
+@query("e2_confirmed_copies", _ALL_COPIES + """, c AS (SELECT p.*, min(p.doc_id) OVER (PARTITION BY lang, norm, month, chars >= 100) AS g, min(p.doc_id) OVER (PARTITION BY lang, norm, month, chars, dates) AS k FROM p)
+    SELECT lang, g AS a, doc_id AS b, true AS copy, 1.0::double AS score, 'TEXTE_IDENTIQUE' AS reason FROM c WHERE g <> doc_id AND chars >= 100
+    UNION SELECT s.lang, x, y, true, round(s.score, 9), 'QUASI_IDENTIQUE' FROM copies s JOIN c a ON a.doc_id = x AND a.k = x JOIN c b ON b.doc_id = y AND b.k = y WHERE x < y AND a.norm <> b.norm""")
 def _(v):
-    docs = v.table("documents").select("doc_id", "source", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file_name"))
-    return dedup.confirmed_pairs(dedup.profile(docs), ["source"]).where("copy")
+    return dedup.confirmed_pairs(_copy_profiles(v), ["lang"]).where("copy").withColumn("score", F.round("score", 9))
 
 
 @query("e10_case_groups", with_views("documents") + "SELECT code || '_' || doc_type || '_' || upper(subtype) || '_' || year AS case_id, min(code) AS code, arg_min(status, doc_id) FILTER (status IS NOT NULL) AS party, min(date) AS opened, count(*) AS n FROM v_documents GROUP BY code, doc_type, subtype, year")

@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.storage import spread
+
 SLICE = 1500
+#: Tables whose rows are long enough that work on them should use all cores.
+TEXTS = ("documents", "pages")
 DOC_TYPES = ("PV_AG", "CONTRAT", "FACTURE", "COURRIER", "RCP")
 
 
@@ -23,7 +27,8 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        found = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(found) if name in TEXTS else found
 
     @property
     def documents(self) -> DataFrame:

@@ -35,6 +35,15 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt to all cores where its files give fewer partitions than there are (a table in one row group).
+
+    Tables of many files have more partitions than cores and are left as they are: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Named intermediate tables of one job below the shared folder."""
 

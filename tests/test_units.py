@@ -226,7 +226,7 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
 def test_files_without_reader_have_no_text(tmp_path, spark):
     assert files.extract("a.pdf", b"%PDF-1.4 x") is None and files.extract("b.MSG", b"x") is None
-    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "a.xls").write_bytes(b"x")
     (tmp_path / "b.txt").write_text("oui")
     assert {(r.text, r.reason) for r in files.read_texts(spark, str(tmp_path)).collect()} == {(None, "NO_READER"), ("oui", None)}
     path = [r.path for r in files.read_texts(spark, str(tmp_path)).collect() if r.text is None][0]
