@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +44,35 @@ def pruned(cache: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return cache.join(seen.select(key).distinct(), key, "left_semi")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None, keep_old_if_null: bool = False) -> DataFrame:
-    """old with new rows by key. ``update`` limits which columns of known keys change; with
-    ``keep_old_if_null`` a null of the new row does not overwrite."""
+def one_row_a_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, each_column: bool = False) -> DataFrame:
+    """rows with one row for each key: the last in the order of ``order``, then of all columns. Rows with a null key go.
+
+    ``each_column``: the last value of each column that is not null, as if rows were applied one after the
+    other. A key may hold a third of all rows: both forms are aggregates with partial results.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    known = rows.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    if not rest:
+        return known.distinct()
+    last = F.struct(*[F.col(c) for c in dict.fromkeys([*(order or ()), *rest]) if c not in keys])
+    if each_column:
+        return known.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), last)).alias(c) for c in rest]).select(*rows.columns)
+    return known.groupBy(*keys).agg(F.max_by(F.struct(*rest), last).alias("last_")).select(*[F.col(c) if c in keys else F.col(f"last_.{c}").alias(c) for c in rows.columns])
+
+
+def refused(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that ``upsert`` refuses: those with a null key."""
+    return rows.where(reduce(or_, [F.col(k).isNull() for k in keys]))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None, keep_old_if_null: bool = False, order: Sequence[str] | None = None) -> DataFrame:
+    """old with new rows by key; a key has one row afterwards, if it had one before.
+
+    ``update`` limits which columns of known keys change; with ``keep_old_if_null`` a null of the new row does
+    not overwrite. Of several new rows of a key the last in the order of ``order`` (columns of new), then of all
+    columns, counts; new rows with a null key are refused; old rows with a null key stay as they are.
+    """
+    new = one_row_a_key(new, keys, order, each_column=keep_old_if_null)
     changed = set(old.columns if update is None else update) - set(keys)
     o, n = old.select("*", F.lit(True).alias("in_old")).alias("o"), new.select("*", F.lit(True).alias("in_new")).alias("n")
     both = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full")

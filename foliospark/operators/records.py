@@ -111,10 +111,14 @@ def refreshed(stored: DataFrame, current: DataFrame, key: str, measures: Sequenc
 
 
 def live_sessions(sessions: DataFrame, now: Column, hours: int = 24) -> DataFrame:
-    """The newest state of each session (session_id, updated_at, deleted) that is younger than ``hours`` and not deleted."""
-    last = Window.partitionBy("session_id").orderBy(F.desc("updated_at"))
-    newest = sessions.withColumn("turn", F.row_number().over(last)).where("turn = 1").drop("turn")
-    return newest.where((F.col("updated_at") > now - F.expr(f"interval {hours} hours")) & ~F.coalesce(F.col("deleted"), F.lit(False))).drop("deleted")
+    """The newest state of each session (session_id, updated_at, deleted and more) that is younger than ``hours`` and not deleted.
+
+    Of states of one time a deletion counts, then the last by the other columns. States without a session are left out.
+    """
+    rest = [c for c in sessions.columns if c not in ("session_id", "updated_at", "deleted")]
+    state = F.struct("updated_at", F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"), *rest)
+    newest = sessions.where("session_id is not null").groupBy("session_id").agg(F.max(state).alias("state")).select("session_id", "state.*")
+    return newest.where((F.col("updated_at") > now - F.expr(f"interval {hours} hours")) & ~F.col("deleted")).drop("deleted").select(*[c for c in sessions.columns if c != "deleted"])
 
 
 # Fields of a claim that may be empty and are then taken from the record it absorbs.

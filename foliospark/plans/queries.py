@@ -12,6 +12,8 @@ from foliospark.functions import text as tx
 from foliospark.operators import analytics, chunking, dedup, entities, incremental, lookup, overview, search
 from foliospark.plans.views import DOC_TYPES, Views, with_views
 from foliospark.sources import files as fs
+from foliospark.sources.keyed import KeyedTable
+from foliospark.storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,23 +98,46 @@ def _(v):
 _DIFF = with_views("files") + ", b AS (SELECT * FROM v_files WHERE doc_id % 10 <> 0), a AS (SELECT * FROM v_files WHERE doc_id % 7 <> 0) "
 
 
-@query("sc11_upsert", with_views("documents") + "SELECT source_file, year + CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 0 END AS year, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'NEW' ELSE status END AS status FROM v_documents")
+def _changes(v):
+    """New rows by key, with later ones of the same key (seq) and some without a key."""
+    new = v.documents.where("doc_id % 3 = 0").select("doc_id", "source_file", F.lit(1).alias("seq"))
+    return new.unionByName(new.where("doc_id % 6 = 0").withColumn("seq", F.lit(2))).unionByName(new.where("doc_id % 5 = 0").withColumns({"source_file": F.lit(None).cast("string"), "seq": F.lit(3)}))
+
+
+@query("sc11_upsert", with_views("documents") + """SELECT source_file, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE year END AS year, CASE WHEN doc_id % 3 = 0 THEN 'NEW' ELSE status END AS status FROM v_documents WHERE doc_id % 9 <> 0
+    UNION ALL SELECT source_file, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END, 'NEW' FROM v_documents WHERE doc_id % 9 = 0 UNION ALL SELECT NULL, -1, NULL FROM (SELECT 1)""")
+def _(v):
+    """Keys that come twice, keys that are not known yet, and rows without a key on both sides."""
+    old = v.documents.where("doc_id % 9 <> 0").select("source_file", "year", "status")
+    old = old.unionByName(v.spark.range(1).select(F.lit(None).cast("string").alias("source_file"), F.lit(-1).alias("year"), F.lit(None).cast("string").alias("status")))
+    new = _changes(v).select("source_file", F.col("seq").alias("year"), F.lit("NEW").alias("status"), "seq")
+    return incremental.upsert(old, new, ["source_file"], order=["seq"])
+
+
+@query("sc12_partial_upsert", with_views("documents") + "SELECT source_file, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE year END AS year, file_name FROM v_documents")
 def _(v):
-    old = v.documents.select("source_file", "year", "status")
-    new = v.documents.where("doc_id % 3 = 0").select("source_file", (F.col("year") + 100).alias("year"), F.when(F.col("doc_id") % 2 == 0, "NEW").otherwise(F.col("status")).alias("status"))
-    return incremental.upsert(old, new, ["source_file"])
+    new = _changes(v).select("source_file", F.col("seq").alias("year"), F.lit("other").alias("file_name"), "seq")
+    return incremental.upsert(v.documents.select("source_file", "year", "file_name"), new, ["source_file"], update=["year"], order=["seq"])
 
 
-@query("sc12_partial_upsert", with_views("documents") + "SELECT source_file, year + CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 0 END AS year, file_name FROM v_documents")
+@query("sc14_coalesce_upsert", with_views("documents") + "SELECT source_file, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'FIRST' ELSE status END AS status, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE year END AS year FROM v_documents")
 def _(v):
-    new = v.documents.where("doc_id % 3 = 0").select("source_file", (F.col("year") + 100).alias("year"), F.lit("other").alias("file_name"))
-    return incremental.upsert(v.documents.select("source_file", "year", "file_name"), new, ["source_file"], update=["year"])
+    """The later row of a key has no status: the earlier one's stays."""
+    new = _changes(v).select("source_file", F.when((F.col("doc_id") % 2 == 0) & (F.col("seq") == 1), "FIRST").alias("status"), F.col("seq").alias("year"), "seq")
+    return incremental.upsert(v.documents.select("source_file", "status", "year"), new, ["source_file"], keep_old_if_null=True, order=["seq"])
 
 
-@query("sc14_coalesce_upsert", with_views("documents") + "SELECT source_file, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'NEW' ELSE status END AS status FROM v_documents")
+@query("sc11_keyed_table", with_views("documents") + """SELECT source_file, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE year END AS year, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'FIRST' WHEN doc_id % 2 = 0 THEN status END AS status
+    FROM v_documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id % 5 <> 0""")
 def _(v):
-    new = v.documents.where("doc_id % 3 = 0").select("source_file", F.when(F.col("doc_id") % 2 == 0, "NEW").alias("status"))
-    return incremental.upsert(v.documents.select("source_file", "status"), new, ["source_file"], keep_old_if_null=True)
+    """A stored table: filled, changed twice by the same rows, and purged."""
+    table = KeyedTable.create(v.spark, Scratch(v.spark, "keyed").path("table"), "source_file string, year int, status string", ["source_file"], buckets=16)
+    table.upsert(v.documents.where("doc_id % 2 = 0").select("source_file", "year", "status"))
+    new = _changes(v).select("source_file", F.when((F.col("doc_id") % 2 == 0) & (F.col("seq") == 1), "FIRST").alias("status"), F.col("seq").alias("year"), "seq")
+    for _ in range(2):
+        table.upsert(new, keep_old_if_null=True, order=["seq"])
+    table.delete(v.documents.where("doc_id % 5 = 0"))
+    return table.read()
 
 
 @query("sc15_replace_by_key", with_views("cases") + "SELECT case_id, CASE WHEN code = 'C3' THEN 0.0 ELSE amount END AS amount FROM v_cases")

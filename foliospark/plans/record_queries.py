@@ -87,12 +87,13 @@ def _(v):
     return records.purged_then_upserted(old, new, "case_id", "code", F.col("case_id").cast("long") % 2 == 0, ["status"]).select("case_id", "status", "amount")
 
 
-@query("sc21_sessions", "SELECT user_id AS session_id, max(ts) AS updated_at FROM events GROUP BY 1 HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND arg_max(event_type, (ts, event_id)) <> 'purchase'")
+@query("sc21_sessions", "SELECT session_id, updated_at, last FROM (SELECT user_id AS session_id, max(ts) AS updated_at, arg_max(event_type = 'purchase', (ts, event_type = 'purchase')) AS deleted, arg_max(event_type, (ts, event_type = 'purchase', event_type)) AS last FROM events GROUP BY 1) WHERE updated_at > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND NOT deleted")
 def _(v):
+    """Every event is a state of its user's session; a purchase ends it."""
     e = v.table("events")
-    last = e.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("updated_at"), (F.max_by("event_type", F.struct("ts", "event_id")) == "purchase").alias("deleted"))
+    states = e.select(F.col("user_id").alias("session_id"), F.col("ts").alias("updated_at"), (F.col("event_type") == "purchase").alias("deleted"), F.col("event_type").alias("last"))
     now = e.agg(F.max("ts").alias("now_"))
-    return records.live_sessions(last.crossJoin(F.broadcast(now)), F.col("now_")).select("session_id", "updated_at")  # one row
+    return records.live_sessions(states.crossJoin(F.broadcast(now)), F.col("now_")).select("session_id", "updated_at", "last")  # one row
 
 
 @query("i6_refreshed", with_views("documents") + "SELECT code, count(*) AS n, CASE WHEN code = 'src3' THEN 'old' ELSE 'new' END AS told FROM v_documents WHERE code <> 'src4' GROUP BY 1 UNION ALL SELECT code, count(*), 'old' FROM v_documents WHERE code = 'src4' GROUP BY 1")
