@@ -241,6 +241,17 @@ def test_op2_joins_a_large_benchmark(spark, monkeypatch, data, tmp_path):
     assert sorted(map(repr, decontamination.stage_decontaminate(spark, docs, str(tmp_path)).collect())) == sorted(map(repr, kept))
 
 
+def test_op2_counts_repeated_items_once(spark, monkeypatch):
+    """In both plans; items of one text and several ids are found each, and so are repeated documents."""
+    asked = "how many apples are left in the basket after lunch"
+    bench = spark.createDataFrame([(7, asked), (7, asked), (8, asked), (None, asked), (None, asked), (9, "name three"), (9, "name three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {asked} today"), (1, f"so {asked} today"), (2, "name three of them")], "doc_id long, text string")
+    want = sorted(map(repr, [(1, 7), (1, 8), (1, None)] * 2 + [(2, 9)]))
+    for chars in (decontamination.BLOCK_CHARS, 1):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+        assert sorted(repr((r.doc_id, r.item_id)) for r in decontamination.contaminated(docs, bench).collect()) == want
+
+
 def test_op2_takes_a_large_benchmark(spark, monkeypatch, data):
     whole = decontamination.op2_template_decontamination(spark, data).collect()
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 5000)
