@@ -6,11 +6,9 @@ query_id, and every ranking ends with chunk_id, so that ties are settled the sam
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,21 +235,3 @@ def lexical_rank(text: Column, title: Column, query: str) -> Column:
         return F.when((F.size(wanted) > 0) & F.forall(hits, lambda x: x > 0), total / (total + 1)).otherwise(0.0)
 
     return tx.let(F.struct(stems(text).alias("body"), stems(F.coalesce(title, F.lit(""))).alias("head")), lambda x: score(x["body"], x["head"]))
-
-
-def cells(vectors: DataFrame, planes: int = 8, size: int | None = None, seed: int = 11) -> DataFrame:
-    """vectors (vec_id, embedding) with ``cell``: the signs of the products with ``planes`` fixed random directions."""
-    n = size or len(vectors.select("embedding").where("embedding is not null").first()[0])
-    rng = np.random.default_rng(seed)
-    bits = [F.when(F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, d)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, d in enumerate(rng.normal(size=(planes, n)).tolist())]
-    return vectors.withColumn("cell", sum(bits, F.lit(0)))
-
-
-def near_cells(indexed: DataFrame, queries: DataFrame, k: int, probes: int = 2, planes: int = 8) -> DataFrame:
-    """query_id, vec_id, similarity of the ``k`` nearest vectors in the cells whose signs differ from the query's in
-    at most ``probes`` planes; both sides have a cell. Exact search is ``top_k``."""
-    masks = [sum(1 << b for b in c) for r in range(probes + 1) for c in itertools.combinations(range(planes), r)]
-    asked = queries.withColumn("probe", F.explode(F.array(*map(F.lit, masks)))).withColumn("cell", F.col("cell").bitwiseXOR(F.col("probe")))
-    pairs = asked.select("query_id", F.col("embedding").alias("query"), "cell").join(indexed.select("vec_id", "embedding", "cell"), "cell")
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)

@@ -206,14 +206,6 @@ def test_rules_and_unknown_names():
         dedup.rules({"nothing": 1})
 
 
-def test_near_cells_recall(spark, data):
-    v = spark.read.parquet(f"{data}/embeddings.parquet")
-    asked = search.cells(v.where("vec_id % 100 = 0")).withColumnRenamed("vec_id", "query_id")
-    exact = {(r.query_id, r.vec_id) for r in search.near_cells(search.cells(v), asked, 10, probes=8).collect()}
-    found = {(r.query_id, r.vec_id) for r in search.near_cells(search.cells(v), asked, 10, probes=4).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-
-
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
