@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -216,6 +217,13 @@ def stem(name: Column, copy: str = "\\b(copie|copy)( de)?\\b|\\(\\d+\\)", versio
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
+def stem_by(name: Column, given: dict[str, Any]) -> Column:
+    """``stem`` with the markers of ``rules``; the order is extension, variants, dates, copies and versions."""
+    union = lambda key: "|".join(f"(?:{p})" for p in given[key]) or "(?!)"
+    suffixes = "|".join(re.escape(x) for x in given["variant_suffixes"])
+    return stem(name, union("copy_markers"), union("version_markers"), f"(?:{suffixes})\\s*$" if suffixes else "(?!)")
+
+
 def version_families(profiles: DataFrame, folder: str = "folder", version: str = "\\b(v ?\\d+|version ?\\d*|vf|vdef|final|definitif|projet)\\b") -> DataFrame:
     """Earlier versions: source_file, ref_source_file, score. Families of 2 to FAMILY_MAX files of one
     folder and stem; the reference has the highest version number, then time, then length."""

@@ -69,27 +69,6 @@ CASE_FIELDS = {
 }
 
 
-# Words that tell what a question is about, in order.
-ROUTES = (
-    ("inventory", "(?i)\\b(tous|toutes|liste|lister|recense|inventaire|historique|chaque)\\b"), ("balanced", "(?i)\\b(compare|comparer|diff[ée]rence|[ée]volution|synth[èe]se|bilan|r[ée]sume)\\b"), ("targeted", "(?i)\\b(quel|quelle|qui|quand|combien|montant|date|num[ée]ro)\\b"),
-)
-
-
-def routed(question: Column) -> Column:
-    """struct(mode, first, last): how a question is searched, by its words, and the years it names; no model is asked."""
-    mode = F.lit("balanced")
-    for name, pattern in reversed(ROUTES):
-        mode = F.when(question.rlike(pattern), name).otherwise(mode)
-    years = F.transform(F.regexp_extract_all(question, F.lit("\\b((?:19|20)\\d{2})\\b"), 1), lambda y: y.cast("int"))
-    return F.struct(mode.alias("mode"), F.array_min(years).alias("first"), F.array_max(years).alias("last"))
-
-
-def asked_for(question: Column) -> Column:
-    """struct(operation, metric): the count, sum or list that a question asks for; null if it asks for none."""
-    operation = F.when(question.rlike("(?i)\\b(combien|nombre)\\b"), "count").when(question.rlike("(?i)\\b(total|somme|montant total|co[ûu]t)\\b"), "sum").when(question.rlike("(?i)\\b(liste|quels|quelles|lister)\\b"), "list")
-    return F.when(operation.isNotNull(), F.struct(operation.alias("operation"), F.when(operation == "sum", "amount").alias("metric")))
-
-
 def shrinking(embed: Provider, most: int = 5000, factor: float = 0.7, tries: int = 4) -> Provider:
     """An embedding that is asked again with less text, ``factor`` of it each time, where it gives null."""
     return lambda text: F.coalesce(*[embed(F.substring(text, 1, round(most * factor**k))) for k in range(tries)])

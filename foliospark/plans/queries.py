@@ -38,6 +38,24 @@ def values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows) + ")"
 
 
+def made(v: Views, expression: str) -> DataFrame:
+    """id, s for every document: a text made of its columns by an expression that Spark and DuckDB both read."""
+    return v.table("documents").select(F.col("doc_id").alias("id"), F.expr(expression).alias("s"))
+
+
+def made_sql(expression: str) -> str:
+    return f"(SELECT doc_id AS id, {expression} AS s FROM documents)"
+
+
+def cases(*expressions: str) -> str:
+    """One of the expressions for each document in turn."""
+    return f"CASE doc_id % {len(expressions)} " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(expressions)) + " END"
+
+
+#: A year, a month, a day, a quarter and a number of four digits or more of a document, as text.
+YEAR, MONTH, DAY, QUARTER, NUMBER = "cast(2000 + doc_id % 25 AS string)", "cast(1 + doc_id % 12 AS string)", "cast(1 + doc_id % 28 AS string)", "cast(1 + doc_id % 4 AS string)", "cast(1000 + doc_id AS string)"
+
+
 def _accents(c: str) -> str:
     return f"translate({c}, '{tx._ACCENTS}', '{tx._PLAIN}')"
 
@@ -287,14 +305,13 @@ def _(v):
     return analytics.extracted(v.cases, "party", "#0*[1-9][0-9]$", "([0-9]+)$", "number").select("case_id", "number")
 
 
-_CODES = "(VALUES (1, 'aa0 000-001'), (2, '12345'), (3, 'x'), (4, ''), (5, NULL), (6, 'BB1234567')) t(id, code)"
+_CODES = cases(f"'aa' || cast(doc_id % 10 AS string) || ' ' || lpad({NUMBER}, 6, '0')", f"lpad({NUMBER}, 5, '9')", "substr(text, 1, 9)", "''", "NULL", f"'Bb' || lpad({NUMBER}, 7, '1')", f"'{'x' * 2}' || {NUMBER}")
 
 
 @query("p14_codes", f"""SELECT id, c AS canonical, coalesce(regexp_matches(c, '^([A-Z]{{2}}[0-9]{{7}}|[0-9]{{4,6}})$'), false) AS valid, CASE WHEN regexp_matches(c, '^[A-Z]{{2}}[0-9]{{7}}$') THEN left(c, 3) || '-' || substr(c, 4, 3) || '-' || substr(c, 7, 3) ELSE c END AS shown
-    FROM (SELECT id, regexp_replace(upper(code), '[^A-Z0-9]', '', 'g') AS c FROM {_CODES})""")
+    FROM (SELECT id, regexp_replace(upper(s), '[^A-Z0-9]', '', 'g') AS c FROM {made_sql(_CODES)})""")
 def _(v):
-    rows = v.spark.createDataFrame([(1, "aa0 000-001"), (2, "12345"), (3, "x"), (4, ""), (5, None), (6, "BB1234567")], "id int, code string")
-    return rows.select("id", tx.canonical_code(F.col("code")).alias("canonical"), tx.valid_code(F.col("code")).alias("valid"), tx.display_code(F.col("code")).alias("shown"))
+    return made(v, _CODES).select("id", tx.canonical_code(F.col("s")).alias("canonical"), tx.valid_code(F.col("s")).alias("valid"), tx.display_code(F.col("s")).alias("shown"))
 
 
 @query("p15_alias", "SELECT c_custkey, coalesce(n_name, 'UNKNOWN') AS canonical FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
@@ -550,9 +567,12 @@ def _(v):
     return v.cases.select("case_id", tx.unit_number(F.concat("case_id", F.lit(" x"))).alias("unit"))
 
 
-@query("f14_clean", "SELECT id, CASE WHEN trim(s) = '' OR lower(trim(s)) = 'null' THEN NULL ELSE trim(s) END AS s FROM (VALUES (1, ' a '), (2, 'null'), (3, ''), (4, NULL), (5, 'NULL ')) t(id, s)")
+_UNCLEAN = cases("' ' || substr(text, 1, 20) || '  '", "'null'", "''", "NULL", "'NULL  '", "source || chr(1)", "'   '", "substr(text, 5, 5)")
+
+
+@query("f14_clean", f"SELECT id, CASE WHEN trim(s) = '' OR lower(trim(s)) = 'null' THEN NULL ELSE trim(s) END AS s FROM {made_sql(_UNCLEAN)}")
 def _(v):
-    return v.spark.createDataFrame([(1, " a "), (2, "null"), (3, ""), (4, None), (5, "NULL ")], "id int, s string").select("id", tx.clean(F.col("s")).alias("s"))
+    return made(v, _UNCLEAN).select("id", tx.clean(F.col("s")).alias("s"))
 
 
 @query("f15_paths", with_views("files") + "SELECT path, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/?[^/]*$', '') AS folder FROM v_files")
@@ -566,21 +586,38 @@ def _(v):
     return v.table("documents").select("doc_id", F.substring(F.md5(c), 1, 12).alias("short"), F.sha2(c, 256).alias("sha"))
 
 
-@query("dt1_dates", "SELECT id, d AS dates FROM (VALUES (1, '2021-3-1,2019-12-31'), (2, ''), (3, ''), (4, '2024-7-14'), (5, '1999-2-31')) t(id, d)")
+def _sql_dates(text: str) -> str:
+    """Dates of a text as a sorted list of year-month-day strings."""
+    full = lambda y: f"CASE WHEN length({y}) = 2 THEN CASE WHEN {y}::int < 50 THEN 2000 ELSE 1900 END + {y}::int ELSE {y}::int END"
+    one = lambda pattern, y, m, d, fold="": f"list_transform(regexp_extract_all({fold or text}, '{pattern}', 0), lambda x: {{'y': regexp_extract(x, '{pattern}', {y}), 'm': regexp_extract(x, '{pattern}', {m}), 'd': regexp_extract(x, '{pattern}', {d})}})"
+    plain = [one(r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\b", 3, 2, 1), one(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", 1, 2, 3), one(r"\b((?:19|20)\d{2})([01]\d)([0-3]\d)\b", 1, 2, 3)]
+    named = one(rf"\b(\d{{1,2}})(?:er)? ({'|'.join(dt.MONTHS)}) (\d{{4}})\b", 3, 2, 1, f"lower({_accents(text)})")
+    months = "[" + ", ".join(f"'{m}'" for m in dt.MONTHS) + "]"
+    number = f"list_transform(list_concat({', '.join(plain)}), lambda x: [{full('x.y')}, x.m::int, x.d::int])"
+    return f"list_sort(list_distinct(list_filter(list_concat({number}, list_transform({named}, lambda x: [x.y::int, list_position({months}, x.m)::int, x.d::int])), lambda x: x[2] BETWEEN 1 AND 12 AND x[3] BETWEEN 1 AND 31)))"
+
+
+_DATED = cases(
+    f"'le ' || {DAY} || '/' || {MONTH} || '/' || {YEAR} || ' ' || substr(text, 1, 100)", f"substr(text, 1, 100) || ' ' || {DAY} || '.' || lpad({MONTH}, 2, '0') || '.' || substr({YEAR}, 3, 2) || ' et ' || cast(50 + doc_id % 50 AS string) || '-13-2020'",
+    f"{YEAR} || '-' || {MONTH} || '-' || {DAY} || ' ' || substr(text, 1, 50) || ' ' || {YEAR} || lpad({MONTH}, 2, '0') || lpad({DAY}, 2, '0')", f"substr(text, 1, 50) || ' ' || {DAY} || ' ' || CASE doc_id % 3 WHEN 0 THEN 'Février' WHEN 1 THEN 'août' ELSE 'décembre' END || ' ' || {YEAR} || '.'",
+    f"'45/13/2020 32-1-{YEAR} 31-02-' || {YEAR}", "text", "NULL", f"'1er mai ' || {YEAR} || ', 12/12/49, 1-1-50, ' || {DAY} || '/' || {MONTH} || '/' || {YEAR} || '/1'",
+)
+
+
+@query("dt1_dates", f"SELECT id, coalesce(array_to_string(list_transform({_sql_dates('s')}, lambda x: array_to_string(x, '-')), ','), '') AS dates FROM {made_sql(_DATED)}")
 def _(v):
-    rows = [(1, "le 01/03/21 et 31.12.2019"), (2, None), (3, "45/13/2020"), (4, "14 juillet 2024 puis 20240714"), (5, "1999-02-31")]
     c = F.col("s")
     found = F.transform(dt.dates(c, tx.fold_latin(c)), lambda x: F.concat_ws("-", x["y"], x["m"], x["d"]))
-    return v.spark.createDataFrame(rows, "id int, s string").select("id", F.coalesce(F.array_join(F.reverse(F.sort_array(found)), ","), F.lit("")).alias("dates"))
+    return made(v, _DATED).select("id", F.coalesce(F.array_join(found, ","), F.lit("")).alias("dates"))
 
 
-_DATES = [(1, "2020"), (2, "2020-05"), (3, "2020-05-06T10"), (4, "2020-13"), (5, "soon"), (6, None), (7, " 2021-02-03 "), (8, "2021-2-3"), (9, "2021-02-30"), (10, "")]
+_DATES = cases(YEAR, f"{YEAR} || '-' || lpad({MONTH}, 2, '0')", f"{YEAR} || '-05-06T10'", f"{YEAR} || '-13'", "substr(text, 1, 10)", "NULL", f"' ' || {YEAR} || '-' || {MONTH} || '-' || {DAY} || ' '", f"{YEAR} || '-' || {MONTH}", f"{YEAR} || '-02-' || cast(27 + doc_id % 5 AS string)", "''")
 
 
 @query("dt3_padded_dates", f"""SELECT id, try_cast(CASE WHEN regexp_full_match(d, '\\d{{4}}') THEN d || '-01-01' WHEN regexp_full_match(d, '\\d{{4}}-\\d{{2}}') THEN d || '-01' WHEN regexp_full_match(d, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN d END AS date) AS d,
-    CASE WHEN regexp_full_match(d, '\\d{{4}}(-\\d{{1,2}})?(-\\d{{1,2}})?') THEN left(d, 4) || '-' || lpad(coalesce(nullif(split_part(d, '-', 2), ''), '1'), 2, '0') || '-' || lpad(coalesce(nullif(split_part(d, '-', 3), ''), '1'), 2, '0') END AS loose FROM (SELECT id, trim(d) AS d FROM {values(_DATES)} t(id, d))""")
+    CASE WHEN regexp_full_match(d, '\\d{{4}}(-\\d{{1,2}})?(-\\d{{1,2}})?') THEN left(d, 4) || '-' || lpad(coalesce(nullif(split_part(d, '-', 2), ''), '1'), 2, '0') || '-' || lpad(coalesce(nullif(split_part(d, '-', 3), ''), '1'), 2, '0') END AS loose FROM (SELECT id, trim(s) AS d FROM {made_sql(_DATES)})""")
 def _(v):
-    return v.spark.createDataFrame(_DATES, "id int, s string").select("id", dt.padded(F.col("s")).alias("d"), dt.padded_text(F.col("s")).alias("loose"))
+    return made(v, _DATES).select("id", dt.padded(F.col("s")).alias("d"), dt.padded_text(F.col("s")).alias("loose"))
 
 
 @query("dt6_years", with_views("documents") + "SELECT doc_id, unnest(range(year, year + 3))::int AS y FROM v_documents")
@@ -588,16 +625,16 @@ def _(v):
     return v.documents.select("doc_id", F.explode(dt.years(F.col("year"), F.col("year") + 2)).alias("y"))
 
 
-_MINUTES = [
-    (1, "PV_AG", 0, "x"), (2, "PV_AG", 1, "Approbation des comptes"), (3, "PV_AG", 2, "Renouvellement des membres du conseil syndical"), (4, "PV_AG", 3, "Rapport d'activité du conseil syndical"), (5, "PV_AG", 4, "Travaux de toiture"), (6, "RCP", 1, "quitus"),
-    (7, "PV_AG", 5, "Désignation du Secrétaire de séance"), (8, "PV_AG", 6, "donner quitus"), (9, "PV_AG", 7, "Candidature de Madame Zoé"), (10, "PV_AG", 8, "Dispense de mise en concurrence"), (11, "PV_AG", 9, "x" * 600 + " quitus au syndic"), (12, "PV_AG", 2, None),
-]
+_PHRASES = ("x", "Approbation des comptes", "Renouvellement des membres du conseil syndical", "Rapport d''activité du conseil syndical", "Travaux de toiture", "Désignation du Secrétaire de séance", "donner quitus", "Candidature de Madame Zoé", "Dispense de mise en concurrence")
+_MINUTES = cases(*[f"'{p} ' || substr(text, 1, 700)" for p in _PHRASES], "substr(text, 1, 490) || ' Approbation des comptes'", "substr(text, 1, 700)", "NULL").replace("''activité", "' || chr(39) || 'activité")
 _BY_PATTERN = " ".join(f"WHEN regexp_matches(left(s, 500), '(?i){p}') THEN '{name}'" for name, patterns in chunking.CATEGORIES.items() for p in patterns)
 
 
-@query("x14_category", f"SELECT id, CASE WHEN kind <> 'PV_AG' THEN NULL WHEN k = 0 THEN 'PROCEDURE_AG' {_BY_PATTERN} ELSE 'FOND' END AS category FROM {values(_MINUTES)} t(id, kind, k, s)")
+@query("x14_category", f"SELECT id, CASE WHEN id % 13 = 12 THEN NULL WHEN id % 5 = 0 THEN 'PROCEDURE_AG' {_BY_PATTERN} ELSE 'FOND' END AS category FROM {made_sql(_MINUTES)}")
 def _(v):
-    return v.spark.createDataFrame(_MINUTES, "id int, kind string, k int, s string").select("id", chunking.category(F.col("s"), F.col("kind"), F.col("k"), chunking.CATEGORIES).alias("category"))
+    """Phrases of minutes before and behind the texts of documents; every thirteenth is no minutes, every fifth a preamble."""
+    kind = F.when(F.col("id") % 13 == 12, "RCP").otherwise("PV_AG")
+    return made(v, _MINUTES).select("id", chunking.category(F.col("s"), kind, F.col("id") % 5, chunking.CATEGORIES).alias("category"))
 
 
 @query("x1_readable", f"SELECT doc_id, {_readable('text')} AS reason FROM documents")
@@ -637,17 +674,6 @@ def _(v):
     return v.files.join(sizes, "size", "left_semi").groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _sql_dates(text: str) -> str:
-    """Dates of a text as a sorted list of year-month-day strings."""
-    full = lambda y: f"CASE WHEN length({y}) = 2 THEN CASE WHEN {y}::int < 50 THEN 2000 ELSE 1900 END + {y}::int ELSE {y}::int END"
-    one = lambda pattern, y, m, d, fold="": f"list_transform(regexp_extract_all({fold or text}, '{pattern}', 0), lambda x: {{'y': regexp_extract(x, '{pattern}', {y}), 'm': regexp_extract(x, '{pattern}', {m}), 'd': regexp_extract(x, '{pattern}', {d})}})"
-    plain = [one(r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\b", 3, 2, 1), one(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", 1, 2, 3), one(r"\b((?:19|20)\d{2})([01]\d)([0-3]\d)\b", 1, 2, 3)]
-    named = one(rf"\b(\d{{1,2}})(?:er)? ({'|'.join(dt.MONTHS)}) (\d{{4}})\b", 3, 2, 1, f"lower({_accents(text)})")
-    months = "[" + ", ".join(f"'{m}'" for m in dt.MONTHS) + "]"
-    number = f"list_transform(list_concat({', '.join(plain)}), lambda x: [{full('x.y')}, x.m::int, x.d::int])"
-    return f"list_sort(list_distinct(list_filter(list_concat({number}, list_transform({named}, lambda x: [x.y::int, list_position({months}, x.m)::int, x.d::int])), lambda x: x[2] BETWEEN 1 AND 12 AND x[3] BETWEEN 1 AND 31)))"
-
-
 #: Every pair of a language is compared, with the rules of confirmation in their order; names tell two months apart.
 _ALL_COPIES = f"""WITH RECURSIVE e AS (SELECT doc_id, lang, text, length(text) AS chars, doc_id % 2 AS month, {_canonical("text")} AS norm FROM documents),
     w AS (SELECT *, string_split(norm, ' ') AS words, {_sql_dates("text")} AS dates FROM e),
@@ -796,13 +822,16 @@ def _(v):
     return v.table("customer").select("c_custkey", F.array_join(tx.name_tokens(names), " ").alias("names"), tx.person_key(person).alias("sorted"))
 
 
-_PATHS = [(1, "raw/AA0000001/x.pdf"), (2, "raw/12345 - Rue/x.pdf"), (3, "note 4321.pdf"), (4, "none"), (5, "5390 - 2-6 BIS/x"), (6, "TIVOLI(5390)"), (7, "a\\\\2025 - b"), (8, "DDE 777 - 13476 - CV"), (9, None)]
+_PATHS = cases(
+    f"'raw/AA' || lpad({NUMBER}, 7, '0') || '/x.pdf'", f"'raw/' || {NUMBER} || ' - Rue/x.pdf'", f"'note ' || {NUMBER} || '.pdf'", "substr(text, 1, 40)", f"{NUMBER} || ' - 2-6 BIS/x'", f"'TIVOLI(' || {NUMBER} || ')'", f"'a' || chr(92) || {NUMBER} || ' - b'",
+    f"'DDE 777 - ' || {NUMBER} || ' - CV'", "NULL", f"'12 - ' || {NUMBER} || '-' || source",
+)
 
 
-@query("f12_property_code", f"""SELECT id, coalesce(nullif(regexp_extract(p, '^\\s*(\\d{{4,6}})\\s*-\\s*', 1), ''), nullif(regexp_extract(p, '\\((\\d{{4,6}})\\)', 1), ''), nullif(regexp_extract(p, '[\\\\/](\\d{{4,6}})\\s*-\\s*', 1), ''),
-    nullif(regexp_extract(p, '(?:^|[^0-9])(\\d{{4,6}})\\s+-\\s+', 1), ''), nullif(regexp_extract(p, '([A-Z]{{2}}\\d{{7}})', 1), '')) AS code FROM {values(_PATHS)} t(id, p)""")
+@query("f12_property_code", f"""SELECT id, coalesce(nullif(regexp_extract(s, '^\\s*(\\d{{4,6}})\\s*-\\s*', 1), ''), nullif(regexp_extract(s, '\\((\\d{{4,6}})\\)', 1), ''), nullif(regexp_extract(s, '[\\\\/](\\d{{4,6}})\\s*-\\s*', 1), ''),
+    nullif(regexp_extract(s, '(?:^|[^0-9])(\\d{{4,6}})\\s+-\\s+', 1), ''), nullif(regexp_extract(s, '([A-Z]{{2}}\\d{{7}})', 1), '')) AS code FROM {made_sql(_PATHS)}""")
 def _(v):
-    return v.spark.createDataFrame(_PATHS, "id int, p string").select("id", tx.property_code(F.col("p")).alias("code"))
+    return made(v, _PATHS).select("id", tx.property_code(F.col("s")).alias("code"))
 
 
 @query("f16_haystack", with_views("cases") + f"SELECT case_id, lower({_accents('concat_ws(chr(32), party, status)')}) AS hay FROM v_cases")

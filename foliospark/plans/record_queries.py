@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from foliospark.functions import dates as dt
 from foliospark.functions import text as tx
 from foliospark.operators import chunking, dedup, incremental, lookup, overview, records, search, vectors
-from foliospark.plans import providers
-from foliospark.plans.queries import query, values
+from foliospark.plans import providers, routing
+from foliospark.plans.queries import DAY, MONTH, NUMBER, QUARTER, YEAR, cases, made, made_sql, query
 from foliospark.plans.views import with_views
 from foliospark.sources import compound, pdf, written
 from foliospark.sources import files as fs
@@ -105,25 +105,40 @@ def _(v):
 
 # --- texts and dates
 
-_NAMES = [(1, "rapport 08-2023.pdf"), (2, "rapport 2023_8.pdf"), (3, "honoraires-t1-2025.pdf"), (4, "honoraires 3T 2025.pdf"), (5, "Budget 2024.pdf"), (6, "2025-13 x"), (7, None), (8, "t5-2025 et 12023")]
+_NAMES = cases(
+    f"'rapport ' || lpad({MONTH}, 2, '0') || '-' || {YEAR} || '.pdf'", f"'rapport ' || {YEAR} || '_' || {MONTH} || '.pdf'", f"'honoraires-t' || {QUARTER} || '-' || {YEAR} || '.pdf'", f"'honoraires ' || {QUARTER} || 'T ' || {YEAR} || '.pdf'",
+    f"'Budget ' || {YEAR} || '.pdf'", f"{YEAR} || '-13 x'", "NULL", f"'t5-' || {YEAR} || ' et 12023'",
+)
 
 
-@query("dt2_periods", """SELECT id, p AS periods FROM (VALUES (1, 'Y2023.0,YM2023.8'), (2, 'Y2023.0,YM2023.8'), (3, 'T2025.1,Y2025.0,YM2025.1'), (4, 'T2025.3,Y2025.0'), (5, 'Y2024.0'), (6, 'Y2025.0'), (7, NULL), (8, 'Y2025.0,YM2025.5')) t(id, p)""")
+@query("dt2_periods", f"""SELECT doc_id AS id, {cases("'Y' || y || '.0,YM' || y || '.' || m", "'Y' || y || '.0,YM' || y || '.' || m", "'T' || y || '.' || q || ',Y' || y || '.0,YM' || y || '.' || q", "'T' || y || '.' || q || ',Y' || y || '.0'", "'Y' || y || '.0'", "'Y' || y || '.0'", "NULL", "'Y' || y || '.0,YM' || y || '.5'")} AS periods
+    FROM (SELECT doc_id, {YEAR} AS y, {MONTH} AS m, {QUARTER} AS q FROM documents)""")
 def _(v):
+    """Names of eight forms with the years, months and quarters of documents; what is found is told from the numbers."""
     found = F.transform(dt.periods(tx.fold_latin(F.col("s"))), lambda x: F.concat(x["kind"], x["y"].cast("string"), F.lit("."), x["n"].cast("string")))
-    return v.spark.createDataFrame(_NAMES, "id int, s string").select("id", F.array_join(F.sort_array(found), ",").alias("periods"))
-
-
-_SCANNED = [(1, "copro-\npriété"), (2, "REPARTITIONElles"), (3, "fixantLe statut"), (4, "l'utilité del'ETAT"), (8, "jusqu'àl'utilité"), (5, "article.Les  textes:Article"), (6, "  déjà bon. "), (7, None)]
+    return made(v, _NAMES).select("id", F.array_join(F.sort_array(found), ",").alias("periods"))
+
+
+_SCANNED = cases(
+    "replace(substr(text, 1, 300), ' ', '-' || chr(10))", "upper(source) || 'REPARTITION' || substr(text, 1, 100)", "replace(substr(text, 1, 300), '. ', '.')", "replace(substr(text, 1, 300), ' de ', ' del' || chr(39))",
+    "'jusqu' || chr(39) || 'àl' || chr(39) || 'utilité ' || replace(substr(text, 1, 200), ' ', ':')", "replace(replace(substr(text, 1, 300), ' ', '  '), 'e', 'eA')", "'fixantLe statut del' || chr(39) || 'ETAT ' || source || 'Elles'", "NULL",
+)
+_LETTER = "[\\p{L}\\p{M}\\p{N}_]"
+_S, _C = tx._SMALL, tx._CAPITAL
+# The repairs without what this engine's expressions lack: looking behind, and word marks for all letters.
+_SQL_REPAIRS = (
+    (f"({_LETTER})-\\s*\\n\\s*([{_S}])", "\\1\\2"), (f"([{_C}])([{_C}][{_S}]{{2,}})", "\\1 \\2"), (f"([{_S}])([{_C}ÇŒÆ])", "\\1 \\2"),
+    ("(?i)(^|[^\\p{L}\\p{M}\\p{N}_])(à|de|du|que|qu|ne|se|ce|je|jusqu|lorsqu|puisqu)(l''|d''|s''|n''|m''|c''|j'')", "\\1\\2 \\3"), (f"([.!?])([{_C}])", "\\1 \\2"), (f"({_LETTER})(:)([A-ZÀ-Ÿa-zà-ÿ])", "\\1 \\2 \\3"), (" {2,}", " "),
+)
 _REPAIR = "s"
-for _p, _to in tx.OCR_REPAIRS:
-    if "(?<=" not in _p:
-        _REPAIR = f"""regexp_replace({_REPAIR}, '{_p.replace("(?iuU)", "(?i)").replace("(?U)", "").replace("'", "''")}', '{_to.replace("$", chr(92))}', 'g')"""
+for _pattern, _to in _SQL_REPAIRS:
+    _REPAIR = f"regexp_replace({_REPAIR}, '{_pattern}', '{_to}', 'g')"
 
 
-@query("f13_ocr_repaired", f"SELECT id, trim({_REPAIR}) AS s FROM {values([r for r in _SCANNED if r[0] not in (2, 8)])} t(id, s) UNION ALL SELECT 2, 'REPARTITION Elles' UNION ALL SELECT 8, 'jusqu''à l''utilité'")
+@query("f13_ocr_repaired", f"SELECT id, trim({_REPAIR}) AS s FROM {made_sql(_SCANNED)}")
 def _(v):
-    return v.spark.createDataFrame(_SCANNED, "id int, s string").select("id", tx.ocr_repaired(F.col("s")).alias("s"))
+    """Texts of documents with the faults of scanned ones put in."""
+    return made(v, _SCANNED).select("id", tx.ocr_repaired(F.col("s")).alias("s"))
 
 
 _CUT = "substr(text, {0} + 1, 666)"
@@ -163,15 +178,19 @@ def _(v):
     return records.worth_asking(v.chunks).select("chunk_id", "source_file", records.questions(answer).alias("asked"))
 
 
-_FOLDERS = [
-    (1, "5390 - X\\5 - SINISTRES\\DDE DUPONT\\a.pdf"), (2, "x/Sinistres/En cours/INCENDIE cave/b/c.pdf"), (3, "x/sinistre/d.pdf"), (4, "x/Dossiers/MRI 2020/e.pdf"), (5, "x/y/f.pdf"), (6, None), (7, "x/5 - SINISTRES/clos/g.pdf"), (8, "x/Sinistres/Dégât des eaux/h.pdf"),
-]
+_FOLDERS = cases(
+    f"{NUMBER} || ' - X' || chr(92) || '5 - SINISTRES' || chr(92) || 'DDE ' || source || chr(92) || 'a.pdf'", "'x/Sinistres/En cours/INCENDIE ' || source || '/b/c.pdf'", "'x/sinistre/' || source || '.pdf'", f"'x/Dossiers/MRI ' || {YEAR} || '/e.pdf'",
+    "'x/' || source || '/f.pdf'", "NULL", "'x/5 - SINISTRES/clos/g.pdf'", "'x/Sinistres/Dégât des eaux ' || source || '/h.pdf'",
+)
+_OF_FOLDERS = cases("'DDE ' || source", "'INCENDIE ' || source", "''", f"'MRI ' || {YEAR}", "''", "''", "''", "'Dégât des eaux ' || source")
+_OF_PERILS = cases("'DDE'", "'INCENDIE'", "'AUTRE'", "'MRI'", "'AUTRE'", "'AUTRE'", "'AUTRE'", "'DDE'")
 
 
-@query("x19_claim_folder", """SELECT id, f AS folder, p AS peril FROM (VALUES (1, 'DDE DUPONT', 'DDE'), (2, 'INCENDIE cave', 'INCENDIE'), (3, '', 'AUTRE'), (4, 'MRI 2020', 'MRI'), (5, '', 'AUTRE'), (6, '', 'AUTRE'), (7, '', 'AUTRE'), (8, 'Dégât des eaux', 'DDE')) t(id, f, p)""")
+@query("x19_claim_folder", f"SELECT doc_id AS id, {_OF_FOLDERS} AS folder, {_OF_PERILS} AS peril FROM documents")
 def _(v):
-    folder = records.claim_folder(F.col("p"))
-    return v.spark.createDataFrame(_FOLDERS, "id int, p string").select("id", folder.alias("folder"), records.peril(folder, F.lit("AUTRE")).alias("peril"))
+    """Paths of eight forms with the names of sources; what is found is told from the form."""
+    folder = records.claim_folder(F.col("s"))
+    return made(v, _FOLDERS).select("id", folder.alias("folder"), records.peril(folder, F.lit("AUTRE")).alias("peril"))
 
 
 @query("x20_claim_view", with_views("cases") + """SELECT case_id, 'Dossier: ' || case_id || chr(10) || 'Type: ' || case_type || chr(10) || 'Statut: ' || status || chr(10) || 'Ouverture: ' || strftime(opened, '%d/%m/%Y') || chr(10) || 'Lésé: ' || party || chr(10) || 'Montant: ' || format('{:.2f}', amount) || ' €' || CASE WHEN amount > coalesce(indemnity, 0) THEN chr(10) || 'Alertes: RESTE_A_CHARGE' ELSE '' END AS "view" FROM v_cases""")
@@ -182,10 +201,17 @@ def _(v):
 # --- copies, groups, cases
 
 
-@query("e6_rules", "SELECT 'containment_min' AS name, '0.9' AS value UNION ALL SELECT 'publipostage_min_famille', '12' UNION ALL SELECT 'stem_min_len', '8' UNION ALL SELECT 'variant_keep', 'original'")
+_VERSIONED = cases("'Contrat ' || source || ' v2.pdf'", "'contrat_' || source || '_signé.pdf'", f"'Contrat ' || source || ' (' || {QUARTER} || ').pdf'", "'contrat ' || source || '_RGPD.pdf'", f"'Copie de contrat ' || source || ' ' || {YEAR} || '.docx'", "'bail ' || source || '.pdf'", f"'PV ' || {DAY} || '-' || {MONTH} || '-' || {YEAR} || '.pdf'", "'contrat ' || source || ' ANX.pdf'")
+
+
+@query("e6_rules", f"""SELECT doc_id AS id, {cases("c", "c", "c", "c || ' rgpd'", "'de ' || c", "'bail ' || source", "'pv'", "c || ' anx'")} AS plain, {cases("c || ' v2'", "c || ' signe'", "c", "c", "'de ' || c", "'bail ' || source", "'pv'", "c")} AS own,
+    {cases("true", "true", "true", "true", "true", "true", "false", "true")} AS plain_counts, {cases("true", "true", "true", "true", "true", "length(source) >= 7", "false", "true")} AS own_counts FROM (SELECT doc_id, source, 'contrat ' || source AS c FROM documents)""")
 def _(v):
-    found = dedup.rules({"containment_min": 0.9, "_comment": "x", "variant_suffixes": ["_rgpd"]})
-    return v.spark.createDataFrame([(k, str(x)) for k, x in found.items() if not isinstance(x, list)], "name string, value string")
+    """Stems of file names by the default rules and by a client's."""
+    own = dedup.rules({"variant_suffixes": ["_rgpd", " anx"], "version_markers": [r"\bprojet\b"], "stem_min_len": 12, "_comment": "x"})
+    name = F.col("s")
+    stems = {which: dedup.stem_by(name, given) for which, given in (("plain", dedup.rules()), ("own", own))}
+    return made(v, _VERSIONED).select("id", *[c.alias(k) for k, c in stems.items()], *[(F.length(stems[k]) >= given["stem_min_len"]).alias(f"{k}_counts") for k, given in (("plain", dedup.rules()), ("own", own))])
 
 
 @query("e8_document_groups", with_views("documents") + "SELECT doc_id, concat_ws('_', coalesce(doc_type_fixed, doc_type), coalesce(CASE WHEN doc_id % 6 = 0 THEN NULL ELSE year::varchar END, 'NODATE'), code) AS doc_group, doc_id % 4 <> 1 AS is_reference FROM v_documents")
@@ -301,16 +327,26 @@ def _(v):
     return overview.incomplete(v.chunks.where("chunk_index <> 1"))
 
 
-_ASKED = [(1, "Liste de tous les sinistres de 2019 à 2021"), (2, "Quel est le montant du devis ?"), (3, "Compare les budgets 2020 et 2022"), (4, "bonjour"), (5, None), (6, "Combien de contrats ?"), (7, "Quel est le coût total ?")]
-_ROUTE = " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{name}'" for name, p in providers.ROUTES)
+_OPENINGS = ("Liste tous les sinistres de 2019 à 2021", "Quel est le montant du devis", "Comparer les budgets 2018 et 2024", "bonjour", "Combien de contrats depuis 2025", "que dit le règlement sur le lot 12", "Quel est le coût total depuis 2012", "Constat de dégât des eaux, article 5", "Historique et évolution")
+_QUESTION = "CASE WHEN turn % 10 = 9 THEN NULL ELSE CASE (conv_id + turn) % 10 " + " ".join(f"WHEN {k} THEN '{q} '" for k, q in enumerate(_OPENINGS)) + " ELSE '' END || substr(text, 1, 200) END"
+
+
+def _has(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
+
+
+_ROUTED = f"""CASE WHEN list_max(y) - list_min(y) > 2 THEN 'years' WHEN 26 - try_cast(nullif(regexp_extract(l, 'depuis\\s+20([0-2][0-9])', 1), '') AS int) > 2 THEN 'history' WHEN {_has(routing.BROAD)} THEN 'inventory' WHEN {_has(routing.DEEP)} THEN 'targeted' ELSE 'balanced' END"""
+_ASKS = " ".join(f"WHEN regexp_matches(' ' || q || ' ', '(?i){p}') THEN '{name}'" for name, p in routing.OPERATIONS)
 
 
-@query("m6_routed", f"""SELECT id, CASE {_ROUTE} ELSE 'balanced' END AS mode, list_min(y) AS first, list_max(y) AS last, CASE WHEN regexp_matches(q, '(?i)\\b(combien|nombre)\\b') THEN 'count' WHEN regexp_matches(q, '(?i)\\b(total|somme|montant total|co[ûu]t)\\b') THEN 'sum' WHEN regexp_matches(q, '(?i)\\b(liste|quels|quelles|lister)\\b') THEN 'list' END AS operation
-    FROM (SELECT *, list_transform(regexp_extract_all(q, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda x: x::int) AS y FROM {values(_ASKED)} t(id, q))""")
+@query("m6_routed", f"""SELECT conv_id, turn, name, CASE WHEN name = 'targeted' THEN 8 WHEN name = 'balanced' THEN 3 ELSE 2 END AS per_source, CASE WHEN name IN ('targeted', 'balanced') THEN 50 ELSE 80 END AS candidates, first, last, themes, doc_type, operation
+    FROM (SELECT *, {_ROUTED} AS name, list_min(y) AS first, list_max(y) AS last, CASE WHEN {_has(routing.THEMES["assurance_sinistres"])} THEN 'assurance_sinistres' WHEN q IS NOT NULL THEN '' END AS themes, CASE WHEN {_has(routing.DOC_TYPES["SINISTRE"])} THEN 'SINISTRE' END AS doc_type, CASE {_ASKS} END AS operation
+    FROM (SELECT *, lower(q) AS l, list_transform(regexp_extract_all(q, '20[0-2][0-9]'), lambda x: x::int) AS y FROM (SELECT conv_id, turn, {_QUESTION} AS q FROM conversations WHERE role = 'user')))""")
 def _(v):
-    rows = v.spark.createDataFrame(_ASKED, "id int, q string")
-    route, wanted = providers.routed(F.col("q")), providers.asked_for(F.col("q"))
-    return rows.select("id", route["mode"].alias("mode"), route["first"].alias("first"), route["last"].alias("last"), wanted["operation"].alias("operation"))
+    """Every question of the conversations, opened by phrases of the trade."""
+    q = v.table("conversations").where("role = 'user'").select("conv_id", "turn", F.expr(_QUESTION).alias("q"))
+    way = q.withColumn("way", routing.strategy(F.col("q"), 2026))
+    return way.select("conv_id", "turn", "way.name", "way.per_source", "way.candidates", "way.first", "way.last", F.when(F.col("q").isNotNull(), F.array_join(routing.themes(F.col("q")), ",")).alias("themes"), routing.doc_type(F.col("q")).alias("doc_type"), routing.operation(F.col("q"))["operation"].alias("operation"))
 
 
 @query("m3_answers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (2000 + doc_id % 20)::int END AS year, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'S' || doc_id END AS subtype, NULL::varchar AS status FROM documents")
