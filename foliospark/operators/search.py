@@ -6,11 +6,18 @@ query_id, and every ranking ends with chunk_id, so that ties are settled the sam
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foliospark.functions import text as tx
 from foliospark.storage import Scratch
@@ -21,6 +28,8 @@ MODES = {"targeted": (2, 0.20), "balanced": (3, 0.15), "inventory": (6, 0.10)}
 MIN_CHARS = 500
 MAX_PREFILTER = 50
 POOL = 200
+#: Rows by either score that a search takes as candidates at most, before it ranks the table instead.
+MAX_CANDIDATES = 20_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -102,6 +111,99 @@ def fused(df: DataFrame, boost: Column | float = 0.0, k: int = RRF_K) -> DataFra
     return df.withColumn("rrf", 1.0 / (k + F.col("vec_rank")) + 1.0 / (k + F.col("lex_rank")) + (boost if isinstance(boost, Column) else F.lit(float(boost))))
 
 
+def _first_of(batches: Iterator[pa.RecordBatch], pool: int) -> Iterator[pa.RecordBatch]:
+    """The ``pool`` best rows of each query by either score, of one partition."""
+    held: pa.Table | None = None
+
+    def cut(rows: pa.Table) -> pa.Table:
+        kept = []
+        for query in pc.unique(rows["query_id"]):
+            own = rows.filter(pc.equal(rows["query_id"], query) if query.is_valid else pc.is_null(rows["query_id"]))
+            at = [pc.select_k_unstable(own, min(pool, own.num_rows), [(score, "descending"), ("chunk_id", "ascending")]) for score in ("vec", "lex")]
+            kept.append(own.take(pc.unique(pa.concat_arrays(at))))
+        return pa.concat_tables(kept)
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            held = cut(rows if held is None else pa.concat_tables([held, rows]))
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
+def candidates(df: DataFrame, pool: int) -> DataFrame:
+    """query_id, chunk_id, vec, lex, vec_rank, lex_rank: the ``pool`` best of each query by either score, with their exact ranks in both.
+
+    Two passes over the scores, and nothing of the table is ordered, shuffled or written: each part gives its
+    best rows; then each counts its rows before every candidate, and the counts are added up. Meant for a
+    handful of queries at a time: their candidates are known to every task.
+    """
+    low = F.lit(float("-inf"))
+    scores = df.select("query_id", "chunk_id", F.coalesce("vec", low).alias("vec"), F.coalesce("lex", low).alias("lex"))
+    some = scores.mapInArrow(lambda batches: _first_of(batches, pool), scores.schema)
+    order = lambda score: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id"))
+    tops = some.withColumns({"v_": order("vec"), "l_": order("lex")}).where((F.col("v_") <= pool) | (F.col("l_") <= pool)).drop("v_", "l_").collect()  # twice the pool for a query
+    marks: dict[tuple[Any, str], list[tuple[float, str]]] = {}
+    for row in tops:
+        for score in ("vec", "lex"):
+            marks.setdefault((row.query_id, score), []).append((-row[score], row.chunk_id))
+    marks = {k: sorted(own) for k, own in marks.items()}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[tuple[Any, str, int]] = Counter()
+        for batch in batches:
+            rows = batch.to_pydict()
+            for score in ("vec", "lex"):
+                for query, name, value in zip(rows["query_id"], rows["chunk_id"], rows[score], strict=True):
+                    own = marks[query, score]
+                    if (-value, name) <= own[-1]:  # what stands behind all candidates counts for none
+                        found[query, score, bisect.bisect_right(own, (-value, name))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], batch_type), pa.array([k[1] for k in found], pa.string()), pa.array([k[2] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["query_id", "score", "at", "n"])
+
+    kind = dict(scores.dtypes)["query_id"]
+    batch_type = to_arrow_type(scores.schema["query_id"].dataType)
+    counts = scores.mapInArrow(counted, f"query_id {kind}, score string, at long, n long").groupBy("query_id", "score", "at").agg(F.sum("n").alias("n")).collect()
+    before: dict[tuple[Any, str], Counter[int]] = {}
+    for row in counts:
+        before.setdefault((row.query_id, row.score), Counter())[row["at"]] += row.n
+    rank: dict[tuple[Any, str, str], int] = {}
+    for (query, score), own in marks.items():
+        total = 0
+        for k, (_, name) in enumerate(own):
+            total += before.get((query, score), Counter())[k]
+            rank[query, score, name] = total + 1
+    rows = [(r.query_id, r.chunk_id, r.vec, r.lex, rank[r.query_id, "vec", r.chunk_id], rank[r.query_id, "lex", r.chunk_id]) for r in tops]
+    return df.sparkSession.createDataFrame(rows, StructType([*scores.schema.fields, StructField("vec_rank", IntegerType()), StructField("lex_rank", IntegerType())]))
+
+
+def top_fused(df: DataFrame, finish: Callable[[DataFrame], DataFrame], n: int, boost: Column | float = 0.0, most_boost: float = 0.0, pool: int = 1000, k: int = RRF_K) -> DataFrame:
+    """``finish(fused(ranked(df)))`` for a finish that gives the n best of each query by rrf, without ranking the table.
+
+    A row that is among the ``pool`` best by neither score has an rrf of at most 2 / (k + pool + 1) + ``most_boost``.
+    If each query's n rows are at least that, no other row can take a place among them or in their groups; else
+    the pool is made larger, and beyond MAX_CANDIDATES the table is ranked after all. Intermediate rows are
+    dropped; what is returned are the n rows, written.
+    """
+    scratch = Scratch(df.sparkSession, "search")
+    total = None
+    while pool <= MAX_CANDIDATES:
+        found = candidates(df, pool)
+        rest = df.drop("vec", "lex").withColumnRenamed("query_id", "q_").withColumnRenamed("chunk_id", "c_")
+        whole = rest.join(F.broadcast(found), F.col("q_").eqNullSafe(F.col("query_id")) & (F.col("c_") == F.col("chunk_id"))).select(*df.columns, "vec_rank", "lex_rank")  # twice the pool for a query
+        done = scratch.write(finish(fused(whole, boost, k)), f"found-{pool}")
+        bound = 2.0 / (k + pool + 1) + most_boost
+        known = {r.query_id: r.n for r in done.where(F.col("rrf") >= bound).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        asked = {r.query_id: r.n for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        short = [q for q in asked if known.get(q, 0) < n]
+        if short:
+            total = total or {r.query_id: r.n for r in df.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        if all(asked[q] == total[q] for q in short):
+            return done
+        scratch.drop(f"found-{pool}")
+        pool *= 8
+    return scratch.write(finish(fused(ranked(df), boost, k)), "found")
+
+
 def type_boost(types: Sequence[str], amount: float = 0.01) -> Column:
     return F.when(F.col("doc_type").isin(list(types)), F.lit(amount)).otherwise(F.lit(0.0))
 

@@ -49,10 +49,17 @@ def search_chunks(chunks: DataFrame, documents: DataFrame, vector: Sequence[floa
     rows = rows.withColumn("query_id", F.lit(0)).withColumn("vec", search.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))).withColumn("lex", search.lexical(F.col("text"), terms))
     rows = search.without_procedure(rows, question, mode)
     spanned = first is not None and last is not None and last - first >= 2
-    ranked = search.ranked_by_year(rows, first, last) if spanned else search.ranked(rows.where(F.col("year").between(first, last)) if first is not None and last is not None else rows)
-    found = search.first_of_text(search.diversified(search.fused(ranked, search.type_boost(types)), cap, least))
-    if per_source:
-        found = search.capped_by_source(found, per_source)
+    if first is not None and last is not None and not spanned:
+        rows = rows.where(F.col("year").between(first, last))
+    boost = search.type_boost(types)
+
+    def narrowed(fused: DataFrame) -> DataFrame:
+        found = search.first_of_text(search.diversified(fused, cap, least))
+        return search.capped_by_source(found, per_source) if per_source else found
+
+    if not spanned and rerank is None and len(codes) == 1 and not quota:
+        return search.top_fused(rows, lambda fused: search.best(narrowed(fused), n), n, boost, most_boost=0.01 if types else 0.0)
+    found = narrowed(search.fused(search.ranked_by_year(rows, first, last) if spanned else search.ranked(rows), boost))
     if rerank is not None:
         names = F.regexp_extract("source_file", "[^/]*$", 0)
         scored = found.withColumn("rerank", rerank(tx.passage(F.col("doc_type"), names, F.col("text"))))

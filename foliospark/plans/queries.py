@@ -446,7 +446,7 @@ def fused(v: Views) -> DataFrame:
 
 @query("flagship_hybrid_search", _SCORED + "SELECT chunk_id, code, doc_type, year, round(rrf, 6) AS rrf, round(vec, 4) AS vec, round(lex, 4) AS lex FROM g WHERE gr <= 3 AND vec >= 0.15 ORDER BY g.rrf DESC, chunk_id LIMIT 12")
 def flagship(v):
-    found = search.best(search.diversified(fused(v), *search.MODES["balanced"]), 12)
+    found = search.top_fused(scored(v), lambda rows: search.best(search.diversified(rows, *search.MODES["balanced"]), 12), 12, search.type_boost(["RCP"]), most_boost=0.01)
     return found.select("chunk_id", "code", "doc_type", "year", F.round("rrf", 6).alias("rrf"), F.round("vec", 4).alias("vec"), F.round("lex", 4).alias("lex"))
 
 
