@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 from collections.abc import Callable
 
@@ -87,15 +86,6 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0)
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts; null if either is null."""
-
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return F.pandas_udf(ratio, "double")(a, b)
-
-
 def slug(c: Column, most: int = 50) -> Column:
     """Upper-case words joined by underscores, INCONNU for nothing."""
     s = F.substring(F.upper(F.regexp_replace(F.regexp_replace(F.translate(c, _ACCENTS, _PLAIN), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")), 1, most)

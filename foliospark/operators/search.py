@@ -235,40 +235,54 @@ def best(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def _leading(df: DataFrame, within: Sequence[str], n: int, name: str) -> DataFrame:
+    """The n best by rrf of each group with their rank: tasks keep n rows of a group before anything is shuffled."""
+    order = Window.partitionBy(*within).orderBy(F.desc("rrf"), "chunk_id")
+    return df.withColumn(name, F.row_number().over(order)).where(F.col(name) <= n)
+
+
+def _late_last(df: DataFrame, n: int, late: Column) -> DataFrame:
+    """The n best of each query, those that are not late first; df holds a bounded number of rows of a query."""
+    order = Window.partitionBy("query_id").orderBy("late", F.desc("rrf"), "chunk_id")
+    return df.withColumn("late", late.cast("int")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("late")
+
+
 def balanced(df: DataFrame, n_codes: int, n: int) -> DataFrame:
     """Each property's share first, then the best of the rest; at last by rrf."""
     target = max(1, n // max(1, n_codes))
-    within = Window.partitionBy("query_id", "code").orderBy(F.desc("rrf"), "chunk_id")
-    late = F.when(F.row_number().over(within) <= target, 0).otherwise(1)
-    order = Window.partitionBy("query_id").orderBy("late", F.desc("rrf"), "chunk_id")
-    return df.withColumn("late", late).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).drop("turn", "late")
+    return _late_last(_leading(df, ["query_id", "code"], n, "place"), n, F.col("place") > target).drop("place", "rank")
 
 
 def with_quota(df: DataFrame, n: int, wanted: Column, quota: int) -> DataFrame:
     """The n best, of which ``quota`` (or all there are) fulfil ``wanted``."""
-    kind = df.withColumn("wanted", F.coalesce(wanted, F.lit(False)))
-    order = Window.partitionBy("query_id", "wanted").orderBy(F.desc("rrf"), "chunk_id")
-    first = F.col("wanted") & (F.row_number().over(order) <= quota)
-    turn = Window.partitionBy("query_id").orderBy(F.desc("first"), F.desc("rrf"), "chunk_id")
-    return kind.withColumn("first", first).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).drop("turn", "first", "wanted")
+    kinds = _leading(df.withColumn("wanted", F.coalesce(wanted, F.lit(False))), ["query_id", "wanted"], n, "place")
+    return _late_last(kinds, n, ~(F.col("wanted") & (F.col("place") <= quota))).drop("place", "rank", "wanted")
 
 
 def reranked(df: DataFrame, weight: float = 0.75, pool: int = POOL) -> DataFrame:
     """final = (1 - weight) * rrf scaled to 0..1 + weight * rerank over the best ``pool``; candidates
-    without a rerank score keep their rrf order behind (fail open)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id")
-    pooled = df.withColumn("place", F.row_number().over(order)).withColumn("in_pool", (F.col("place") <= pool) & F.col("rerank").isNotNull())
+    without a rerank score keep their rrf order behind (fail open). ``place`` is the rank in the pool, null behind it."""
+    pooled = _leading(df, ["query_id"], pool, "place").withColumn("in_pool", F.col("rerank").isNotNull())
     whole = Window.partitionBy("query_id", "in_pool")
     low, high = F.min("rrf").over(whole), F.max("rrf").over(whole)
     scaled = F.when(high > low, (F.col("rrf") - low) / (high - low)).otherwise(0.0)
-    return pooled.withColumn("final", F.when(F.col("in_pool"), (1 - weight) * scaled + weight * F.col("rerank")))
+    scored = pooled.withColumn("final", F.when(F.col("in_pool"), (1 - weight) * scaled + weight * F.col("rerank")))
+    last = pooled.where(F.col("place") == pool).select(F.col("query_id").alias("q_"), F.col("rrf").alias("least_"), F.col("chunk_id").alias("c_"))  # a row for each query
+    behind = (F.col("rrf") < F.col("least_")) | ((F.col("rrf") == F.col("least_")) & (F.col("chunk_id") > F.col("c_")))
+    rest = df.join(F.broadcast(last), F.col("query_id").eqNullSafe(F.col("q_"))).where(behind).drop("q_", "least_", "c_")
+    return scored.unionByName(rest.withColumns({"place": F.lit(None).cast("int"), "in_pool": F.lit(False), "final": F.lit(None).cast("double")}))
 
 
 def rank_normalised(df: DataFrame, alpha: float = 0.4) -> DataFrame:
-    """The older fusion: alpha * rank score + (1 - alpha) * rerank, ranks scaled to 1..0."""
-    order, whole = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id"), Window.partitionBy("query_id")
-    share = 1 - (F.row_number().over(order) - 1) / F.greatest(F.lit(1), F.count("*").over(whole) - 1)
-    return df.withColumn("final", alpha * share + (1 - alpha) * F.col("rerank"))
+    """The older fusion: alpha * rank score + (1 - alpha) * rerank, ranks scaled to 1..0 over all candidates of a query."""
+    scratch = Scratch(df.sparkSession, "ranks")
+    held = scratch.write(df, "rows")
+    places = exact_rank(held.select("query_id", "chunk_id", "rrf"), "rrf", "place_", scratch)
+    sizes = held.groupBy("query_id").agg(F.count("*").alias("size_"))
+    known = places.join(sizes, places["query_id"].eqNullSafe(sizes["query_id"])).select(places["query_id"].alias("q_"), F.col("chunk_id").alias("c_"), "place_", "size_")
+    share = 1 - (F.col("place_") - 1) / F.greatest(F.lit(1), F.col("size_") - 1)
+    both = held.join(known, F.col("query_id").eqNullSafe(F.col("q_")) & (F.col("chunk_id") == F.col("c_")))
+    return both.withColumn("final", alpha * share + (1 - alpha) * F.col("rerank")).drop("q_", "c_", "place_", "size_")
 
 
 def yearly(df: DataFrame, first: int, last: int, n: int) -> DataFrame:
@@ -278,10 +292,7 @@ def yearly(df: DataFrame, first: int, last: int, n: int) -> DataFrame:
         return best(inside, n)
     years = last - first + 1
     quota = max(5, n // (2 * years))
-    per_year = Window.partitionBy("query_id", "year").orderBy(F.desc("rrf"), "chunk_id")
-    late = F.when(F.row_number().over(per_year) <= quota, 0).otherwise(1)
-    order = Window.partitionBy("query_id").orderBy("late", F.desc("rrf"), "chunk_id")
-    return inside.withColumn("late", late).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _late_last(_leading(inside, ["query_id", "year"], n, "place"), n, F.col("place") > quota).drop("place")
 
 
 def ranked_by_year(df: DataFrame, first: int, last: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as dt
 from foliospark.functions import text as tx
-from foliospark.operators import analytics, chunking, dedup, entities, incremental, lookup, overview, search
+from foliospark.operators import analytics, chunking, dedup, entities, incremental, lookup, overview, registry, search
 from foliospark.plans.views import DOC_TYPES, Views, with_views
 from foliospark.sources import files as fs
 from foliospark.sources.keyed import KeyedTable
@@ -389,6 +389,46 @@ def _(v):
     return incremental.registry(d, d.where("doc_id % 4 = 0").select("source_file", F.lit("X").alias("reason")), d.limit(0), d.where("doc_id % 5 = 2")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Seven artefacts cut from documents: the filter's decisions (one file in 17 is gone), true exact copies, and what later stages left.
+_ARTEFACTS = """WITH d AS (SELECT *, source || '/' || doc_id AS source_file, sha256(text) AS sha, ceil(n_chars / 1500.0)::bigint AS slices, doc_id % 17 = 16 AS gone FROM documents),
+    s AS (SELECT *, min(doc_id) FILTER (NOT gone) OVER (PARTITION BY sha) AS first_id, count(*) FILTER (NOT gone) OVER (PARTITION BY sha) AS same FROM d),
+    k AS (SELECT s.*, CASE WHEN same > 1 AND NOT gone THEN sha END AS sha256, CASE WHEN same > 1 AND NOT gone AND doc_id <> first_id THEN (SELECT f.source_file FROM d f WHERE f.doc_id = first_id) END AS ref_source_file,
+        CASE WHEN doc_id % 5 < 3 THEN slices ELSE 0 END AS written, CASE WHEN doc_id % 5 < 2 THEN slices + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END WHEN doc_id % 23 = 0 THEN slices ELSE 0 END AS stored FROM s),
+    j AS (SELECT *, CASE WHEN ref_source_file IS NOT NULL THEN 'DOUBLON_EXACT' WHEN doc_id % 10 = 4 THEN 'FILTRAGE_PHOTO' WHEN doc_id % 10 = 5 THEN 'FILTRAGE_AUTRE' WHEN doc_id % 10 = 7 THEN 'FILTRAGE_GOOGLE_NATIF' END AS rejected, doc_id % 10 = 8 AS failed FROM k),
+    r AS (SELECT source_file, doc_id, sha256, CASE WHEN sha256 IS NOT NULL THEN length(text) END AS size, CASE WHEN doc_id % 3 = 0 THEN 'sig' || doc_id END AS signature, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS chars, ref_source_file, rejected, stored, written, gone,
+        CASE WHEN gone THEN 'SUPPRIME' WHEN stored > 0 THEN 'INGERE' WHEN written > 0 THEN 'ERREUR' WHEN rejected IS NOT NULL THEN 'REJETE' WHEN failed THEN 'ERREUR' ELSE 'REJETE' END AS status,
+        CASE WHEN gone OR stored > 0 THEN NULL WHEN written > 0 THEN 'CHARGEMENT_KO' WHEN rejected IS NOT NULL THEN rejected WHEN failed THEN 'COPIE_KO' WHEN doc_id % 7 = 0 THEN 'TEXTE_VIDE' WHEN n_chars < 200 THEN 'NON_EXPLOITABLE' ELSE 'DOUBLON_PROCHE' END AS reason,
+        CASE WHEN stored > 0 THEN stored WHEN written > 0 THEN written END AS n_chunks, CASE WHEN stored > 0 OR written > 0 THEN CASE WHEN doc_id % 11 = 0 THEN 'AUTRE' WHEN written > 0 THEN 'T' || (doc_id % 4) END END AS doc_type,
+        CASE WHEN gone THEN '' ELSE concat_ws(',', CASE WHEN (stored > 0 OR written > 0) AND rejected IS NOT NULL THEN 'INGERE_MALGRE_' || rejected END, CASE WHEN stored > 0 AND written = 0 THEN 'INGERE_HORS_SHARD' END, CASE WHEN stored > 0 AND written > 0 AND stored <> written THEN 'CHUNKS_HORS_SHARD' END) END AS drift FROM j)"""
+
+
+def _registry(v):
+    d = v.table("documents").withColumn("source_file", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).withColumn("slices", F.ceil(F.col("n_chars") / F.lit(1500.0)).cast("int"))
+    seen = d.where("doc_id % 17 <> 16")
+    kind = F.col("doc_id") % 10
+    decision = F.when(kind.isin(4, 5), "EXCLURE").when(kind == 7, "EXCLURE_GOOGLE_NATIF").when(kind == 8, "ERREUR_COPIE").otherwise("GARDER")
+    decisions = seen.select("source_file", decision.alias("decision"), F.when(kind == 4, ".JPG").otherwise(".pdf").alias("extension"))
+    hashed = seen.select("source_file", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.length("text").cast("long").alias("size"))
+    groups = hashed.groupBy("sha256").agg(F.min_by("source_file", "doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    chunk = lambda rows, n: rows.where(n > 0).select("source_file", "doc_id", F.explode(F.sequence(F.lit(1), n)).alias("k"))
+    stored = F.when(F.col("doc_id") % 5 < 2, F.col("slices") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)).when(F.col("doc_id") % 23 == 0, F.col("slices")).otherwise(0)
+    chunks = chunk(d.where("doc_id % 5 < 3"), F.col("slices")).withColumn("doc_type", F.concat(F.lit("T"), (F.col("doc_id") % 4).cast("string")))
+    return registry.registry(
+        decisions, hashed.join(groups, "sha256"), d.where("doc_id % 3 = 0").select("source_file", F.concat(F.lit("sig"), F.col("doc_id").cast("string")).alias("signature")),
+        d.where("doc_id % 7 <> 0").select("source_file", F.col("n_chars").alias("chars"), (F.col("n_chars") < 200).alias("skipped")), chunks, d.where("doc_id % 11 = 0").select("source_file", F.lit("AUTRE").alias("doc_type")), chunk(d, stored), previous=d,
+    )
+
+
+@query("j7_artefacts", _ARTEFACTS + "SELECT source_file, status, reason, sha256, size, signature, chars, n_chunks, doc_type, ref_source_file, drift FROM r")
+def _(v):
+    return _registry(v).drop("step").withColumn("drift", F.array_join("drift", ","))
+
+
+@query("i7_counters", _ARTEFACTS + "SELECT kind, name, count(*) AS n FROM (SELECT 'status' AS kind, status AS name FROM r UNION ALL SELECT 'reason', reason FROM r UNION ALL SELECT 'drift', unnest(string_split(drift, ',')) FROM r WHERE drift <> '') WHERE name IS NOT NULL GROUP BY 1, 2")
+def _(v):
+    return registry.counters(_registry(v))
+
+
 @query("j8_property_list", with_views("documents", "chunks", "cases") + "SELECT code, count(DISTINCT d.source_file) AS n_documents, (SELECT count(*) FROM v_chunks c WHERE c.code = d.code) AS n_chunks, d.code IN (SELECT code FROM v_cases) AS has_cases FROM v_documents d GROUP BY code")
 def _(v):
     return overview.property_list(v.documents, v.chunks, v.cases).select("code", "n_documents", "n_chunks", "has_cases")
@@ -504,9 +544,12 @@ def _(v):
     return search.rank_normalised(rows).select("chunk_id", F.round("final", 6).alias("final"))
 
 
-@query("t13_yearly", _SCORED + ", y AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY year ORDER BY rrf DESC, chunk_id) <= 5 THEN 0 ELSE 1 END AS late FROM f WHERE year BETWEEN 2016 AND 2020) SELECT chunk_id, year FROM y ORDER BY late, rrf DESC, chunk_id LIMIT 40")
+@query("t13_yearly", _SCORED + """, o AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY round(vec, 9) DESC, chunk_id) AS vr, row_number() OVER (PARTITION BY year ORDER BY round(lex, 9) DESC, chunk_id) AS lr FROM t WHERE year BETWEEN 2016 AND 2020),
+    e AS (SELECT *, 1.0::double / (60 + vr) + 1.0::double / (60 + lr) + CASE WHEN doc_type = 'RCP' THEN 0.01::double ELSE 0.0::double END AS rrf FROM o), y AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY year ORDER BY rrf DESC, chunk_id) <= 5 THEN 0 ELSE 1 END AS late FROM e) SELECT chunk_id, year, round(rrf, 9) AS rrf FROM y ORDER BY late, y.rrf DESC, chunk_id LIMIT 40""")
 def _(v):
-    return search.yearly(fused(v), 2016, 2020, 40).select("chunk_id", "year")
+    """Each year of a span is a query of its own, with its own ranks."""
+    by_year = search.fused(search.ranked_by_year(scored(v), 2016, 2020), search.type_boost(["RCP"]))
+    return search.yearly(by_year, 2016, 2020, 40).select("chunk_id", "year", F.round("rrf", 9).alias("rrf"))
 
 
 @query("t14_status_order", with_views("cases") + "SELECT case_id, CASE status WHEN 'EN_COURS' THEN 1 WHEN 'EN_ATTENTE' THEN 2 WHEN 'CLOTURE' THEN 3 ELSE 4 END AS status_rank FROM v_cases ORDER BY status_rank, opened DESC NULLS LAST, case_id LIMIT 50")

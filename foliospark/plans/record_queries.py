@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as dt
 from foliospark.functions import text as tx
-from foliospark.operators import chunking, dedup, incremental, lookup, overview, records, search, vectors
+from foliospark.operators import chunking, dedup, incremental, lookup, overview, postings, records, search, vectors
 from foliospark.plans import providers, routing
 from foliospark.plans.queries import DAY, MONTH, NUMBER, QUARTER, YEAR, cases, made, made_sql, query
 from foliospark.plans.views import with_views
-from foliospark.sources import compound, pdf, written
+from foliospark.sources import compound, paged, pdf, written
 from foliospark.sources import files as fs
+from foliospark.storage import Scratch
 
 # --- sources and state
 
@@ -66,13 +67,15 @@ def _(v):
     return pdf.texts(fs.read_files(files.withColumn("name", names), "doc_id", "name"), "doc_id").select("doc_id", "text", "reason")
 
 
-@query("sc7_lines", "SELECT doc_id::varchar AS doc, string_agg(l, chr(10) ORDER BY k) AS text FROM (SELECT doc_id, k, array_to_string(w[k * 5 + 1:k * 5 + 5], ' ') AS l FROM (SELECT doc_id, w, unnest(range(ceil(len(w) / 5.0)::int)) AS k FROM (SELECT doc_id, (string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '))[1:40] AS w FROM documents WHERE length(trim(text)) > 0 AND doc_id % 10 = 0))) GROUP BY 1")
+@query("sc7_lines", """SELECT doc_id::varchar AS doc, (p + 1)::int AS page, array_to_string(list_filter(list_transform(range(8), lambda k: array_to_string(w[p * 40 + k * 5 + 1:p * 40 + k * 5 + 5], ' ')), lambda x: x <> ''), chr(10)) AS text
+    FROM (SELECT doc_id, w, unnest(range((len(w) + 39) // 40)) AS p FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') AS w FROM documents WHERE length(trim(text)) > 0))""")
 def _(v):
-    """Words laid out five a line, shuffled, put in order again."""
-    words = F.slice(F.split(F.regexp_replace(F.trim("text"), "\\s+", " "), " "), 1, 40)
-    each = v.table("documents").where("doc_id % 10 = 0 and length(trim(text)) > 0").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(words).alias("k", "word"))
-    boxes = each.select("doc", F.lit(1).alias("page"), (F.col("k") % 5 * 10).alias("left"), (F.floor(F.col("k") / 5) * 12 + F.col("k") % 3).cast("int").alias("top"), F.lit(10).alias("height"), "word")
-    return fs.lines(boxes.orderBy(F.xxhash64("doc", "left", "top"))).select("doc", "text")
+    """The words of every document laid out five a line and eight lines a page, shuffled, put in order again."""
+    words = F.split(F.regexp_replace(F.trim("text"), "\\s+", " "), " ")
+    each = v.table("documents").where("length(trim(text)) > 0").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(words).alias("at", "word"))
+    each = each.select("doc", (F.floor(F.col("at") / 40) + 1).cast("int").alias("page"), (F.col("at") % 40).alias("k"), "word")
+    boxes = each.select("doc", "page", (F.col("k") % 5 * 10).alias("left"), (F.floor(F.col("k") / 5) * 12 + F.col("k") % 3).cast("int").alias("top"), F.lit(10).alias("height"), "word")
+    return fs.lines(boxes.orderBy(F.xxhash64("doc", "page", "left", "top")))
 
 
 @query("sc10_checked_shards", with_views("documents") + "SELECT code, count(doc_id) AS n FROM (SELECT unnest(['src1', 'src2', 'none']) AS code) LEFT JOIN v_documents USING (code) GROUP BY 1")
@@ -299,6 +302,23 @@ def _(v):
     return rows.where("rank > 0").select("chunk_id", "source_file", "rank")
 
 
+def _postings(v):
+    return postings.build(v.chunks, Scratch(v.spark, "postings").path("words"), title=F.translate("doc_type", "_", " "))
+
+
+@query("t3_postings", with_views("chunks") + f""", s AS (SELECT chunk_id, source_file, {_STEMS("text")} AS b, {_STEMS("replace(doc_type, '_', ' ')")} AS h, {_STEMS("'The contrats'")} AS q FROM v_chunks),
+    n AS (SELECT *, list_transform(list_distinct(q), lambda w: {_SERIES("len(list_filter(h, lambda x: x = w))")} + 0.1::double * {_SERIES("len(list_filter(b, lambda x: x = w))")}) AS hits FROM s)
+    SELECT chunk_id, round(list_sum(hits) / (list_sum(hits) + 1), 6) AS rank FROM n WHERE list_min(hits) > 0""")
+def _(v):
+    """The same ranks from the stored table of words."""
+    return postings.ranked(_postings(v), "The contrats").select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+@query("t3_phrases", with_views("chunks") + f"""SELECT chunk_id, n FROM (SELECT chunk_id, len(list_filter(range(1, len(b)), lambda i: b[i] = 'de' AND b[i + 1] = 'la')) AS n FROM (SELECT chunk_id, {_STEMS("text")} AS b FROM v_chunks)) WHERE n > 0""")
+def _(v):
+    return postings.phrases(_postings(v), "De la")
+
+
 def _asked(v):
     return v.table("embeddings").where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
 
@@ -317,6 +337,19 @@ def _(v):
     return vectors.search(indexed, cells, v.table("embeddings"), _asked(v), 10, share=1.0, rerank=None).select("query_id", "vec_id", "rank")
 
 
+_CUSTOMERS = "c_custkey string, c_name string, c_mktsegment string, c_nationkey long, c_acctbal double"
+
+
+@query("sc17_paged", "SELECT c_custkey::varchar AS id, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3, 4, 5, 6, 7, 8) AND c_acctbal > 0")
+def _(v):
+    """Customers stored as answers of an API and asked for page by page: two conditions go with the question, Spark checks the third."""
+    folder = Scratch(v.spark, "answers").path("customers")
+    rows = v.table("customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_acctbal")
+    paged.store_answers(rows, folder, "c_custkey")
+    found = paged.paged(v.spark, folder, _CUSTOMERS.replace("c_custkey string", "id string"))
+    return found.where(F.col("c_mktsegment") == "BUILDING").where(F.col("c_nationkey").isin(*range(1, 9))).where("c_acctbal > 0").select("id", "c_name", "c_mktsegment", "c_nationkey")
+
+
 @query("s7_pruned_cache", with_views("documents") + "SELECT source_file FROM v_documents WHERE doc_id % 3 = 0")
 def _(v):
     return incremental.pruned(v.documents.select("source_file"), v.documents.where("doc_id % 3 = 0").select("source_file"), "source_file")

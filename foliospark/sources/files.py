@@ -9,6 +9,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -205,22 +206,24 @@ def lines(boxes: DataFrame) -> DataFrame:
     The running height (0.8 of itself, 0.2 of each word's) depends on every word before, so a page is one group.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "left"], kind="stable")
-        running, heights = pdf["height"].iloc[0] or 0.01, []
-        for h in pdf["height"].iloc[1:]:
-            heights.append(running)
-            running = 0.8 * running + 0.2 * h if h > 0 else running
-        line = (pdf["top"].diff().abs().iloc[1:].to_numpy() > 0.4 * pd.Series(heights, dtype=float).to_numpy()).cumsum()
+    def page(rows: pa.Table) -> pa.Table:
+        left, top, height, word = (rows[c].to_pylist() for c in ("left", "top", "height", "word"))
+        order = sorted(range(len(word)), key=lambda i: (top[i], left[i]))
+        running, found = height[order[0]] or 0.01, [[order[0]]]
+        for before, i in pairwise(order):
+            if abs(top[i] - top[before]) > 0.4 * running:
+                found.append([])
+            found[-1].append(i)
+            running = 0.8 * running + 0.2 * height[i] if height[i] > 0 else running
         out, bottom = [], 0.0
-        for _, row in pdf.groupby([0, *line.tolist()], sort=True):
-            tall, row = row["height"].max(), row.sort_values("left", kind="stable")
-            top = row["top"].iloc[0]
-            out += [""] * bool(bottom > 0 and top - bottom > 1.2 * tall) + [" ".join(row["word"])]
-            bottom = top + tall
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "page": [pdf["page"].iloc[0]], "text": ["\n".join(out)]})
-
-    return boxes.groupBy("doc", "page").applyInPandas(page, "doc string, page int, text string")
+        for line in found:
+            tall, line = max(height[i] for i in line), sorted(line, key=lambda i: left[i])
+            first = top[line[0]]
+            out += [""] * bool(bottom > 0 and first - bottom > 1.2 * tall) + [" ".join(word[i] for i in line)]
+            bottom = first + tall
+        return pa.table({"doc": rows["doc"][:1], "page": rows["page"][:1], "text": ["\n".join(out)]})
+
+    return boxes.groupBy("doc", "page").applyInArrow(page, "doc string, page int, text string")
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:

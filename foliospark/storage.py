@@ -8,7 +8,10 @@ machine (tests, a laptop) a folder of our own is used and announced to Spark.
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +47,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the workers of a cluster that does not have it installed, and returns the file sent.
+
+    Only the driver writes it to a folder of its own; Spark hands it to the executors.
+    """
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="foliospark-"), "foliospark.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("foliospark", os.path.relpath(path, home)))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 class Scratch:
     """Named intermediate tables of one job below the shared folder."""
 
