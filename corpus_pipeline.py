@@ -26,7 +26,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again for the next."""
+    """All stages over documents, each written as Parquet and read again for the next.
+
+    Rows with a null or empty text go in the first stage, of repeated rows one stays after the second; an empty
+    table gives no pieces. Extra columns go through all stages but the last.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):

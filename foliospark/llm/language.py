@@ -134,7 +134,8 @@ def identify(documents: DataFrame, contents: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected for each row, from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected, as is every text if
-    no language was learned. Rows repeated give equal rows; extra columns are not read.
+    no language was learned. Rows repeated give equal rows; extra columns are not read; an empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,11 @@ def op1_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows whose language is rejected; columns stay as they are."""
+    """docs without the rows whose language is rejected; columns stay as they are.
+
+    Rows with a null text, an empty one or one without a letter go; repeated rows are judged alike; where no
+    row has a language nothing is learned and every row goes; an empty table stays empty.
+    """
     contents, text, schema = _learned(docs), docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

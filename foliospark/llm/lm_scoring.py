@@ -399,7 +399,8 @@ class Model:
 
 def score_words(documents: DataFrame) -> DataFrame:
     """The columns of ``score``, with a network trained on all documents, and log p(word | class, left, right)
-    added for every word that stands in a class, so that each place is scored for the very word in it.
+    added for every word that stands in a class, so that each place is scored for the very word in it. Null and empty texts, repeated rows,
+    extra columns and empty tables: as in ``score``.
     """
     scratch = Scratch(documents.sparkSession, "lm-scoring")
     model = Model(documents, scratch)

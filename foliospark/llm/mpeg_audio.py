@@ -276,7 +276,10 @@ def payload_of(data: bytes, s: Stream) -> bytes:
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 bytes, padded, as an MPEG stream; null texts as empty ones."""
+    """doc_id, n_bytes and media: each text's UTF-8 bytes, padded, as an MPEG stream; null texts as empty ones.
+
+    Repeated rows give equal rows; extra columns are not read; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +312,7 @@ def parse_media(rows: DataFrame, media: str, keep: list[str]) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What the stored bytes of ``store_texts`` give when they are read back; see op5 for the columns."""
+    """What the stored bytes of ``store_texts`` give when they are read back; see op5 for the columns. A row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

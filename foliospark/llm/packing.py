@@ -213,5 +213,9 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of docs packed into sequences."""
+    """Pieces of docs packed into sequences.
+
+    A null or empty text is one piece of its end id; repeated rows are pieces of their own; extra columns
+    are not read; an empty table gives no pieces.
+    """
     return pack(spark, docs)

@@ -132,7 +132,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def measure(documents: DataFrame) -> DataFrame:
-    """doc_id and stats (STATISTICS in order) of every whole text; a null text counts as empty."""
+    """doc_id and stats (STATISTICS in order) of every whole text; a null text counts as empty.
+
+    Repeated rows give equal rows; extra columns are not read; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +152,8 @@ def measure(documents: DataFrame) -> DataFrame:
 def fit(measured: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch) -> Model:
     """A model from the rows of labels (doc_id, quality 0 or 1) for which ``learn`` over doc_id holds.
 
-    At most about SAMPLE_ROWS of them are drawn, by a hash of doc_id; a fourth of these calibrate.
+    At most about SAMPLE_ROWS of them are drawn, by a hash of doc_id; a fourth of these calibrate. Of several labels of a
+    document the greatest counts; without labels nothing is learned.
     """
     known = labels.where(learn & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("double").alias("y"))
     total = known.count()

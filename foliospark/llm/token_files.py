@@ -42,7 +42,8 @@ def write_token_files(documents: DataFrame, folder: str, path: str | None = None
     """Lazily writes a flat file for each partition and returns its contents' order: file, ordinal, doc_id.
 
     A task that is run again writes a file of another name; only files named in the result count. A
-    null text is an empty document.
+    null text is an empty document, a null doc_id stays null, repeated rows are documents of their own; extra
+    columns are not read; an empty table writes no documents.
     """
     where = path or tokens.default_path()
 

@@ -11,7 +11,7 @@ from foliospark.llm import decontamination, language, lm_scoring, mpeg_audio, ne
 from foliospark.storage import Scratch
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, hash long, bucket long, place long, score double, slot long, m long, n_removed long, removed long, kept boolean, word long, stats long, file string"
-LONG = "a long word list, " * 12_000
+LONG = "a long word list, " * 90_000  # more than three blocks
 ROWS = [
     (1, None), (2, ""), (3, " \n\t "), (None, "one two three four five six seven"), (4, "one two three four five six seven"), (5, "one two three four five six seven"), (6, "ONE two three four five six SEVEN"),
     (7, "émoji 😀 et <|endoftext|> ß ñ 日本語  x"), (8, LONG), (8, LONG), (9, "12 34 %% !!"), (10, "a"), (None, None), (11, "The cat sat. " * 30),

@@ -75,7 +75,7 @@ def test_op9_finds_links_past_a_centre(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
-def test_op9_does_not_pair_all_documents_of_a_passage_family(spark, monkeypatch):
+def test_op9_pairs_about_one_in_a_hundred_of_a_passage_family(spark, monkeypatch):
     """Documents of 10 of 20 fixed passages, of which nearly all share a bucket, and strays just below the threshold."""
     import random
 
