@@ -305,7 +305,7 @@ def _(v):
     return analytics.extracted(v.cases, "party", "#0*[1-9][0-9]$", "([0-9]+)$", "number").select("case_id", "number")
 
 
-_CODES = cases(f"'aa' || cast(doc_id % 10 AS string) || ' ' || lpad({NUMBER}, 6, '0')", f"lpad({NUMBER}, 5, '9')", "substr(text, 1, 9)", "''", "NULL", f"'Bb' || lpad({NUMBER}, 7, '1')", f"'{'x' * 2}' || {NUMBER}")
+_CODES = cases(f"'aa' || cast(doc_id % 10 AS string) || ' ' || lpad({NUMBER}, 6, '0')", f"lpad({NUMBER}, 5, '9')", "replace(substr(text, 1, 9), 'ß', 's')", "''", "NULL", f"'Bb' || lpad({NUMBER}, 7, '1')", f"'{'x' * 2}' || {NUMBER}")
 
 
 @query("p14_codes", f"""SELECT id, c AS canonical, coalesce(regexp_matches(c, '^([A-Z]{{2}}[0-9]{{7}}|[0-9]{{4,6}})$'), false) AS valid, CASE WHEN regexp_matches(c, '^[A-Z]{{2}}[0-9]{{7}}$') THEN left(c, 3) || '-' || substr(c, 4, 3) || '-' || substr(c, 7, 3) ELSE c END AS shown
