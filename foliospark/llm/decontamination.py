@@ -428,4 +428,4 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
                 keep[[a + r[0] for r in found]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(ta.tidy(run), schema)

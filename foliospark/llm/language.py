@@ -145,7 +145,7 @@ def identify(documents: DataFrame, contents: dict[str, bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return docs.mapInArrow(ta.tidy(run), "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def _learned(documents: DataFrame) -> dict[str, bytes]:
@@ -172,4 +172,4 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([not x for x in _judged(model, batch, text)[3]], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(ta.tidy(run), schema)

@@ -181,7 +181,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (c, m) compared on their full shingle sets."""
     left, right = sets.select(F.col("id").alias("ic"), F.col("shingles").alias("xc")), sets.select(F.col("id").alias("im"), F.col("shingles").alias("xm"))
     both = pairs.join(right, F.col("m") == F.col("im")).join(left, F.col("c") == F.col("ic")).select("c", "m", "xc", "xm")
-    return both.mapInArrow(_compare, "c long, m long, linked boolean, n long, inter long, mask array<long>")
+    return both.mapInArrow(ta.tidy(_compare), "c long, m long, linked boolean, n long, inter long, mask array<long>")
 
 
 def _linked(compared: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def across(known: DataFrame, sets: DataFrame, profile: DataFrame, scratch: Scrat
     open_ = known.join(_several(known, "bucket"), F.col("bucket") == F.col("bucket_")).select("m", "comp").distinct()
     usual = profile.groupBy(F.col("c").alias("usual_c")).agg(F.count("*").alias("members"))
     best = profile.join(usual, F.col("c") == F.col("usual_c")).groupBy(F.col("m").alias("m_")).agg(F.max_by(F.struct("c", "inter", "mask"), F.struct("members", -F.col("c"))).alias("ref"))
-    sharp = sets.join(open_, F.col("id") == F.col("m"), "left_semi").select("id", "shingles").mapInArrow(_sharp, "id long, n long, keys array<long>")
+    sharp = sets.join(open_, F.col("id") == F.col("m"), "left_semi").select("id", "shingles").mapInArrow(ta.tidy(_sharp), "id long, n long, keys array<long>")
     sharp = sharp.join(open_, F.col("id") == F.col("m")).join(best, F.col("id") == F.col("m_"), "left")
     own = F.struct(F.col("id").alias("c"), F.col("n").alias("inter"), F.array_repeat(F.lit(0).cast("long"), MASK).alias("mask"))
     sharp = scratch.write(sharp.withColumn("ref", F.coalesce("ref", own)).select("id", "n", "comp", "ref.*", "keys"), "sharp")
@@ -252,7 +252,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "near-duplicates")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed")
+    signed = scratch.write(docs.mapInArrow(ta.tidy(_sketches), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed")
     key = ["set_a", "set_b", "n_shingles"]
     reps = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
 
@@ -265,7 +265,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     placed = members.join(centres, F.col("bucket") == F.col("bucket_")).select("bucket", "m", (-F.col("w.c")).alias("c"), F.col("w.weight").alias("weight"))
     placed = scratch.write(placed, "placed")
     bits = wanted_bits(weight, "m_")
-    sets = scratch.write(docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id")).mapInArrow(_filtered(bits), "id long, shingles binary"), "sets")
+    sets = scratch.write(docs.where("doc_id is not null").withColumn("slot", slot_of("doc_id")).mapInArrow(ta.tidy(_filtered(bits)), "id long, shingles binary"), "sets")
 
     best = placed.where("c <> m").groupBy("m").agg(F.max(F.struct("weight", (-F.col("c")).alias("c"))).alias("w")).select((-F.col("w.c")).alias("c"), "m")
     best = scratch.write(best, "best")

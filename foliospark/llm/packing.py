@@ -181,7 +181,7 @@ def pack(spark: SparkSession, documents: DataFrame, path: str | None = None, wit
     scratch = Scratch(spark, "packing")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    pieces = scratch.write(docs.mapInArrow(_pieces(path or tokens.default_path(), with_ids), schema), "pieces")
+    pieces = scratch.write(docs.mapInArrow(ta.tidy(_pieces(path or tokens.default_path(), with_ids)), schema), "pieces")
     kind = F.when(F.col("length") < FINE, F.col("length")).otherwise(F.ceil(F.col("length") / GRAIN) * GRAIN).cast("int")
     histogram = np.zeros(WINDOW + 1, np.int64)
     for row in pieces.groupBy(kind.alias("kind")).count().collect():  # a row for each class at most
@@ -202,7 +202,7 @@ def pack(spark: SparkSession, documents: DataFrame, path: str | None = None, wit
             sequence, slot = places.find(np.asarray(batch.column(n - 2)).astype(np.int64), np.asarray(batch.column(n - 1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sequence), pa.array(slot)], [*batch.schema.names[:-2], "sequence_id", "slot"])
 
-    placed = ranked.mapInArrow(place, schema + ", sequence_id long, slot long")
+    placed = ranked.mapInArrow(ta.tidy(place), schema + ", sequence_id long, slot long")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot")) - F.col("length")
     return placed.withColumn("offset", offset).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
 

@@ -136,7 +136,7 @@ def _marked(documents: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "substrings")
     check = F.crc32(F.col("text").cast("string").cast("binary"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.shiftright(F.coalesce(check, F.lit(0)), 1)).alias("check"))
-    spans = docs.mapInArrow(_spans, "hash long, doc_id long, place long")
+    spans = docs.mapInArrow(ta.tidy(_spans), "hash long, doc_id long, place long")
     repeated = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = scratch.write(repeated.select(F.col("hash").alias("hash_"), F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place")), "repeated")
     later = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place")))
@@ -160,7 +160,7 @@ def remove_repeated_spans(documents: DataFrame, report: tuple[str, str] | tuple[
     marked = _marked(documents)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     extra = f", `{report[0]}` bigint, `{report[1]}` array<struct<start: bigint, end: bigint>>" if report else ""
-    return marked.mapInArrow(_cut(documents.columns.index("text"), report), schema + extra)
+    return marked.mapInArrow(ta.tidy(_cut(documents.columns.index("text"), report)), schema + extra)
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

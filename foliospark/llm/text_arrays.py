@@ -7,7 +7,8 @@ Blocks hold about BLOCK bytes whatever a text's length, so memory stays bounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +201,26 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values).cast(kind) if not pa.types.is_int64(kind) else pa.array(values.view(np.int64) if values.dtype == _U else values.astype(np.int64)))
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for a task that leaves no free memory held: its worker lives on beside its executor and other tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def signed(values: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's long."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

@@ -19,8 +19,9 @@ _U = np.uint64
 #: What the JSON of a tokenizer says if words between white space can be encoded one by one.
 _WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Slots of the table of words; it is emptied when half full or when it holds STORED ids, so a worker's memory stays bounded.
-_BITS = 22
+#: Slots of the table of words, 16 bytes each; it is emptied when half of them are taken or when it holds STORED ids, so a worker's
+#: memory stays bounded. Only while a single block has more new words than fit is it wider.
+_BITS = 20
 STORED = 1 << 25
 
 
@@ -42,16 +43,19 @@ class _Table:
     """Open addressing: word hash to a range of stored ids."""
 
     def __init__(self, bits: int = _BITS):
-        self.bits = bits
+        self.least = bits
         self.clear()
 
     def clear(self) -> None:
-        size = 1 << self.bits
-        self.keys, self.first, self.count = np.zeros(size, _U), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self._empty(self.least)
         self.store, self.stored, self.used = np.zeros(1 << 16, np.uint16), 0, 0
 
+    def _empty(self, bits: int) -> None:
+        self.bits, size = bits, 1 << bits
+        self.keys, self.first, self.count = np.zeros(size, _U), np.zeros(size, np.int32), np.zeros(size, np.int32)
+
     def full(self) -> bool:
-        return 2 * self.used > len(self.keys) or self.stored > STORED
+        return 2 * self.used > 1 << self.least or self.stored > STORED
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, -1 if it is not there."""
@@ -75,6 +79,14 @@ class _Table:
         first = self.stored + np.cumsum(count) - count
         self.stored += len(flat)
         self.used += len(h)
+        if 4 * self.used > 3 * len(self.keys):
+            held = np.flatnonzero(self.keys)
+            old = self.keys[held], self.first[held], self.count[held]
+            self._empty((2 * self.used).bit_length())
+            self._place(*old)
+        self._place(h, first, count)
+
+    def _place(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
         slot, left = (h >> _U(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(left):
             free = self.keys[slot[left]] == 0
@@ -131,7 +143,7 @@ class WordEncoder:
             fresh, first = np.unique(h[new], return_index=True)
             at = new[first]
             self.table.add(fresh, [self.word(raw[a:b]) for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
-            slot[new] = self.table.find(h[new])
+            slot = self.table.find(h)  # all of them: the table may be wider now
         count = self.table.count[slot].astype(np.int64)
         ends = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=ends[1:])

@@ -483,6 +483,32 @@ def test_op7_and_op8_take_long_texts_without_white_space(spark):
     assert sorted(r.n_tokens for r in token_files.count_tokens(order, folder).collect()) == sorted(map(len, want))
 
 
+def test_word_table_is_small_and_holds_any_block(monkeypatch):
+    table = tokens._Table()
+    assert sum(x.nbytes for x in (table.keys, table.first, table.count)) <= 1 << 24
+    e = tokens.WordEncoder(tokens.default_path())
+    e.table = tokens._Table(4)
+    for n in (5, 300, 5, 40):  # 300 words are more than 16 slots hold
+        raw = " ".join(f"word{k} w{k * k}" for k in range(n)).encode()
+        ids, _ = e.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == e.whole.encode(raw.decode(), add_special_tokens=False).ids
+        assert len(e.table.keys) > e.table.used
+    e.table.clear()
+    assert len(e.table.keys) == 16
+
+
+def test_a_task_gives_free_memory_back(monkeypatch):
+    """Once, after its last batch, and also when nobody asks for the rest."""
+    done = []
+    monkeypatch.setattr(ta, "release", lambda: done.append(1))
+    task = ta.tidy(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and len(done) == 1
+    rows = task(iter([1, 2]))
+    assert next(rows) == 2 and len(done) == 1
+    rows.close()
+    assert len(done) == 2
+
+
 def test_words_cut_at_block_edges(monkeypatch):
     text = ("ab cde  f\n" * 500).encode()
     whole = ta.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
