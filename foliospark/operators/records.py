@@ -16,6 +16,8 @@ CLAIM_ROOT, ARCHIVE_ROOT, SORTING_LEVEL = "(?iu)^(\\d+\\s*-\\s*)?sinistres?$", "
 PERILS = (("INCENDIE", "(?iu)INCENDIE"), ("DDE", "(?iu)\\bDDE\\b|\\bDGE\\b|D[EÉ]G[AÂ]TS?\\s+DES\\s+EAUX|D[EÉ]G[AÂ]T\\s+EAUX"), ("MRI", "(?iu)\\bMRI\\b|MULTIRISQUE"))
 # Types whose text is read at both ends, and how many characters are read.
 BOTH_ENDS, END_CHARS, HEAD_CHARS = ("CONTRAT", "BUDGET", "COMPTABILITE", "SINISTRE", "ASSURANCE"), 1500, 2000
+# Fixed value: the characters of Unicode's class Zs.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # Chunks for which questions are made.
 ASKED_TYPES, UNASKED_CATEGORIES = ("PV_AG", "RCP", "CONTRAT"), ("PROCEDURE_AG", "ELECTION_CS")
 
@@ -61,17 +63,21 @@ def extraction_window(chunks: DataFrame) -> DataFrame:
     """source_file, doc_type, window: the characters of a document that metadata are read from.
 
     Opening of HEAD_CHARS, or opening and end of END_CHARS each for some types. Only the chunks that these
-    can reach are collected for a document.
+    can reach are collected for a document; one that begins or ends right at the limit still puts its line feed
+    there. Null texts are skipped, a document without any other has no window. What is trimmed are spaces of
+    every kind (SPACES), no line feeds.
     """
-    size = F.length("text") + 1
-    ahead, behind = Window.partitionBy("source_file").orderBy("chunk_index"), Window.partitionBy("source_file").orderBy(F.desc("chunk_index"))
-    reach = chunks.withColumn("before", F.sum(size).over(ahead) - size).withColumn("after", F.sum(size).over(behind) - size)
+    size = F.coalesce(F.length("text") + 1, F.lit(0))
+    whole = Window.partitionBy("source_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = chunks.withColumn("before", F.sum(size).over(whole.orderBy("chunk_index", "text")) - size).withColumn("after", F.sum(size).over(whole.orderBy(F.desc("chunk_index"), F.desc("text"))) - size)
     both = F.col("doc_type").isin(list(BOTH_ENDS))
-    near = reach.where((F.col("before") < F.when(both, END_CHARS).otherwise(HEAD_CHARS)) | (both & (F.col("after") < END_CHARS)))
+    first, last = F.col("before") <= F.when(both, END_CHARS).otherwise(HEAD_CHARS), both & (F.col("after") <= END_CHARS)
     joined = lambda where: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(where, F.struct("chunk_index", "text")))), lambda x: x["text"]), "\n")
-    texts = near.groupBy("source_file").agg(F.min("doc_type").alias("doc_type"), joined(F.col("before") < F.when(both, END_CHARS).otherwise(HEAD_CHARS)).alias("head"), joined(both & (F.col("after") < END_CHARS)).alias("tail"))
-    ends = F.concat_ws("\n\n[...]\n\n", F.trim(F.substring("head", 1, END_CHARS)), F.trim(F.right("tail", F.lit(END_CHARS))))
-    return texts.select("source_file", "doc_type", F.when(F.col("doc_type").isin(list(BOTH_ENDS)), ends).otherwise(F.trim(F.substring("head", 1, HEAD_CHARS))).alias("window"))
+    texts = reach.where(first | last).groupBy("source_file").agg(F.min("doc_type").alias("doc_type"), joined(first).alias("head"), joined(last).alias("tail"), F.count("text").alias("known"))
+    trimmed = lambda c: F.trim(c, F.lit(SPACES))
+    ends = F.concat_ws("\n\n[...]\n\n", trimmed(F.substring("head", 1, END_CHARS)), trimmed(F.right("tail", F.lit(END_CHARS))))
+    window = F.when(F.col("doc_type").isin(list(BOTH_ENDS)), ends).otherwise(trimmed(F.substring("head", 1, HEAD_CHARS)))
+    return texts.select("source_file", "doc_type", F.when(F.col("known") > 0, window).alias("window"))
 
 
 def worth_asking(chunks: DataFrame) -> DataFrame:
