@@ -39,7 +39,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """word, near, near_n: every ordered pair of words at distance one."""
     places = F.sequence(F.lit(1), F.length("word"))
     rest = F.transform(places, lambda i: F.struct(i.alias("place"), F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))).alias("key")))
-    emitted = words.select("word", "n", F.inline(rest))
+    # Merged, here and below: Spark sizes a table by its files, before words are exploded, and would send all deletions
+    # of half a million words through the driver.
+    words = words.hint("merge")
+    emitted = words.select("word", "n", F.inline(rest)).hint("merge")
     a, b = emitted.alias("a"), emitted.alias("b")
     replaced = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.word") != F.col("b.word")))
     replaced = replaced.select("a.word", F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
@@ -56,7 +59,7 @@ def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
     best = best.select("word", "n_near", F.col("best.near").alias("form"), (-F.col("best.col1")).alias("form_n"))
     fits = F.col("form_n") >= ratio * F.col("n")
-    return words.join(best, "word", "left").select(
+    return words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("form")).alias("form"), F.when(fits, F.col("form_n")).alias("form_n")
     )
 
@@ -70,7 +73,7 @@ def roots(scratch: Scratch, links: DataFrame) -> DataFrame:
     found = scratch.write(links.select("word", F.col("form").alias("root")), "roots-0")
     for k in range(1, 64):
         onward = found.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = scratch.write(found.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"roots-{k}")
+        moved = scratch.write(found.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"roots-{k}")
         scratch.drop(f"roots-{k - 1}")
         found = moved.select("word", "root")
         if moved.where("moved").isEmpty():
@@ -89,7 +92,7 @@ def group_variants(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = scratch.write(word_counts(docs), "words")
     found = scratch.write(forms(words, near_pairs(words)), "forms")
     ends = roots(scratch, found.where(F.col("form").isNotNull()))
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,18 @@ def test_op13_equals_all_pairs(spark, edges):
 def test_op13_equals_all_pairs_of_documents(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert {tuple(r) for r in spelling.op13_spelling_variants(spark, data).select("word", "form", "root", "n", "n_near", "form_n").collect()} == brute_spelling(rows)
+
+
+def test_spelling_sends_no_words_through_the_driver(spark, tmp_path, monkeypatch):
+    """Files of words are small, their deletions are not: however small the files, nothing is broadcast."""
+    spark.range(2000).select(F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), F.lit(9).cast("long").alias("n")).write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = spelling.forms(words, spelling.near_pairs(words))
+    assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
+    plans = []
+    write = spelling.Scratch.write
+    monkeypatch.setattr(spelling.Scratch, "write", lambda self, df, name: (plans.append(plan(df)), write(self, df, name))[1])
+    docs = spark.createDataFrame([(k, " ".join(["lettera"] * 30 + ["letterb"] * 6 + ["lettercb"] * 5)) for k in range(3)], "doc_id long, text string")
+    plans.append(plan(spelling.group_variants(spark, docs)))
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
