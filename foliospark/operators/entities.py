@@ -78,25 +78,56 @@ def merged(rows: DataFrame, richness: Column | None = None) -> DataFrame:
     return rows.groupBy("cluster").agg(F.max_by("case_id", best).alias("case_id"), F.max_by("party", best).alias("party"), F.min("opened").alias("opened"), F.max("closed").alias("closed"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"), F.count("*").alias("members"))
 
 
+def candidates(a: DataFrame, b: DataFrame, days: int) -> DataFrame:
+    """Rows of a (code, erp_date, erp_names) and b (code, opened, names, ...) of one property whose names may hold each
+    other and whose dates are at most ``days`` apart or unknown, each pair once.
+
+    They meet at the rarest word of the smaller set, as it lies in the larger one, and in neighbouring windows of
+    ``days`` days: a word that half of a property's cases have joins nothing, as long as they have another.
+    """
+    unknown, any_date = F.lit(-1_000_000), F.lit(-2_000_000)  # windows of rows without a date, and for them
+    at = lambda date: F.floor(F.datediff(date, F.lit("1970-01-01")) / max(days, 1)).cast("int")
+    near = lambda date: F.when(F.col(date).isNull(), F.array(any_date, unknown)).otherwise(F.array(at(date) - 1, at(date), at(date) + 1, unknown))
+    own = lambda date: F.when(F.col(date).isNull(), F.array(unknown)).otherwise(F.array(at(date), any_date))
+    x, y = a.withColumn("word", F.explode("erp_names")), b.withColumn("word", F.explode("names"))
+    usual = x.select("code", "word").unionByName(y.select("code", "word")).groupBy("code", "word").agg(F.count("*").alias("often"))
+
+    def rarest(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.join(usual, ["code", "word"]).groupBy(*columns).agg(F.min_by("word", F.struct("often", "word")).alias("word"))
+
+    windows = lambda left, right: (left.withColumn("window", F.explode(near("erp_date"))), right.withColumn("window", F.explode(own("opened"))))
+    key = ["code", "word", "window"]
+    one, two = windows(rarest(x, a.columns), y)
+    inside = one.join(two, key).where(F.size("erp_names") <= F.size("names"))
+    one, two = windows(x, rarest(y, b.columns))
+    outside = one.join(two, key).where(F.size("erp_names") > F.size("names"))
+    return inside.unionByName(outside).drop("word", "window")
+
+
 def matched(erp: DataFrame, found: DataFrame, days: int = 30) -> DataFrame:
     """Best match of each ERP case among found cases of its property: all name words of one in the other, dates
     near or unknown. A match by the injured party's name goes before one by the case's name (``name``, where found
     has it), a party that the case's name repeats before one that it does not, then the nearest date, then the
     smaller id; each side at most once, by rank.
+
+    Cases of one property, day and names have the same matches: they are compared once, found ones by their smallest id.
     """
     named = F.col("name") if "name" in found.columns else F.lit(None).cast("string")
     a = erp.select(F.col("case_id").alias("erp_id"), "code", F.col("opened").alias("erp_date"), tx.name_tokens(F.col("party")).alias("erp_names"))
     b = found.select("case_id", "code", "opened", tx.name_tokens(F.col("party")).alias("party_names"), F.coalesce(tx.name_tokens(named), F.array().cast("array<string>")).alias("case_names"))
     b = b.withColumn("names", F.when(F.size("party_names") > 0, F.col("party_names")).otherwise(F.col("case_names")))
-    x, y = a.select("erp_id", "code", F.explode("erp_names").alias("word")), b.select("case_id", "code", F.explode("names").alias("word"))
-    met = x.join(y, ["code", "word"]).select("erp_id", "case_id").distinct()
+    kind = ["code", "erp_date", "erp_names"]
+    met = candidates(a.select(*kind).distinct(), b.groupBy("code", "opened", "party_names", "case_names", "names").agg(F.min("case_id").alias("case_id")), days)
     inside = (F.size(F.array_except("erp_names", "names")) == 0) | (F.size(F.array_except("names", "erp_names")) == 0)
     gap = F.coalesce(F.abs(F.datediff("erp_date", "opened")), F.lit(days))
-    direct, also = F.arrays_overlap("erp_names", "party_names").cast("int"), F.arrays_overlap("erp_names", "case_names").cast("int")
-    pairs = met.join(a.drop("code"), "erp_id").join(b.drop("code"), "case_id").where(inside & (gap <= days)).select("erp_id", "case_id", gap.alias("gap"), direct.alias("direct"), also.alias("also"))
-    rank = lambda by, tie: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("direct"), F.desc("also"), "gap", tie))
-    one = pairs.withColumn("r", rank("erp_id", "case_id")).where("r = 1")
-    return one.withColumn("r", rank("case_id", "erp_id")).where("r = 1").select("erp_id", "case_id", "gap")
+    lower = lambda names: -F.coalesce(F.arrays_overlap("erp_names", names).cast("int"), F.lit(-1))
+    rank = F.struct(lower("party_names").alias("direct"), lower("case_names").alias("also"), gap.alias("gap"), "case_id")
+    best = met.where(inside & (gap <= days)).groupBy(*kind).agg(F.min(rank).alias("best"))
+    same = [F.col("code") == F.col("code_"), F.col("erp_date").eqNullSafe(F.col("date_")), F.col("erp_names") == F.col("names_")]
+    each = a.join(best.select(F.col("code").alias("code_"), F.col("erp_date").alias("date_"), F.col("erp_names").alias("names_"), "best"), same)
+    one = each.groupBy("erp_id").agg(F.min("best").alias("best")).select("erp_id", "best.*")
+    two = one.groupBy("case_id").agg(F.min(F.struct("direct", "also", "gap", "erp_id")).alias("best"))
+    return two.select("best.erp_id", "case_id", "best.gap")
 
 
 def only_candidate(erp: DataFrame, found: DataFrame) -> DataFrame:

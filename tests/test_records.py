@@ -1,9 +1,13 @@
 """Windows of text, matches of cases and lines of pages: limits, ties, repeated keys."""
 
+import datetime
+import random
+
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from foliospark.operators import records
+from foliospark.operators import entities, records
 
 
 def test_extraction_window_at_its_limits(spark):
@@ -22,3 +26,50 @@ def test_extraction_window_at_its_limits(spark):
         SELECT source_file, doc_type, CASE WHEN doc_type = 'CONTRAT' THEN trim(left(whole, 1500)) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || trim(right(whole, 1500)) ELSE trim(left(whole, 2000)) END AS "window" FROM w""").fetchall()
     found = records.extraction_window(spark.createDataFrame(rows, "source_file string, doc_type string, chunk_index int, text string"))
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+CASE = "case_id string, code string, opened date, party string, name string"
+
+
+def best_matches(erp, found, days=30):
+    """The rule of ``matched``, all pairs."""
+    words = lambda s: {w for w in (s or "").split() if len(w) > 2}
+    one = {}
+    for e, code, day, party, _ in erp:
+        for c, other, opened, who, name in found:
+            mine, theirs, also = words(party), words(who) or words(name), words(name)
+            gap = days if day is None or opened is None else abs((day - opened).days)
+            if code == other and code is not None and mine and theirs and (mine <= theirs or theirs <= mine) and gap <= days:
+                direct = -1 if who is None else int(bool(mine & words(who)))
+                rank = (-direct, -int(bool(mine & also)), gap, c)
+                one[e] = min(one.get(e, rank), rank)
+    two = {}
+    for e, (direct, also, gap, c) in one.items():
+        two[c] = min(two.get(c, (direct, also, gap, e)), (direct, also, gap, e))
+    return {(e, c, gap) for c, (_, _, gap, e) in two.items()}
+
+
+def test_matched_equals_all_pairs(spark):
+    """Names that hold each other, frequent words, no dates, no names, repeated rows and ids."""
+    rng, start = random.Random(5), datetime.date(2023, 1, 1)
+    words = ["cloture", "attente", *(f"nom{x}" for x in "abcdefgh")]
+    name = lambda: rng.choice([None, "", " ".join(rng.sample(words, rng.randrange(1, 4))), " ".join(rng.sample(words, 2))])
+    row = lambda k: (str(k), rng.choice(["C1", "C2", "C2", None]), rng.choice([None, *(start + datetime.timedelta(rng.randrange(150)) for _ in range(6))]), name(), name())
+    erp, found = [row(k % 190) for k in range(200)], [row(k % 290) for k in range(300)]
+    erp, found = erp + erp[:20], found + found[:20]
+    for days in (30, 0):
+        got = entities.matched(spark.createDataFrame(erp, CASE), spark.createDataFrame(found, CASE), days).collect()
+        assert len(got) > 10 and {(r.erp_id, r.case_id, r.gap) for r in got} == best_matches(erp, found, days)
+
+
+def test_match_candidates_grow_with_the_cases(spark):
+    """A word that every case has, and many cases of one name and day."""
+    for n in (200, 800):
+        day = F.date_add(F.lit("2020-01-01"), (F.col("id") % 40).cast("int"))
+        party = F.concat(F.lit("cloture nom"), F.translate(F.floor(F.col("id") / 2).cast("string"), "0123456789", "abcdefghij"))
+        a = spark.range(n).select(F.lit("C").alias("code"), day.alias("erp_date"), F.array_sort(F.split(party, " ")).alias("erp_names"))
+        b = a.select("code", F.col("erp_date").alias("opened"), F.col("erp_names").alias("names"))
+        assert entities.candidates(a, b, 30).count() <= 2 * n
+    copies = [(str(k), "C", datetime.date(2023, 1, 1 + k % 2), "cloture", None) for k in range(3000)]
+    got = entities.matched(spark.createDataFrame(copies[::2], CASE), spark.createDataFrame(copies[1::2], CASE)).collect()
+    assert [tuple(r) for r in got] == [("0", "1", 1)]
