@@ -9,11 +9,12 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -198,32 +199,57 @@ def read_texts(spark: SparkSession, root: str, pages: DataFrame | None = None) -
     return read
 
 
-def lines(boxes: DataFrame) -> DataFrame:
-    """Text of scanned pages from word boxes (doc, page, left, top, height, word): a word stands on a new line
-    if its top is more than 0.4 of the running height away from that of the word before; a blank line comes
-    where a line begins more than 1.2 of its height below the one before.
-
-    The running height (0.8 of itself, 0.2 of each word's) depends on every word before, so a page is one group.
+def _laid_out(boxes: pa.ListArray) -> pa.Array:
+    """The text of each page from its boxes, all pages at once: a step of the loop is one word of every page."""
+    lengths = pc.fill_null(pc.list_value_length(boxes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    fields = dict(zip([f.name for f in boxes.type.value_type], boxes.flatten().flatten(), strict=True))
+    left, top, height = (fields[c].to_numpy(zero_copy_only=False) for c in ("left", "top", "height"))
+    page, starts = np.repeat(np.arange(len(lengths)), lengths), np.concatenate([[0], np.cumsum(lengths)])
+    order = np.lexsort((left, top, page))
+    left, top, height = left[order], top[order], height[order]
+    fresh = np.zeros(len(order), bool)
+    longest = np.argsort(-lengths, kind="stable")
+    longest = longest[: np.count_nonzero(lengths)]
+    at = starts[longest]
+    fresh[at] = True
+    running = np.where(height[at] == 0, 0.01, height[at].astype(float))
+    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(1, lengths.max(initial=0)), side="right")
+    for k, n in enumerate(alive, 1):
+        here, running = at[:n] + k, running[:n]
+        fresh[here] = np.abs(top[here] - top[here - 1]) > 0.4 * running
+        running = np.where(height[here] > 0, 0.8 * running + 0.2 * height[here], running)
+    line = np.cumsum(fresh)
+    across = np.lexsort((left, line))
+    top, height, order = top[across], height[across], order[across]
+    first = np.flatnonzero(fresh)
+    kind = np.ones(len(order), np.int8)
+    if len(first):
+        tall, head = np.maximum.reduceat(height, first), top[first]
+        bottom = np.concatenate([[0.0], (head + tall)[:-1]])
+        kind[first] = np.where((bottom > 0) & (head - bottom > 1.2 * tall), 3, 2)
+        kind[at] = 0
+    words = pc.binary_join_element_wise(pa.array(["", " ", "\n", "\n\n"]).take(pa.array(kind)), fields["word"].take(pa.array(order)), "")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), words), "")
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """doc, page, text of scanned pages, a row each with its word boxes (array of left, top, height, word, in any order): a
+    word stands on a new line if its top is more than 0.4 of the running height away from that of the word before; a
+    blank line comes where a line begins more than 1.2 of its height below the one before.
+
+    The running height (0.8 of itself, 0.2 of each word's) depends on every word before, so a page is one row.
     """
 
-    def page(rows: pa.Table) -> pa.Table:
-        left, top, height, word = (rows[c].to_pylist() for c in ("left", "top", "height", "word"))
-        order = sorted(range(len(word)), key=lambda i: (top[i], left[i]))
-        running, found = height[order[0]] or 0.01, [[order[0]]]
-        for before, i in pairwise(order):
-            if abs(top[i] - top[before]) > 0.4 * running:
-                found.append([])
-            found[-1].append(i)
-            running = 0.8 * running + 0.2 * height[i] if height[i] > 0 else running
-        out, bottom = [], 0.0
-        for line in found:
-            tall, line = max(height[i] for i in line), sorted(line, key=lambda i: left[i])
-            first = top[line[0]]
-            out += [""] * bool(bottom > 0 and first - bottom > 1.2 * tall) + [" ".join(word[i] for i in line)]
-            bottom = first + tall
-        return pa.table({"doc": rows["doc"][:1], "page": rows["page"][:1], "text": ["\n".join(out)]})
-
-    return boxes.groupBy("doc", "page").applyInArrow(page, "doc string, page int, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _laid_out(batch.column(2))], ["doc", "page", "text"])
+
+    return pages.select(F.col("doc").cast("string"), F.col("page").cast("int"), "boxes").mapInArrow(run, "doc string, page int, text string")
+
+
+def lines(boxes: DataFrame) -> DataFrame:
+    """``page_lines`` of boxes that come as rows (doc, page, left, top, height, word), a page's anywhere in the table."""
+    return page_lines(boxes.groupBy("doc", "page").agg(F.collect_list(F.struct("left", "top", "height", "word")).alias("boxes")))
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:

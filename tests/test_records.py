@@ -2,12 +2,16 @@
 
 import datetime
 import random
+from itertools import pairwise
 
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliospark.operators import entities, records
+from foliospark.plans import record_queries  # noqa: F401
+from foliospark.plans.queries import QUERIES
+from foliospark.sources import files
 
 
 def test_extraction_window_at_its_limits(spark):
@@ -73,3 +77,44 @@ def test_match_candidates_grow_with_the_cases(spark):
     copies = [(str(k), "C", datetime.date(2023, 1, 1 + k % 2), "cloture", None) for k in range(3000)]
     got = entities.matched(spark.createDataFrame(copies[::2], CASE), spark.createDataFrame(copies[1::2], CASE)).collect()
     assert [tuple(r) for r in got] == [("0", "1", 1)]
+
+
+def page_text(boxes):
+    """The rule of ``page_lines``, word by word."""
+    order = sorted(boxes, key=lambda b: (b[1], b[0]))
+    running, found = order[0][2] or 0.01, [[order[0]]]
+    for before, b in pairwise(order):
+        if abs(b[1] - before[1]) > 0.4 * running:
+            found.append([])
+        found[-1].append(b)
+        running = 0.8 * running + 0.2 * b[2] if b[2] > 0 else running
+    out, bottom = [], 0.0
+    for line in found:
+        tall, line = max(b[2] for b in line), sorted(line, key=lambda b: b[0])
+        out += [""] * bool(bottom > 0 and line[0][1] - bottom > 1.2 * tall) + [" ".join(b[3] for b in line)]
+        bottom = line[0][1] + tall
+    return "\n".join(out)
+
+
+def test_lines_of_pages_word_by_word(spark):
+    """Pages of 1 to 300 words: skewed lines, gaps, heights of zero, words at one place."""
+    rng, rows, pages = random.Random(3), [], {}
+    for k in range(60):
+        boxes, tops = [], rng.choice((8, 15, 40))
+        for n in range(rng.choice((1, 2, 7, 40, 300))):
+            boxes.append((rng.randrange(0, 500), n // 6 * tops + rng.randrange(-3, 4), rng.choice((0, 9, 10, 12, 30)), rng.choice(("é", "", "a b", f"w{n}"))))
+        boxes = list({b[:2]: b for b in boxes}.values())
+        pages[("d" + str(k % 7), k)] = page_text(boxes)
+        rows += [("d" + str(k % 7), k, *b) for b in boxes]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc string, page int, left int, top int, height int, word string")
+    assert {(r.doc, r.page): r.text for r in files.lines(df).collect()} == pages
+    assert files.lines(df.limit(0)).count() == 0
+    same = spark.createDataFrame([("d", 1, [(0, 5, 9, "x"), (0, 5, 9, "y"), (0, 4, 9, "z")]), ("d", 2, [])], "doc string, page int, boxes array<struct<left: int, top: int, height: int, word: string>>")
+    assert sorted(tuple(r) for r in files.page_lines(same).collect()) == [("d", 1, "z x y"), ("d", 2, "")]
+
+
+def test_lines_of_documents_deal_no_words(spark, data):
+    """What is shuffled are texts at most, never a row a word."""
+    plan = QUERIES["sc7_lines"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "posexplode" in plan and plan.index("posexplode") < (plan + "Exchange").index("Exchange")
