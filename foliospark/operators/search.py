@@ -326,10 +326,18 @@ def without_procedure(df: DataFrame, question: str, mode: str) -> DataFrame:
 ENDINGS = ("issements", "issement", "atrices", "ateurs", "ations", "atrice", "ateur", "ation", "ements", "ement", "euses", "ences", "ances", "iques", "ismes", "ables", "istes", "euse", "ence", "ance", "ique", "isme", "able", "iste", "ives", "ités", "ites", "ifs", "ive", "ité", "ite", "eux", "aux", "if", "ées", "ée", "és", "er", "es", "é", "e", "s", "x")
 
 
+#: The longest ending of a folded word that leaves three letters.
+ENDING = "(?<=[a-z]{3})(" + "|".join(sorted({tx.plain(e) for e in ENDINGS}, key=lambda e: (-len(e), e))) + ")$"
+
+
+def folded_words(text: Column) -> Column:
+    """Folded words of two letters or digits or more, as they stand in the text."""
+    return F.regexp_extract_all(tx.fold_latin(text), F.lit("([a-z0-9]{2,})"), 1)
+
+
 def stems(text: Column) -> Column:
-    """Folded words of three letters or more, without their longest ending that leaves three letters."""
-    ending = "(?<=[a-z]{3})(" + "|".join(sorted({tx.plain(e) for e in ENDINGS}, key=lambda e: (-len(e), e))) + ")$"
-    return F.transform(F.regexp_extract_all(tx.fold_latin(text), F.lit("([a-z0-9]{2,})"), 1), lambda w: F.regexp_replace(w, ending, ""))
+    """Folded words of two letters or digits or more, without their longest ending that leaves three letters."""
+    return F.transform(folded_words(text), lambda w: F.regexp_replace(w, ENDING, ""))
 
 
 def lexical_rank(text: Column, title: Column, query: str) -> Column:

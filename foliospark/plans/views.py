@@ -52,9 +52,9 @@ class Views:
         return named.withColumn("doc_group", F.concat_ws("_", "doc_type", "year", "code"))
 
     @property
-    def chunks(self) -> DataFrame:
-        d, e = self.table("documents"), self.table("embeddings")
-        n = e.count()
+    def slices(self) -> DataFrame:
+        """The chunks without their vectors, for what reads texts only: nothing is joined."""
+        d, n = self.table("documents"), self.table("embeddings").count()
         slices = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(float(SLICE)))).cast("int")
         each = d.withColumn("total_chunks", slices).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
         each = each.select(
@@ -63,8 +63,11 @@ class Views:
             (F.col("doc_id") % 23 == 0).alias("excluded"), F.when(F.col("doc_id") % 7 == 0, "PROCEDURE_AG").when(F.col("doc_id") % 7 == 1, "FOND").alias("category"), (F.col("doc_id") % n).alias("vec_id"),
         )
         hashed = F.md5(F.concat("source_file", F.lit("#"), F.col("chunk_index").cast("string"), F.lit("#"), "text").cast("binary"))
-        each = each.withColumn("chunk_id", F.substring(hashed, 1, 12)).withColumn("n_chars", F.length("text"))
-        return each.join(e.select("vec_id", "embedding"), "vec_id", "left")
+        return each.withColumn("chunk_id", F.substring(hashed, 1, 12)).withColumn("n_chars", F.length("text"))
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.slices.join(self.table("embeddings").select("vec_id", "embedding"), "vec_id", "left")
 
     @property
     def cases(self) -> DataFrame:

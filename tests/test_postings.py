@@ -38,3 +38,30 @@ def test_stop_words_and_partitions(spark, tmp_path):
     plan = postings.of_words(words, ["contrat"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(word), EqualTo(word,contrat)]" in plan
     assert postings.build(spark.createDataFrame([], "chunk_id string, text string"), str(tmp_path / "none")).count() == 0
+
+
+def test_table_equals_stems_row_by_row(spark, tmp_path, monkeypatch):
+    """Each row of the table from the stems of its chunk, in blocks of any size; nothing is shuffled to build it."""
+    rows, _ = table(spark, tmp_path)
+    docs = rows.unionByName(spark.createDataFrame([("h", "Écoutez les ÉTABLISSEMENTS, 12 abc3s x; nationales nations", "Été 2023"), ("h", "nations", "Nation")], "chunk_id string, text string, title string"))
+    want = {}
+    for r in docs.select("chunk_id", search.stems(F.coalesce("title", F.lit(""))).alias("head"), search.stems(F.coalesce("text", F.lit(""))).alias("body")).collect():
+        for w in {*r["head"], *r["body"]}:
+            want.setdefault((r.chunk_id, w), []).append((r["head"].count(w), [k for k, x in enumerate(r["body"]) if x == w]))
+    plans = []
+    real = type(docs.write).parquet
+    monkeypatch.setattr(type(docs.write), "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), real(self, *a, **b))[1])
+    for size in (1, 3, 2048):
+        monkeypatch.setattr(postings, "BLOCK", size)
+        got = {}
+        for r in postings.build(docs, str(tmp_path / f"n{size}"), title=F.col("title")).collect():
+            got.setdefault((r.chunk_id, r.word), []).append((r.in_title, r.places))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+
+
+def test_chunks_of_one_key_count_together(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "le contrat"), ("a", "du contrat de syndic"), ("b", "syndic")], "chunk_id string, text string")
+    words = postings.build(rows, str(tmp_path / "same"))
+    assert [r.chunk_id for r in postings.ranked(words, "contrat syndic").collect()] == ["a"]
+    assert {r.chunk_id: r.n for r in postings.phrases(words, "du contrat").collect()} == {"a": 1}
