@@ -88,3 +88,17 @@ def test_nothing_to_compare(spark, rows):
     p = dedup.profile(spark.createDataFrame(rows, "doc_id int, folder string, file_name string, text string"))
     assert dedup.confirmed_pairs(p, ["folder"]).count() == 0
     assert [(r.doc_id, r.group, r.links) for r in dedup.copy_groups(p, ["folder"]).collect()] == [(k, k, 0) for k, *_ in rows]
+
+
+def test_any_order_finds_every_pair_and_no_table_of_all_shingles_is_written(spark, monkeypatch):
+    """Few documents in the sample, few frequent shingles known, blocks of two documents: the same links."""
+    for name, value in (("SAMPLE", 4), ("FREQUENT", 3), ("SLICE", 2)):
+        monkeypatch.setattr(dedup, name, value)
+    made = {}
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: (made.__setitem__(name, write(self, df, name)), made[name])[1])
+    rng, shared = random.Random(9), " ".join(f"clause{k}" for k in range(40))
+    rows = [(k, "f", "a.pdf", f"{shared if k % 2 else ''} " + " ".join(f"own{k // 3}x{j}" if j != 30 or rng.random() < 0.5 else f"z{k}" for j in range(60))) for k in range(30)]
+    assert len(check(spark, rows)) > 5
+    assert "shingles" not in made["profiles"].columns
+    assert made["dated"].where("shingles is not null").count() < 30
